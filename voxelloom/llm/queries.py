@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, token_output
+from . import mixing, secret_scan, token_output, warc
 from .common import materialise, prepare, table  # noqa: F401
 
 
@@ -16,13 +16,24 @@ def op3_token_output(spark, sf_dir):
     return token_output.token_output(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
 
 
+def op5_warc(spark, sf_dir):
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_token_output": op3_token_output,
+    "op5_warc": op5_warc,
     "op9_mix_sources": op9_mix_sources,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL, "op10_secret_scan": secret_scan.oracle_sql()}
