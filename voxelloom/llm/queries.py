@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan, token_output, warc
+from . import jaccard_join, mixing, secret_scan, token_output, warc
 from .common import materialise, prepare, table  # noqa: F401
 
 
@@ -21,6 +21,10 @@ def op5_warc(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_secret_scan(spark, sf_dir):
 QUERIES = {
     "op3_token_output": op3_token_output,
     "op5_warc": op5_warc,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
