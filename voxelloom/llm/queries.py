@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, secret_scan, token_output, warc
+from pyspark.sql import functions as F
+
+from . import jaccard_join, mixing, secret_scan, token_output, toxicity, warc
 from .common import materialise, prepare, table  # noqa: F401
 
 
@@ -12,6 +14,15 @@ def tokenizer_path(name: str = token_output.TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(prepare(spark), sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    held = toxicity.held_out().alias("held_out")
+    predicted = (F.col("toxic_score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted")
+    return scored.select("doc_id", held, F.col("toxic_score").alias("score"), predicted, "toxic_words", "toxic_spans")
+
+
 def op3_token_output(spark, sf_dir):
     return token_output.token_output(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
 
@@ -34,6 +45,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_output": op3_token_output,
     "op5_warc": op5_warc,
     "op8_jaccard_join": op8_jaccard_join,
