@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
+class Forest:
+    """Union-find over the members of one group."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def union(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def link(self, linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+        """Join the ends of all pairs that a block marks; work in Python is per member, not per pair."""
+        r, c = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        if not len(r):
+            return
+        block = linked[np.ix_(r, c)]
+        left, right = rows[r].copy(), cols[c].copy()
+        none = np.iinfo(np.int64).max
+        while True:
+            to_left = np.minimum(left, np.where(block, right[None, :], none).min(1))
+            to_right = np.minimum(right, np.where(block, to_left[:, None], none).min(0))
+            if (to_left == left).all() and (to_right == right).all():
+                break
+            left, right = to_left, to_right
+        for i, j in zip([*rows[r].tolist(), *cols[c].tolist()], [*left.tolist(), *right.tolist()], strict=True):
+            if i != j:
+                self.union(i, j)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) of longs -> (node, root): the smallest node that links reach.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, prepare
-from .graph import components
+from .graph import Forest, components
 from .textkeys import mix64, shingles, word_hashes
 
 WORDS = 5
@@ -262,14 +262,7 @@ def _verify(threshold: float):
             addr, weight = t.column("addr").to_numpy(), t.column("copies").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             links = np.zeros(len(addr), np.int64)
-            parent = list(range(len(addr)))
-
-            def find(i, parent=parent):
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
+            forest = Forest(len(addr))
             for rows, cols in _blocks(side):
                 ok = _new_pairs(bucket, size, paths, rows, cols, threshold)
                 many = int(ok.sum())
@@ -287,13 +280,10 @@ def _verify(threshold: float):
                     continue
                 np.add.at(links, rows, ok @ weight[cols])
                 np.add.at(links, cols, weight[rows] @ ok)
-                for i, j in zip(*np.nonzero(ok), strict=True):
-                    a, b = find(int(rows[i])), find(int(cols[j]))
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
+                forest.link(ok, rows, cols)
             on = np.flatnonzero(links)
             if len(on):
-                yield pa.RecordBatch.from_arrays([pa.array(addr[on]), pa.array(links[on]), pa.array(addr[[find(int(i)) for i in on]])], names=["addr", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(addr[on]), pa.array(links[on]), pa.array(addr[[forest.find(int(i)) for i in on]])], names=["addr", "links", "root"])
 
     return run
 
