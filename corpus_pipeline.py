@@ -1,17 +1,59 @@
-"""A training-data pipeline over documents; stages are added as their operators are."""
+"""A training-data pipeline over documents.
+
+Toxic documents go; of each group of near copies one document stays; documents that hold a
+benchmark item go; sources are mixed to their target weights; what is left becomes token files.
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from voxelloom.llm import queries as Q
+from pyspark.sql import DataFrame, SparkSession
+
+from voxelloom.llm import decontam, jaccard_join, mixing, toxicity, token_output
+from voxelloom.llm.common import materialise, prepare, table
+from voxelloom.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below toxicity.TOXIC_FROM."""
+    return toxicity.reject(docs, table(prepare(spark), sf_dir, "labels"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class of near copies."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontam.decontaminate(docs, table(prepare(spark), sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row of the token files."""
+    return token_output.token_output(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("source mixing", mix_sources),
+    ("token output", write_token_files),
+]
 
+#: The first stage is a trained model, so no SQL tells the rows; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply STAGES to documents, each stage's result written and read again."""
-    docs = Q.table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents, each stage's result written and read again."""
+    docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES:
-        docs = Q.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

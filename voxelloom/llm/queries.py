@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import decontam, embed_dedup, html_wrapper, jaccard_join, license_scan, mixing, secret_scan, token_output, toxicity, warc
-from .common import materialise, prepare, table  # noqa: F401
+from .common import prepare, table
 
 
 def tokenizer_path(name: str = token_output.TOKENIZER) -> str:
