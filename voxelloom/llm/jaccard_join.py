@@ -84,11 +84,47 @@ def _addressed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("addr", F.xxhash64("doc_id", "text"))
 
 
-def _sets(words: int):
-    """(addr, text) -> (addr, set): the sorted distinct shingle hashes as bytes."""
+BLOOM_BITS_EACH, BLOOM_MOST_BITS = 16, 1 << 28
 
+
+def _bits(addr: np.ndarray, bits: int) -> np.ndarray:
+    x = addr.view(np.uint64)
+    return (np.stack([mix64(x ^ np.uint64(k * 77 + 1)) for k in range(4)]) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bloom_words(bits: int):
     def run(batches):
+        words: dict[int, int] = {}
         for batch in batches:
+            at = _bits(batch.column("addr").to_numpy(), bits).ravel()
+            for w, b in zip((at >> 5).tolist(), (at & 31).tolist(), strict=True):
+                words[w] = words.get(w, 0) | 1 << b
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "bits"])
+
+    return run
+
+
+def bloom_filter(wanted: DataFrame):
+    """A Bloom filter of wanted(addr), at most BLOOM_MOST_BITS long: a scan can drop most other rows
+    before they would be shuffled to the join that decides."""
+    n = wanted.count()
+    bits = min(BLOOM_MOST_BITS, 1 << max(10, (BLOOM_BITS_EACH * n).bit_length()))
+    rows = wanted.mapInArrow(_bloom_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits >> 5, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return bits, out
+
+
+def _sets(words: int, bloom):
+    """(addr, text) -> (addr, set) where the filter has addr: the sorted distinct shingle hashes as bytes."""
+
+    def run(batches):
+        bits, filled = bloom.value
+        for batch in batches:
+            at = _bits(batch.column("addr").to_numpy(), bits)
+            batch = batch.filter(pa.array(((filled[at >> 5] >> (at & 31)) & 1).all(0)))
+            if not batch.num_rows:
+                continue
             for row, hashes, bounds in word_hashes(batch.column("text")):
                 sh, at = shingles(hashes, bounds, words)
                 n = len(at) - 1
@@ -236,19 +272,35 @@ def _read(t: pa.Table):
     return bucket, size, side, paths
 
 
-def _mark(threshold: float):
-    """Keeps the members of each tile pair that have a pair to verify there."""
+def least_agreement(threshold: float, recall: float, coords: int = COORDS) -> int:
+    """The most equal coordinates that a pair at the threshold misses with at most 1 - recall."""
+    tail = 0.0
+    for k in range(coords + 1):
+        tail += math.comb(coords, k) * threshold**k * (1 - threshold) ** (coords - k)
+        if tail > 1 - recall:
+            return k
+    return coords
+
+
+def _mark(threshold: float, agree: int, coords: int = COORDS):
+    """Keeps the members of each tile pair that have a pair to verify there.
+
+    Besides its sizes a pair must have enough equal coordinates, by one byte of each.
+    """
 
     def run(batches):
         for t in _grouped(batches, ["bucket", "pair"]):
             bucket, size, side, paths = _read(t)
+            marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, coords)
             hit = np.zeros(t.num_rows, bool)
             for rows, cols in _blocks(side):
                 ok = _new_pairs(bucket, size, paths, rows, cols, threshold)
+                if ok.any():
+                    ok &= np.count_nonzero(marks[rows][:, None, :] == marks[cols][None, :, :], axis=2) >= agree
                 hit[rows] |= ok.any(1)
                 hit[cols] |= ok.any(0)
             if hit.any():
-                yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
+                yield from t.filter(pa.array(hit)).drop_columns(["marks"]).combine_chunks().to_batches()
 
     return run
 
@@ -315,20 +367,21 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     leaf = materialise(leaves(reps.select("addr", "sig"), runs, small=small), "leaves")
     # The paths of a representative: at most runs x FAN ** DEPTH.
     paths = leaf.groupBy("addr").agg(F.sort_array(F.collect_set("bucket")).alias("path"))
-    paths = paths.join(reps.select("addr", "size", "copies"), "addr").mapInArrow(_pack_paths, "addr long, size long, copies long, paths binary")
+    paths = paths.join(reps.select("addr", "size", "copies", "sig"), "addr").mapInArrow(_pack_paths, "addr long, size long, copies long, paths binary, marks binary")
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64("addr", "bucket"), tiles).cast("int")
     spread = leaf.join(materialise(paths, "paths"), "addr").withColumn("tiles", tiles).withColumn("own", own)
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pair = F.least("own", "other").cast("long") * F.col("tiles") + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    spread = spread.select("bucket", pair.alias("pair"), side.alias("side"), "addr", "size", "copies", "paths")
+    spread = spread.select("bucket", pair.alias("pair"), side.alias("side"), "addr", "size", "copies", "paths", "marks")
     schema = "bucket long, pair long, side int, addr long, size long, copies long, paths binary"
     spread = spread.repartition(part, "bucket", "pair").sortWithinPartitions("bucket", "pair", "addr")
-    marked = materialise(spread.mapInArrow(_mark(threshold), schema), "to-verify")
+    marked = materialise(spread.mapInArrow(_mark(threshold, least_agreement(threshold, recall)), schema), "to-verify")
 
     wanted = materialise(marked.select("addr").distinct(), "texts-to-verify")
-    sets = _addressed(docs).join(wanted, "addr").select("addr", "text").mapInArrow(_sets(words), "addr long, set binary")
+    bloom = spark.sparkContext.broadcast(bloom_filter(wanted))
+    sets = _addressed(docs).select("addr", "text").mapInArrow(_sets(words, bloom), "addr long, set binary").join(wanted, "addr")
     sets = sets.groupBy("addr").agg(F.first("set").alias("set"))  # equal rows have one address
     ready = marked.join(sets, "addr").repartition(part, "bucket", "pair").sortWithinPartitions("bucket", "pair", "addr")
     found = materialise(ready.mapInArrow(_verify(threshold), "addr long, links long, root long"), "links")
@@ -352,7 +405,8 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
 def _pack_paths(batches):
     for batch in batches:
         packed = pa.array([np.array(p, np.int64).tobytes() for p in batch.column("path").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("addr"), batch.column("size"), batch.column("copies"), packed], names=["addr", "size", "copies", "paths"])
+        marks = pa.array([np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column("sig").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("addr"), batch.column("size"), batch.column("copies"), packed, marks], names=["addr", "size", "copies", "paths", "marks"])
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
