@@ -1,0 +1 @@
+"""Surface mapping and inspection analytics on Spark DataFrames."""

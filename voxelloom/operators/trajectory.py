@@ -1,0 +1,88 @@
+"""Reference trajectories of paths, tick by tick."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..params import TrajectoryParams
+
+
+def wrap(a: float) -> float:
+    return (a + math.pi) % (2 * math.pi) - math.pi
+
+
+def yaw_step(yaw: float, goal: float, dist: float | None, p: TrajectoryParams) -> float:
+    """Towards goal at a rate that falls with the distance left; without a distance at the full rate."""
+    factor = 1.0 if dist is None else min(1.0, max(p.yaw_floor, dist / p.yaw_scale))
+    most = p.yaw_rate * factor * p.dt
+    return wrap(yaw + max(-most, min(most, wrap(goal - yaw))))
+
+
+def _clamped(vel, want, most):
+    dv = want - vel
+    n = np.linalg.norm(dv)
+    return vel + (dv * (most / n) if n > most and n > 1e-6 else dv)
+
+
+def simulate(path: np.ndarray, yaws: np.ndarray, pos_tol: float, v_max: float, a_max: float, ticks: int, p: TrajectoryParams = TrajectoryParams()):
+    """Rows (tick, x, y, z, yaw, speed, active_index, progress, done).
+
+    The index moves on while the active waypoint is within tolerance; speed is limited by the
+    stopping distance; the goal's yaw is negated, as the executor's frame has it.
+    """
+    pos, vel, yaw, index, n = np.array(p.start, float), np.zeros(3), 0.0, 0, len(path)
+    rows = []
+    for tick in range(ticks):
+        if not n:
+            vel = _clamped(vel, np.zeros(3), a_max * p.dt)
+            pos = pos + vel * p.dt
+            rows.append((tick, *pos, yaw, float(np.linalg.norm(vel)), 0, 1.0, False))
+            continue
+        if n > 1:
+            while index + 1 < n and np.linalg.norm(path[index] - pos) < pos_tol:
+                index += 1
+        err = path[index] - pos
+        dist = float(np.linalg.norm(err))
+        if n == 1 and dist < pos_tol:
+            pos, vel = path[0].copy(), np.zeros(3)
+        else:
+            limit = v_max if n == 1 else min(v_max, math.sqrt(2 * a_max * dist))
+            want = err / dist * limit if dist > 1e-6 else np.zeros(3)
+            vel = _clamped(vel, want, a_max * p.dt)
+            pos = pos + vel * p.dt
+            yaw = yaw_step(yaw, -yaws[index], None if n > 1 and index == n - 1 else dist, p)
+        speed = float(np.linalg.norm(vel))
+        done = index >= n - 1 and np.linalg.norm(path[-1] - pos) < pos_tol and speed < p.stop_speed
+        rows.append((tick, *pos, yaw, speed, index, index / n if n > 1 else 1.0, bool(done)))
+        if done:
+            break
+    return rows
+
+
+SCHEMA = "plan_id long, tick int, x double, y double, z double, yaw double, speed double, active_index int, progress double, remaining int, done boolean"
+
+
+def run_plans(path: DataFrame, goals: DataFrame, ticks: int = 4000, p: TrajectoryParams = TrajectoryParams()) -> DataFrame:
+    """T1-T4 for path(plan_id, seq, x, y, z, yaw) and goals(plan_id, pos_tol, v_max, a_max).
+
+    One plan's waypoints make a group; plans are independent. Plans without waypoints give no rows.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        g = pdf.iloc[0]
+        rows = simulate(pdf[["x", "y", "z"]].to_numpy(float), pdf["yaw"].to_numpy(float), g.pos_tol, g.v_max, g.a_max, ticks, p)
+        out = pd.DataFrame(rows, columns=["tick", "x", "y", "z", "yaw", "speed", "active_index", "progress", "done"])
+        return out.assign(plan_id=g.plan_id, remaining=len(pdf) - out["active_index"])[["plan_id", "tick", "x", "y", "z", "yaw", "speed", "active_index", "progress", "remaining", "done"]]
+
+    return path.join(goals, "plan_id").groupBy("plan_id").applyInPandas(run, SCHEMA)
+
+
+def results(ticks: DataFrame) -> DataFrame:
+    """Per plan whether it reached its end, and how many ticks it ran."""
+    return ticks.groupBy("plan_id").agg(F.bool_or("done").alias("success"), F.count("*").alias("ticks"), F.max_by("active_index", "tick").alias("active_index"))
