@@ -13,8 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 REPO = str(Path(__file__).resolve().parents[2])
 
 
+ROWS_PER_BATCH = "1000"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver found it by its own sys.path."""
+    """Let Python workers import this package when the driver found it by its own sys.path.
+
+    Arrow batches are held to ROWS_PER_BATCH rows where the session leaves Spark's default:
+    whole texts make wide rows, and two batches at once stand in a worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ROWS_PER_BATCH)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if REPO not in known.split(":"):

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import materialise, prepare
 from .textkeys import _WORD, mix64, shingles, word_hashes
-from .token_output import _span_hashes, text_slices
+from .token_output import span_hashes, text_slices
 
 #: Bounds of the training sample: rows of each label, and characters of a row that may be in it.
 SAMPLE_TOXIC = 2000
@@ -70,14 +70,14 @@ def words_of(data: np.ndarray, bounds: np.ndarray):
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Each word's type, and each type's hash and feature columns."""
     folded = fold(data)
-    whole = mix64(_span_hashes(folded, starts, ends)[0])
+    whole = mix64(span_hashes(folded, starts, ends)[0])
     types, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
     s, e = starts[first], ends[first]
     columns = [types]
     for n in PREFIXES:
-        columns.append(mix64(_span_hashes(folded, s, np.minimum(e, s + n))[0] + np.uint64(1000 + n)))
+        columns.append(mix64(span_hashes(folded, s, np.minimum(e, s + n))[0] + np.uint64(1000 + n)))
     for n in SUFFIXES:
-        columns.append(mix64(_span_hashes(folded, np.maximum(s, e - n), e)[0] + np.uint64(2000 + n)))
+        columns.append(mix64(span_hashes(folded, np.maximum(s, e - n), e)[0] + np.uint64(2000 + n)))
     return inverse, types, np.stack([(c % np.uint64(DIMENSIONS)).astype(np.int64) for c in columns], 1)
 
 
@@ -252,9 +252,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
     Rows whose label or text is null are left out; of repeated texts one is taken.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").where(F.char_length("text") <= SAMPLE_CHARS)
-    parts = [chosen.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n) for v, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    rows = parts[0].unionByName(parts[1]).select("text", "toxic").toPandas().drop_duplicates("text")
+    sized = docs.where("text is not null").select("doc_id", F.char_length("text").alias("n")).where(F.col("n") <= SAMPLE_CHARS)
+    ids = sized.join(known, "doc_id").select("doc_id", "toxic").distinct()  # texts stay where they are
+    order = (F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"))
+    parts = [ids.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows: small enough to go to every task.
+    chosen = F.broadcast(materialise(parts[0].unionByName(parts[1]), "training-ids"))
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS).join(chosen, "doc_id")
+    rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text")
     return train(rows["text"].tolist(), rows["toxic"].tolist())
 
 
