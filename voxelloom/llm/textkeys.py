@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .token_output import _span_hashes, text_slices
+from .token_output import span_hashes, text_slices
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
@@ -39,7 +39,7 @@ def word_hashes(column: pa.Array):
             cut = np.unique(inner[(at >= 0) & (starts[at] < inner) & (ends[at] > inner)])
             if len(cut):
                 starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-        hashes = mix64(_span_hashes(data, starts, ends)[0]) if len(starts) else np.zeros(0, np.uint64)
+        hashes = mix64(span_hashes(data, starts, ends)[0]) if len(starts) else np.zeros(0, np.uint64)
         yield row, hashes, np.searchsorted(starts, bounds)
 
 

@@ -15,6 +15,7 @@ needs only its own row and the shared table.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import zlib
 
@@ -32,23 +33,32 @@ END_ID = 0
 PRECISION = 20
 LANES = 1024
 CHECKPOINT = 128
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 17
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIII")
 
 
 # --- tokenising ------------------------------------------------------------------------------
 
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 200_000
 _tokenizers: dict = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class CachedTokenizer:
     """A byte-level BPE tokenizer that encodes each different unit of text once.
 
     Units are cut only where the tokenizer's own pre-tokenizer always cuts: before a single space
     between two other characters, and before '.', ',' or a line break after an ASCII letter. The
-    library encodes every unit; letters alone go to its model directly.
+    library encodes every unit; letters alone go to its model directly. Known units stand in sorted
+    arrays of two 64-bit hashes; a unit counts as known only if both agree.
     """
 
     def __init__(self, path: str):
@@ -61,33 +71,69 @@ class CachedTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.code = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
-
-    def _learn(self, units: list[bytes]) -> None:
-        hard = []
-        found: dict[bytes, list[int]] = {}
+        self.used = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep what more than one slice has used since the last time."""
+        keep = self.used[self.code] > 1
+        if np.count_nonzero(keep) > CACHE_UNITS // 2:
+            return self.clear()
+        old = self.code[keep]
+        lens = (self.starts[1:] - self.starts[:-1])[old]
+        ends = np.cumsum(lens)
+        self.flat = self.flat[np.arange(int(lens.sum())) + np.repeat(self.starts[old] - (ends - lens), lens)]
+        self.starts = np.concatenate([[0], ends]).astype(np.int64)
+        self.h1, self.h2, self.code = self.h1[keep], self.h2[keep], np.arange(len(old))
+        self.used = np.zeros(len(old), np.int32)
+
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, one after another, and how many each has."""
+        tokenize, space = self.tokenizer.model.tokenize, self.byte_chars[32]
+        flat: list[int] = []
+        lens: list[int] = []
+        hard = [u for u in units if not (u[1:] if u[:1] == b" " else u).decode().isalpha()]
+        known = dict(zip(hard, self.tokenizer.encode_batch([u.decode() for u in hard], add_special_tokens=False), strict=True))
         for u in units:
-            word = u.decode()
-            if (word[1:] if word[:1] == " " else word).isalpha():
-                found[u] = [t.id for t in self.tokenizer.model.tokenize(u.decode("latin1").translate(self.byte_chars))]
+            if u in known:
+                ids = known[u].ids
+            elif u.isascii():  # printable ASCII stands for itself
+                word = u.decode()
+                ids = [t.id for t in tokenize(space + word[1:] if word[0] == " " else word)]
             else:
-                hard.append(u)
-        if hard:
-            for u, e in zip(hard, self.tokenizer.encode_batch([u.decode() for u in hard], add_special_tokens=False), strict=True):
-                found[u] = e.ids
-        base = len(self.known)
-        self.known.update({u: base + i for i, u in enumerate(found)})
-        lens = np.fromiter(map(len, found.values()), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.fromiter((x for ids in found.values() for x in ids), np.uint32, int(lens.sum()))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+                ids = [t.id for t in tokenize(u.decode("latin1").translate(self.byte_chars))]
+            flat += ids
+            lens.append(len(ids))
+        return np.array(flat, np.uint32), np.array(lens, np.int64)
+
+    def _codes(self, data, starts, ends, h1, h2) -> np.ndarray:
+        """Codes of different units; unknown ones are encoded and kept."""
+        at = np.searchsorted(self.h1, h1)
+        at[at == len(self.h1)] = 0
+        hit = (self.h1[at] == h1) & (self.h2[at] == h2) if len(self.h1) else np.zeros(len(h1), bool)
+        code = np.empty(len(h1), np.int64)
+        code[hit] = self.code[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            raw = data.tobytes()
+            ids, lens = self._encode_units([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            code[new] = len(self.starts) - 1 + np.arange(len(new))
+            self.flat = np.concatenate([self.flat, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
+            all1 = np.concatenate([self.h1, h1[new]])
+            order = np.argsort(all1, kind="stable")
+            self.h1, self.h2, self.code = all1[order], np.concatenate([self.h2, h2[new]])[order], np.concatenate([self.code, code[new]])[order]
+        self.used[code] += 1
+        return code
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and text bounds -> ids of all texts, END_ID after each, and n_tokens."""
-        if len(self.known) > CACHE_UNITS:
-            self.clear()
+        if len(self.h1) > CACHE_UNITS:
+            self._forget()
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
         if len(data) > 2:
@@ -97,18 +143,12 @@ class CachedTokenizer:
             first[1:-2] |= ((here == 46) | (here == 44) | (here == 10)) & letter
         bounds = np.flatnonzero(first)
         starts, ends = bounds[:-1], bounds[1:]
-        n_units = len(starts)
-        if n_units:
-            h1, h2 = _span_hashes(data, starts, ends)
+        if len(starts):
+            h1, h2 = span_hashes(data, starts, ends)
             _, at, inverse = np.unique(h1, return_index=True, return_inverse=True)
-            if not ((h2[at][inverse] == h2) & ((ends - starts)[at][inverse] == ends - starts)).all():
-                at, inverse = np.arange(n_units), np.arange(n_units)
-            raw = data.tobytes()
-            units = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            unseen = list(dict.fromkeys(u for u in units if u not in self.known))
-            if unseen:
-                self._learn(unseen)
-            code = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))[inverse]
+            if not (h2[at][inverse] == h2).all():
+                at = inverse = np.arange(len(starts))
+            code = self._codes(data, starts[at], ends[at], h1[at], h2[at])[inverse]
             lens = self.starts[code + 1] - self.starts[code]
         else:
             code = lens = np.zeros(0, np.int64)
@@ -116,42 +156,39 @@ class CachedTokenizer:
         at_unit = np.searchsorted(starts, offsets)
         n_docs = len(offsets) - 1
         counts = total[at_unit[1:]] - total[at_unit[:-1]]
-        # One slot after each document for its end id.
-        doc_of_unit = np.repeat(np.arange(n_docs), at_unit[1:] - at_unit[:-1])
         out = np.full(int(total[-1]) + n_docs, END_ID, np.uint32)
         if total[-1]:
-            within = np.arange(int(total[-1])) - np.repeat(total[:-1], lens)
-            out[np.arange(int(total[-1])) + np.repeat(doc_of_unit, lens)] = self.flat[np.repeat(self.starts[code], lens) + within]
+            # One slot after each document is left for its end id.
+            doc_of_unit = np.repeat(np.arange(n_docs), at_unit[1:] - at_unit[:-1])
+            within = np.arange(int(total[-1]))
+            ids = self.flat[within + np.repeat(self.starts[code] - total[:-1], lens)]
+            out[within + np.repeat(doc_of_unit, lens)] = ids
         return out, counts + 1
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_powers: dict = {}
-
-
-def _span_hashes(data, starts, ends):
-    """Two polynomial hashes modulo 2**64 of each span of bytes, by differences of prefix sums."""
-    n = len(data)
-    if _powers.get("n", -1) < n:
-        size = max(n, 1 << 20)
-        for k, odd in enumerate(_ODD):
-            back = np.uint64(pow(int(odd), -1, 1 << 64))
-            for name, base in (("up", odd), ("down", back)):
-                p = np.full(size + 1, base, np.uint64)
-                p[0] = 1
-                np.multiply.accumulate(p, out=p)
-                _powers[name, k] = p
-        _powers["n"] = size
-    out = []
-    value = data.astype(np.uint64) + np.uint64(1)
-    for k in range(2):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(value * _powers["up", k][:n], out=sums[1:])
-        out.append((sums[ends] - sums[starts]) * _powers["down", k][starts])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each span of bytes, eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray((len(data) + 8,), np.dtype("<u8"), padded, strides=(1,))
+    size = ends - starts
+    out = [size.astype(np.uint64) * odd for odd in _ODD]
+    left, at = np.arange(len(starts)), starts
+    rest = size
+    while len(left):
+        word = words[at] & _MASKS[np.minimum(rest, 8)]
+        for h, odd in zip(out, _ODD, strict=True):
+            x = (h[left] ^ word) * odd
+            h[left] = x ^ (x >> np.uint64(29))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
     return out
 
 
-def text_slices(column: pa.Array, most: int = 2 << 20):
+def text_slices(column: pa.Array, most: int = 1 << 20):
     """Slices of a string column of about `most` bytes: first row, bytes, bounds. Null: empty."""
     column = column.fill_null("") if column.null_count else column
     column = column.cast(pa.large_string())
@@ -185,6 +222,7 @@ def _tokenise(path: str, block_tokens: int):
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
+            give_back()
             for row, data, bounds in text_slices(batch.column(1)):
                 flat, counts = tok.encode(data, bounds)
                 ends = np.cumsum(counts)
@@ -201,6 +239,7 @@ def _tokenise(path: str, block_tokens: int):
                         yield block()
         if docs:
             yield block()
+        give_back()
 
     return run
 
