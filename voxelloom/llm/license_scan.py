@@ -10,6 +10,7 @@ nothing is shuffled but the few matches.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +79,18 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+def anchors(bigrams: list[str], threshold: float) -> set[str]:
+    """Words of which a text holds at least one if a passage of it reaches the threshold.
+
+    Such a passage shares at least `least` bigrams with the template and so misses at most
+    n - least: of any n - least + 1 bigrams it has one, and with it that bigram's words.
+    """
+    n = len(bigrams)
+    least = math.ceil(threshold * (size_bounds(n, threshold)[0] + n) / 2 - 1e-9)
+    words = [max(b.split(" "), key=lambda w: (len(w), w)) for b in bigrams]
+    return set(sorted(words, key=lambda w: (-len(w), w))[: n - least + 1])
+
+
 def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -96,10 +109,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     least, most = min(lo for lo, _ in bounds), max(hi for _, hi in bounds)
     every = sorted({b for _, s in sets for b in s})
     text = F.coalesce("text", F.lit(""))
+    held = lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in sorted(set().union(*[anchors(b, threshold) for _, b in sets]))])
+    docs = docs.where(held(text))
     lines = F.split(text, "\n")
     sentences = F.split(F.regexp_replace(text, SENTENCE, "$1\n"), "\n")
     paragraphs = F.transform(F.split(text, PARAGRAPH), lambda p: F.translate(p, "\n", " "))
-    passages = docs.select("doc_id", F.explode(F.array_distinct(F.concat(lines, sentences, paragraphs))).alias("passage"))
+    passages = docs.select("doc_id", F.explode(F.array_distinct(F.concat(lines, sentences, paragraphs))).alias("passage")).where(held(F.col("passage")))
     words = F.split(F.trim(F.regexp_replace(F.lower("passage"), NOT_WORD, " ")), " ")
     passages = passages.select("doc_id", words.alias("words")).where(F.size("words") > least)
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
