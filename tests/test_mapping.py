@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from voxelloom.operators import frontier, paths, preprocess, surfel, trajectory, voxel
+from voxelloom.operators import frontier, fusion2d, paths, preprocess, surfel, trajectory, voxel
 from voxelloom.params import PlannerParams, ScanParams, SurfelParams
 from voxelloom.plans.oracles import ORACLE_SQL
 from voxelloom.plans.queries import QUERIES
@@ -121,3 +121,12 @@ def test_entry_imports_without_optional_parts():
     import __spark_entry__ as e
 
     assert "valid_surfels" in e.queries() and "valid_surfels" in e.oracle_sql()
+
+
+@pytest.mark.parametrize("name,module,step", [("r1_tree_search", paths, "plan_legs"), ("b8_fusion", fusion2d, "associate")])
+def test_query_takes_its_whole_table(spark, monkeypatch, name, module, step):
+    taken, whole = [], getattr(module, step)
+    monkeypatch.setattr(module, step, lambda df, *a: (taken.append(df), whole(df.limit(1), *a))[1])
+    QUERIES[name](spark, SF)
+    table, key = ("supplier", ["s_suppkey"]) if name == "r1_tree_search" else ("lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
+    assert taken[0].count() == spark.read.parquet(f"{SF}/{table}.parquet").select(*key).distinct().count()

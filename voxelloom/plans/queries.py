@@ -289,8 +289,7 @@ def i5_headings(spark, d):
 
 
 def r1_tree_search(spark, d):
-    ends = _vps(spark, d).where("vp_id < 8")
-    legs = ends.select(F.col("vp_id").alias("leg_id"), *[F.col(a).alias(f"s{a}") for a in "xyz"], F.lit(3.6).alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
+    legs = _vps(spark, d).select(F.col("vp_id").alias("leg_id"), *[F.col(a).alias(f"s{a}") for a in "xyz"], F.lit(3.6).alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
     return _r(paths.plan_legs(legs, _map(spark, d), SIZE), "x", "y", "z", keep=("leg_id", "seq"))
 
 
@@ -302,8 +301,9 @@ def t1_trajectory(spark, d):
 # --- tangent-plane surfels
 
 
-def _points_b(spark, d):
-    pts = fixture(spark, d, "fx_pwn").where("scan_id = 1 and l_orderkey < 2000")
+def _points_b(spark, d, where="scan_id = 1 and l_orderkey < 2000"):
+    """The cut is that of the SQL of b2, b3 and b14."""
+    pts = fixture(spark, d, "fx_pwn").where(where)
     pid = F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 100 + F.col("scan_id")
     return pts.select(pid.alias("point_id"), "x", "y", "z", *[F.col(f"n{a}").alias(f"pn{a}") for a in "xyz"]).dropDuplicates(["point_id"])
 
@@ -325,7 +325,7 @@ def b6_tangents(spark, d):
 
 
 def b8_fusion(spark, d):
-    a = fusion2d.associate(_points_b(spark, d), _surfels_b(spark, d)).withColumn("stamp", F.col("point_id") % 7)
+    a = fusion2d.associate(_points_b(spark, d, "true"), _surfels_b(spark, d)).withColumn("stamp", F.col("point_id") % 7)
     return _r(fusion2d.fuse_all(a, _surfels_b(spark, d)), "cx", "cy", "cz", "nx", "ny", "nz", "sum_sq", keep=("idx", "point_count", "observations"))
 
 
