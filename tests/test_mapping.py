@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from voxelloom.operators import frontier, fusion2d, paths, preprocess, surfel, trajectory, voxel
+from voxelloom.operators import frontier, fusion2d, paths, planner, preprocess, surfel, trajectory, voxel
 from voxelloom.params import PlannerParams, ScanParams, SurfelParams
 from voxelloom.plans.oracles import ORACLE_SQL
 from voxelloom.plans.queries import QUERIES
@@ -130,3 +130,40 @@ def test_query_takes_its_whole_table(spark, monkeypatch, name, module, step):
     QUERIES[name](spark, SF)
     table, key = ("supplier", ["s_suppkey"]) if name == "r1_tree_search" else ("lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
     assert taken[0].count() == spark.read.parquet(f"{SF}/{table}.parquet").select(*key).distinct().count()
+
+
+def test_chain_of_three_equals_plain_steps(spark, monkeypatch):
+    """The chain's state (coverage, expansion centre, last position, penalty) kept in plain sets, each step's poses and views by the operators."""
+    size, p, start = 0.3, PlannerParams(), (0.0, -5.0, 1.3)
+    wall = [(8, y, z, 2.55, (y + 0.5) * size, (z + 0.5) * size, -1.0, 0.0, 0.0, True, 60) for y in range(-20, 21) for z in range(1, 9) if (7 * y + 3 * z) % 11]  # holes, so that no distances tie
+    voxels = spark.createDataFrame(wall, "vx int, vy int, vz int, mx double, my double, mz double, nx double, ny double, nz double, is_valid boolean, count long")
+    keys, poses = "vx int, vy int, vz int", "x double, y double, z double, yaw double"
+    covered = {(8, y, z) for y in range(-20, -16) for z in range(1, 9) if y + z < -11}
+    past = spark.createDataFrame([], "vp_id long, " + poses)
+    got = planner.plan(voxels, spark.createDataFrame(sorted(covered), keys), start, size, past)
+    seen, new, at, chain = set(covered), covered, start, []
+    for _ in range(3):
+        mid = (np.array(sorted(new)) + 0.5).mean(0) * size
+        front = frontier.frontiers(spark.createDataFrame(sorted(seen), keys), voxels, size, tuple(mid), p)
+        best, sees = planner.best_per_cluster(planner.candidate_poses(frontier.summaries(frontier.cluster(front, p), p), p), voxels, past, size, p)
+        views = {}
+        for r in sees.collect():
+            views.setdefault(r.vp_id, set()).add((r.vx, r.vy, r.vz))
+        options = []
+        for r in best.collect():
+            ratio = len(views[r.vp_id] - seen) / len(views[r.vp_id])
+            score = 0.7 * ratio + 0.3 * (1 - min(math.dist((r.x, r.y, r.z), at) / 6, 1))
+            score *= 0.2 if any(math.dist((r.x, r.y, r.z), q) <= 1 for q in chain) else 1
+            if ratio >= p.min_new and score >= p.min_new:
+                options.append((-score, r.vp_id, (r.x, r.y, r.z)))
+        score, vp, at = min(options)
+        chain.append(at)
+        new = views[vp] - seen
+        seen |= views[vp]
+    rows_ = sorted(got.collect(), key=lambda r: r.step)
+    assert [r.step for r in rows_] == [0, 1, 2]
+    assert np.allclose([(r.x, r.y, r.z) for r in rows_], chain) and math.isclose(rows_[-1].score, -score, abs_tol=1e-9)
+    used = []
+    monkeypatch.setattr(planner, "plan", lambda *a: (used.append(a[5:]), got)[1])
+    QUERIES["v16_plan"](spark, SF)
+    assert all(q.max_viewpoints == PlannerParams().max_viewpoints for q in used[0])

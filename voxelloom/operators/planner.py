@@ -103,26 +103,29 @@ def travel_order(viewpoints: DataFrame, at: tuple[float, float, float], yaw: flo
 def plan(voxels: DataFrame, covered: DataFrame, at: tuple[float, float, float], size: float, past: DataFrame, p: PlannerParams = PlannerParams(), c: CameraParams = CameraParams()) -> DataFrame:
     """Up to max_viewpoints viewpoints, each chosen on the coverage that the earlier ones leave.
 
+    A step is near to the viewpoint before it, and spreads from the mean of what that one newly saw.
+    Only past viewpoints count as visited; those of the chain lower the score (V20).
     The loop runs on the driver over the number of viewpoints; all its data stay in DataFrames that
     are checkpointed once a step.
     """
     chosen = None
     seen = checkpoint(covered.select(*KEY).distinct())
-    visible = seen
+    visible, before = seen, seen.limit(0)
     for step in range(p.max_viewpoints):
-        mid = FR.expansion_center(visible, seen.limit(0) if step == 0 else covered, size).first()
+        mid = FR.expansion_center(visible, before, size).first()
         front = FR.frontiers(seen, voxels, size, (mid.cx, mid.cy, mid.cz), p)
         poses = candidate_poses(FR.summaries(FR.cluster(front, p), p), p)
-        gone = past if chosen is None else past.select("x", "y", "z", "yaw").unionByName(chosen.select("x", "y", "z", "yaw"))
-        best, sees = best_per_cluster(poses, voxels, gone, size, p, c)
+        best, sees = best_per_cluster(poses, voxels, past, size, p, c)
         cover = VI.coverage_score(sees, seen)
         chain = chosen if chosen is not None else best.limit(0)
         scored = selection_scores(best.join(cover.select("vp_id", "coverage"), "vp_id"), at, chain, p)
         top = checkpoint(select_next(scored, p).withColumn("step", F.lit(step)))
-        if not top.take(1):
+        found = top.first()
+        if found is None:
             break
+        at = (found.x, found.y, found.z)
         visible = sees.join(top.select("vp_id"), "vp_id", "left_semi").select(*KEY)
-        seen = checkpoint(seen.unionByName(visible).distinct())
+        before, seen = seen, checkpoint(seen.unionByName(visible).distinct())
         chosen = top if chosen is None else checkpoint(chosen.unionByName(top))
     return chosen if chosen is not None else top
 

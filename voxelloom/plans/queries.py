@@ -8,7 +8,7 @@ from ..functions import linalg as L
 from ..functions.linalg import rounded as rnd
 from ..functions.shared import checkpoint
 from ..operators import frontier, fusion2d, paths, planner, preprocess, surfel, trajectory, visibility, voxel
-from ..params import PlannerParams, ScanParams, SurfelParams
+from ..params import ScanParams, SurfelParams
 from ..sources import poses, sinks
 from ..sources.fixtures import fixture
 
@@ -233,7 +233,7 @@ def v20_selection(spark, d):
 
 def v16_plan(spark, d):
     past = _vps(spark, d).where("vp_id % 10 = 0")
-    out = planner.plan(_map(spark, d), _covered(spark, d), (0.0, 0.0, 1.0), SIZE, past, PlannerParams(max_viewpoints=1))
+    out = planner.plan(_map(spark, d), _covered(spark, d), (0.0, 0.0, 1.0), SIZE, past)
     return _r(out, "x", "y", "z", "yaw", "coverage", "score", keep=("step", "vp_id", "n_visible"))
 
 
