@@ -205,6 +205,18 @@ def test_wrapper_drops_constant_blocks(spark):
     assert html_wrapper.extract(df.limit(0), html_wrapper.induce(df.limit(0))).count() == 0
 
 
+def test_copies_are_not_template(spark):
+    page = "<body><div class='x'><p>Same on all</p></div><article><h1>{0}</h1><p>text of {0}</p></article></body>"
+    titles = ["copied"] * 6 + ["other"] + [f"own {i}" for i in range(6)]
+    hosts = ["few"] * 7 + ["many"] * 6
+    rows = [(i, f"http://{h}.example/{i}", page.format(t)) for i, (h, t) in enumerate(zip(hosts, titles))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrappers = html_wrapper.induce(df)
+    assert {r.host for r in wrappers.where("constants is not null").collect()} == {"many.example"}
+    out = {r.page_id: r.main_text for r in html_wrapper.extract(df, wrappers).collect()}
+    assert [out[i] for i in range(13)] == [f"{t}\n\ntext of {t}" for t in titles]
+
+
 def test_html_of_test_pages(spark):
     import html
 

@@ -3,12 +3,12 @@
 Each page becomes a tree of block elements; a run of like siblings (list items, paragraphs) is one
 iterator node. A host's reference page is the one of the smallest hash. Every page is aligned with
 its host's reference by simple tree matching, and the texts that stand at each reference node are
-counted over all pages of the host. A node that nearly always has the same text is template; every
+counted over all different page trees of the host: copies of a page count once. A node that nearly always has the same text is template; every
 other node, matched or not, is a slot whose text is content. Elements whose tag or class says what
 they are (menus, adverts, forms, ...) are never content, whatever their counts, and where a page
 marks its article, content lies inside it.
 
-A host's counts are sums over rows, so a host that holds a third of all pages is spread over all
+A host's counts are sums over trees, so a host that holds a third of all pages is spread over all
 tasks; a join with the hosts' wrappers is broadcast only if their written table is small.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prepare
 
-#: A template text stands on this many pages of its host at least, and on this share of those aligned there.
+#: A template text stands on this many different page trees of its host at least, and on this share of those aligned there.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.8
 DEEPEST = 200
@@ -287,7 +287,10 @@ def induce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     """pages(url, html) -> (host, ref, constants): each host's reference tree and template nodes."""
     prepare(pages.sparkSession)
     named = pages.select(host_of().alias("host"), F.xxhash64("url", "html").alias("pick"), "html")
-    trees = materialise(named.mapInArrow(_skeletons, "host string, pick long, tree string"), "page-trees")
+    shown = named.mapInArrow(_skeletons, "host string, pick long, tree string")
+    # Copies of a page say nothing about which of its texts are template.
+    once = shown.groupBy("host", F.md5("tree").alias("key")).agg(F.min(F.struct("pick", "tree")).alias("r"))
+    trees = materialise(once.select("host", "r.pick", "r.tree"), "page-trees")
     refs = materialise(trees.groupBy("host").agg(F.min(F.struct("pick", "tree")).alias("r")).select("host", F.col("r.tree").alias("ref")), "host-references")
     texts = trees.join(refs, "host").select("host", "ref", "tree").mapInArrow(_aligned, "host string, node int, hash long")
     counts = texts.groupBy("host", "node", "hash").agg(F.count("*").alias("n"))
