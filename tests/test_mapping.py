@@ -74,6 +74,12 @@ def test_three_layers_prune_in_key_order(spark, toward, left):
     assert {r.vx for r in surfel.shadow_prune(df).collect()} == left
 
 
+def test_long_chain_prunes_every_other(spark):
+    rows_ = [(x, 0, 0, (x + 0.5) * 0.3, 0.15, 0.15, -1.0, 0.0, 0.0, True) for x in range(80)]
+    df = spark.createDataFrame(rows_, "vx int, vy int, vz int, mx double, my double, mz double, nx double, ny double, nz double, is_valid boolean")
+    assert {r.vx for r in surfel.shadow_prune(df).collect()} == set(range(0, 80, 2))
+
+
 def test_empty_map_collides_and_blocks(spark):
     none = spark.createDataFrame([], "vx int, vy int, vz int, count long")
     pts = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "vp_id long, x double, y double, z double")

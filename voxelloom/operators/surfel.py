@@ -116,18 +116,19 @@ def shadow_edges(valid: DataFrame, p: SurfelParams = SurfelParams()) -> DataFram
     return j.where(same & back).select(*KEY, "qx", "qy", "qz")
 
 
-def shadow_prune(surfels_: DataFrame, p: SurfelParams = SurfelParams(), rounds: int = 64) -> DataFrame:
+def shadow_prune(surfels_: DataFrame, p: SurfelParams = SurfelParams()) -> DataFrame:
     """The map without shadowed surfels.
 
     Voxels act in ascending order of key, and one that is already marked does nothing. Each voxel
     has at most one edge, so whether it acts depends only on smaller keys that point at it: a
-    fixpoint over the edges, which settles after as many rounds as the longest falling chain.
+    fixpoint over the edges, which settles after as many rounds as the longest chain towards greater
+    keys. The loop ends only then.
     """
     edges = checkpoint(shadow_edges(surfels_, p))
     # An edge acts unless its source is marked by an acting edge of a smaller source.
     lower = edges.where("vx < qx or (vx = qx and (vy < qy or (vy = qy and vz < qz)))")
     acting = edges
-    for _ in range(rounds):
+    while True:
         marks = lower.join(acting.select(*KEY), KEY, "left_semi").select(F.col("qx").alias("vx"), F.col("qy").alias("vy"), F.col("qz").alias("vz")).distinct()
         now = checkpoint(edges.join(marks, KEY, "left_anti"))
         changed = now.exceptAll(acting).union(acting.exceptAll(now)).take(1)
