@@ -313,6 +313,32 @@ def test_paraphrase_needs_the_answer(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_equal_brute_force_of_the_rule(spark):
+    """The opening without the answer and, elsewhere, a paraphrase with it, against all stretches of each text."""
+    item = [f"t{i}" for i in range(20)]
+    opening = [*item[:15], *["gone"] * 30]
+    paraphrase = [w if i >= 15 or i % 2 == 0 else f"c{i}" for i, w in enumerate(item)]
+    noise = lambda k: [f"n{k}x{j}" for j in range(90)]
+    parts = [opening, paraphrase, [*opening, *noise(1), *paraphrase], [*paraphrase, *noise(2), *opening], [*opening, *paraphrase], [*noise(3), *opening], item, item[:12]]
+    docs = [(k, p) for k, p in enumerate(parts)] + [(100 + k, noise(k + 10)) for k in range(20)]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *[max(row[j], row[j + 1], 0) if x != y else row[j] + 1 for j, y in enumerate(b)]]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        return row[-1]
+
+    span = int(decontam.LOOSE * len(item)) + 2
+    answer = item[-max(1, round(decontam.ANSWER_PART * len(item))) :]
+    stretches = {d: [w[s : s + span] for s in range(max(1, len(w) - span + 1))] for d, w in docs}
+    want = {d for d, all_ in stretches.items() if any(decontam.leaks(common(item, s) / len(item), common(answer, s) / len(answer)) for s in all_)}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.find_leaks(frame, bench).collect()} == want and {2, 3} <= want and not {0, 5, 100} & want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
