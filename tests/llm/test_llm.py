@@ -72,18 +72,38 @@ def test_tokens_of_odd_documents(spark, make):
     assert same(out, pd.DataFrame(want, columns=["doc_id", "start", "n_tokens", "ids_crc32"]))
 
 
-def test_cached_tokenizer_on_white_space_and_signs():
+def ids_of(own, texts):
     import pyarrow as pa
-    from tokenizers import Tokenizer
 
-    texts = ["a  b", " lead", "trail ", "x\n\n y\n z", "it's don't, e.g. 3.14", "é ñ. ü  k", "日本語 テキスト", "\t\ttab", "...,,, .", "<|endoftext|> a"]
-    tok, own = Tokenizer.from_file(Q.tokenizer_path()), token_output.CachedTokenizer(Q.tokenizer_path())
-    for row, data, bounds in token_output.text_slices(pa.array(texts)):
+    for _, data, bounds in token_output.text_slices(pa.array(texts, pa.string())):
         flat, counts = own.encode(data, bounds)
         ends = np.cumsum(counts)
-        for i, t in enumerate(texts[row : row + len(counts)]):
-            if "<|" not in t:
-                assert flat[ends[i] - counts[i] : ends[i] - 1].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+        yield from (flat[e - c : e - 1].tolist() for e, c in zip(ends.tolist(), counts.tolist()))
+
+
+def test_cached_tokenizer_equals_the_library():
+    """100,000 random strings of white space of all kinds, signs, letters and the special token."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    pieces = [" "] * 14 + list("ab'stre.,!0 9-_\n\t\r<|>\x0b\x0c\x1c\x1f\x00\x85\xa0\u2003\u3000\u2028\u1680\u205f\u202f\u200b\ufeff\u2019\u201c\u2014éñ日本йßⅷ²ʰ😀") + ["<|endoftext|>", "\xa0 \xa0 ", " I'll", " don't", "s ", " word", " 12", " .", "0\n"]
+    texts = ["", "s  \xa0 \xa0 ", "a  b", " lead", "trail ", "x\n\n y\n z", "it's don't, e.g. 3.14", "...,,, ."] + ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(100_000)]
+    tok, own = Tokenizer.from_file(Q.tokenizer_path()), token_output.CachedTokenizer(Q.tokenizer_path())
+    assert list(ids_of(own, texts)) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_cached_tokenizer_starts_anew(monkeypatch):
+    """Units displace each other in a small table, and a full store of ids is emptied, without a change of ids."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "SLOT_BITS", 4)
+    monkeypatch.setattr(token_output, "KNOWN_IDS", 300)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, 60)) for _ in range(40)] + ["x" * 5000 + " 1234567890" * 200]
+    tok, own = Tokenizer.from_file(Q.tokenizer_path()), token_output.CachedTokenizer(Q.tokenizer_path())
+    assert [i for t in texts for i in ids_of(own, [t])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # --- mixing

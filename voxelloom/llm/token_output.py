@@ -16,6 +16,8 @@ needs only its own row and the shared table.
 from __future__ import annotations
 
 import ctypes
+import itertools
+import os
 import struct
 import zlib
 
@@ -30,6 +32,10 @@ from .common import materialise, prepare, shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
+LETTER, DIGIT, SIGN, FAR = 1, 2, 3, 4
+#: Kinds of bytes; 0 stands for ASCII white space and control characters, FAR for all beyond ASCII.
+KINDS = np.zeros(256, np.uint8)
+KINDS[33:127], KINDS[48:58], KINDS[65:91], KINDS[97:123], KINDS[128:] = SIGN, DIGIT, LETTER, LETTER, FAR
 PRECISION = 20
 LANES = 1024
 CHECKPOINT = 128
@@ -40,7 +46,11 @@ HEAD = struct.Struct("<4sIIIII")
 
 # --- tokenising ------------------------------------------------------------------------------
 
-CACHE_UNITS = 200_000
+#: Slots of the table of known units, and how many ids they keep before the table starts anew.
+SLOT_BITS = 21
+KNOWN_IDS = 16_000_000
+#: Units that the library encodes at a time: each makes an object of its own there.
+ENCODE_AT_ONCE = 2000
 _tokenizers: dict = {}
 
 
@@ -55,103 +65,94 @@ def give_back() -> None:
 class CachedTokenizer:
     """A byte-level BPE tokenizer that encodes each different unit of text once.
 
-    Units are cut only where the tokenizer's own pre-tokenizer always cuts: before a single space
-    between two other characters, and before '.', ',' or a line break after an ASCII letter. The
-    library encodes every unit; letters alone go to its model directly. Known units stand in sorted
-    arrays of two 64-bit hashes; a unit counts as known only if both agree.
+    Units are cut only where the tokenizer's own pre-tokenizer always cuts: before a space that
+    follows a character other than white space of any kind, and before '.', ',' or a line break
+    after an ASCII letter. The library encodes every unit; letters alone, digits alone and signs
+    alone, which its pre-tokenizer leaves whole, go to its model directly. Known units stand in a
+    table with one unit a slot, told apart by 96 bits of two hashes; a unit may displace another.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
-        self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        chars = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+        self.byte_chars = np.array([chars[b] for b in range(256)], np.dtype("<u2"))
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
-    def clear(self) -> None:
-        self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.code = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-        self.used = np.zeros(0, np.int32)
-
-    def _forget(self) -> None:
-        """Keep what more than one slice has used since the last time."""
-        keep = self.used[self.code] > 1
-        if np.count_nonzero(keep) > CACHE_UNITS // 2:
-            return self.clear()
-        old = self.code[keep]
-        lens = (self.starts[1:] - self.starts[:-1])[old]
-        ends = np.cumsum(lens)
-        self.flat = self.flat[np.arange(int(lens.sum())) + np.repeat(self.starts[old] - (ends - lens), lens)]
-        self.starts = np.concatenate([[0], ends]).astype(np.int64)
-        self.h1, self.h2, self.code = self.h1[keep], self.h2[keep], np.arange(len(old))
-        self.used = np.zeros(len(old), np.int32)
-
-    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, one after another, and how many each has."""
-        tokenize, space = self.tokenizer.model.tokenize, self.byte_chars[32]
-        flat: list[int] = []
-        lens: list[int] = []
-        hard = [u for u in units if not (u[1:] if u[:1] == b" " else u).decode().isalpha()]
-        known = dict(zip(hard, self.tokenizer.encode_batch([u.decode() for u in hard], add_special_tokens=False), strict=True))
-        for u in units:
-            if u in known:
-                ids = known[u].ids
-            elif u.isascii():  # printable ASCII stands for itself
-                word = u.decode()
-                ids = [t.id for t in tokenize(space + word[1:] if word[0] == " " else word)]
+    def clear(self, ids: int = KNOWN_IDS) -> None:
+        slots = 1 << SLOT_BITS
+        self.key, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
+        self.at, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.flat, self.used = np.empty(ids, self.kind), 0
+
+    def _encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different units, one after another, and how many each has."""
+        kinds = KINDS[data]
+        body = np.minimum(starts + (data[starts] == 32), ends - 1)
+        changes = np.concatenate([[0], np.cumsum(kinds[1:] != kinds[:-1])])
+        others = np.concatenate([[0], np.cumsum((kinds != LETTER) & (kinds != FAR))])
+        whole = (changes[ends - 1] == changes[body]) & (kinds[body] > 0) & (kinds[body] < FAR)
+        letters = ~whole & (others[ends] == others[body])
+        raw, chars, tokenize = data.tobytes(), self.byte_chars[data].tobytes().decode("utf-16-le"), self.tokenizer.model.tokenize
+        found: list[list[int] | None] = []
+        hard: list[int] = []
+        for at, (a, c, b, w, m) in enumerate(zip(starts.tolist(), body.tolist(), ends.tolist(), whole.tolist(), letters.tolist(), strict=True)):
+            if w or (m and raw[c:b].decode().isalpha()):
+                found.append([t.id for t in tokenize(chars[a:b])])
             else:
-                ids = [t.id for t in tokenize(u.decode("latin1").translate(self.byte_chars))]
-            flat += ids
-            lens.append(len(ids))
-        return np.array(flat, np.uint32), np.array(lens, np.int64)
-
-    def _codes(self, data, starts, ends, h1, h2) -> np.ndarray:
-        """Codes of different units; unknown ones are encoded and kept."""
-        at = np.searchsorted(self.h1, h1)
-        at[at == len(self.h1)] = 0
-        hit = (self.h1[at] == h1) & (self.h2[at] == h2) if len(self.h1) else np.zeros(len(h1), bool)
-        code = np.empty(len(h1), np.int64)
-        code[hit] = self.code[at[hit]]
-        new = np.flatnonzero(~hit)
-        if len(new):
-            raw = data.tobytes()
-            ids, lens = self._encode_units([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            code[new] = len(self.starts) - 1 + np.arange(len(new))
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
-            self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
-            all1 = np.concatenate([self.h1, h1[new]])
-            order = np.argsort(all1, kind="stable")
-            self.h1, self.h2, self.code = all1[order], np.concatenate([self.h2, h2[new]])[order], np.concatenate([self.code, code[new]])[order]
-        self.used[code] += 1
-        return code
+                found.append(None)
+                hard.append(at)
+        for i in range(0, len(hard), ENCODE_AT_ONCE):
+            part = hard[i : i + ENCODE_AT_ONCE]
+            for at, e in zip(part, self.tokenizer.encode_batch_fast([raw[starts[k] : ends[k]].decode() for k in part], add_special_tokens=False), strict=True):
+                found[at] = e.ids
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lens.sum())), lens
+
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each unit begin in `flat` and how many there are; unknown units are added."""
+        h1, h2 = span_hashes(data, starts, ends)
+        slot, check = (h1 >> np.uint64(64 - SLOT_BITS)).astype(np.int64), h2.astype(np.uint32)
+        begin, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        new = np.flatnonzero((self.key[slot] != h1) | (self.check[slot] != check) | (size == 0))
+        if not len(new):
+            return begin, size
+        _, first, inverse = np.unique(h1[new], return_index=True, return_inverse=True)
+        if not (check[new[first]][inverse] == check[new]).all():
+            first = inverse = np.arange(len(new))
+        one = new[first]
+        ids, lens = self._encode_units(data, starts[one], ends[one])
+        if self.used + len(ids) > len(self.flat):
+            known = len(new) < len(starts)
+            self.clear(max(KNOWN_IDS, len(ids)))
+            if known:  # ids that this slice uses went too
+                return self._places(data, starts, ends)
+        places = self.used + np.cumsum(lens) - lens
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        begin[new], size[new] = places[inverse], lens[inverse]
+        _, single = np.unique(slot[one], return_index=True)
+        to, of = slot[one[single]], one[single]
+        self.key[to], self.check[to], self.at[to], self.size[to] = h1[of], check[of], places[single], lens[single]
+        return begin, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and text bounds -> ids of all texts, END_ID after each, and n_tokens."""
-        if len(self.h1) > CACHE_UNITS:
-            self._forget()
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
         if len(data) > 2:
             prev, here, after = data[:-2], data[1:-1], data[2:]
-            first[1:-2] |= (here == 32) & (prev != 32) & (after != 32)
+            first[1:-2] |= (here == 32) & (after != 32) & ~_after_space(data)[:-2]
             letter = ((prev | 32) >= 97) & ((prev | 32) <= 122)
             first[1:-2] |= ((here == 46) | (here == 44) | (here == 10)) & letter
         bounds = np.flatnonzero(first)
         starts, ends = bounds[:-1], bounds[1:]
-        if len(starts):
-            h1, h2 = span_hashes(data, starts, ends)
-            _, at, inverse = np.unique(h1, return_index=True, return_inverse=True)
-            if not (h2[at][inverse] == h2).all():
-                at = inverse = np.arange(len(starts))
-            code = self._codes(data, starts[at], ends[at], h1[at], h2[at])[inverse]
-            lens = self.starts[code + 1] - self.starts[code]
-        else:
-            code = lens = np.zeros(0, np.int64)
+        begin, lens = self._places(data, starts, ends) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         total = np.concatenate([[0], np.cumsum(lens)])
         at_unit = np.searchsorted(starts, offsets)
         n_docs = len(offsets) - 1
@@ -161,11 +162,19 @@ class CachedTokenizer:
             # One slot after each document is left for its end id.
             doc_of_unit = np.repeat(np.arange(n_docs), at_unit[1:] - at_unit[:-1])
             within = np.arange(int(total[-1]))
-            ids = self.flat[within + np.repeat(self.starts[code] - total[:-1], lens)]
-            out[within + np.repeat(doc_of_unit, lens)] = ids
+            out[within + np.repeat(doc_of_unit, lens)] = self.flat[within + np.repeat(begin - total[:-1], lens)]
         return out, counts + 1
 
 
+def _after_space(data: np.ndarray) -> np.ndarray:
+    """Whether each byte ends white space; true also of some signs that share its lead bytes."""
+    out = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
+    out[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    a, b = data[:-2], data[1:-1]
+    out[2:] |= ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
+    return out
+
+
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
