@@ -84,7 +84,7 @@ def _addressed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("addr", F.xxhash64("doc_id", "text"))
 
 
-BLOOM_BITS_EACH, BLOOM_MOST_BITS = 16, 1 << 28
+BLOOM_BITS_EACH, BLOOM_MOST_BITS = 16, 1 << 27
 
 
 def _bits(addr: np.ndarray, bits: int) -> np.ndarray:
@@ -94,12 +94,14 @@ def _bits(addr: np.ndarray, bits: int) -> np.ndarray:
 
 def _bloom_words(bits: int):
     def run(batches):
-        words: dict[int, int] = {}
+        words = np.zeros(bits >> 5, np.uint32)
         for batch in batches:
             at = _bits(batch.column("addr").to_numpy(), bits).ravel()
-            for w, b in zip((at >> 5).tolist(), (at & 31).tolist(), strict=True):
-                words[w] = words.get(w, 0) | 1 << b
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "bits"])
+            np.bitwise_or.at(words, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+        used = np.flatnonzero(words)
+        for i in range(0, len(used), 1 << 16):
+            part = used[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(words[part].astype(np.int64))], names=["word", "bits"])
 
     return run
 
@@ -410,7 +412,11 @@ def _pack_paths(batches):
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs that stand for their class, with all columns; of equal rows one stays."""
+    """The rows of docs that stand for their class, with all columns; of equal rows one stays.
+
+    Null and empty texts have no class and stay, once for each id; a null id stands for a class only
+    where no other does; an empty table stays empty; very long texts are compared whole.
+    """
     decided = join(docs, **kw).where("kept").groupBy("addr").agg(F.count("*").alias("copies"))
     decided = materialise(decided, "kept")
     addr = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
