@@ -26,6 +26,7 @@ CRLF = b"\r\n"
 CHUNKED_FROM = 2048
 CHUNK = 1024
 SEGMENT_BYTES = 16 << 10
+#: A record's block has at most SEGMENT_BYTES, so a file of so many records has about 17 MB whatever its pages' sizes.
 RECORDS_PER_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -34,8 +35,8 @@ def b32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _uri(page_id, digest: str) -> str:
-    h = hashlib.md5(f"{page_id}|{digest}".encode()).hexdigest()
+def _uri(page_id, digest: str, url) -> str:
+    h = hashlib.md5(f"{page_id}|{digest}|{url}".encode("utf-8", "surrogatepass")).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
@@ -64,16 +65,16 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
-def page_records(page_id, url, payload: bytes, first, revisit: bool, segment: int, chunked_from: int) -> list[bytes]:
+def page_records(page_id, url, payload: bytes, first, first_url, revisit: bool, segment: int, chunked_from: int) -> list[bytes]:
     """The records of one page: a revisit, or a response with its continuations."""
     digest = b32_sha1(payload)
-    uri = _uri(page_id, digest)
+    uri = _uri(page_id, digest, url)
     page = "" if page_id is None else page_id
     target = "".join(ch for ch in url or "" if ch not in "\r\n")
     common = [("WARC-Record-ID", uri), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("Page-ID", page), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if revisit:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        extra = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _uri(first, digest)), ("Refers-To-Page-ID", first)]
+        extra = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _uri(first, digest, first_url)), ("Refers-To-Page-ID", first)]
         return [_record(extra + common, block)]
     frame = len(payload) >= chunked_from
     length = b"Transfer-Encoding: chunked" if frame else b"Content-Length: %d" % len(payload)
@@ -99,18 +100,19 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha1"), F.length(payload).alias("n"))
-    same = pages.select("page_id", F.sha1(payload).alias("sha1"), F.length(payload).alias("n")).where(F.col("n") >= least_bytes)
-    same = same.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "first")
+    same = pages.select("page_id", "url", F.sha1(payload).alias("sha1"), F.length(payload).alias("n")).where(F.col("n") >= least_bytes)
+    same = same.groupBy("sha1").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("copies"))
+    same = same.where("copies > 1").select("sha1", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     same = materialise(same, "warc-equal")  # small tables are broadcast by their true size, others shuffle
-    rows = rows.join(same, "sha1", "left") if same.take(1) else rows.withColumn("first", F.lit(None).cast("long"))
+    rows = rows.join(same, "sha1", "left") if same.take(1) else rows.withColumns({"first": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("n") >= least_bytes)
-    rows = rows.select("page_id", "url", "payload", "first", revisit.alias("revisit"))
+    rows = rows.select("page_id", "url", "payload", "first", "first_url", revisit.alias("revisit"))
 
     def records(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, body, first, again = (c[k].as_py() for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array(page_records(page_id, url, body or b"", first, again, segment, chunked_from), pa.binary())], names=["record"])
+                page_id, url, body, first, first_url, again = (c[k].as_py() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(page_records(page_id, url, body or b"", first, first_url, again, segment, chunked_from), pa.binary())], names=["record"])
 
     lines = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -214,7 +216,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages as archives to the shared folder and read them back."""
+    """Write pages(page_id, url, html, ...) as archives to the shared folder and read them back.
+
+    One row per row of pages. Null html is an empty payload, a null url an empty one; null and
+    repeated ids and equal rows each keep their own record; very long pages are cut into segments
+    and put together again; an empty table gives an empty result; further columns aren't read.
+    """
     spark = prepare(pages.sparkSession)
     path = shared_path(spark, "warc")
     write_archives(pages, path, least_bytes)
