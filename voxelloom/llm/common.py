@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,11 +36,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is unset (tests on one machine) a temporary folder is made and
-    removed at exit.
+    Only where that setting is unset and Spark runs on one machine (tests) a temporary folder is
+    made and removed at exit; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="voxelloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
