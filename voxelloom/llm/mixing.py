@@ -103,7 +103,9 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """docs as the mix takes them: one row for each epoch, the last one cut to the words taken.
 
     A document cut by its source's budget keeps its first words, joined by single spaces; at most
-    one document of each source is cut in an epoch. Documents that the mix doesn't take go.
+    one document of each source is cut in an epoch. Documents that the mix doesn't take go: among
+    them null, empty and blank texts, which have no words. Null ids and sources are mixed like
+    others, repeated rows each for itself; an empty table gives none; further columns are carried.
     """
     taken = mix(docs, carry=True, **kw).where("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")

@@ -271,12 +271,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     Spans are code-point offsets of runs of words whose marginal is SPAN_FROM or more. Null and
     empty texts have no words: no spans, and the score of no evidence. The new columns replace
-    columns of their names; an empty table stays empty.
+    columns of their names in any case; very long texts are read whole, repeated rows score alike;
+    an empty table stays empty.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # DIMENSIONS weights, whatever the corpus
     names = ("toxic_score", "toxic_words", "toxic_spans")
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in names]
     fields = [docs.schema[c] for c in kept]
     schema = T.StructType([*fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], SPANS)])
     where = kept.index("text")
@@ -328,6 +329,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC_FROM) -> DataFrame:
-    """docs without the documents that score threshold or more, with docs' own columns."""
+    """docs(doc_id, text, ...) without the documents that score threshold or more.
+
+    All of docs' own columns stay as they are, whatever their names. Null and empty texts and null
+    ids are judged like all others, repeated rows alike; an empty table stays empty; without labels
+    nothing goes.
+    """
     model = fit(docs, labels.where(~held_out()))
-    return score(docs, model).where(F.col("toxic_score") < threshold).select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return score(rows, model).where(F.col("toxic_score") < threshold).select(*[F.col(f"__row.`{c}`") for c in docs.columns])
