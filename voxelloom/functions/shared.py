@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -14,6 +15,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="voxelloom-")
             atexit.register(shutil.rmtree, base, True)
         sc.setCheckpointDir(base)

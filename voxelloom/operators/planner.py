@@ -14,24 +14,27 @@ from . import frontier as FR
 from . import visibility as VI
 from .voxel import KEY, collisions, neighbours
 
-#: Offsets of a candidate from its cluster's suggestion: along the view, sideways, up (metres).
-OFFSETS = ((0, 0, 0), (0, 0.5, 0), (0, -0.5, 0), (0, 0, 0.5), (0, 0, -0.5), (0, 0.5, 0.5), (0, -0.5, 0.5))
+# Offsets of a candidate on the world's axes (metres), and the step between distances.
+OFFSETS = ((0.0, 0.0, 0.0), (0.5, 0.0, 0.0), (-0.5, 0.0, 0.0), (0.0, 0.5, 0.0), (0.0, -0.5, 0.0), (0.0, 0.0, 0.3), (0.0, 0.0, -0.3))
+DISTANCE_STEP = 0.5
 
 
 def candidate_poses(summary: DataFrame, p: PlannerParams = PlannerParams()) -> DataFrame:
-    """Per cluster its suggestion (tier 0), then seven offsets at the optimal and at the nearest distance."""
-    poses = [(0, 0, p.optimal, 0.0, 0.0)]
-    for tier, dist in ((1, p.optimal), (2, p.nearest)):
-        poses += [(tier, i, dist + a, float(s), float(u)) for i, (a, s, u) in enumerate(OFFSETS)]
-    options = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("tier", "offset", "dist", "side", "up"), q, strict=True)]) for q in poses])
-    c = summary.withColumn("o", F.explode(options))
-    wx, wy, wz = ((F.col(f"v{a}") - F.col(f"c{a}")) / p.optimal for a in "xyz")
-    c = c.withColumns({
-        "x": F.col("cx") + wx * F.col("o.dist") - wy * F.col("o.side"),
-        "y": F.col("cy") + wy * F.col("o.dist") + wx * F.col("o.side"),
-        "z": F.col("cz") + wz * F.col("o.dist") + F.col("o.up"),
-    })
-    c = c.withColumn("yaw", F.atan2(F.col("cy") - F.col("y"), F.col("cx") - F.col("x")))
+    """Per cluster its suggestion (tier 0), then seven offsets at each distance from the optimal one to the nearest.
+
+    summary(plan_id, cluster, c*, n*, v*, yaw). Every pose but the suggestion looks at the centroid.
+    """
+    poses = [(0, 0, 0.0, 0.0, 0.0, 0.0)]
+    for tier in range(int((p.optimal - p.nearest) / DISTANCE_STEP + 1e-6) + 1):
+        poses += [(tier + 1, i, p.optimal - tier * DISTANCE_STEP, *offset) for i, offset in enumerate(OFFSETS)]
+    options = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("tier", "offset", "dist", "ox", "oy", "oz"), q, strict=True)]) for q in poses])
+    flat = (F.col("nx"), F.col("ny"), F.col("nz") * 0.3)
+    n = L.norm(flat)
+    way = [F.when(n > 0.01, c / n).otherwise(F.lit(1.0 if i == 0 else 0.0)) for i, c in enumerate(flat)]
+    c = summary.withColumns({f"w{a}": w for a, w in zip("xyz", way, strict=True)}).withColumn("o", F.explode(options))
+    first = F.col("o.tier") == 0
+    c = c.withColumns({a: F.when(first, F.col(f"v{a}")).otherwise(F.col(f"c{a}") + F.col(f"w{a}") * F.col("o.dist") + F.col(f"o.o{a}")) for a in "xyz"})
+    c = c.withColumn("yaw", F.when(first, F.col("yaw")).otherwise(F.atan2(F.col("cy") - F.col("y"), F.col("cx") - F.col("x"))))
     return c.select("plan_id", "cluster", F.col("o.tier").alias("tier"), F.col("o.offset").alias("offset"), "x", "y", "z", "yaw").withColumn("vp_id", F.col("cluster") * 100 + F.col("tier") * 10 + F.col("offset"))
 
 

@@ -106,13 +106,22 @@ dv AS (SELECT * FROM vv WHERE {ORTHO}),
 vis AS (SELECT vp_id, vx, vy, vz FROM dv UNION
   SELECT n.vp_id, n.vx, n.vy, n.vz FROM vv n JOIN dv d ON d.vp_id = n.vp_id AND abs(d.vx - n.vx) <= 1 AND abs(d.vy - n.vy) <= 1 AND abs(d.vz - n.vz) <= 1)"""
 COVER = f"{VIEW},\ncv AS (SELECT DISTINCT vx, vy, vz FROM vis WHERE vp_id % 10 = 0)"
-FRONT = f"""{COVER},
+FRONT = f"""{MAP},
+cv AS (SELECT vx, vy, vz FROM su WHERE is_valid AND vy < 0),
 op AS (SELECT s.* FROM su s WHERE s.is_valid AND NOT EXISTS (SELECT 1 FROM cv c WHERE c.vx = s.vx AND c.vy = s.vy AND c.vz = s.vz)),
 fr AS (SELECT o.vx, o.vy, o.vz, sqrt(((o.vx + 0.5)*0.3 - 2)*((o.vx + 0.5)*0.3 - 2) + ((o.vy + 0.5)*0.3)*((o.vy + 0.5)*0.3) + ((o.vz + 0.5)*0.3 - 1.5)*((o.vz + 0.5)*0.3 - 1.5)) AS dist,
     1.0 + (SELECT count(*) FROM op n WHERE abs(n.vx - o.vx) <= 1 AND abs(n.vy - o.vy) <= 1 AND abs(n.vz - o.vz) <= 1) - 1 AS score
   FROM op o WHERE EXISTS (SELECT 1 FROM cv c WHERE abs(c.vx - o.vx) <= 1 AND abs(c.vy - o.vy) <= 1 AND abs(c.vz - o.vz) <= 1))"""
 
 
+SUGGEST = f"""{FRONT},
+sa AS (SELECT vz // 3 AS cluster, count(*) AS members, sum(score) AS priority, avg((vx + 0.5)*0.3) AS cx, avg((vy + 0.5)*0.3) AS cy, avg((vz + 0.5)*0.3) AS cz, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz
+  FROM fr JOIN (SELECT vx, vy, vz, nx, ny, nz FROM su) USING (vx, vy, vz) WHERE dist <= 10 GROUP BY 1),
+sb AS (SELECT *, sx/sqrt(sx*sx + sy*sy + sz*sz) AS nx, sy/sqrt(sx*sx + sy*sy + sz*sz) AS ny, sz/sqrt(sx*sx + sy*sy + sz*sz) AS nz FROM sa),
+sc AS (SELECT *, nx/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wx, ny/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wy, 0.3*nz/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wz FROM sb),
+sg AS (SELECT *, cx + wx*1.5 AS vx, cy + wy*1.5 AS vy, cz + wz*1.5 AS vz FROM sc)"""
+
+
 def near(p: str, s: str, radius: float) -> str:
     return f"(({s}.vx + 0.5)*0.3 - {p}.x)*(({s}.vx + 0.5)*0.3 - {p}.x) + (({s}.vy + 0.5)*0.3 - {p}.y)*(({s}.vy + 0.5)*0.3 - {p}.y) + (({s}.vz + 0.5)*0.3 - {p}.z)*(({s}.vz + 0.5)*0.3 - {p}.z) <= {radius * radius}::DOUBLE"
 
@@ -125,7 +134,7 @@ sm AS (SELECT plan_id, seq, n, unnest(range(0, n + 1)) AS i, ax, ay, az, ex, ey,
 sp AS (SELECT plan_id, seq, ax + ex*t - ax*t AS x, ay + ey*t - ay*t AS y, az + ez*t - az*t AS z FROM (SELECT *, CASE WHEN n > 0 THEN i::DOUBLE/n ELSE 0 END AS t FROM sm)),
 ht AS (SELECT DISTINCT q.plan_id, q.seq FROM sp q JOIN su s ON s.count > 0 AND {near("q", "s", 0.8)})"""
 PB = f"""{cte("fx_pwn")}, {cte("fx_surfels_b")},
-pb AS (SELECT DISTINCT ON (point_id) * FROM (SELECT l_orderkey*10000000 + l_partkey*100 + scan_id AS point_id, x, y, z, nx AS pnx, ny AS pny, nz AS pnz FROM fx_pwn WHERE scan_id = 1 AND l_orderkey < 2000))"""
+pb AS (SELECT DISTINCT ON (point_id) * FROM (SELECT l_orderkey*10000000 + l_partkey*100 + scan_id AS point_id, x, y, z, nx AS pnx, ny AS pny, nz AS pnz FROM fx_pwn) ORDER BY point_id, x, y, z)"""
 TANGENT = """tb AS (SELECT *, -ny/sqrt(nx*nx + ny*ny)*-1 AS ux, -nx/sqrt(nx*nx + ny*ny) AS uy, 0.0 AS uz FROM fx_surfels_b),
 tc AS (SELECT *, ny*uz - nz*uy AS tx, nz*ux - nx*uz AS ty, nx*uy - ny*ux AS tz FROM tb)"""
 ASSOC = f"""{PB}, {TANGENT},
@@ -168,16 +177,24 @@ ORACLE_SQL = {
     "v1_frustum_boxes": f"WITH {cte('fx_viewpoints')}, c AS (SELECT vp_id, x + f*cos(yaw) + s*f*{TH}::DOUBLE*sin(yaw) AS px, y + f*sin(yaw) - s*f*{TH}::DOUBLE*cos(yaw) AS py, z + t*f*{TV}::DOUBLE AS pz FROM fx_viewpoints, (VALUES (0.1::DOUBLE), (8.0)) n(f), (VALUES (-1), (1)) a(s), (VALUES (-1), (1)) b(t)) SELECT vp_id, {r('min(px)', 'lox')}, {r('max(px)', 'hix')}, {r('min(py)', 'loy')}, {r('max(py)', 'hiy')}, {r('min(pz)', 'loz')}, {r('max(pz)', 'hiz')} FROM c GROUP BY vp_id",
     "v3_v5_direct": f"WITH {VIEW} SELECT vp_id, {K} FROM dv",
     "v4_visibility": f"WITH {VIEW} SELECT vp_id, {K} FROM vis",
-    "v6_occlusion": f"""WITH {VIEW}, dd AS (SELECT *, sqrt(d2) AS dist FROM dv WHERE vp_id % 5 = 0),
+    "v6_occlusion": f"""WITH {VIEW}, dd AS MATERIALIZED (SELECT vp_id, vx, vy, vz, ex, ey, ez, mx, my, mz, sqrt(d2) AS dist FROM dv),
+      va AS MATERIALIZED (SELECT vx AS hx, vy AS hy, vz AS hz FROM su WHERE is_valid),
       st AS (SELECT *, unnest(range(1, greatest(2, ceil(dist/0.15::DOUBLE)::INT))) AS k FROM dd),
-      hi AS (SELECT DISTINCT vp_id, st.vx, st.vy, st.vz FROM st JOIN su s ON s.is_valid AND s.vx = floor((ex + (mx_-ex)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE) AND s.vy = floor((ey + (my_-ey)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE) AND s.vz = floor((ez + (mz_-ez)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)
-        WHERE k*0.15::DOUBLE < dist AND (s.vx, s.vy, s.vz) <> (st.vx, st.vy, st.vz))
-      SELECT vp_id, {K} FROM dd WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.vp_id = dd.vp_id AND hi.vx = dd.vx AND hi.vy = dd.vy AND hi.vz = dd.vz)""".replace("mx_", "st.mx").replace("my_", "st.my").replace("mz_", "st.mz"),
+      ce AS MATERIALIZED (SELECT vp_id, vx, vy, vz, floor((ex + (mx-ex)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)::INT AS hx, floor((ey + (my-ey)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)::INT AS hy, floor((ez + (mz-ez)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)::INT AS hz FROM st WHERE k*0.15::DOUBLE < dist),
+      hi AS (SELECT DISTINCT vp_id, vx, vy, vz FROM ce JOIN va USING (hx, hy, hz) WHERE (hx, hy, hz) <> (vx, vy, vz))
+      SELECT vp_id, {K} FROM dd ANTI JOIN hi USING (vp_id, vx, vy, vz)""",
     "v7_coverage": f"WITH {COVER}, j AS (SELECT v.vp_id, c.vx IS NULL AS new FROM vis v LEFT JOIN cv c USING ({K})) SELECT vp_id, count(*) AS n_visible, count(*) FILTER (WHERE new) AS n_new, {r('count(*) FILTER (WHERE new)::DOUBLE/count(*)', 'coverage')} FROM j GROUP BY vp_id",
-    "v8_similar": f"WITH {cte('fx_viewpoints')} SELECT a.vp_id AS vp_a, b.vp_id AS vp_b FROM fx_viewpoints a JOIN fx_viewpoints b ON a.vp_id < b.vp_id AND b.vp_id < 2000 WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.25 AND abs(a.yaw - b.yaw) <= 0.2618::DOUBLE",
+    "v8_similar": f"WITH {cte('fx_viewpoints')} SELECT a.vp_id AS vp_a, b.vp_id AS vp_b FROM fx_viewpoints a JOIN fx_viewpoints b ON a.vp_id < b.vp_id WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.25 AND abs(a.yaw - b.yaw) <= 0.2618::DOUBLE",
     "v9_collision": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT vp_id, x + 1.5 AS x, y, z FROM fx_viewpoints) SELECT vp_id, EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near('q', 's', 0.8)}) AS in_collision FROM q",
     "v10_distance": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT p.vp_id, (SELECT min({near('p', 's', 2).split(' <=')[0]}) FROM su s WHERE s.count > 0 AND {near('p', 's', 2)}) AS d FROM fx_viewpoints p) SELECT vp_id, {r('coalesce(least(2.0, greatest(0, sqrt(d) - 0.15)), 2.0)', 'distance')} FROM q",
     "v11_frontiers": f"WITH {FRONT} SELECT {K}, {rs('dist', 'score')} FROM fr WHERE dist <= 10",
+    "v14_v15_suggestions": f"WITH {SUGGEST} SELECT cluster, members, {rs('priority', 'cx', 'cy', 'cz', 'nx', 'vx', 'vy', 'vz')}, {r('atan2(cy - vy, cx - vx)', 'yaw')} FROM sg",
+    "v18_candidates": f"""WITH {SUGGEST},
+      ps AS (SELECT cluster, 0 AS tier, 0 AS "offset", vx AS x, vy AS y, vz AS z, cx, cy FROM sg UNION ALL
+        SELECT cluster, tier, o, cx + wx*far + ox, cy + wy*far + oy, cz + wz*far + oz, cx, cy FROM sg, (VALUES (1, 1.5::DOUBLE), (2, 1.0)) t(tier, far),
+          (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.5, 0, 0), (2, -0.5, 0, 0), (3, 0, 0.5, 0), (4, 0, -0.5, 0), (5, 0, 0, 0.3), (6, 0, 0, -0.3)) q(o, ox, oy, oz))
+      SELECT cluster, tier::INT AS tier, "offset"::INT AS "offset", {rs("x", "y", "z")}, {r("atan2(cy - y, cx - x)", "yaw")} FROM ps""",
+    "v19_valid_viewpoints": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT vp_id, x, y, z - 0.15::DOUBLE AS z, yaw FROM fx_viewpoints) SELECT vp_id FROM q WHERE z >= 0.5 AND NOT EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near('q', 's', 0.8)}) AND NOT EXISTS (SELECT 1 FROM fx_viewpoints b WHERE b.vp_id % 10 = 0 AND (q.x-b.x)*(q.x-b.x) + (q.y-b.y)*(q.y-b.y) + (q.z-b.z)*(q.z-b.z) <= 0.25 AND abs(q.yaw - b.yaw) <= radians(15))",
     "v17_expansion_center": f"WITH {COVER}, j AS (SELECT DISTINCT v.vx, v.vy, v.vz, c.vx IS NULL AS new FROM vis v LEFT JOIN cv c USING ({K})) SELECT "
     + ", ".join(r(f"coalesce(avg((v{a} + 0.5)*0.3) FILTER (WHERE new), avg((v{a} + 0.5)*0.3), 0)", f"c{a}") for a in "xyz")
     + " FROM j",
@@ -221,7 +238,7 @@ ORACLE_SQL = {
     "s8_latest_pose": f"WITH {cte('fx_pose_events')} SELECT drone_id, event_id, {rs('px', 'yaw')} FROM fx_pose_events QUALIFY row_number() OVER (PARTITION BY drone_id ORDER BY ts DESC, event_id DESC) = 1",
     "s9_surfel_markers": f"WITH {MAP}, {EDGES} SELECT {K}, {rs('mx', 'my', 'mz')}, {r('sqrt(e2)', 's2')} FROM su WHERE is_valid AND NOT EXISTS (SELECT 1 FROM ed WHERE ed.qx = su.vx AND ed.qy = su.vy AND ed.qz = su.vz)",
     "s10_coverage_markers": f"WITH {COVER} SELECT s.vx, s.vy, s.vz, {r('(s.vx + 0.5)*0.3', 'x')}, {r('(s.vy + 0.5)*0.3', 'y')}, {r('(s.vz + 0.5)*0.3', 'z')}, CASE WHEN c.vx IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS g, CASE WHEN c.vx IS NULL THEN 0.4 ELSE 0.8 END::DOUBLE AS alpha FROM su s LEFT JOIN cv c USING ({K}) WHERE s.is_valid",
-    "s11_view_cloud": f"WITH {COVER} SELECT v.vp_id, CASE WHEN c.vx IS NULL THEN 0 ELSE 255 END::INT AS r, 255::INT AS g, {r('(v.vx + 0.5)*0.3', 'x')}, {r('(v.vy + 0.5)*0.3', 'y')}, {r('(v.vz + 0.5)*0.3', 'z')} FROM vis v LEFT JOIN cv c USING ({K}) WHERE v.vp_id % 7 = 1",
+    "s11_view_cloud": f"WITH {COVER} SELECT v.vp_id, CASE WHEN c.vx IS NULL THEN 0 ELSE 255 END::INT AS r, 255::INT AS g, {r('(v.vx + 0.5)*0.3', 'x')}, {r('(v.vy + 0.5)*0.3', 'y')}, {r('(v.vz + 0.5)*0.3', 'z')} FROM vis v LEFT JOIN cv c USING ({K})",
     "s12_fusion_markers": f"WITH {cte('fx_surfels_b')} SELECT idx, {r('cx + 0.1*nx', 'tx')}, {r('cy + 0.1*ny', 'ty')}, {r('cz + 0.1*nz', 'tz')}, {r('1 - least(1.0, confidence)', 'r')}, {r('least(1.0, confidence)', 'g')} FROM fx_surfels_b WHERE sqrt(l1) >= 0.05",
     "s17_active_goals": "SELECT drone_id, goal_id FROM (SELECT user_id AS drone_id, event_id AS goal_id, event_type FROM events WHERE event_type = 'click' OR event_id % 4 > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'click'",
     "s19_path_poses": f"WITH {cte('fx_viewpoints')} SELECT vp_id // 5 AS plan_id, (vp_id % 5)::INT AS seq, {r('cos(yaw/2)', 'qw')}, {r('sin(yaw/2)', 'qz')} FROM fx_viewpoints",

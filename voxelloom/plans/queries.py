@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg as L
 from ..functions.linalg import rounded as rnd
 from ..functions.shared import checkpoint
-from ..operators import frontier, fusion2d, paths, planner, preprocess, surfel, trajectory, visibility, voxel
+from ..operators import frontier, fusion2d, paths, planner, preprocess, surfel, visibility, voxel
 from ..params import ScanParams, SurfelParams
 from ..sources import poses, sinks
 from ..sources.fixtures import fixture
@@ -191,8 +191,7 @@ def v4_visibility(spark, d):
 
 
 def v6_occlusion(spark, d):
-    vps = _vps(spark, d).where("vp_id % 5 = 0")
-    return visibility.directly_visible(vps, _map(spark, d), SIZE, occlusion=True).select("vp_id", *KEY)
+    return visibility.directly_visible(_vps(spark, d), _map(spark, d), SIZE, occlusion=True).select("vp_id", *KEY)
 
 
 def v7_coverage(spark, d):
@@ -201,7 +200,7 @@ def v7_coverage(spark, d):
 
 
 def v8_similar(spark, d):
-    return visibility.similar(_vps(spark, d).where("vp_id < 2000"), 0.5, 0.2618)
+    return visibility.similar(_vps(spark, d), 0.5, 0.2618)
 
 
 def v9_collision(spark, d):
@@ -212,13 +211,40 @@ def v10_distance(spark, d):
     return _r(voxel.surface_distance(_vps(spark, d), _map(spark, d), 2.0, SIZE, "vp_id"), "distance", keep=("vp_id",))
 
 
+def _half(spark, d):
+    """A covered half of the walls, so that a frontier runs through them."""
+    return _map(spark, d).where("is_valid and vy < 0").select(*KEY)
+
+
+def _frontiers(spark, d):
+    return frontier.frontiers(_half(spark, d), _map(spark, d), SIZE, CENTER)
+
+
+def _suggestions(spark, d):
+    """Summaries of frontiers in clusters by layers of height."""
+    front = _frontiers(spark, d).withColumns({"plan_id": F.lit(0).cast("long"), "cluster": F.floor(F.col("vz") / 3).cast("long")})
+    return frontier.summaries(front)
+
+
 def v11_frontiers(spark, d):
-    return _r(frontier.frontiers(_covered(spark, d), _map(spark, d), SIZE, CENTER), "dist", "score", keep=KEY)
+    return _r(_frontiers(spark, d), "dist", "score", keep=KEY)
 
 
 def v13_clusters(spark, d):
-    front = frontier.frontiers(_covered(spark, d), _map(spark, d), SIZE, CENTER)
-    return _r(frontier.summaries(frontier.cluster(front)), "priority", "cx", "cy", "cz", "vx", "vy", "vz", "yaw", keep=("cluster", "members"))
+    return _r(frontier.summaries(frontier.cluster(_frontiers(spark, d))), "priority", "cx", "cy", "cz", "vx", "vy", "vz", "yaw", keep=("cluster", "members"))
+
+
+def v14_v15_suggestions(spark, d):
+    return _r(_suggestions(spark, d), "priority", "cx", "cy", "cz", "nx", "vx", "vy", "vz", "yaw", keep=("cluster", "members"))
+
+
+def v18_candidates(spark, d):
+    return _r(planner.candidate_poses(_suggestions(spark, d)), "x", "y", "z", "yaw", keep=("cluster", "tier", "offset"))
+
+
+def v19_valid_viewpoints(spark, d):
+    vps = _vps(spark, d).withColumn("z", F.col("z") - 0.15)
+    return planner.valid_viewpoints(vps, _map(spark, d), _vps(spark, d).where("vp_id % 10 = 0"), SIZE).select("vp_id")
 
 
 def v17_expansion_center(spark, d):
@@ -233,7 +259,7 @@ def v20_selection(spark, d):
 
 def v16_plan(spark, d):
     past = _vps(spark, d).where("vp_id % 10 = 0")
-    out = planner.plan(_map(spark, d), _covered(spark, d), (0.0, 0.0, 1.0), SIZE, past)
+    out = planner.plan(_map(spark, d), _half(spark, d), (0.0, 0.0, 1.0), SIZE, past)
     return _r(out, "x", "y", "z", "yaw", "coverage", "score", keep=("step", "vp_id", "n_visible"))
 
 
@@ -266,7 +292,7 @@ def i10_progress(spark, d):
     return planner.progress_events(feedback, plans.crossJoin(F.broadcast(index)))
 
 
-# --- paths and trajectories
+# --- paths
 
 
 def _legs(spark, d):
@@ -293,19 +319,14 @@ def r1_tree_search(spark, d):
     return _r(paths.plan_legs(legs, _map(spark, d), SIZE), "x", "y", "z", keep=("leg_id", "seq"))
 
 
-def t1_trajectory(spark, d):
-    goals = spark.createDataFrame([(0, 0.1, 1.0, 0.5)], "plan_id long, pos_tol double, v_max double, a_max double")
-    return _r(trajectory.run_plans(poses.scripted_flight(spark), goals), "x", "y", "z", "yaw", "speed", keep=("plan_id", "tick", "active_index", "done"))
-
-
 # --- tangent-plane surfels
 
 
-def _points_b(spark, d, where="scan_id = 1 and l_orderkey < 2000"):
-    """The cut is that of the SQL of b2, b3 and b14."""
-    pts = fixture(spark, d, "fx_pwn").where(where)
-    pid = F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 100 + F.col("scan_id")
-    return pts.select(pid.alias("point_id"), "x", "y", "z", *[F.col(f"n{a}").alias(f"pn{a}") for a in "xyz"]).dropDuplicates(["point_id"])
+def _points_b(spark, d):
+    """All points; of those that share an id the least."""
+    pid = (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 100 + F.col("scan_id")).alias("point_id")
+    at = F.min(F.struct("x", "y", "z", *[F.col(f"n{a}").alias(f"pn{a}") for a in "xyz"])).alias("at")
+    return fixture(spark, d, "fx_pwn").groupBy(pid).agg(at).select("point_id", "at.*")
 
 
 def _surfels_b(spark, d):
@@ -325,7 +346,7 @@ def b6_tangents(spark, d):
 
 
 def b8_fusion(spark, d):
-    a = fusion2d.associate(_points_b(spark, d, "true"), _surfels_b(spark, d)).withColumn("stamp", F.col("point_id") % 7)
+    a = fusion2d.associate(_points_b(spark, d), _surfels_b(spark, d)).withColumn("stamp", F.col("point_id") % 7)
     return _r(fusion2d.fuse_all(a, _surfels_b(spark, d)), "cx", "cy", "cz", "nx", "ny", "nz", "sum_sq", keep=("idx", "point_count", "observations"))
 
 
@@ -385,7 +406,7 @@ def s10_coverage_markers(spark, d):
 
 
 def s11_view_cloud(spark, d):
-    return _r(sinks.view_cloud(_visible(spark, d).where("vp_id % 7 = 1"), _covered(spark, d), SIZE), "x", "y", "z", keep=("vp_id", "r", "g"))
+    return _r(sinks.view_cloud(_visible(spark, d), _covered(spark, d), SIZE), "x", "y", "z", keep=("vp_id", "r", "g"))
 
 
 def s12_fusion_markers(spark, d):
