@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import materialise, prepare, tidy
 from .graph import Forest, components
 from .textkeys import mix64, shingles, word_hashes
 
@@ -76,7 +76,7 @@ def _signatures(words: int, coords: int):
                     names=["doc_id", "addr", "k1", "k2", "size", "sig"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _addressed(docs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _bloom_words(bits: int):
             part = used[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(words[part].astype(np.int64))], names=["word", "bits"])
 
-    return run
+    return tidy(run)
 
 
 def bloom_filter(wanted: DataFrame):
@@ -132,7 +132,7 @@ def _sets(words: int, bloom):
                 n = len(at) - 1
                 yield pa.RecordBatch.from_arrays([batch.column("addr").slice(row, n), pa.array([np.unique(sh[at[i] : at[i + 1]]).tobytes() for i in range(n)], pa.binary())], names=["addr", "set"])
 
-    return run
+    return tidy(run)
 
 
 # --- chosen paths ----------------------------------------------------------------------------
@@ -161,7 +161,7 @@ def _children(picks: int, coords: int, root: bool):
                 child = mix64(mix64(node + np.uint64(0x1234567)) ^ mix64(col.astype(np.uint64) << np.uint64(32) | value))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(child.view(np.int64)), batch.column("addr")], names=["node", "child", "addr"])
 
-    return run
+    return tidy(run)
 
 
 def leaves(reps: DataFrame, runs: int, fan: int = FAN, coords: int = COORDS, depth: int = DEPTH, small: int = SMALL_BUCKET, dense: float = DENSE) -> DataFrame:
@@ -304,7 +304,7 @@ def _mark(threshold: float, agree: int, coords: int = COORDS):
             if hit.any():
                 yield from t.filter(pa.array(hit)).drop_columns(["marks"]).combine_chunks().to_batches()
 
-    return run
+    return tidy(run)
 
 
 def _verify(threshold: float):
@@ -339,7 +339,7 @@ def _verify(threshold: float):
             if len(on):
                 yield pa.RecordBatch.from_arrays([pa.array(addr[on]), pa.array(links[on]), pa.array(addr[[forest.find(int(i)) for i in on]])], names=["addr", "links", "root"])
 
-    return run
+    return tidy(run)
 
 
 # --- the operator ----------------------------------------------------------------------------
@@ -369,7 +369,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     leaf = materialise(leaves(reps.select("addr", "sig"), runs, small=small), "leaves")
     # The paths of a representative: at most runs x FAN ** DEPTH.
     paths = leaf.groupBy("addr").agg(F.sort_array(F.collect_set("bucket")).alias("path"))
-    paths = paths.join(reps.select("addr", "size", "copies", "sig"), "addr").mapInArrow(_pack_paths, "addr long, size long, copies long, paths binary, marks binary")
+    paths = paths.join(reps.select("addr", "size", "copies", "sig"), "addr").mapInArrow(tidy(_pack_paths), "addr long, size long, copies long, paths binary, marks binary")
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64("addr", "bucket"), tiles).cast("int")
     spread = leaf.join(materialise(paths, "paths"), "addr").withColumn("tiles", tiles).withColumn("own", own)

@@ -15,7 +15,6 @@ needs only its own row and the shared table.
 
 from __future__ import annotations
 
-import ctypes
 import itertools
 import os
 import struct
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, prepare, shared_path
+from .common import give_back, materialise, prepare, shared_path, tidy, worker_cache
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -51,15 +50,6 @@ SLOT_BITS = 21
 KNOWN_IDS = 16_000_000
 #: Units that the library encodes at a time: each makes an object of its own there.
 ENCODE_AT_ONCE = 2000
-_tokenizers: dict = {}
-
-
-def give_back() -> None:
-    """Return freed memory to the system: a worker lives on between tasks."""
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
 
 
 class CachedTokenizer:
@@ -212,12 +202,17 @@ def text_slices(column: pa.Array, most: int = 1 << 20):
         row = to
 
 
+def tokenizer_of(path: str) -> CachedTokenizer:
+    """The worker's tokenizer: later tasks know the units of earlier ones."""
+    cache = worker_cache("tokenizers")
+    if path not in cache:
+        cache[path] = CachedTokenizer(path)
+    return cache[path]
+
+
 def _tokenise(path: str, block_tokens: int):
     def run(batches):
-        key = path
-        if key not in _tokenizers:
-            _tokenizers[key] = CachedTokenizer(path)
-        tok = _tokenizers[key]
+        tok = tokenizer_of(path)
         part, seq = TaskContext.get().partitionId(), 0
         ids, lens, docs, held = [], [], [], 0
 
@@ -248,9 +243,8 @@ def _tokenise(path: str, block_tokens: int):
                         yield block()
         if docs:
             yield block()
-        give_back()
 
-    return run
+    return tidy(run, "tokenizers")
 
 
 # --- coding ----------------------------------------------------------------------------------
@@ -392,7 +386,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, block_tokens: int =
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     blocks = materialise(ordered.mapInArrow(_tokenise(tokenizer, block_tokens), BLOCKS), "tokens")
     # At most one row per symbol of the vocabulary: bounded whatever the corpus.
-    counts = [tuple(r) for r in blocks.select("ids", "width").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()]
+    counts = [tuple(r) for r in blocks.select("ids", "width").mapInArrow(tidy(_count, "tokenizers"), "id long, n long").groupBy("id").agg(F.sum("n")).collect()]
     freq = normalise(_dense(counts))
     used = np.flatnonzero(freq)
     spark.createDataFrame([(int(i), int(freq[i])) for i in used], FREQ).coalesce(1).write.parquet(f"{path}/freq")
@@ -406,7 +400,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, block_tokens: int =
                 payload = coder.encode(_ids(row.column("ids")[0].as_buffer(), row.column("width")[0].as_py()))
                 yield pa.RecordBatch.from_arrays([*[row.column(c) for c in ("part", "seq", "doc_ids", "n_tokens")], pa.array([payload], pa.binary()), row.column("tokens")], names=STORED.names)
 
-    blocks.mapInArrow(encode, STORED).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks.mapInArrow(tidy(encode), STORED).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -442,7 +436,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs = stored.mapInArrow(decode, schema)
+    docs = stored.mapInArrow(tidy(decode), schema)
     out = docs.join(materialise(starts, "token-starts"), ["part", "seq"])
     return out.select("doc_id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

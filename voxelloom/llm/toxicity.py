@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, prepare
+from .common import materialise, prepare, tidy
 from .textkeys import _WORD, mix64, shingles, word_hashes
 from .token_output import span_hashes, text_slices
 
@@ -290,7 +290,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 part = batch.slice(row, len(bounds) - 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array(words), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=schema.names)
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(run), schema)
 
 
 def _score_slice(m: dict, data: np.ndarray, bounds: np.ndarray):
