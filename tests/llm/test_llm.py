@@ -144,11 +144,19 @@ def test_secret_spans(spark):
 
 def test_trigram_queries_are_necessary():
     for rule in secret_scan.RULES:
-        for text in ("api_key=abcdef1", "PassWd : 'xxxxxxxxx", "AKIA" + "B" * 16, "gho_" + "x" * 36, "-----BEGIN RSA PRIVATE KEY-----"):
+        for text in ("api_key=abcdef1", "PassWd : 'xxxxxxxxx", "AKIA" + "B" * 16, "gho_" + "x" * 36, "-----BEGIN RSA PRIVATE KEY-----", "xoxb-" + "1" * 12, "eyJab.eyJcd.ef"):
             if re.search(rule.regex, text):
                 assert all(any(all(t in text.lower() for t in s) for s in c) for c in secret_scan.trigram_query(rule.regex))
 
 
+def test_many_secrets_in_one_text(spark):
+    """Offsets over many stretches of matches, and no match at all, against a plain scan."""
+    text = " é ".join(f"token={'ab1' * (k % 4)}{k}" for k in range(1500))
+    out = secret_scan.scan(spark.createDataFrame([(1, text), (2, "token secret password key=")], "doc_id long, text string")).orderBy("doc_id").collect()
+    plain = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(secret_scan.RULES[0].regex, text) if len(m[2]) >= 6]
+    assert out[0].spans == ",".join(plain) and out[0].n_assign == len(plain) > 1000 and out[1].spans == ""
+
+
 def test_licence_bounds_and_odd(spark):
     docs = spark.createDataFrame([(1, "x y z\nReleased under the MIT License.\nq"), (2, "Licensed under the Apache License, Version 2.0. And more words here."), (3, "licence none"), (None, None)], "doc_id long, text string")
     out = {r.doc_id: r.license for r in license_scan.scan(docs).collect()}
@@ -156,6 +164,24 @@ def test_licence_bounds_and_odd(spark):
     assert license_scan.scan(odd_documents(spark)).count() == 0 and license_scan.scan(empty_documents(spark)).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped over lines, in comment headers and inside longer paragraphs, a long text and repeated rows."""
+    import textwrap
+
+    templates = dict(reversed(license_scan.TEMPLATES))
+    long = {name: max((t for n, t in license_scan.TEMPLATES if n == name), key=len) for name in ("MIT", "Apache-2.0", "GPL-3.0", "ISC")}
+    rows = []
+    for k, (name, text) in enumerate(long.items()):
+        lines = textwrap.wrap(text, 60)
+        rows.append((10 * k, "Words before it. Copyright me.\n" + "\n".join(lines) + " Words after it go on."))
+        rows.append((10 * k + 1, "/*\n * my file\n *\n" + "".join(f" * {x}\n" for x in lines) + " */\nint x;"))
+        rows.append((10 * k + 2, "#!/bin/sh\n" + "\n".join(f"# {x}" for x in lines) + "\n\necho"))
+    rows.append((99, "word and more. " * 50_000 + templates["CC-BY-4.0"] + " end"))
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()}
+    assert {(10 * k + j, name) for k, name in enumerate(long) for j in range(3)} | {(99, "CC-BY-4.0")} == got
+
+
 # --- Jaccard join
 
 
@@ -209,11 +235,94 @@ def test_embeddings_equal_brute_force(spark, tile):
 # --- pages
 
 
+def main_blocks(page):
+    return html_wrapper.blocks(html_wrapper.parse(page))
+
+
 def test_html_blocks():
     page = '<html><body><nav>menu</nav><div class="ad">buy</div><article><h1>T &amp; t</h1><p>a\n <b>b</b><br>c<p>d<script>x="</p>"</script></article><div id="comments">no</div><footer>f</footer>'
-    assert html_wrapper.blocks(html_wrapper.parse(page), set()) == ["T & t", "a b c", "d"]
-    assert html_wrapper.blocks(html_wrapper.parse("<div>" * 3000 + "deep"), set()) == ["deep"]
-    assert html_wrapper.blocks(html_wrapper.parse(""), set()) == []
+    assert main_blocks(page) == ["T & t", "a b c", "d"]
+    assert main_blocks("<div>" * 3000 + "deep") == ["deep"] and main_blocks("") == []
+    assert main_blocks("<div>" * 210 + "<nav>menu</nav>" + "</div>" * 210 + "<p>Hello") == ["Hello"]
+    assert main_blocks("<html><head><meta charset=x><title>t</title><body><p>Hello") == ["Hello"] and main_blocks("<head>Hello") == ["Hello"]
+
+
+def test_class_words_are_evidence_only():
+    text = "a long text of the article itself " * 20
+    for name in ("layout with-sidebar", "post comments-open", "sidebar", "page-header"):
+        assert main_blocks(f'<body><div class="{name}"><p>{text}</p></div><p>short</p>') == [text.strip(), "short"]
+    inside = '<div class="entry-header"><h1>T</h1></div><div class="related-work">r</div><div class="widget-review">w</div>'
+    outside = '<div class="share-buttons">s</div><div class="related-posts">n</div><div id="comments">c</div><div class="more-related"><a href=x>all links</a></div><form>f</form>'
+    assert main_blocks(f"<article>{inside}<p>{text}</p>{outside}</article>") == ["T", "r", "w", text.strip()]
+    assert main_blocks(f'<form id="aspnetForm"><p>{text}</p><input><button>b</button></form>') == [text.strip()]
+
+
+def test_tree_matching_equals_the_plain_recursion(monkeypatch):
+    import random
+
+    def tree(r, depth=0):
+        return [r.choice("abc"), [tree(r, depth + 1) for _ in range(r.randint(0, 4))] if depth < 4 else []]
+
+    def flat(x):
+        out, todo = [[], [], []], [(-1, x)]
+        while todo:
+            p, (label, kids) = todo.pop()
+            todo += [(len(out[0]), k) for k in reversed(kids)]
+            for column, v in zip(out, (label, p, None)):
+                column.append(v)
+        return out
+
+    def weigh(x, y):
+        if x[0] != y[0]:
+            return 0
+        row = [0] * (len(y[1]) + 1)
+        for a in x[1]:
+            new = [0]
+            for j, b in enumerate(y[1]):
+                new.append(max(new[-1], row[j + 1], row[j] + weigh(a, b)))
+            row = new
+        return row[-1] + 1
+
+    r = random.Random(0)
+    for k in range(100):
+        monkeypatch.setattr(html_wrapper, "CELLS", (4, 1 << 20)[k % 2])
+        a, b = tree(r), tree(r)
+        fa, fb, pairs = flat(a), flat(b), set(html_wrapper.Shapes().align(flat(a), flat(b)))
+        assert len(pairs) == weigh(a, b) == len({i for i, _ in pairs}) == len({j for _, j in pairs})
+        assert all(fa[0][i] == fb[0][j] and ((fa[1][i], fb[1][j]) in pairs or not i + j) for i, j in pairs)
+        assert [j for _, j in sorted(pairs)] == sorted(j for _, j in pairs)
+
+
+def test_long_pages_align_in_little_time_and_memory():
+    import random
+    import time
+    import tracemalloc
+
+    trees = []
+    for seed in (1, 2):
+        r = random.Random(seed)
+        trees.append(html_wrapper.skeleton(html_wrapper.parse("".join(f"<section><h2>{r.random()}</h2>{'<p>x</p><div><b>q</b></div>' * r.randint(1, 6)}<ul>{'<li>x</li>' * r.randint(0, 3)}</ul></section>" for _ in range(800)))))
+    began = time.process_time()
+    assert html_wrapper.Shapes().align(*trees)
+    assert time.process_time() - began < 2
+    tracemalloc.start()
+    html_wrapper.Shapes().align(*trees)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_pages_of_many_shapes(spark):
+    """An error page and another layout on the host; clashing names, repeated rows and a long page."""
+    page = "<body><div class='x'><p>Same on all</p></div><div class='y'><p>own text {0}</p></div></body>"
+    other = "<body><section><p>Other, same on all</p></section><section><h2>{0}</h2><p>body {0}</p><ul><li>z</li></ul></section></body>"
+    html = [page.format(i) for i in range(8)] + [other.format(i) for i in range(8)] + ["<p>Not found</p>", page.format("long " * 40_000), page.format(0)]
+    rows = [(i, f"http://h.example/{i}", h, "t", 1) for i, h in enumerate(html)]
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, Main_Text string, host int")
+    out = html_wrapper.extract(df, html_wrapper.induce(df))
+    assert out.columns == ["page_id", "url", "html", "host", "main_text", "main_chars"]
+    got = out.toPandas().set_index("page_id")["main_text"]
+    assert len(got) == 20 and got[3] == "own text 3" and got[9] == "1\n\nbody 1" and got[16] == "Not found" and set(got[0]) == {"own text 0"}
+    assert got[17] == "own text " + " ".join(["long"] * 40_000)
 
 
 def test_wrapper_drops_constant_blocks(spark):
@@ -232,7 +341,7 @@ def test_copies_are_not_template(spark):
     rows = [(i, f"http://{h}.example/{i}", page.format(t)) for i, (h, t) in enumerate(zip(hosts, titles))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     wrappers = html_wrapper.induce(df)
-    assert {r.host for r in wrappers.where("constants is not null").collect()} == {"many.example"}
+    assert {r.host for r in wrappers.collect()} == {"many.example"}
     out = {r.page_id: r.main_text for r in html_wrapper.extract(df, wrappers).collect()}
     assert [out[i] for i in range(13)] == [f"{t}\n\ntext of {t}" for t in titles]
 
@@ -258,8 +367,19 @@ def test_warc_round_trip(spark):
     assert warc.dechunk(b"4;x=1\r\nWiki\r\n0\r\n\r\n") == b"Wiki"
 
 
+def test_warc_odd(spark):
+    """One id twice with two urls, equal rows, lone null ids, clashing names, no rows at all."""
+    big = "<p>text</p>" * 3000
+    pages = [(1, "http://a/", big), (1, "http://b/", big), (2, "http://c/", big), (3, "u", "same"), (3, "u", "same"), (None, "n", "null"), (None, "n", "null"), (None, "m", big)]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, first string, payload int")
+    out = warc.round_trip(df).toPandas()
+    assert sorted(out["url"]) == sorted(u for _, u, _ in pages) and set(out["status"]) == {"ok"}
+    assert sorted(out.loc[out["record_type"] == "revisit", "url"]) == ["http://c/", "m"] and set(out["refers_to"].dropna()) == {1}
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
 def test_warc_missing_segment_is_told():
-    head = warc.page_records(1, "u", b"x" * 5000, None, False, 1000, 1 << 30)
+    head = warc.page_records(1, "u", b"x" * 5000, None, None, False, 1000, 1 << 30)
     rows = []
     for h, block in (next(warc.parse(r + b"\r\n\r\n")) for r in head[:2] + head[3:]):
         rows.append({"segment": int(h["warc-segment-number"]), "kind": h["warc-type"], "page_id": 1, "url": "u", "digest": h.get("warc-payload-digest", "")[5:], "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, "block": bytes(block)})
@@ -330,6 +450,8 @@ def test_paraphrase_needs_the_answer(spark):
     bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
     assert {r.doc_id for r in decontam.find_leaks(docs, bench).collect()} == {1, 2}
     assert decontam.decontaminate(docs, bench).count() == 33
+    odd = docs.selectExpr("cast(null as long) as doc_id", "text", "doc_id as __leak_id", "text as Item_ID")
+    assert {r["__leak_id"] for r in decontam.decontaminate(odd, bench).collect()} == {3, 4, 5, *range(100, 130)}
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), bench).count() == 0
 
 
@@ -359,9 +481,66 @@ def test_leaks_equal_brute_force_of_the_rule(spark):
     assert {r.doc_id for r in decontam.find_leaks(frame, bench).collect()} == want and {2, 3} <= want and not {0, 5, 100} & want
 
 
+def test_held_out_labels_are_not_learned(spark):
+    """Turning every held-out label round changes no score of the query's model."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast(labels.schema["toxic"].dataType))
+    one, other = (toxicity.fit(docs, x.where(~toxicity.held_out())) for x in (labels, turned))
+    a, b = (toxicity.score(docs.select("doc_id", "text"), m).toPandas().set_index("doc_id")["toxic_score"] for m in (one, other))
+    assert (a.sort_index() == b.sort_index()).all()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert P.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert [f(spark, docs, SF).columns == docs.columns for _, f in P.STAGES[:4]] == [True] * 4
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each filtering stage against plain Python on its own input."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    stages = dict(P.STAGES)
+    scores = {r.doc_id: r.predicted for r in Q.QUERIES["op1_toxicity"](spark, SF).collect()}
+    assert {r.doc_id for r in stages["toxicity"](spark, docs, SF).collect()} == {d for d, p in scores.items() if not p}
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", (t or "").lower())) else frozenset() for _, t in rows]
+    top = {d: d for d, _ in rows}
+    changed = True
+    while changed:  # classes by plain spreading of the smallest id
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and len(a & b) >= 0.8 * len(a | b) and top[rows[j][0]] < top[rows[i][0]]:
+                    top[rows[i][0]], changed = top[rows[j][0]], True
+    assert {r.doc_id for r in stages["near copies"](spark, docs, SF).collect()} == {d for d in top if top[d] == d}
+    bad = {r.doc_id for r in Q.QUERIES["op6_decontamination"](spark, SF).select("doc_id").collect()}
+    left = {r.doc_id for r in stages["benchmark decontamination"](spark, docs, SF).collect()}
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert left == {d for d, _ in rows} - bad and not any(i in t for d, t in rows if d in left for i in items)
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    words = {}
+    for r in stages["source mixing"](spark, docs, SF).collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert words == {d: n for d, n in taken.items() if n}
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    odd = odd_documents(spark).withColumns({"Toxic_Score": F.lit("t"), "row": F.lit(1), "__leak_": F.lit(2)})
+    counts = {"toxicity": 10, "near copies": 7, "benchmark decontamination": 10}
+    for docs in (odd, odd.limit(0)):
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, SF)
+            n = out.count()
+            assert n == 0 if docs is not odd else n == counts.get(name, n)
+            assert name == "token output" or out.columns == docs.columns
+
+

@@ -1,7 +1,7 @@
 """License scans: Dice coefficient over word bigrams of passages and licence templates.
 
-DataFrame functions only. A text's passages are its lines, its sentences and its paragraphs. A
-passage is normalised (lower case, only letters and digits, single spaces) and turned into its set
+DataFrame functions only. A text's passages are its lines, sentences and paragraphs, with
+the lines of a paragraph joined and comment marks gone. A passage is normalised (lower case, only letters and digits, single spaces) and turned into its set
 of word bigrams. Dice = 2 |A and B| / (|A| + |B|) can reach a threshold t only if
 |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so a template is compared only with passages of such
 sizes, and a passage only if it shares a bigram with some template. Everything happens inside a row:
@@ -12,13 +12,18 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Letters of a word that few other texts hold.
+LONG = 6
+#: Words of a template's first sentence from which it stands for the template.
+LEAST_OPENING = 8
 
-# Fixed texts of licence notices.
+# Fixed texts of licences and of notices that name one.
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -57,11 +62,18 @@ TEMPLATES = (
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
-SENTENCE = r"([.!?])[ \t\r\n]+"
-PARAGRAPH = r"\n[ \t\r]*\n"
+SENTENCE = r"([.!?]) "
+PARAGRAPH = r"\n[ \t]*(?:\n[ \t]*)+"
+# Comment marks at the beginning of a line.
+MARKS = r"\n[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)(?=[ \t\n]|$)"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -79,20 +91,66 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def anchors(bigrams: list[str], threshold: float) -> set[str]:
-    """Words of which a text holds at least one if a passage of it reaches the threshold.
+def anchors(sets: list[list[str]], threshold: float) -> tuple[list[str], list[str]]:
+    """Words and bigrams of which a text holds at least one if a passage of it reaches the threshold.
 
     Such a passage shares at least `least` bigrams with the template and so misses at most
-    n - least: of any n - least + 1 bigrams it has one, and with it that bigram's words.
+    n - least: of any n - least + 1 bigrams it has one, and with it that bigram's words. Long words
+    are added, those of most bigrams first, until every template has so many bigrams with one of
+    them; a template of short words adds bigrams as they are.
+    """
+    need = {}
+    for i, bigrams in enumerate(sets):
+        n = len(bigrams)
+        need[i] = n - math.ceil(threshold * (size_bounds(n, threshold)[0] + n) / 2 - 1e-9) + 1
+    free = {(i, b) for i, s in enumerate(sets) for b in s}
+    words: list[str] = []
+    while True:
+        gain: dict[str, int] = {}
+        for i, b in free:
+            if need[i] > 0:
+                for w in {w for w in b.split(" ") if len(w) >= LONG}:
+                    gain[w] = gain.get(w, 0) + 1
+        if not gain:
+            break
+        best = max(sorted(gain), key=lambda w: (min(len(w), 7), gain[w]))
+        words.append(best)
+        met = {(i, b) for i, b in free if best in b.split(" ")}
+        free -= met
+        for i, _ in met:
+            need[i] -= 1
+    pairs = {b for i, v in need.items() if v > 0 for b in sorted(b for j, b in free if j == i)[:v]}
+    return sorted(words), sorted(pairs)
+
+
+def _flat(text):
+    """Paragraphs' lines joined; paragraphs end with \\x01."""
+    bare = F.regexp_replace(F.regexp_replace(text, "\r", ""), MARKS, "\n")
+    return F.regexp_replace(F.regexp_replace(bare, PARAGRAPH, "\x01"), r"\s+", " ")
+
+
+def passages_of(rows: DataFrame, text: str) -> DataFrame:
+    """rows with a column of passages beside text: its lines, sentences and paragraphs.
+
+    Line breaks inside a paragraph, and comment marks before its lines, are nothing but a space.
     """
-    n = len(bigrams)
-    least = math.ceil(threshold * (size_bounds(n, threshold)[0] + n) / 2 - 1e-9)
-    words = [max(b.split(" "), key=lambda w: (len(w), w)) for b in bigrams]
-    return set(sorted(words, key=lambda w: (-len(w), w))[: n - least + 1])
+    cut = rows.withColumn("__flat", _flat(text))
+    parts = [F.split(text, "\n"), F.split("__flat", "\x01"), F.split(F.regexp_replace("__flat", SENTENCE, "$1\x01"), "\x01")]
+    return cut.withColumn("passages", F.array_distinct(F.concat(*parts))).drop("__flat")
+
+
+def with_openings(templates) -> list[tuple[str, str]]:
+    """templates and the first sentence of each that has several: it tells the licence wherever it stands."""
+    out = list(templates)
+    for name, t in templates:
+        first = re.split(r"(?<=[.!?]) |\n\n", t)[0]
+        if first != t and len(normalised(first)) >= LEAST_OPENING and (name, first) not in out:
+            out.append((name, first))
+    return out
 
 
 def _texts(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit("|".join(values)), r"\|")  # folded to a constant array
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,18 +162,21 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     nothing; rows of one id count together, null ids too; repeated rows add nothing; ties of
     templates of one licence give one row; an empty table gives an empty result.
     """
-    sets = [(name, bigram_set(t)) for name, t in templates]
+    sets = [(name, bigram_set(t)) for name, t in with_openings(templates)]
     bounds = [size_bounds(len(b), threshold) for _, b in sets]
     least, most = min(lo for lo, _ in bounds), max(hi for _, hi in bounds)
     every = sorted({b for _, s in sets for b in s})
-    text = F.coalesce("text", F.lit(""))
-    held = lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in sorted(set().union(*[anchors(b, threshold) for _, b in sets]))])
-    docs = docs.where(held(text))
-    lines = F.split(text, "\n")
-    sentences = F.split(F.regexp_replace(text, SENTENCE, "$1\n"), "\n")
-    paragraphs = F.transform(F.split(text, PARAGRAPH), lambda p: F.translate(p, "\n", " "))
-    passages = docs.select("doc_id", F.explode(F.array_distinct(F.concat(lines, sentences, paragraphs))).alias("passage")).where(held(F.col("passage")))
-    words = F.split(F.trim(F.regexp_replace(F.lower("passage"), NOT_WORD, " ")), " ")
+    words, pairs = anchors([b for _, b in sets], threshold)
+    def held(text: Column) -> Column:
+        found = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+        return found | text.rlike("|".join(p.replace(" ", NOT_WORD) for p in pairs)) if pairs else found
+
+    # Inside a lambda the lower-case text is made once; a filter on a column of it would be pushed
+    # below the projection and make it anew for each word.
+    low = F.lower(F.coalesce("text", F.lit("")))
+    docs = docs.where(F.exists(F.array(low), held)).select("doc_id", low.alias("low"))
+    passages = passages_of(docs, "low").select("doc_id", F.explode(F.filter("passages", held)).alias("low"))
+    words = F.split(F.trim(F.regexp_replace("low", NOT_WORD, " ")), " ")
     passages = passages.select("doc_id", words.alias("words")).where(F.size("words") > least)
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
     sized = passages.select("doc_id", F.array_distinct(pairs).alias("bigrams")).where(F.size("bigrams").between(least, most))
@@ -133,16 +194,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
 
 def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """Every passage against every template in DuckDB, without bounds."""
-    rows = ", ".join("('{}', [{}])".format(name, ", ".join("'" + b.replace("'", "''") + "'" for b in bigram_set(t))) for name, t in templates)
+    """Every passage against every template in DuckDB: no bounds, no anchors, and bigrams of its own."""
+    rows = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, t in with_openings(templates))
+    split = lambda c: f"string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    pairs = "list_sort(list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])))"
+    marks = r"\n[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)([ \t\n]|$)"
     return f"""
-WITH t(license, tb) AS (VALUES {rows}),
-p AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(x, chr(10)),
-        string_split(regexp_replace(x, '{SENTENCE}', '\\1' || chr(10), 'g'), chr(10)),
-        list_transform(string_split_regex(x, '{PARAGRAPH}'), lambda q: replace(q, chr(10), ' '))))) AS passage
-      FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
-w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(passage), '{NOT_WORD}', ' ', 'g')), ' ') AS words FROM p),
-b AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS bigrams FROM w WHERE len(words) > 1),
+WITH t AS (SELECT license, {pairs} AS tb FROM (SELECT license, {split("body")} AS words FROM (VALUES {rows}) v(license, body))),
+x AS (SELECT doc_id, coalesce(text, '') AS x FROM documents WHERE text ILIKE '%licen%' OR text ILIKE '%redistribut%' OR text ILIKE '%permission%' OR text ILIKE '%copyright%' OR text ILIKE '%BSD%' OR text ILIKE '%warrant%' OR text ILIKE '%waived%' OR text ILIKE '%creative%'),
+y AS (SELECT doc_id, x, regexp_replace(regexp_replace(regexp_replace(replace(x, chr(13), ''), '{marks}', chr(10) || '\\1', 'g'), '\\n[ \\t]*(\\n[ \\t]*)+', chr(1), 'g'), '[\\s\\x0b]+', ' ', 'g') AS flat FROM x),
+p AS (SELECT doc_id, unnest(list_distinct(flatten([string_split(x, chr(10)), string_split(flat, chr(1)), string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))]))) AS passage FROM y),
+w AS (SELECT doc_id, {split("passage")} AS words FROM p),
+b AS (SELECT doc_id, {pairs} AS bigrams FROM w WHERE len(words) BETWEEN 2 AND 2000),
 s AS (SELECT doc_id, license, bigrams, 2.0::DOUBLE * len(list_intersect(bigrams, tb)) / (len(bigrams) + len(tb))::DOUBLE AS dice
       FROM b, t WHERE list_has_any(bigrams, tb)
       QUALIFY dice = max(dice) OVER (PARTITION BY doc_id, bigrams))

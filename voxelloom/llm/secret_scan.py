@@ -42,6 +42,11 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", base=False),
 )
 MOST_STRINGS = 64
+TRIGRAMS_EACH = 2
+#: Characters by falling frequency; others count as common.
+COMMON = "etaoinshrdlcumwfgypbvkjxqz-_"
+MATCHES_AT_ONCE = 256
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 TEXTS_PER_BLOCK = 20_000
 
 
@@ -88,13 +93,23 @@ def _strings(items) -> set[str] | None:
     return out
 
 
+def _rarest(string: str) -> frozenset[str]:
+    """The trigrams of a string that few texts hold: at most TRIGRAMS_EACH, by their letters' rank in common text."""
+    all_ = {string[i : i + 3] for i in range(len(string) - 2)}
+    rank = lambda t: (-sum(max(0, COMMON.find(c)) for c in t), t)
+    return frozenset(sorted(all_, key=rank)[:TRIGRAMS_EACH])
+
+
 def trigram_query(regex: str) -> list[set[frozenset[str]]]:
-    """AND of clauses; a clause is an OR of sets of trigrams. Empty: no mandatory trigram."""
+    """AND of clauses; a clause is an OR of sets of trigrams. Empty: no mandatory trigram.
+
+    Fewer trigrams of a string make a weaker condition, never a wrong one.
+    """
     clauses: list[set[frozenset[str]]] = []
 
     def close(strings: set[str]) -> None:
         if all(len(s) >= 3 for s in strings):
-            sets = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings}
+            sets = {_rarest(s) for s in strings}
             clauses.append({s for s in sets if not any(o < s for o in sets)})
 
     def walk(items) -> None:
@@ -120,9 +135,11 @@ def trigram_query(regex: str) -> list[set[frozenset[str]]]:
 
 
 def build_index(docs: DataFrame, trigrams: list[str], blocks: int) -> DataFrame:
-    """Posting lists: (block, trigram, keys) over the whole text of every row."""
-    low = F.lower("text")
-    have = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
+    """Posting lists: (block, trigram, keys) over the whole text of every row.
+
+    Inside a lambda the text is put in lower case once for all trigrams.
+    """
+    have = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())))
     hits = docs.select(F.xxhash64("text").alias("key"), F.explode(have).alias("trigram"))
     block = F.pmod("key", F.lit(blocks)).cast("int")
     return hits.groupBy(block.alias("block"), "trigram").agg(F.collect_set("key").alias("keys"))
@@ -156,7 +173,9 @@ def candidates(index: DataFrame, queries: dict[str, list[set[frozenset[str]]]])
 def _spans(rule: Rule, rank: int, text: Column) -> Column:
     """array<struct<start, rank, end, kind>> of a rule's matches that are long enough.
 
-    The pieces between the matches and the matches themselves give code-point offsets.
+    The pieces between the matches and the matches themselves give code-point offsets: summed up
+    inside stretches of MATCHES_AT_ONCE matches and then over stretches, so that a text of very
+    many matches isn't copied once for each.
     """
     regex = rule.regex
     if rule.kind == "hex":
@@ -165,16 +184,22 @@ def _spans(rule: Rule, rank: int, text: Column) -> Column:
     counted = F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, regex, -1)
     parts = F.arrays_zip(found.alias("m"), counted.alias("g"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    schema = "struct<at:int,out:array<struct<start:int,rank:int,end:int,kind:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out")).cast(schema)
+    schema = f"struct<at:int,out:{SPANS}>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")).cast(schema)
+
+    def span(begin, end):
+        return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
 
     def step(acc, p):
         begin = acc["at"] + F.char_length(p["gap"])
         end = begin + F.char_length(p["m"])
-        one = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.char_length(p["g"]) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(schema)
+        return F.struct(end.alias("at"), F.when(F.char_length(p["g"]) >= rule.least, F.concat(acc["out"], F.array(span(begin, end)))).otherwise(acc["out"]).alias("out")).cast(schema)
 
-    return F.aggregate(parts, start, step)["out"]
+    many = F.greatest(F.ceil(F.size(found) / F.lit(MATCHES_AT_ONCE)).cast("int"), F.lit(1))
+    stretches = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.aggregate(F.slice(parts, k * MATCHES_AT_ONCE + 1, F.lit(MATCHES_AT_ONCE)), start, step))
+    before = F.aggregate(stretches, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["at"])))
+    moved = F.zip_with(stretches, before, lambda s, b: F.transform(s["out"], lambda x: span(x["start"] + b, x["end"] + b)))
+    return F.flatten(F.slice(moved, 1, many)).cast(SPANS)
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -191,7 +216,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     blocks = max(64, math.ceil(docs.count() / TEXTS_PER_BLOCK))
     index = materialise(build_index(docs, trigrams, blocks), "trigram-index")
     found = materialise(candidates(index, queries), "secret-candidates")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    none = F.array().cast(SPANS)
     text = F.col("text")
     joined = docs.withColumn("key", F.xxhash64("text")).join(found, "key", "left")
     spans = []
@@ -212,21 +237,35 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     return wide.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed([r.kind for r in rules]).alias("spans"))
 
 
-def oracle_sql(rules=RULES) -> str:
+#: The same patterns once more, as DuckDB reads them, so that SQL doesn't rely on RULES: kind, pattern, group, least characters.
+SQL_RULES = (
+    ("assign", r"""((?i:password|passwd|secret|token|apikey|api_key))["']?[ ]*[:=][ ]*["']?([-A-Za-z0-9+/_.=]+)""", 2, 6),
+    ("access", r"AKIA[0-9A-Z]+", 0, 20),
+    ("hex", r"[a-f0-9]+", 0, 24),
+    ("private_key", r"-----BEGIN [ A-Z0-9]*PRIVATE KEY-----", 0, 1),
+    ("github", r"gh(?:p|o|u|s|r)_[0-9A-Za-z]{36}", 0, 1),
+    ("slack", r"xox(?:a|b|p|r|s)-[-0-9A-Za-z]{10,}", 0, 1),
+    ("jwt", r"eyJ[-A-Za-z0-9_]+[.]eyJ[-A-Za-z0-9_]+[.][-A-Za-z0-9_]+", 0, 1),
+)
+SQL_BASE = ("assign", "access", "hex")
+
+
+def oracle_sql() -> str:
     """The same spans without any index, in DuckDB."""
     parts = []
-    for rank, r in enumerate(rules):
-        regex = r.regex.replace("'", "''")
+    for rank, (kind, pattern, group, _) in enumerate(SQL_RULES):
+        regex = pattern.replace("'", "''")
+        where = "[0-9a-f]{24}" if kind == "hex" else regex
         parts.append(
-            f"""SELECT rowid_, {rank} AS rank, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+            f"""SELECT rowid_, {rank} AS rank, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
                  's': list_sum(list_transform(gaps[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)::BIGINT,
                  'n': len(m[i]), 'g': len(g[i])}})) AS x
-               FROM (SELECT rowid_, regexp_extract_all(text, '{regex}', 0) AS m, regexp_extract_all(text, '{regex}', {r.group}) AS g, regexp_split_to_array(text, '{regex}') AS gaps
-                     FROM d {"WHERE regexp_matches(text, '[0-9a-f]{24}')" if r.kind == "hex" else f"WHERE regexp_matches(text, '{regex}')"})"""
+               FROM (SELECT rowid_, regexp_extract_all(text, '{regex}', 0) AS m, regexp_extract_all(text, '{regex}', {group}) AS g, regexp_split_to_array(text, '{regex}') AS gaps
+                     FROM d WHERE regexp_matches(text, '{where}'))"""
         )
-    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in rules)
-    base = ", ".join(f"'{r.kind}'" for r in rules if r.base)
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}')::BIGINT AS n_{r.kind}" for r in rules if r.base)
+    least = " ".join(f"WHEN '{kind}' THEN {n}" for kind, _, _, n in SQL_RULES)
+    base = ", ".join(f"'{k}'" for k in SQL_BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}')::BIGINT AS n_{k}" for k in SQL_BASE)
     line = "kind || ':' || s || ':' || e"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rowid_, doc_id, coalesce(text, '') AS text FROM documents),
@@ -236,6 +275,6 @@ c AS (SELECT rowid_, {counts},
         coalesce(string_agg({line}, ',' ORDER BY s, rank) FILTER (WHERE kind IN ({base})), '') AS b,
         string_agg({line}, ',' ORDER BY s, rank) AS spans
       FROM f GROUP BY rowid_)
-SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in rules if r.base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in SQL_BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN c USING (rowid_)
 """
