@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from voxelloom.operators import frontier, fusion2d, paths, planner, preprocess, surfel, voxel
@@ -13,11 +14,11 @@ from voxelloom.plans.oracles import ORACLE_SQL
 from voxelloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["p5_grid_downsample", "p11_p15_normals", "m10_moments", "m15_shadow_prune", "m18_box", "v4_visibility", "v6_occlusion", "v11_frontiers", "v14_v15_suggestions", "v18_candidates", "v19_valid_viewpoints", "r5_first_invalid", "b3_association", "b16_merge_targets", "s5_pose_as_of", "s20_scripted_flight", "valid_surfels"]
+SOME = ["p5_grid_downsample", "p11_p15_normals", "m10_moments", "m15_shadow_prune", "m18_box", "v4_visibility", "v6_occlusion", "v11_frontiers", "v14_v15_suggestions", "v18_candidates", "v19_valid_viewpoints", "r5_first_invalid", "b3_association", "b16_merge_targets", "b17_create", "b18_add_surfels", "b21_merge", "c4_local_coverage", "m9_remove", "s5_pose_as_of", "s20_scripted_flight", "valid_surfels"]
 
 
 def rows(df):
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (float, np.floating)) else str(v)
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (float, np.floating)) else str(v)
     return sorted(repr([plain(v) for v in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
@@ -80,6 +81,17 @@ def test_long_chain_prunes_every_other(spark):
     assert {r.vx for r in surfel.shadow_prune(df).collect()} == set(range(0, 80, 2))
 
 
+def test_full_voxel_merges_its_overflow(spark):
+    """Six stay; one like them is taken in, one with another normal and one without an index are not; a lone surfel stays as it is."""
+    like = [(i, 0.01 * i, 0.1, 0.1, 1.0, 0.0, 0.0, 0.01, 0.9 - 0.1 * i, 1.0 + i, 2, 1, 2.0, 0.0, 0.0) for i in range(7)]
+    other = [(7, 0.2, 0.1, 0.1, 0.0, 1.0, 0.0, 0.01, 0.05, 1.0, 2, 1, 0.0, 2.0, 0.0), (8, 5.0, 0.1, 0.1, 0.0, 1.0, 0.0, 0.01, 0.01, 1.0, 2, 1, 0.0, 2.0, 0.0), (None, 0.0, 0.1, 0.1, 1.0, 0.0, 0.0, 0.01, 0.9, 1.0, 2, 1, 2.0, 0.0, 0.0)]
+    names = "idx long, cx double, cy double, cz double, nx double, ny double, nz double, l1 double, confidence double, total_weight double, point_count long, observations long, sum_nx double, sum_ny double, sum_nz double"
+    out = {r.idx: r for r in fusion2d.add_surfels(spark.createDataFrame(like + other, names)).collect()}
+    assert set(out) == {0, 1, 2, 3, 4, 5, 8} and [out[i].merged for i in (0, 4, 5, 8)] == [0, 0, 1, 0]
+    assert math.isclose(out[5].cx, (6 * 0.05 + 7 * 0.06) / 13) and out[5].point_count == 4 and math.isclose(out[5].confidence, 0.4)
+    assert fusion2d.add_surfels(spark.createDataFrame([], names)).count() == 0
+
+
 def test_empty_map_collides_and_blocks(spark):
     none = spark.createDataFrame([], "vx int, vy int, vz int, count long")
     pts = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "vp_id long, x double, y double, z double")

@@ -122,6 +122,75 @@ def capacity(surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     return with_key(surfels, p.voxel, C).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.per_voxel).drop("rank")
 
 
+def alike(d: tuple, n: tuple, m: tuple, reach, p: FusionParams):
+    """Whether surfels with normals n and m, d apart, should merge; reach is the sum of their radii."""
+    return (F.abs(L.dot(n, m)) >= p.merge_dot) & (L.norm(d) <= reach + p.merge_dist)
+
+
+SUMS = ("total_weight", "point_count", "observations")
+
+
+def add_surfels(surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
+    """surfels(idx, c*, n*, l1, confidence, total_weight, point_count, observations, sum_n*) into voxels of limited room.
+
+    The per_voxel most confident surfels of a voxel stay (ties by idx). Every other joins the stayer
+    it resembles most, |dot| / (1 + 10 distance), ties by idx, if the two should merge; else it is
+    rejected, as it is weaker than all that stay. A merge is a sum: weighted centre, summed normals
+    and counts, greatest confidence; so the order in which surfels arrive doesn't matter. merged
+    counts those taken in. Null indices or centres meet nothing and are dropped.
+    """
+    s = with_key(surfels.where("idx is not null and cx is not null and cy is not null and cz is not null"), p.voxel, C).withColumn("radius", F.sqrt("l1"))
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("confidence").desc(), "idx"))
+    top = s.withColumn("rank", rank).where(F.col("rank") <= p.per_voxel).drop("rank")
+    own = [*SUMS, "confidence", *C, *[f"sum_n{a}" for a in "xyz"]]
+    stay = top.select(*KEY, F.col("idx").alias("target"), F.col("radius").alias("other"), *[F.col(f"{k}{a}").alias(f"b{k}{a}") for k in "cn" for a in "xyz"])
+    j = s.join(top.select("idx"), "idx", "left_anti").join(stay, KEY)
+    d = L.sub(L.vec("c"), L.vec("bc"))
+    j = j.where(alike(d, L.vec("n"), L.vec("bn"), F.col("radius") + F.col("other"), p))
+    like = F.abs(L.dot(L.vec("n"), L.vec("bn"))) / (1 + 10 * L.norm(d))
+    best = j.groupBy("idx").agg(F.max(F.struct(like.alias("like"), (-F.col("target")).alias("neg"), *own)).alias("b"))
+    parts = top.select("idx", F.lit(0).alias("merged"), *own).unionByName(best.select((-F.col("b.neg")).alias("idx"), F.lit(1).alias("merged"), *[F.col(f"b.{c}").alias(c) for c in own]))
+    w = F.col("total_weight")
+    sums = [*[F.sum(c).alias(c) for c in ("merged", *SUMS, *[f"sum_n{a}" for a in "xyz"])], F.max("confidence").alias("confidence"), *[F.sum(F.col(c) * w).alias(c) for c in C]]
+    out = parts.groupBy("idx").agg(*sums).withColumns({c: F.col(c) / w for c in C})
+    return out.withColumns({f"n{a}": c for a, c in zip("xyz", L.unit(L.vec("sum_n")), strict=True)})
+
+
+def merge_surfels(pairs: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
+    """pairs(a, b): surfel a after taking in surfel b, with the key of the voxel it is in then.
+
+    A pair of a surfel with itself changes nothing and gives no row; each pair is told by itself.
+    """
+    cols = ["idx", *C, "l1", "confidence", *SUMS, "sum_sq"]
+    one = surfels.select(F.col("idx").alias("a"), *cols[1:])
+    two = surfels.select(*[F.col(c).alias(f"b_{c}") for c in cols]).withColumnRenamed("b_idx", "b")
+    j = pairs.where("a <> b").select("a", "b").join(one, "a").join(two, "b")
+    part = F.col("b_total_weight") / (F.col("total_weight") + F.col("b_total_weight"))
+    j = j.withColumns({c: F.col(c) + part * (F.col(f"b_{c}") - F.col(c)) for c in C})
+    radius = F.greatest(F.sqrt("l1"), F.sqrt("b_l1"))
+    radius = F.greatest(radius, (radius + L.norm(L.sub(L.vec("c"), L.vec("b_c")))) * 0.6)
+    j = j.withColumn("radius", radius).withColumn("confidence", F.greatest("confidence", "b_confidence")).withColumns({c: F.col(c) + F.col(f"b_{c}") for c in (*SUMS, "sum_sq")})
+    return with_key(j.select("a", "b", *C, "radius", "confidence", *SUMS, "sum_sq"), p.voxel, C)
+
+
+def create_surfels(seeds: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
+    """B17, B14's second half, B27: seeds(seed_id, c*, n*) with the surfel that takes their points (idx), or started anew.
+
+    A seed without a target starts as B7 does: one point, weight 1, a round of init_radius. Those go
+    through add_surfels; the points of the others go through fuse_all under idx.
+    """
+    new = F.col("idx").isNull()
+    first = lambda v: F.when(new, F.lit(v))
+    out = seeds.join(merge_targets(seeds, surfels, p).select("seed_id", "idx"), "seed_id")
+    out = out.withColumns({"is_new": new, "l0": first(p.init_radius**2), "l1": first(p.init_radius**2), "total_weight": first(1.0), "point_count": first(1), "observations": first(1), "sum_sq": first(0.0)})
+    return out.withColumns({f"sum_n{a}": F.when(new, F.col(f"n{a}")) for a in "xyz"})
+
+
+def aspect_ratio(surfels: DataFrame) -> DataFrame:
+    """sqrt(l0 / l1), 0 where l1 isn't positive."""
+    return surfels.withColumn("aspect", F.when(F.col("l1") > 0, F.sqrt(F.col("l0") / F.col("l1"))).otherwise(0.0))
+
+
 def prune(surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     """Without surfels of low confidence that were observed often enough."""
     return surfels.where(~((F.col("confidence") < p.min_confidence) & (F.col("observations") >= p.min_observations)))

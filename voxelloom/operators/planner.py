@@ -48,6 +48,12 @@ def visited(viewpoints: DataFrame, past: DataFrame, p: PlannerParams = PlannerPa
     return j.where((L.dot(d, d) <= size * size) & (L.yaw_difference(F.col("yaw"), F.col("oyaw")) <= math.radians(p.revisit_deg))).select("vp_id").distinct()
 
 
+def record_visited(log: DataFrame, viewpoints: DataFrame, at: str) -> DataFrame:
+    """The log with viewpoints(vp_id, x, y, z, yaw) put to it, visited at the time in column at; repeats stay."""
+    row = [F.col(c) for c in ("vp_id", "x", "y", "z", "yaw")]
+    return log.unionByName(viewpoints.select(*row, F.lit("visited").alias("status"), F.col(at).alias("visited_at")))
+
+
 def valid_viewpoints(viewpoints: DataFrame, voxels: DataFrame, past: DataFrame, size: float, p: PlannerParams = PlannerParams()) -> DataFrame:
     """High enough, free of collisions and not visited yet."""
     high = viewpoints.where(F.col("z") >= p.min_z)

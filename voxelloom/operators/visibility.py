@@ -154,6 +154,13 @@ def observe(visible: DataFrame) -> DataFrame:
     return visible.groupBy(*KEY).agg(F.count("*").alias("observations"))
 
 
+def local_coverage(regions: DataFrame, observed: DataFrame) -> DataFrame:
+    """C4: per region_id of regions(region_id, vx, vy, vz) the share of its different voxels that are observed."""
+    keys = observed.select(*KEY).distinct().withColumn("hit", F.lit(1.0))
+    j = regions.select("region_id", *KEY).distinct().join(keys, KEY, "left")
+    return j.groupBy("region_id").agg(F.count("*").alias("total"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("ratio"))
+
+
 def coverage_ratio(observed: DataFrame, surfels: DataFrame) -> DataFrame:
     """Observed keys over valid surfels, and the same of keys that still are valid surfels."""
     keys = observed.select(*KEY).distinct()

@@ -85,6 +85,16 @@ def lookup(points: DataFrame, surfels: DataFrame, size: float) -> DataFrame:
     return keyed.join(surfels.select(*KEY, *[c for c in surfels.columns if c not in keyed.columns]), KEY, "left")
 
 
+def remove(surfels: DataFrame, keys: DataFrame) -> DataFrame:
+    """M9: the map without the voxels of keys(vx, vy, vz)."""
+    return surfels.join(keys.select(*KEY).distinct(), KEY, "left_anti")
+
+
+def in_range(points: DataFrame, nearest: float, farthest: float) -> DataFrame:
+    """M1: points(x, y, z) of the sensor's frame within its range, ends included; null or NaN places are out."""
+    return points.where(L.dot(L.vec(), L.vec()).between(nearest * nearest, farthest * farthest))
+
+
 def prune_outside(voxels: DataFrame, lo, hi, size: float) -> DataFrame:
     """Voxels whose centre lies in the box, ends included."""
     cond = F.lit(True)

@@ -146,6 +146,8 @@ cb AS (SELECT * FROM ca WHERE abs(normal_dist) <= 0.05 AND mahalanobis < 9.21)""
 K = "vx, vy, vz"
 BK = "floor(cx/0.3::DOUBLE)::INT AS vx, floor(cy/0.3::DOUBLE)::INT AS vy, floor(cz/0.3::DOUBLE)::INT AS vz"
 
+WB = f"{cte('fx_surfels_b')}, wb AS (SELECT *, {BK}, idx % 90 + 3 AS point_count, idx % 9 + 1 AS observations, (idx % 90 + 3)*0.5::DOUBLE + 0.0137 AS w FROM fx_surfels_b)"
+
 ORACLE_SQL = {
     "p1_p4_filter_project": f"WITH {FILTERED} SELECT scan_id, point_idx, {rs('r_sq', 'yaw', 'pitch')} FROM flt",
     "p5_grid_downsample": f"WITH {GRID} SELECT scan_id, u, v, point_idx, {rs('x', 'y', 'z', 'r_sq')} FROM grid",
@@ -156,6 +158,8 @@ ORACLE_SQL = {
     "p14_normals_kept": f"WITH {NORMALS} SELECT g.scan_id, count(*) AS cells, count(n.nx) AS with_normal FROM grid g LEFT JOIN nm n USING (scan_id, u, v) GROUP BY g.scan_id",
     "p17_to_world": f"WITH {cte('fx_points')} SELECT scan_id, point_idx, {r('cos(scan_id*0.1::DOUBLE)*x - sin(scan_id*0.1::DOUBLE)*y', 'x')}, {r('sin(scan_id*0.1::DOUBLE)*x + cos(scan_id*0.1::DOUBLE)*y', 'y')}, {r('z + 1.5', 'z')} FROM fx_points",
     "m2_m3_voxel_counts": f"WITH {MAP} SELECT {K}, count(*) AS n FROM k GROUP BY {K}",
+    "m1_in_range": f"WITH {cte('fx_points')} SELECT scan_id, count(*) AS n, {r('sum(x)', 'sx', 4)} FROM fx_points WHERE x*x + y*y + z*z BETWEEN 4.0 AND 6.25 GROUP BY scan_id",
+    "m9_remove": f"WITH {MAP}, cv AS (SELECT vx, vy, vz FROM su WHERE is_valid AND vy < 0) SELECT s.vx, s.vy, s.vz FROM su s WHERE NOT EXISTS (SELECT 1 FROM cv c WHERE c.vx = s.vx AND c.vy = s.vy AND c.vz = s.vz)",
     "m5_corners": f"WITH {MAP} SELECT DISTINCT {K}, {r('(vx + 0.5)*0.3', 'cx')}, {r('(vy + 0.5)*0.3', 'cy')}, {r('(vz + 0.5)*0.3', 'cz')}, {r('vx*0.3::DOUBLE', 'lox')}, {r('(vz + 1)*0.3::DOUBLE', 'hiz')} FROM k",
     "m10_moments": f"WITH {MAP} SELECT {K}, count, n_points, {rs('sum_w', 'mx', 'my', 'mz', 'sxx', 'sxy', 'sxz', 'syy', 'syz', 'szz')} FROM su",
     "m6_merge_scans": f"WITH {MAP} SELECT {K}, count, {rs('sum_w', 'mx', 'my', 'mz', 'sxx', 'syy', 'szz', digits=4)} FROM su",
@@ -201,6 +205,8 @@ ORACLE_SQL = {
     "v20_selection": f"""WITH {COVER}, j AS (SELECT v.vp_id, avg((c.vx IS NULL)::INT) AS cov FROM vis v LEFT JOIN cv c USING ({K}) GROUP BY v.vp_id)
       SELECT p.vp_id, {r("(0.7*cov + 0.3*(1 - least(sqrt(p.x*p.x + p.y*p.y + (p.z-1)*(p.z-1))/6, 1))) * CASE WHEN EXISTS (SELECT 1 FROM fx_viewpoints h WHERE h.vp_id IN (1, 2, 3) AND (h.x-p.x)*(h.x-p.x) + (h.y-p.y)*(h.y-p.y) + (h.z-p.z)*(h.z-p.z) <= 1) THEN 0.2 ELSE 1 END", "score")} FROM j JOIN fx_viewpoints p USING (vp_id)""",
     "c1_observations": f"WITH {VIEW} SELECT {K}, count(*) AS observations FROM vis GROUP BY {K}",
+    "c2_visited_log": f"WITH {cte('fx_viewpoints')} SELECT vp_id, 'visited' AS status, {rs('x', 'y', 'z', 'yaw')}, {r('vp_id*0.5::DOUBLE', 'visited_at')} FROM (SELECT * FROM fx_viewpoints UNION ALL SELECT * FROM fx_viewpoints WHERE vp_id % 10 = 0)",
+    "c4_local_coverage": f"WITH {VIEW}, cv AS (SELECT vx, vy, vz FROM su WHERE is_valid AND vy < 0) SELECT v.vp_id AS region_id, count(*) AS total, {r('count(c.vx)::DOUBLE/count(*)', 'ratio')} FROM vis v LEFT JOIN cv c USING ({K}) GROUP BY v.vp_id",
     "c3_visited": f"WITH {cte('fx_viewpoints')} SELECT a.vp_id FROM fx_viewpoints a WHERE EXISTS (SELECT 1 FROM fx_viewpoints b WHERE b.vp_id % 10 = 0 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.25 AND abs(a.yaw - b.yaw) <= radians(15))",
     "c5_coverage_ratio": f"WITH {COVER}, n AS (SELECT count(*) AS total FROM su WHERE is_valid) SELECT (SELECT count(*) FROM cv) AS observed, total, {r('(SELECT count(*) FROM cv)::DOUBLE/total', 'coverage')}, {r('(SELECT count(*) FROM cv)::DOUBLE/total', 'coverage_live')} FROM n",
     "i4_travel_order": f"WITH {cte('fx_viewpoints')}, c AS (SELECT vp_id, sqrt(x*x + y*y + (z-1)*(z-1)) + abs(yaw) AS path_cost FROM fx_viewpoints) SELECT vp_id, (row_number() OVER (ORDER BY path_cost, vp_id))::INT AS rank, {rs('path_cost')} FROM c",
@@ -229,6 +235,25 @@ ORACLE_SQL = {
       b AS (SELECT seed_id, idx, t*confidence/(1 + d) AS score FROM c WHERE t >= 0.95 AND d <= 2*sqrt(l1) + 0.1 QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY t*confidence/(1 + d) DESC, idx) = 1)
       SELECT seed_id, idx, {rs("score")} FROM q LEFT JOIN b USING (seed_id)""",
     "b18_capacity": f"WITH {cte('fx_surfels_b')} SELECT {BK}, idx FROM fx_surfels_b QUALIFY row_number() OVER (PARTITION BY floor(cx/0.3::DOUBLE), floor(cy/0.3::DOUBLE), floor(cz/0.3::DOUBLE) ORDER BY confidence DESC, idx) <= 6",
+    "b17_create": f"""WITH {cte("fx_surfels_b")}, q AS (SELECT idx AS seed_id, cx + CASE WHEN idx % 3 = 0 THEN 5.0 ELSE 0.02 END::DOUBLE AS qx, cy + 0.013::DOUBLE AS qy, cz AS qz, nx AS ax, ny AS ay FROM fx_surfels_b),
+      c AS (SELECT seed_id, idx, sqrt((qx-cx)*(qx-cx) + (qy-cy)*(qy-cy) + (qz-cz)*(qz-cz)) AS d, abs(ax*nx + ay*ny) AS t, confidence, l1 FROM q JOIN fx_surfels_b
+        ON abs(floor(qx/0.3::DOUBLE) - floor(cx/0.3::DOUBLE)) <= 1 AND abs(floor(qy/0.3::DOUBLE) - floor(cy/0.3::DOUBLE)) <= 1 AND abs(floor(qz/0.3::DOUBLE) - floor(cz/0.3::DOUBLE)) <= 1),
+      b AS (SELECT seed_id, idx FROM c WHERE t >= 0.95 AND d <= 2*sqrt(l1) + 0.1 QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY t*confidence/(1 + d) DESC, idx) = 1)
+      SELECT seed_id, coalesce(idx, -1) AS idx, idx IS NULL AS is_new, {r("qx", "cx")}, CASE WHEN idx IS NULL THEN round(0.0001::DOUBLE, 6) ELSE 0 END AS l1, CASE WHEN idx IS NULL THEN 1.0::DOUBLE ELSE 0 END AS total_weight, CASE WHEN idx IS NULL THEN round(ax, 6) ELSE 0 END AS sum_nx FROM q LEFT JOIN b USING (seed_id)""",
+    "b18_add_surfels": f"""WITH {WB}, t AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY confidence DESC, idx) <= 6 AS stays FROM wb),
+      p AS (SELECT o.idx, s.idx AS target, sqrt((o.cx-s.cx)*(o.cx-s.cx) + (o.cy-s.cy)*(o.cy-s.cy) + (o.cz-s.cz)*(o.cz-s.cz)) AS d, abs(o.nx*s.nx + o.ny*s.ny) AS m, sqrt(o.l1) + sqrt(s.l1) AS reach
+        FROM t o JOIN t s USING ({K}) WHERE NOT o.stays AND s.stays),
+      h AS (SELECT idx, target FROM p WHERE m >= 0.95 AND d <= reach + 0.1 QUALIFY row_number() OVER (PARTITION BY idx ORDER BY m/(1 + 10*d) DESC, target) = 1),
+      a AS (SELECT coalesce(h.target, t.idx) AS idx, t.* EXCLUDE (idx), h.target IS NOT NULL AS taken FROM t LEFT JOIN h ON t.idx = h.idx WHERE t.stays OR h.target IS NOT NULL),
+      g AS (SELECT idx, count(*) FILTER (WHERE taken) AS merged, sum(point_count)::BIGINT AS point_count, sum(observations)::BIGINT AS observations, sum(cx*w)/sum(w) AS cx, sum(cy*w)/sum(w) AS cy, sum(cz*w)/sum(w) AS cz,
+        sum(nx*point_count) AS sx, sum(ny*point_count) AS sy, max(confidence) AS confidence, sum(w) AS total_weight FROM a GROUP BY idx)
+      SELECT idx, merged, point_count, observations, {rs("cx", "cy", "cz", "confidence", "total_weight")}, {r("sx/sqrt(sx*sx + sy*sy)", "nx")}, {r("sy/sqrt(sx*sx + sy*sy)", "ny")} FROM g""",
+    "b21_merge": f"""WITH {WB}, j AS (SELECT a.idx AS a, b.idx AS b, b.w/(a.w + b.w) AS f, a.cx AS x, a.cy AS y, a.cz AS z, b.cx AS bx, b.cy AS by_, b.cz AS bz, greatest(sqrt(a.l1), sqrt(b.l1)) AS wide, greatest(a.confidence, b.confidence) AS confidence,
+        a.w + b.w AS total_weight, a.point_count + b.point_count AS point_count, a.observations + b.observations AS observations, a.l0*a.point_count + b.l0*b.point_count AS sum_sq, sqrt(a.l1) + sqrt(b.l1) AS reach, abs(a.nx*b.nx + a.ny*b.ny) AS m
+        FROM wb a JOIN wb b USING ({K}) WHERE a.idx < b.idx),
+      o AS (SELECT *, x + f*(bx - x) AS cx, y + f*(by_ - y) AS cy, z + f*(bz - z) AS cz FROM j WHERE m >= 0.95 AND sqrt((x-bx)*(x-bx) + (y-by_)*(y-by_) + (z-bz)*(z-bz)) <= reach + 0.1)
+      SELECT a, b, point_count, observations, {rs("cx", "cy", "cz", "confidence", "total_weight", "sum_sq")}, {r("greatest(wide, 0.6*(wide + sqrt((cx-bx)*(cx-bx) + (cy-by_)*(cy-by_) + (cz-bz)*(cz-bz))))", "radius")} FROM o""",
+    "b28_aspect": f"WITH {cte('fx_surfels_b')} SELECT idx, {r('sqrt(l0/l1)', 'aspect')} FROM fx_surfels_b",
     "b19_merge_pairs": f"WITH {cte('fx_surfels_b')}, s AS (SELECT *, {BK} FROM fx_surfels_b) SELECT a.idx AS a, b.idx AS b FROM s a JOIN s b USING ({K}) WHERE a.idx < b.idx AND abs(a.nx*b.nx + a.ny*b.ny) >= 0.95 AND sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz)) <= sqrt(a.l1) + sqrt(b.l1) + 0.1",
     "b23_b25_statistics": f"WITH {cte('fx_surfels_b')}, s AS (SELECT *, {BK}, sqrt(l1) >= 0.05 AS m FROM fx_surfels_b) SELECT count(*) AS total, count(*) FILTER (WHERE m) AS mature, count(DISTINCT ({K})) AS voxels, {r('avg(confidence*0.99::DOUBLE) FILTER (WHERE m)', 'mean_confidence')}, {r('avg(sqrt(l1)) FILTER (WHERE m)', 'mean_radius')} FROM s",
     "s5_pose_as_of": f"""WITH {cte("fx_scan_events")}, {cte("fx_pose_events")}

@@ -108,6 +108,15 @@ def m2_m3_voxel_counts(spark, d):
     return voxel.with_key(fixture(spark, d, "fx_pwn"), SIZE).groupBy(*KEY).agg(F.count("*").alias("n"))
 
 
+def m1_in_range(spark, d):
+    out = voxel.in_range(fixture(spark, d, "fx_points"), 2.0, 2.5)
+    return out.groupBy("scan_id").agg(F.count("*").alias("n"), rnd(F.sum("x"), 4).alias("sx"))
+
+
+def m9_remove(spark, d):
+    return voxel.remove(_map(spark, d), _half(spark, d)).select(*KEY)
+
+
 def m5_corners(spark, d):
     out = voxel.corners(voxel.with_key(fixture(spark, d, "fx_pwn"), SIZE).select(*KEY).distinct(), SIZE)
     return _r(out, "cx", "cy", "cz", "lox", "hiz", keep=KEY)
@@ -267,6 +276,17 @@ def c1_observations(spark, d):
     return visibility.observe(_visible(spark, d))
 
 
+def c2_visited_log(spark, d):
+    vps = _vps(spark, d).withColumn("at", F.col("vp_id") * 0.5)
+    log = planner.record_visited(vps.select("vp_id", "x", "y", "z", "yaw", F.lit("visited").alias("status"), F.col("at").alias("visited_at")).where("vp_id % 10 = 0"), vps, "at")
+    return _r(log, "x", "y", "z", "yaw", "visited_at", keep=("vp_id", "status"))
+
+
+def c4_local_coverage(spark, d):
+    regions = _visible(spark, d).select(F.col("vp_id").alias("region_id"), *KEY)
+    return _r(visibility.local_coverage(regions, _half(spark, d)), "ratio", keep=("region_id", "total"))
+
+
 def c3_visited(spark, d):
     vps = _vps(spark, d)
     return planner.visited(vps, vps.where("vp_id % 10 = 0"))
@@ -369,6 +389,32 @@ def b18_capacity(spark, d):
     return fusion2d.capacity(_surfels_b(spark, d)).select(*KEY, "idx")
 
 
+def _weighted_b(spark, d):
+    s = _surfels_b(spark, d).withColumn("point_count", F.col("idx") % 90 + 3).withColumn("observations", F.col("idx") % 9 + 1)
+    s = s.withColumn("total_weight", F.col("point_count") * 0.5 + 0.0137).withColumn("sum_sq", F.col("l0") * F.col("point_count"))
+    return s.withColumns({f"sum_n{a}": F.col(f"n{a}") * F.col("point_count") for a in "xyz"})
+
+
+def b17_create(spark, d):
+    seeds = _surfels_b(spark, d).select(F.col("idx").alias("seed_id"), (F.col("cx") + F.when(F.col("idx") % 3 == 0, 5.0).otherwise(0.02)).alias("cx"), (F.col("cy") + 0.013).alias("cy"), "cz", "nx", "ny", "nz")
+    return _r(fusion2d.create_surfels(seeds, _surfels_b(spark, d)).withColumn("idx", F.coalesce("idx", F.lit(-1))).fillna(0.0, ["l1", "total_weight", "sum_nx"]), "cx", "l1", "total_weight", "sum_nx", keep=("seed_id", "idx", "is_new"))
+
+
+def b18_add_surfels(spark, d):
+    out = fusion2d.add_surfels(_weighted_b(spark, d))
+    return _r(out, "cx", "cy", "cz", "nx", "ny", "confidence", "total_weight", keep=("idx", "merged", "point_count", "observations"))
+
+
+def b21_merge(spark, d):
+    s = _weighted_b(spark, d)
+    out = fusion2d.merge_surfels(fusion2d.merge_pairs(_surfels_b(spark, d), mode="intended"), s)
+    return _r(out, "cx", "cy", "cz", "radius", "confidence", "total_weight", "sum_sq", keep=("a", "b", "point_count", "observations"))
+
+
+def b28_aspect(spark, d):
+    return _r(fusion2d.aspect_ratio(_surfels_b(spark, d)), "aspect", keep=("idx",))
+
+
 def b19_merge_pairs(spark, d):
     return fusion2d.merge_pairs(_surfels_b(spark, d), mode="intended")
 
