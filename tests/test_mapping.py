@@ -180,3 +180,43 @@ def test_chain_of_three_equals_plain_steps(spark, monkeypatch):
     monkeypatch.setattr(planner, "plan", lambda *a: (used.append(a[5:]), got)[1])
     QUERIES["v16_plan"](spark, SF)
     assert all(q.max_viewpoints == PlannerParams().max_viewpoints for q in used[0])
+
+
+def test_fusion_goes_on_from_the_stored_state(spark):
+    rng = np.random.default_rng(5)
+    n = 60
+    at = rng.uniform(-0.05, 0.05, (n, 3)) * [1, 1, 0.1]
+    pts = [(int(i % 2), 10**18 + int(i // 10), int(i), *map(float, q), 0.1, 0.0, 0.995) for i, q in enumerate(at)]
+    points = spark.createDataFrame(pts, "idx long, stamp long, point_id long, x double, y double, z double, pnx double, pny double, pnz double")
+    surfels = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 0.01, 0.0, 0.0, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "idx long, cx double, cy double, cz double, nx double, ny double, nz double")
+    whole = fusion2d.fuse_all(points, surfels).toPandas().sort_values("idx")
+    early, late = points.where(f"stamp < {10**18 + 3}"), points.where(f"stamp >= {10**18 + 3}")
+    parts = fusion2d.fuse_all(late, fusion2d.fuse_all(early, surfels)).toPandas().sort_values("idx")
+    assert whole.idx.tolist() == [0, 1] and whole.point_count.tolist() == [31, 31]
+    assert whole.stamp.tolist() == parts.stamp.tolist() == [10**18 + 5] * 2
+    assert np.allclose(whole.drop(columns="stamp").to_numpy(float), parts.drop(columns="stamp").to_numpy(float), rtol=1e-12, atol=1e-12)
+
+
+def test_bad_paths_are_mended_to_the_next_viewpoint(spark):
+    p, size = PlannerParams(rrt_margin=4.0), 0.3
+    wall = {(4, y, z) for y in range(-4, 5) for z in range(0, 8)} | {(60, 0, 3)}
+    voxels = spark.createDataFrame([(*k, 9) for k in sorted(wall)], "vx int, vy int, vz int, count long")
+    line = lambda plan, xs, marks, y=0.0: [(plan, s, x, y, 1.0, 0.5, s if s in marks else None) for s, x in enumerate(xs)]
+    rows_ = line(1, [-2.0, -0.5, 3.2, 4.5, 6.0], {0, 3, 4}) + line(2, [-2.0, -0.5, 3.2], {0}) + line(3, [-4.0, -3.0, -2.0], {2})
+    rows_ += line(4, [16.5, 18.15], {1}, y=0.15)  # ends inside a voxel's reach: no leg gets there
+    names = "plan_id long, seq int, x double, y double, z double, yaw double, viewpoint_idx int"
+    mended, states = paths.mend_paths(spark.createDataFrame(rows_, names), voxels, size, PlannerParams(rrt_margin=4.0, rrt_iterations=200))
+    told = {r.plan_id: (r.bad, r.state, r.erased) for r in states.collect()}
+    assert told == {1: (1, "repaired", None), 2: (1, "replan", None), 3: (-1, "valid", None), 4: (0, "unreachable", 1)}
+    got = {}
+    for r in sorted(mended.collect(), key=lambda r: (r.plan_id, r.seq)):
+        got.setdefault(r.plan_id, []).append(r)
+    assert set(got) == {1, 3} and [r.seq for r in got[3]] == [0, 1, 2] and [r.seq for r in got[1]] == list(range(len(got[1])))
+    at = [np.array([r.x, r.y, r.z]) for r in got[1]]
+    assert all(paths._free(paths._edge(a, b, p.rrt_step), wall, size, p.inflation) for a, b in zip(at, at[1:]))
+    assert at[0].tolist() == [-2.0, 0.0, 1.0] and at[-1].tolist() == [6.0, 0.0, 1.0] and at[-2].tolist() == [4.5, 0.0, 1.0]
+    assert [r.viewpoint_idx for r in got[1]] == [0, *[None] * (len(at) - 2), 4] and got[1][-2].yaw == 0.5
+    for a, b in zip(got[1][2:-2], got[1][3:-1]):
+        assert math.isclose(a.yaw, math.atan2(b.y - a.y, b.x - a.x))
+    none, no_states = paths.mend_paths(spark.createDataFrame([], names), voxels, size, p)
+    assert none.count() == 0 and no_states.count() == 0

@@ -254,23 +254,44 @@ def new_state(center, normal, radius: float, stamp: int) -> dict:
     return {"center": np.array(center, float), "normal": np.array(normal, float), "weight": 1.0, "points": 1, "observations": 1, "stamp": stamp, "sum_normals": np.array(normal, float), "sum_tangent": np.zeros(2), "sum_outer": np.zeros((2, 2)), "sum_sq": 0.0, "covariance": radius**2 * np.eye(2)}
 
 
-FUSED = "idx long, cx double, cy double, cz double, nx double, ny double, nz double, l0 double, l1 double, point_count long, observations long, total_weight double, sum_sq double, sum_nx double, sum_ny double, sum_nz double"
+STATE = ("sum_u", "sum_v", "sum_uu", "sum_uv", "sum_vv", "cov_uu", "cov_uv", "cov_vv")
+FUSED = "idx long, cx double, cy double, cz double, nx double, ny double, nz double, l0 double, l1 double, point_count long, observations long, total_weight double, sum_sq double, sum_nx double, sum_ny double, sum_nz double, stamp long, " + ", ".join(f"{c} double" for c in STATE)
+KEPT = [c.split()[0] for c in FUSED.split(", ")]
+
+
+def stored_state(row) -> dict:
+    """The state that a row of FUSED holds."""
+    suu, suv, svv, cuu, cuv, cvv = (float(row[c]) for c in STATE[2:])
+    return {
+        "center": row[list(C)].to_numpy(float), "normal": row[["nx", "ny", "nz"]].to_numpy(float), "weight": float(row.total_weight), "points": int(row.point_count), "observations": int(row.observations), "stamp": int(row.stamp),
+        "sum_normals": row[["sum_nx", "sum_ny", "sum_nz"]].to_numpy(float), "sum_tangent": row[["sum_u", "sum_v"]].to_numpy(float), "sum_outer": np.array([[suu, suv], [suv, svv]]), "sum_sq": float(row.sum_sq), "covariance": np.array([[cuu, cuv], [cuv, cvv]]),
+    }
 
 
 def fuse_all(associated: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     """B1, B8 in snapshot mode: the points of each surfel in the order (stamp, point_id).
 
-    associated(idx, stamp, point_id, x.., pnx..). One surfel's points make a group: those of one
-    batch on one patch, bounded by the scan grid.
+    associated(idx, stamp, point_id, x.., pnx..). surfels(idx, c*, n*) with the columns of FUSED go on
+    from the state they hold, so batches one after another, each associated by its caller, add up;
+    without those columns, or where they are null, a surfel starts as new (B7). Surfels without
+    points give no row. One surfel's points make a group: those of one batch on one patch, bounded
+    by the scan grid.
     """
-    start = surfels.select("idx", *C, "nx", "ny", "nz").withColumnsRenamed({f"n{a}": f"sn{a}" for a in "xyz"})
+    held = [c for c in KEPT if c not in ("idx", *C, "nx", "ny", "nz", "l0", "l1")]
+    whole = set(held) <= set(surfels.columns)
+    start = surfels.select("idx", F.struct(*C, "nx", "ny", "nz", *(held if whole else [])).alias("s"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["stamp", "point_id"])
-        f = pdf.iloc[0]
-        s = new_state(f[list(C)].to_numpy(float), f[["snx", "sny", "snz"]].to_numpy(float), p.init_radius, int(f.stamp))
+        f = pd.Series(pdf["s"].iloc[0], dtype=object)
+        if whole and not f[held].isna().any():
+            s = stored_state(f)
+        else:
+            s = new_state(f[list(C)].to_numpy(float), f[["nx", "ny", "nz"]].to_numpy(float), p.init_radius, int(pdf["stamp"].iloc[0]))
         s = fuse(s, pdf[["x", "y", "z"]].to_numpy(float), pdf[["pnx", "pny", "pnz"]].to_numpy(float), pdf["stamp"].to_numpy(), p)
-        e = np.maximum(np.linalg.eigvalsh(s["covariance"]), 1e-8)
-        return pd.DataFrame([[f.idx, *s["center"], *s["normal"], *e, s["points"], s["observations"], s["weight"], s["sum_sq"], *s["sum_normals"]]], columns=[c.split()[0] for c in FUSED.split(", ")])
+        e, o, cov = np.maximum(np.linalg.eigvalsh(s["covariance"]), 1e-8), s["sum_outer"], s["covariance"]
+        sums = [*s["sum_tangent"], o[0, 0], o[0, 1], o[1, 1], cov[0, 0], cov[0, 1], cov[1, 1]]
+        return pd.DataFrame([[pdf["idx"].iloc[0], *s["center"], *s["normal"], *e, s["points"], s["observations"], s["weight"], s["sum_sq"], *s["sum_normals"], int(s["stamp"]), *sums]], columns=KEPT)
 
-    return associated.where("idx is not null").join(start, "idx").groupBy("idx").applyInPandas(run, FUSED)
+    points = associated.where("idx is not null").select("idx", "stamp", "point_id", "x", "y", "z", "pnx", "pny", "pnz")
+    return points.join(start, "idx").groupBy("idx").applyInPandas(run, FUSED)

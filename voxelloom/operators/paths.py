@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..functions.shared import checkpoint
 from ..params import PlannerParams
 from .voxel import KEY, collisions, radius_join
 
@@ -158,3 +159,38 @@ def plan_legs(legs: DataFrame, voxels: DataFrame, size: float, p: PlannerParams
         return pd.DataFrame(rows, columns=["leg_id", "seq", "x", "y", "z"])
 
     return legs.groupBy("leg_id").cogroup(near.groupBy("near_leg")).applyInPandas(run, "leg_id long, seq int, x double, y double, z double")
+
+
+def mend_paths(path: DataFrame, voxels: DataFrame, size: float, p: PlannerParams = PlannerParams(), seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Validate path(plan_id, seq, x, y, z, yaw, viewpoint_idx), replan each from its bad edge, splice, check again.
+
+    A leg is searched from the bad edge's first point to the next viewpoint's point, and takes the
+    place of what lay between; its points are no viewpoints (null), look at the next one, and the
+    last keeps the yaw of the point that it stands for. Returns the usable paths, numbered from 0,
+    and per plan its state: valid, repaired, unreachable (no leg found; erased is the viewpoint to
+    drop) or replan (no viewpoint after the bad edge, or still bad). An empty table gives two empty ones.
+    """
+    old = path.select("plan_id", "seq", "x", "y", "z", "yaw", "viewpoint_idx").join(checkpoint(first_invalid(path, voxels, size, p)), "plan_id")
+    goal = old.where("first_invalid >= 0 and seq > first_invalid and viewpoint_idx is not null").groupBy("plan_id")
+    goal = checkpoint(goal.agg(F.min(F.struct("seq", "viewpoint_idx", "x", "y", "z", "yaw")).alias("g")))
+    legs = old.where("seq = first_invalid").join(goal, "plan_id")
+    legs = legs.select(F.col("plan_id").alias("leg_id"), *[F.col(a).alias(f"s{a}") for a in "xyz"], *[F.col(f"g.{a}").alias(f"g{a}") for a in "xyz"])
+    found = checkpoint(plan_legs(legs, voxels, size, p, seed)).withColumnRenamed("leg_id", "plan_id")
+    w = Window.partitionBy("plan_id").orderBy("seq")
+    nx, ny = F.lead("x").over(w), F.lead("y").over(w)
+    new = found.withColumns({"nx": nx, "ny": ny}).where("seq > 0").join(goal, "plan_id")
+    new = new.withColumn("yaw", F.when(F.col("nx").isNull(), F.col("g.yaw")).otherwise(F.atan2(F.col("ny") - F.col("y"), F.col("nx") - F.col("x"))))
+    point = ["plan_id", "part", "seq", "x", "y", "z", "yaw", "viewpoint_idx"]
+    new = new.withColumns({"part": F.lit(1), "viewpoint_idx": F.lit(None).cast(path.schema["viewpoint_idx"].dataType)}).select(*point)
+    some = found.select("plan_id").distinct().join(goal, "plan_id")
+    kept = old.join(some, "plan_id").withColumn("part", F.when(F.col("seq") <= F.col("first_invalid"), 0).when(F.col("seq") > F.col("g.seq"), 2))
+    rank = F.row_number().over(Window.partitionBy("plan_id").orderBy("part", "seq")) - 1
+    spliced = checkpoint(kept.where("part is not null").select(*point).unionByName(new).withColumn("seq", rank).drop("part"))
+    again = first_invalid(spliced, voxels, size, p).withColumnRenamed("first_invalid", "left")
+    states = old.groupBy("plan_id").agg(F.first("first_invalid").alias("bad")).join(goal, "plan_id", "left").join(again, "plan_id", "left")
+    lost = F.col("g").isNotNull() & F.col("left").isNull()
+    state = F.when(F.col("bad") < 0, "valid").when(lost, "unreachable").when(F.col("left") < 0, "repaired").otherwise("replan")
+    states = checkpoint(states.select("plan_id", "bad", state.alias("state"), F.when(lost, F.col("g.viewpoint_idx")).alias("erased")))
+    good = old.where("first_invalid < 0").withColumn("seq", F.row_number().over(w) - 1).drop("first_invalid")
+    good = good.unionByName(spliced.join(states.where("state = 'repaired'").select("plan_id"), "plan_id", "left_semi"))
+    return good, states

@@ -339,6 +339,15 @@ def r1_tree_search(spark, d):
     return _r(paths.plan_legs(legs, _map(spark, d), SIZE), "x", "y", "z", keep=("leg_id", "seq"))
 
 
+def i2_mend_paths(spark, d):
+    """Of three plans one stays as it is; in the others a point between two viewpoints is in the wall."""
+    moved = F.when(F.col("seq") == F.col("plan_id") % 3 * 2 - 1, F.lit(2.0)).otherwise(F.col("x"))
+    path = _legs(spark, d).withColumns({"x": moved, "yaw": F.lit(0.0), "viewpoint_idx": F.when(F.col("seq") % 2 == 0, F.col("seq"))})
+    mended, states = paths.mend_paths(path, _map(spark, d), SIZE)
+    counts = mended.groupBy("plan_id").agg(F.count("*").alias("points"))
+    return states.join(counts, "plan_id", "left")
+
+
 # --- tangent-plane surfels
 
 
