@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_wrapper, jaccard_join, license_scan, mixing, secret_scan, token_output, toxicity, warc
+from . import decontam, embed_dedup, html_wrapper, jaccard_join, license_scan, mixing, secret_scan, spelling, token_output, toxicity, vector_codes, warc
 from .common import prepare, table
 
 
@@ -62,6 +62,14 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_wrapper": op2_html_wrapper,
@@ -73,6 +81,14 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLE_SQL = {"op9_mix_sources": mixing.ORACLE_SQL, "op7_license_scan": license_scan.oracle_sql(), "op10_secret_scan": secret_scan.oracle_sql()}
+ORACLE_SQL = {
+    "op9_mix_sources": mixing.ORACLE_SQL,
+    "op7_license_scan": license_scan.oracle_sql(),
+    "op10_secret_scan": secret_scan.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op13_spelling": spelling.oracle_sql(),
+}
