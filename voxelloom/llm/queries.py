@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_wrapper, jaccard_join, license_scan, mixing, secret_scan, spelling, token_output, toxicity, vector_codes, warc
+from . import decontam, embed_dedup, html_wrapper, jaccard_join, license_scan, line_quality, mixing, secret_scan, spelling, token_output, toxicity, vector_codes, warc
 from .common import prepare, table
 
 
@@ -66,6 +66,12 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(prepare(spark), sf_dir, "embeddings"))
 
 
+def op12_line_quality(spark, sf_dir):
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return line_quality.label_lines(docs, model).drop("text")
+
+
 def op13_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
     "op11_vector_codes": op11_vector_codes,
+    "op12_line_quality": op12_line_quality,
     "op13_spelling": op13_spelling,
 }
 

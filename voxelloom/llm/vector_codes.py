@@ -176,7 +176,7 @@ def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     counts as filled up with zeros to the length of the longest, and that to a multiple of `parts`;
     empty vectors are all zeros. Codebooks start as the parts of the `entries` smallest vec_ids
     (equal ids: by their components; null ids last); with fewer rows there are fewer entries.
-    Repeated rows each count and each get their row. Components saturate at most(width), 2**29
+    Repeated rows each count and each get their row. Components saturate at most(width), 2**28
     for four a part; an error beyond 64 bits is null. An empty table gives an empty result and
     codebooks without entries. Other columns aren't read.
     """
