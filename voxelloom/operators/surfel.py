@@ -20,21 +20,29 @@ PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 SUMS = ["count", "n_points", "sum_w", "wx", "wy", "wz", *[f"w{p}" for p in PAIRS], "wnx", "wny", "wnz"]
 
 
-def raw_moments(pwn: DataFrame, p: SurfelParams = SurfelParams()) -> DataFrame:
-    """Weighted sums per voxel about its centre, of points with weight over the gate.
+def moment_terms(pwn: DataFrame, p: SurfelParams = SurfelParams()) -> DataFrame:
+    """Each point's voxel and what it adds to the voxel's SUMS, weighted, about the voxel's centre.
 
-    pwn(x, y, z, nx, ny, nz, w). count has the points used, n_points all of them; a voxel of rejected
-    points stays with count 0. Partial aggregation makes a hot voxel one row per task.
+    pwn(x, y, z, nx, ny, nz, w). A point whose weight isn't over the gate adds to n_points only.
     """
     d = with_key(pwn, p.voxel)
     d = d.withColumns({f"d{a}": F.col(a) - c for a, c in zip("xyz", center(p.voxel), strict=True)})
     on = F.col("w") > p.min_weight
     w = F.when(on, F.col("w")).otherwise(0.0)
-    sums = [F.sum(F.when(on, 1).otherwise(0)).cast("long").alias("count"), F.count("*").alias("n_points"), F.sum(w).alias("sum_w")]
-    sums += [F.sum(w * F.col(f"d{a}")).alias(f"w{a}") for a in "xyz"]
-    sums += [F.sum(w * F.col(f"d{a}") * F.col(f"d{b}")).alias(f"w{a}{b}") for a, b in PAIRS]
-    sums += [F.sum(w * F.col(f"n{a}")).alias(f"wn{a}") for a in "xyz"]
-    return d.groupBy(*KEY).agg(*sums)
+    terms = {"count": F.when(on, 1).otherwise(0).cast("long"), "n_points": F.lit(1).cast("long"), "sum_w": w}
+    terms |= {f"w{a}": w * F.col(f"d{a}") for a in "xyz"}
+    terms |= {f"w{a}{b}": w * F.col(f"d{a}") * F.col(f"d{b}") for a, b in PAIRS}
+    terms |= {f"wn{a}": w * F.col(f"n{a}") for a in "xyz"}
+    return d.select(*KEY, *[c.alias(n) for n, c in terms.items()])
+
+
+def raw_moments(pwn: DataFrame, p: SurfelParams = SurfelParams()) -> DataFrame:
+    """Weighted sums per voxel of points with weight over the gate.
+
+    count has the points used, n_points all of them; a voxel of rejected points stays with count 0.
+    Partial aggregation makes a hot voxel one row per task.
+    """
+    return moment_terms(pwn, p).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def merge(*states: DataFrame) -> DataFrame:
