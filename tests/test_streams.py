@@ -65,3 +65,91 @@ def test_coverage_state_equals_batch_after_a_restart(spark, tmp_path):
     want = told.unionByName(again).groupBy("vx", "vy", "vz", "vp_id").agg(F.min("ts").alias("since"))
     assert seen.count() > 100 and equal(got, want)
     assert equal(visibility.observe(got), visibility.observe(seen))
+
+
+# --- poses and scans
+
+
+def pose_files(spark, tmp_path):
+    """Pose and scan events of one time base in four files each, a sentinel that lets the watermark pass all, and late poses."""
+    poses = fixture(spark, SF, "fx_pose_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    scans = fixture(spark, SF, "fx_scan_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    week = [f"ts >= '2024-01-{a:02d}' and ts < '2024-01-{a:02d}' + interval 8 days" for a in (1, 9, 17, 25)]
+    end = "timestamp '2024-03-01'"
+    late = poses.limit(5).selectExpr("-1L as drone_id", "event_id", "timestamp '2024-01-02' as ts", "px", "py", "pz", "yaw")
+    for df, name in ((poses, "poses"), (scans, "scans")):
+        write_parts(df, str(tmp_path / name), week)
+        last = df.limit(1).withColumn("ts", F.expr(end)).withColumn("drone_id", F.lit(-9).cast("long"))
+        if name == "poses":
+            last = last.unionByName(late)
+        for k in range(2):
+            last.withColumn("ts", F.expr(f"ts + interval {k} days") if k else F.col("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, df: files(spark, str(tmp_path / name), df.schema)
+    return poses, scans, read("poses", poses), read("scans", scans)
+
+
+@pytest.mark.parametrize("how", ["skip", "null"])
+def test_streamed_pose_join_equals_as_of(spark, tmp_path, how):
+    from voxelloom.sources.poses import pose_as_of
+    from voxelloom.streaming import scans as S
+
+    poses, scans, pose_stream, scan_stream = pose_files(spark, tmp_path)
+    out = S.join_poses(scan_stream, pose_stream, late="1 hour", reach="3 days", how=how)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 4 and S.late_rows(q) >= 5
+    got = spark.read.parquet(str(tmp_path / "out")).where("drone_id >= 0").select("drone_id", "scan_id", "ts", "pose_ts", "event_id", "px")
+    near = F.expr("pose_ts >= ts - interval 3 days")
+    want = pose_as_of(scans, poses, "keep").select("drone_id", "scan_id", "ts", *[F.when(near, F.col(c)).alias(c) for c in ("pose_ts", "event_id", "px")])
+    want = want.where("pose_ts is not null") if how == "skip" else want
+    assert want.count() > 50 and equal(got, want)
+
+
+@pytest.mark.parametrize("how", ["skip", "keep"])
+def test_streamed_last_pose_equals_as_of(spark, tmp_path, how):
+    from voxelloom.sources.poses import pose_as_of
+    from voxelloom.streaming import scans as S
+
+    poses, scans, pose_stream, scan_stream = pose_files(spark, tmp_path)
+    q = S.start_kept_poses(scan_stream, pose_stream, str(tmp_path / "out"), str(tmp_path / "cp"), late="1 hour", how=how)
+    q.awaitTermination()
+    assert S.late_rows(q) >= 5
+    cols = ["drone_id", "scan_id", "ts", "pose_ts", "event_id", "px", "yaw"]
+    got = spark.read.parquet(str(tmp_path / "out")).where("drone_id >= 0").select(*cols)
+    want = pose_as_of(scans, poses, how).select(*cols)
+    assert want.count() > 100 and equal(got, want)
+
+
+def test_scan_stream_equals_batch(spark, tmp_path):
+    """Raw scans in files, poses in a table; the map and the cleaned points equal those of all scans at once."""
+    from voxelloom.operators import preprocess
+    from voxelloom.params import ScanParams
+    from voxelloom.streaming import scans as S
+    from voxelloom.streaming.drivers import SurfelMapStream
+
+    p = ScanParams(width=60, height=45)
+    drone = (F.col("scan_id") % 2).cast("long")
+    points = fixture(spark, SF, "fx_points").select(drone.alias("drone_id"), F.col("scan_id").cast("long").alias("scan_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("scan_id")).alias("ts"), "point_idx", "x", "y", "z")
+    at = [(d, k, 1_700_000_000 + k, 0.1 * k, 0.2 * d, 1.5, 0.1 * k) for d in (0, 1) for k in range(2, 9, 2)]  # scan 1 has no pose yet
+    poses = spark.createDataFrame(at, "drone_id long, event_id long, s long, px double, py double, pz double, yaw double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    path = str(tmp_path / "scans")
+    write_parts(points, path, [f"scan_id = {k}" for k in range(1, 8)])
+    surfels = SurfelMapStream(spark, str(tmp_path / "map"), MAP, prune="never")
+    sink = S.scan_sink(lambda: poses, surfels.process, S.folder_sink(str(tmp_path / "clean")), p=p)
+    q = S.start(S.read_files(spark, path, points.schema, 2), sink, str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert [x.numInputRows > 0 for x in q.recentProgress] == [True] * 4
+    whole = S.cleaned_scans(points, poses, p)
+    cols = ["drone_id", "scan_id", "u", "v", *[f"round({c}, 9) + 0.0 {c}" for c in ("x", "y", "z", "nx", "ny", "nz", "w")]]
+    got = spark.read.parquet(str(tmp_path / "clean"))
+    assert {r.scan_id for r in got.select("scan_id").distinct().collect()} == set(range(2, 8))
+    assert equal(got.selectExpr(*cols), whole.selectExpr(*cols))
+    show = ["vx", "vy", "vz", "count", "round(mx, 9) mx", "is_valid"]
+    assert equal(surfels.surfels().selectExpr(*show), surfel.surfels(whole, MAP).selectExpr(*show))
+    # One scan by the operators alone.
+    one = preprocess.preprocess(points.where("scan_id = 3"), p, (0.0, 0.0, 1.0, 1.5)).withColumns({"a": F.lit(0.2), "tx": F.lit(0.2), "ty": F.lit(0.2), "tz": F.lit(1.5)})
+    one = preprocess.to_world(one, "a", ("tx", "ty", "tz"), with_normals=True).selectExpr(*cols[2:])
+    assert equal(one, whole.where("scan_id = 3").selectExpr(*cols[2:]))
+    # A scan before the first pose stays, in the sensor's frame.
+    kept = S.cleaned_scans(points, poses, p, how="keep", world=False)
+    assert {r.scan_id for r in kept.select("scan_id").distinct().collect()} == set(range(1, 8))
