@@ -153,3 +153,129 @@ def test_scan_stream_equals_batch(spark, tmp_path):
     # A scan before the first pose stays, in the sensor's frame.
     kept = S.cleaned_scans(points, poses, p, how="keep", world=False)
     assert {r.scan_id for r in kept.select("scan_id").distinct().collect()} == set(range(1, 8))
+
+
+# --- fusion
+
+
+def plain_frames(frames, p):
+    """B1, B3, B8, B13, B14, B17 in plain loops; a frame associates with the surfels before it."""
+    from voxelloom.operators.fusion2d import fuse, new_state
+
+    surfels, waiting, told, count, nxt = {}, [], [], 0, 0
+
+    def near(s, x, n):
+        d = x - s["center"]
+        u = np.cross(s["normal"], [0, 0, 1.0] if abs(s["normal"][2]) < 0.9 else [1.0, 0, 0])
+        u /= np.linalg.norm(u)
+        a = np.array([d @ u, d @ np.cross(s["normal"], u)])
+        vals, axes = np.linalg.eigh(s["covariance"])
+        vals, a = np.maximum(vals, 1e-8), axes.T @ (a - s["sum_tangent"] / s["weight"])
+        cells = np.floor(x / p.voxel), np.floor(s["center"] / p.voxel)
+        if np.abs(cells[0] - cells[1]).max() > 1 or abs(n @ s["normal"]) < np.cos(np.radians(p.normal_deg)) or abs(d @ s["normal"]) > p.normal_dist:
+            return None
+        m = sum(v * v / w for v, w in zip(a, vals) if w > 1e-8)
+        return m if m < p.mahalanobis else None
+
+    def fold(k, pts, stamps):
+        surfels[k] = fuse(surfels[k], np.array([q[2] for q in pts]), np.array([q[3] for q in pts]), np.array(stamps), p)
+
+    for rows in frames:
+        rows = [r for r in rows if np.isfinite([*r[2], *r[3]]).all() and np.linalg.norm(r[3]) >= 0.1]
+        mine = {}
+        for r in sorted(rows, key=lambda r: (r[1], r[0])):
+            best = min(((m, k) for k, s in surfels.items() if (m := near(s, r[2], r[3])) is not None), default=None)
+            if best is None:
+                waiting.append(r)
+            else:
+                mine.setdefault(best[1], []).append(r)
+        for k, pts in mine.items():
+            fold(k, pts, [q[1] for q in pts])
+        waiting = waiting[-p.accumulator :]
+        count += 1
+        if count % 5 == 0:
+            stamp = max(r[1] for r in rows)
+            cells = {}
+            for r in waiting:
+                cells.setdefault(tuple(np.floor(r[2] / (2 * p.coherence)).astype(int)), []).append(r)
+            base, gone, seed = nxt, set(), 0
+            before = {k: dict(s) for k, s in surfels.items()}
+            for cell, pts in sorted(cells.items()):
+                if len(pts) < 5:
+                    continue
+                c = np.mean([q[2] for q in pts], 0)
+                n = np.sum([q[3] for q in pts], 0)
+                n = n / np.linalg.norm(n)
+                if max(((q[2] - c) ** 2).sum() for q in pts) > (2 * p.coherence) ** 2 or np.mean([1 - (q[3] @ n) ** 2 for q in pts]) > p.coherence:
+                    continue
+                seed += 1
+                options = []
+                for k, s in before.items():
+                    d = np.linalg.norm(s["center"] - c)
+                    dot = abs(s["normal"] @ n)
+                    radius = np.sqrt(max(np.linalg.eigvalsh(s["covariance"])[1], 1e-8))
+                    if dot >= p.merge_dot and d <= 2 * radius + p.merge_dist and np.abs(np.floor(s["center"] / p.voxel) - np.floor(c / p.voxel)).max() <= 1:
+                        options.append((-dot * told_confidence(s, p) / (1 + d), k))
+                gone |= {id(q) for q in pts}
+                if options:
+                    told.append(("merged", min(options)[1], len(pts)))
+                    fold(min(options)[1], sorted(pts, key=lambda q: q[0]), [stamp] * len(pts))
+                else:
+                    told.append(("new", base + seed, len(pts)))
+                    surfels[base + seed] = new_state(c, n, p.init_radius, stamp)
+                    nxt = base + seed + 1
+            waiting = [q for q in waiting if id(q) not in gone]
+    return surfels, waiting, told
+
+
+def told_confidence(s, p):
+    n, o = s["points"], s["observations"]
+    e = np.maximum(np.linalg.eigvalsh(s["covariance"]), 1e-8)
+    rms = np.sqrt(s["sum_sq"]) / n
+    mean = np.linalg.norm(s["sum_normals"]) / n
+    area = np.pi * np.sqrt(e[0]) * np.sqrt(e[1])
+    return (1 - np.exp(-n / p.support)) * np.exp(-(rms**2) / p.fit_sigma**2) * mean * ((1 - p.temporal) + p.temporal * (1 - np.exp(-o / p.observations))) * (1 - np.exp(-area / p.area))
+
+
+def test_ten_frames_equal_a_plain_fusion(spark, tmp_path):
+    from voxelloom.params import FusionParams
+    from voxelloom.streaming import scans as S
+    from voxelloom.streaming.fusion import FusionStream
+
+    p = FusionParams(accumulator=160)
+    rng = np.random.default_rng(8)
+    frames = []
+    for k in range(11):
+        at = np.column_stack([2 + rng.normal(0, 0.004, 46), rng.uniform(-0.9, 0.9, 46), rng.uniform(0.1, 1.3, 46)])
+        if k >= 5:
+            at[:12] = [2.02, 0.31, 0.65] + rng.normal(0, 0.03, (12, 3)) * [0.1, 1, 1]
+        n = np.array([-1.0, 0, 0]) + rng.normal(0, 0.05, (46, 3))
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        rows = [(1000 * k + i, 10**15 + k, at[i], n[i]) for i in range(46)]
+        rows[3] = (rows[3][0], rows[3][1], np.array([np.nan, 0, 0]), rows[3][3])
+        rows[4] = (rows[4][0], rows[4][1], rows[4][2], rows[4][3] * 0.05)
+        frames.append(rows)
+    flat = [(i, s, *map(float, x), *map(float, n)) for f in frames for i, s, x, n in f]
+    points = spark.createDataFrame(flat, "point_id long, stamp long, x double, y double, z double, pnx double, pny double, pnz double")
+    path = str(tmp_path / "frames")
+    write_parts(points, path, [f"stamp = {10**15 + k}" for k in range(6)])
+    for more in ([], [f"stamp = {10**15 + k}" for k in range(6, 11)]):  # a new driver goes on after six frames
+        write_parts(points, path, more)
+        fusion = FusionStream(spark, str(tmp_path / "state"), p)
+        S.start(S.read_files(spark, path, points.schema), fusion.process, str(tmp_path / "cp")).awaitTermination()
+    surfels, waiting, told = plain_frames(frames, p)
+    assert fusion.last() == 10 and any(t[0] == "merged" for t in told) and sum(t[0] == "new" for t in told) > 3
+    got = {r.idx: r for r in fusion.surfels().collect()}
+    assert set(got) == set(surfels)
+    for k, s in surfels.items():
+        r = got[k]
+        assert (r.point_count, r.observations, r.stamp) == (s["points"], s["observations"], s["stamp"])
+        assert np.allclose([r.cx, r.cy, r.cz, r.nx, r.ny, r.nz, r.sum_sq, r.total_weight], [*s["center"], *s["normal"], s["sum_sq"], s["weight"]], atol=1e-9)
+    assert sorted(r.point_id for r in fusion.waiting().collect()) == sorted(r[0] for r in waiting)
+    # A flush leaves the state and may start or feed surfels of the frames since.
+    cells = {}
+    for r in waiting:
+        cells.setdefault(tuple(np.floor(r[2] / 0.6).astype(int)), []).append(r)
+    flushed = fusion.flush()
+    assert flushed.count() >= len(surfels) and {r.idx for r in flushed.collect()} >= set(surfels)
+    assert {r.idx for r in fusion.surfels().collect()} == set(surfels)

@@ -74,6 +74,27 @@ def rotation_of_quaternion(qw, qx, qy, qz):
     )
 
 
+def determinant(rows) -> Column:
+    return dot(rows[0], cross(rows[1], rows[2]))
+
+
+def quaternion_of_rotation(rows):
+    """(qw, qx, qy, qz), qw >= 0, of nine columns of a rotation, row by row: by the largest of its four squares.
+
+    The square of that part is a fourth at least, so nothing is lost to cancellation.
+    """
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    squares = (1 + a + e + i, 1 + a - e - i, 1 - a + e - i, 1 - a - e + i)
+    top = F.greatest(*squares)
+    scaled = ((top, h - f, c - g, d - b), (h - f, top, b + d, c + g), (c - g, b + d, top, f + h), (d - b, c + g, f + h, top))
+    parts = []
+    for k in range(4):
+        value = F.when(squares[0] == top, scaled[0][k]).when(squares[1] == top, scaled[1][k]).when(squares[2] == top, scaled[2][k]).otherwise(scaled[3][k])
+        parts.append(value / (2 * F.sqrt(top)))
+    sign = F.when(parts[0] < 0, -1.0).otherwise(1.0)
+    return tuple(q * sign for q in parts)
+
+
 def rotate(rows, p):
     return tuple(dot(r, p) for r in rows)
 
@@ -85,23 +106,8 @@ def finite(*columns) -> Column:
     return out
 
 
-def eigenvalues3(xx, xy, xz, yy, yz, zz):
-    """Ascending eigenvalues of a symmetric 3 x 3 matrix in closed form, negatives cut to 0."""
-    q = (xx + yy + zz) / 3
-    off = xy * xy + xz * xz + yz * yz
-    a, b, c = xx - q, yy - q, zz - q
-    p = F.sqrt((a * a + b * b + c * c + 2 * off) / 6)
-    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
-    r = F.when(p > 0, det / (2 * p * p * p)).otherwise(F.lit(0.0))
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))) / 3
-    big = q + 2 * p * F.cos(phi)
-    low = q + 2 * p * F.cos(phi + F.lit(2 * math.pi / 3))
-    mid = 3 * q - big - low
-    return tuple(F.greatest(F.lit(0.0), x) for x in (low, mid, big))
-
-
-def smallest_eigenvector(xx, xy, xz, yy, yz, zz, value):
-    """Unit vector of an eigenvalue: the longest cross product of two rows of A - value I."""
+def eigenvector3(xx, xy, xz, yy, yz, zz, value):
+    """Unit vector of a single eigenvalue of a symmetric 3 x 3 matrix: the longest cross product of two rows of A - value I."""
     r0, r1, r2 = (xx - value, xy, xz), (xy, yy - value, yz), (xz, yz, zz - value)
     products = [cross(r0, r1), cross(r0, r2), cross(r1, r2)]
     lengths = [dot(p, p) for p in products]

@@ -26,22 +26,50 @@ def tangents(surfels: DataFrame) -> DataFrame:
     return out.withColumns({f"t{a}": c for a, c in zip("xyz", L.cross(n, L.vec("u")), strict=True)})
 
 
+def eigenframe(surfels: DataFrame) -> DataFrame:
+    """l0 <= l1, the unit axis (ax, ay) of l1 in tangent coordinates and the mean (mu, mv) of the tangent sums.
+
+    From the covariance where surfels have it, with eigenvalues of 1e-8 at least; (-ay, ax) is the
+    axis of l0. Where covariance, sums or weight are missing or null, l0 is along u, l1 along v and
+    the mean 0.
+    """
+    have = set(surfels.columns)
+    if not {"cov_uu", "cov_uv", "cov_vv"} <= have:
+        out = surfels.withColumns({"ax": F.lit(0.0), "ay": F.lit(1.0)})
+    else:
+        known = F.col("cov_uu").isNotNull() & F.col("cov_uv").isNotNull() & F.col("cov_vv").isNotNull()
+        low, high = L.eigenvalues2(F.col("cov_uu"), F.col("cov_uv"), F.col("cov_vv"))
+        turn = F.when(known, F.atan2(2 * F.col("cov_uv"), F.col("cov_uu") - F.col("cov_vv")) / 2).otherwise(math.pi / 2)
+        # The axis of a round covariance is any: u, as for a new surfel.
+        out = surfels.withColumns({"l0": F.when(known, low).otherwise(F.col("l0")), "l1": F.when(known, high).otherwise(F.col("l1")), "ax": F.cos(turn), "ay": F.sin(turn)})
+    if not {"sum_u", "sum_v", "total_weight"} <= have:
+        return out.withColumns({"mu": F.lit(0.0), "mv": F.lit(0.0)})
+    mean = lambda c: F.when(F.col("total_weight") > 1e-6, F.coalesce(F.col(c) / F.col("total_weight"), F.lit(0.0))).otherwise(0.0)
+    return out.withColumns({"mu": mean("sum_u"), "mv": mean("sum_v")})
+
+
 def candidates(points: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
-    """Pairs of points(point_id, x.., pnx..) and surfels(idx, cx.., nx.., l0, l1) that may associate.
+    """Pairs of points(point_id, x.., pnx..) and surfels(idx, cx.., nx.., l0, l1, ...) that may associate.
 
     Surfels are spread to the 27 voxels around their own and meet points by key; then the normals'
-    angle, the distance along the normal and the squared Mahalanobis distance decide.
+    angle, the distance along the normal and the squared Mahalanobis distance decide: in the frame of
+    the covariance's eigenvectors, about the mean of the tangent coordinates (eigenframe); an axis of
+    1e-8 or less counts nothing.
     """
-    s = tangents(with_key(surfels, p.voxel, C)).withColumnsRenamed(dict(zip(KEY, ("sx_", "sy_", "sz_"), strict=True)))
-    s = neighbours(s.withColumnsRenamed(dict(zip(("sx_", "sy_", "sz_"), KEY, strict=True))), itself=True).drop(*KEY)
-    q = with_key(points, p.voxel).withColumnsRenamed(dict(zip(KEY, ("qx", "qy", "qz"), strict=True)))
+    s = eigenframe(tangents(with_key(surfels, p.voxel, C))).withColumnsRenamed(dict(zip(KEY, ("sx_", "sy_", "sz_"), strict=True)))
+    own = ["idx", *C, "nx", "ny", "nz", *[f"{k}{a}" for k in "ut" for a in "xyz"], "l0", "l1", "ax", "ay", "mu", "mv"]
+    s = neighbours(s.withColumnsRenamed(dict(zip(("sx_", "sy_", "sz_"), KEY, strict=True))).select(*KEY, *own), itself=True).drop(*KEY)
+    q = with_key(points, p.voxel).select("point_id", "x", "y", "z", "pnx", "pny", "pnz", *KEY).withColumnsRenamed(dict(zip(KEY, ("qx", "qy", "qz"), strict=True)))
     j = q.join(s, ["qx", "qy", "qz"])
     d = L.sub(L.vec(), tuple(F.col(c) for c in C))
     j = j.withColumn("normal_dist", L.dot(d, L.vec("n"))).withColumn("tu", L.dot(d, L.vec("u"))).withColumn("tv", L.dot(d, L.vec("t")))
-    maha = F.when(F.col("l0") > 1e-8, F.col("tu") * F.col("tu") / F.col("l0")).otherwise(0.0) + F.when(F.col("l1") > 1e-8, F.col("tv") * F.col("tv") / F.col("l1")).otherwise(0.0)
-    j = j.withColumn("mahalanobis", maha)
     near = (F.abs(L.dot(L.vec("pn"), L.vec("n"))) >= math.cos(math.radians(p.normal_deg))) & (F.abs("normal_dist") <= p.normal_dist)
-    return j.where(near & (F.col("mahalanobis") < p.mahalanobis)).select("point_id", "idx", "mahalanobis", "normal_dist", "tu", "tv")
+    j = j.where(near)
+    u, v = F.col("tu") - F.col("mu"), F.col("tv") - F.col("mv")
+    along, across = u * F.col("ax") + v * F.col("ay"), v * F.col("ax") - u * F.col("ay")
+    part = lambda x, value: F.when(F.col(value) > 1e-8, x * x / F.col(value)).otherwise(0.0)
+    j = j.withColumn("mahalanobis", part(across, "l0") + part(along, "l1"))
+    return j.where(F.col("mahalanobis") < p.mahalanobis).select("point_id", "idx", "mahalanobis", "normal_dist", "tu", "tv")
 
 
 def associate(points: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:

@@ -137,12 +137,20 @@ PB = f"""{cte("fx_pwn")}, {cte("fx_surfels_b")},
 pb AS (SELECT DISTINCT ON (point_id) * FROM (SELECT l_orderkey*10000000 + l_partkey*100 + scan_id AS point_id, x, y, z, nx AS pnx, ny AS pny, nz AS pnz FROM fx_pwn) ORDER BY point_id, x, y, z)"""
 TANGENT = """tb AS (SELECT *, -ny/sqrt(nx*nx + ny*ny)*-1 AS ux, -nx/sqrt(nx*nx + ny*ny) AS uy, 0.0 AS uz FROM fx_surfels_b),
 tc AS (SELECT *, ny*uz - nz*uy AS tx, nz*ux - nx*uz AS ty, nx*uy - ny*ux AS tz FROM tb)"""
-ASSOC = f"""{PB}, {TANGENT},
-ca AS (SELECT p.point_id, s.idx, (p.x-cx)*nx + (p.y-cy)*ny + (p.z-cz)*nz AS normal_dist,
-    pow((p.x-cx)*ux + (p.y-cy)*uy + (p.z-cz)*uz, 2)/l0 + pow((p.x-cx)*tx + (p.y-cy)*ty + (p.z-cz)*tz, 2)/l1 AS mahalanobis
-  FROM pb p JOIN tc s ON abs(floor(p.x/0.3::DOUBLE) - floor(cx/0.3::DOUBLE)) <= 1 AND abs(floor(p.y/0.3::DOUBLE) - floor(cy/0.3::DOUBLE)) <= 1 AND abs(floor(p.z/0.3::DOUBLE) - floor(cz/0.3::DOUBLE)) <= 1
+FRAMED = f"""{TANGENT}, an AS (SELECT *, cos(idx % 7 * 0.3::DOUBLE + 0.1) AS c, sin(idx % 7 * 0.3::DOUBLE + 0.1) AS s, (idx % 5 - 2)*0.01::DOUBLE/2.5 AS mu, (idx % 3 - 1)*0.015::DOUBLE/2.5 AS mv FROM tc),
+fb AS (SELECT *, l0*c*c + l1*s*s AS suu, l0*s*s + l1*c*c AS svv, (l0 - l1)*c*s AS suv FROM an)"""
+# The squared Mahalanobis distance by the inverse of the covariance, which needs no eigenvectors.
+ASSOC = f"""{PB}, {FRAMED},
+cu AS (SELECT p.point_id, s.idx, (p.x-cx)*nx + (p.y-cy)*ny + (p.z-cz)*nz AS normal_dist, suu, svv, suv,
+    (p.x-cx)*ux + (p.y-cy)*uy + (p.z-cz)*uz - mu AS du, (p.x-cx)*tx + (p.y-cy)*ty + (p.z-cz)*tz - mv AS dv
+  FROM pb p JOIN fb s ON abs(floor(p.x/0.3::DOUBLE) - floor(cx/0.3::DOUBLE)) <= 1 AND abs(floor(p.y/0.3::DOUBLE) - floor(cy/0.3::DOUBLE)) <= 1 AND abs(floor(p.z/0.3::DOUBLE) - floor(cz/0.3::DOUBLE)) <= 1
   WHERE abs(pnx*nx + pny*ny + pnz*nz) >= {math.cos(math.radians(30))}::DOUBLE),
+ca AS (SELECT *, (svv*du*du - 2*suv*du*dv + suu*dv*dv)/(suu*svv - suv*suv) AS mahalanobis FROM cu),
 cb AS (SELECT * FROM ca WHERE abs(normal_dist) <= 0.05 AND mahalanobis < 9.21)"""
+WAIT = f"""{ASSOC}, pw AS (SELECT *, point_id % 100 AS stamp FROM pb WHERE point_id NOT IN (SELECT point_id FROM cb) ORDER BY point_id % 100 DESC, point_id DESC LIMIT 5000),
+g AS (SELECT *, floor(x/0.6::DOUBLE)::INT AS gx, floor(y/0.6::DOUBLE)::INT AS gy, floor(z/0.6::DOUBLE)::INT AS gz FROM pw),
+m AS (SELECT gx, gy, gz, count(*) AS members, avg(x) AS ox, avg(y) AS oy, avg(z) AS oz FROM g GROUP BY gx, gy, gz HAVING count(*) >= 5),
+cl AS (SELECT gx, gy, gz, members, ox, oy, oz, avg(1 - pnx*pnx) AS spread FROM g JOIN m USING (gx, gy, gz) GROUP BY ALL HAVING max((x-ox)*(x-ox) + (y-oy)*(y-oy) + (z-oz)*(z-oz)) <= 0.36)"""
 K = "vx, vy, vz"
 BK = "floor(cx/0.3::DOUBLE)::INT AS vx, floor(cy/0.3::DOUBLE)::INT AS vy, floor(cz/0.3::DOUBLE)::INT AS vz"
 
@@ -221,14 +229,18 @@ ORACLE_SQL = {
     "i5_headings": f"WITH {LEGS}, n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM lg WINDOW w AS (PARTITION BY plan_id ORDER BY seq)) SELECT plan_id, seq, {r('CASE WHEN seq % 2 = 0 OR nx IS NULL THEN yaw ELSE atan2(ny - y, nx - x) END', 'yaw')} FROM n",
     "b2_candidates": f"WITH {ASSOC} SELECT point_id, idx, {rs('mahalanobis', 'normal_dist')} FROM cb",
     "b3_association": f"WITH {ASSOC} SELECT point_id, {r('m', 'mahalanobis')} FROM pb LEFT JOIN (SELECT point_id, min(mahalanobis) AS m FROM cb GROUP BY point_id) USING (point_id)",
+    "b10_eigenframe": f"WITH {cte('fx_surfels_b')}, {FRAMED} SELECT idx, {rs('l0', 'l1', 'mu', 'mv')}, {r('1 - l0/l1', 'planarity')} FROM fb",
     "b6_tangents": f"WITH {cte('fx_surfels_b')}, {TANGENT} SELECT idx, {rs('ux', 'uy', 'uz', 'tx', 'ty', 'tz')} FROM tc",
     "b11_confidence": f"WITH {cte('fx_surfels_b')}, n AS (SELECT *, (idx % 90 + 3)::DOUBLE AS n, (idx % 9 + 1)::DOUBLE AS o FROM fx_surfels_b) SELECT idx, {r('(l1 - l0)/l1', 'planarity')}, "
     + r(f"(1 - exp(-n/100)) * exp(-(l0*0.1/(n*n))/{0.02**2}::DOUBLE) * 0.98 * (0.7 + 0.3*(1 - exp(-o/5))) * (1 - exp(-(pi()*sqrt(l0)*sqrt(l1))/0.05::DOUBLE))", "confidence")
     + " FROM n",
-    "b14_clusters": f"""WITH {PB}, g AS (SELECT *, floor(x/0.6::DOUBLE)::INT AS gx, floor(y/0.6::DOUBLE)::INT AS gy, floor(z/0.6::DOUBLE)::INT AS gz FROM pb),
-      m AS (SELECT gx, gy, gz, count(*) AS members, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, -1.0 AS nx, 0.0 AS ny, 0.0 AS nz FROM g GROUP BY gx, gy, gz HAVING count(*) >= 5)
-      SELECT gx, gy, gz, members, {rs("cx", "cy", "cz", "nx", "ny", "nz")}, {r("avg(1 - pnx*pnx)", "spread")} FROM g JOIN m USING (gx, gy, gz) GROUP BY ALL
-      HAVING max((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz)) <= 0.36""",
+    "b13_waiting": f"WITH {WAIT} SELECT point_id, stamp FROM pw",
+    "b14_clusters": f"WITH {WAIT} SELECT gx, gy, gz, members, {r('ox', 'cx')}, {r('oy', 'cy')}, {r('oz', 'cz')}, -1.0::DOUBLE AS nx, 0.0::DOUBLE AS ny, 0.0::DOUBLE AS nz, {rs('spread')} FROM cl",
+    "b27_flush": f"""WITH {WAIT}, sd AS (SELECT *, row_number() OVER (ORDER BY gx, gy, gz) AS seed_id FROM cl),
+      tg AS (SELECT seed_id, idx FROM sd JOIN fx_surfels_b ON abs(floor(ox/0.3::DOUBLE) - floor(cx/0.3::DOUBLE)) <= 1 AND abs(floor(oy/0.3::DOUBLE) - floor(cy/0.3::DOUBLE)) <= 1 AND abs(floor(oz/0.3::DOUBLE) - floor(cz/0.3::DOUBLE)) <= 1
+        WHERE abs(nx) >= 0.95 AND sqrt((ox-cx)*(ox-cx) + (oy-cy)*(oy-cy) + (oz-cz)*(oz-cz)) <= 2*sqrt(l1) + 0.1
+        QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY abs(nx)*confidence/(1 + sqrt((ox-cx)*(ox-cx) + (oy-cy)*(oy-cy) + (oz-cz)*(oz-cz))) DESC, idx) = 1)
+      SELECT point_id, seed_id, idx FROM g LEFT JOIN sd USING (gx, gy, gz) LEFT JOIN tg USING (seed_id)""",
     "b16_merge_targets": f"""WITH {cte("fx_surfels_b")}, q AS (SELECT idx AS seed_id, cx + 0.02::DOUBLE AS qx, cy + 0.013::DOUBLE AS qy, cz AS qz, nx AS ax, ny AS ay FROM fx_surfels_b),
       c AS (SELECT seed_id, idx, sqrt((qx-cx)*(qx-cx) + (qy-cy)*(qy-cy) + (qz-cz)*(qz-cz)) AS d, abs(ax*nx + ay*ny) AS t, confidence, l1 FROM q JOIN fx_surfels_b
         ON abs(floor(qx/0.3::DOUBLE) - floor(cx/0.3::DOUBLE)) <= 1 AND abs(floor(qy/0.3::DOUBLE) - floor(cy/0.3::DOUBLE)) <= 1 AND abs(floor(qz/0.3::DOUBLE) - floor(cz/0.3::DOUBLE)) <= 1),
@@ -261,7 +273,19 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY s.drone_id, s.scan_id ORDER BY p.ts DESC, p.event_id DESC) = 1)""",
     "s7_pose_kept": f"WITH {cte('fx_scan_events')}, {cte('fx_pose_events')} SELECT count(*) AS scans, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM fx_pose_events p WHERE p.drone_id = s.drone_id AND p.ts <= s.ts)) AS with_pose FROM fx_scan_events s",
     "s8_latest_pose": f"WITH {cte('fx_pose_events')} SELECT drone_id, event_id, {rs('px', 'yaw')} FROM fx_pose_events QUALIFY row_number() OVER (PARTITION BY drone_id ORDER BY ts DESC, event_id DESC) = 1",
-    "s9_surfel_markers": f"WITH {MAP}, {EDGES} SELECT {K}, {rs('mx', 'my', 'mz')}, {r('sqrt(e2)', 's2')} FROM su WHERE is_valid AND NOT EXISTS (SELECT 1 FROM ed WHERE ed.qx = su.vx AND ed.qy = su.vy AND ed.qz = su.vz)",
+    # v v' of the largest eigenvalue is (A - e0)(A - e1) but for a factor, so its product with a side vector has that axis' way and sign.
+    "s9_surfel_markers": f"""WITH {MAP}, {EDGES}, li AS (SELECT *, 0.2672612419124244 AS i, 0.5345224838248488 AS j, 0.8017837257372732 AS k FROM su
+        WHERE is_valid AND NOT EXISTS (SELECT 1 FROM ed WHERE ed.qx = su.vx AND ed.qy = su.vy AND ed.qz = su.vz)),
+      m1 AS (SELECT *, (cxx-e1)*i + cxy*j + cxz*k AS ti, cxy*i + (cyy-e1)*j + cyz*k AS tj, cxz*i + cyz*j + (czz-e1)*k AS tk FROM li),
+      m2 AS (SELECT *, (cxx-e0)*ti + cxy*tj + cxz*tk AS bi, cxy*ti + (cyy-e0)*tj + cyz*tk AS bj, cxz*ti + cyz*tj + (czz-e0)*tk AS bk FROM m1),
+      m3 AS (SELECT * EXCLUDE (bi, bj, bk), bi/sqrt(bi*bi+bj*bj+bk*bk) AS bi, bj/sqrt(bi*bi+bj*bj+bk*bk) AS bj, bk/sqrt(bi*bi+bj*bj+bk*bk) AS bk FROM m2),
+      m4 AS (SELECT *, ny*bk - nz*bj AS oi, nz*bi - nx*bk AS oj, nx*bj - ny*bi AS ok_ FROM m3),
+      m5 AS (SELECT *, CASE WHEN oi*i + oj*j + ok_*k < 0 THEN -1 ELSE 1 END AS sg FROM m4),
+      m6 AS (SELECT *, oi*sg AS pi_, oj*sg AS pj, ok_*sg AS pk FROM m5),
+      m7 AS (SELECT *, CASE WHEN nx*(pj*bk - pk*bj) + ny*(pk*bi - pi_*bk) + nz*(pi_*bj - pj*bi) < 0 THEN -1 ELSE 1 END AS f FROM m6),
+      m8 AS (SELECT *, 1 + pi_ + bj*f + nz AS qa, 1 + pi_ - bj*f - nz AS qb, 1 - pi_ + bj*f - nz AS qc, 1 - pi_ - bj*f + nz AS qd, bk*f - ny AS dx, nx - pk AS dy, pj - bi*f AS dz FROM m7)
+      SELECT vx, vy, vz, {rs("mx", "my", "mz", digits=4)}, {r("sqrt(greatest(0, qa))/2", "qw", 4)}, {r("sign(dx)*sqrt(greatest(0, qb))/2", "qx", 4)}, {r("sign(dy)*sqrt(greatest(0, qc))/2", "qy", 4)}, {r("sign(dz)*sqrt(greatest(0, qd))/2", "qz", 4)},
+        {r("2*sqrt(greatest(e1, 1e-6))", "scale_x", 4)}, {r("2*sqrt(greatest(e2, 1e-6))", "scale_y", 4)} FROM m8""",
     "s10_coverage_markers": f"WITH {COVER} SELECT s.vx, s.vy, s.vz, {r('(s.vx + 0.5)*0.3', 'x')}, {r('(s.vy + 0.5)*0.3', 'y')}, {r('(s.vz + 0.5)*0.3', 'z')}, CASE WHEN c.vx IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS g, CASE WHEN c.vx IS NULL THEN 0.4 ELSE 0.8 END::DOUBLE AS alpha FROM su s LEFT JOIN cv c USING ({K}) WHERE s.is_valid",
     "s11_view_cloud": f"WITH {COVER} SELECT v.vp_id, CASE WHEN c.vx IS NULL THEN 0 ELSE 255 END::INT AS r, 255::INT AS g, {r('(v.vx + 0.5)*0.3', 'x')}, {r('(v.vy + 0.5)*0.3', 'y')}, {r('(v.vz + 0.5)*0.3', 'z')} FROM vis v LEFT JOIN cv c USING ({K})",
     "s12_fusion_markers": f"WITH {cte('fx_surfels_b')} SELECT idx, {r('cx + 0.1*nx', 'tx')}, {r('cy + 0.1*ny', 'ty')}, {r('cz + 0.1*nz', 'tz')}, {r('1 - least(1.0, confidence)', 'r')}, {r('least(1.0, confidence)', 'g')} FROM fx_surfels_b WHERE sqrt(l1) >= 0.05",

@@ -11,6 +11,7 @@ from ..operators import frontier, fusion2d, paths, planner, preprocess, surfel,
 from ..params import ScanParams, SurfelParams
 from ..sources import poses, sinks
 from ..sources.fixtures import fixture
+from ..streaming import fusion
 
 SIZE = 0.3
 SCAN = ScanParams(width=60, height=45)
@@ -362,12 +363,25 @@ def _surfels_b(spark, d):
     return fixture(spark, d, "fx_surfels_b")
 
 
+def _framed_b(spark, d):
+    """Surfels with covariances at angles to their tangents and means off their centres."""
+    s = _surfels_b(spark, d).withColumns({"_c": F.cos(F.col("idx") % 7 * 0.3 + 0.1), "_s": F.sin(F.col("idx") % 7 * 0.3 + 0.1)})
+    cov = {"cov_uu": F.col("l0") * F.col("_c") ** 2 + F.col("l1") * F.col("_s") ** 2, "cov_vv": F.col("l0") * F.col("_s") ** 2 + F.col("l1") * F.col("_c") ** 2, "cov_uv": (F.col("l0") - F.col("l1")) * F.col("_c") * F.col("_s")}
+    sums = {"total_weight": F.lit(2.5), "sum_u": (F.col("idx") % 5 - 2) * 0.01, "sum_v": (F.col("idx") % 3 - 1) * 0.015}
+    return s.withColumns(cov | sums).drop("_c", "_s").withColumns({"l0": F.lit(None).cast("double"), "l1": F.lit(None).cast("double")})
+
+
 def b2_candidates(spark, d):
-    return _r(fusion2d.candidates(_points_b(spark, d), _surfels_b(spark, d)), "mahalanobis", "normal_dist", keep=("point_id", "idx"))
+    return _r(fusion2d.candidates(_points_b(spark, d), _framed_b(spark, d)), "mahalanobis", "normal_dist", keep=("point_id", "idx"))
 
 
 def b3_association(spark, d):
-    return fusion2d.associate(_points_b(spark, d), _surfels_b(spark, d)).select("point_id", rnd(F.col("mahalanobis")).alias("mahalanobis"))
+    return fusion2d.associate(_points_b(spark, d), _framed_b(spark, d)).select("point_id", rnd(F.col("mahalanobis")).alias("mahalanobis"))
+
+
+def b10_eigenframe(spark, d):
+    out = fusion2d.eigenframe(_framed_b(spark, d)).withColumn("planarity", (F.col("l1") - F.col("l0")) / F.col("l1"))
+    return _r(out, "l0", "l1", "planarity", "mu", "mv", keep=("idx",))
 
 
 def b6_tangents(spark, d):
@@ -385,8 +399,25 @@ def b11_confidence(spark, d):
     return _r(fusion2d.confidence(s), "planarity", "confidence", keep=("idx",))
 
 
+def _waiting_b(spark, d):
+    """The accumulator after one frame: the newest of the points without a surfel."""
+    a = fusion2d.associate(_points_b(spark, d), _framed_b(spark, d)).where("idx is null").withColumn("stamp", F.col("point_id") % 100)
+    return fusion.waiting_points(a.select("point_id", "stamp", "x", "y", "z", "pnx", "pny", "pnz"))
+
+
+def b13_waiting(spark, d):
+    return _waiting_b(spark, d).select("point_id", "stamp")
+
+
 def b14_clusters(spark, d):
-    return _r(fusion2d.clusters(_points_b(spark, d)), "cx", "cy", "cz", "nx", "ny", "nz", "spread", keep=("gx", "gy", "gz", "members"))
+    return _r(fusion2d.clusters(_waiting_b(spark, d)), "cx", "cy", "cz", "nx", "ny", "nz", "spread", keep=("gx", "gy", "gz", "members"))
+
+
+def b27_flush(spark, d):
+    """Each waiting point after a flush: the seed that takes it and the surfel that the seed goes into."""
+    seeds, points = fusion.coherent(checkpoint(_waiting_b(spark, d)))
+    into = fusion2d.merge_targets(checkpoint(seeds), _surfels_b(spark, d)).select("seed_id", "idx")
+    return points.join(into, "seed_id", "left").select("point_id", "seed_id", "idx")
 
 
 def b16_merge_targets(spark, d):
@@ -453,7 +484,7 @@ def s8_latest_pose(spark, d):
 
 def s9_surfel_markers(spark, d):
     out = sinks.surfel_markers(surfel.shadow_prune(_map(spark, d), MAP))
-    return _r(out, "mx", "my", "mz", "s2", keep=KEY)
+    return _r(out, "mx", "my", "mz", "qw", "qx", "qy", "qz", "scale_x", "scale_y", digits=4, keep=KEY)
 
 
 def s10_coverage_markers(spark, d):

@@ -10,10 +10,33 @@ from ..operators.voxel import KEY, center
 from ..params import FusionParams
 
 
+#: A direction that no axis of a surface is likely to be square to; it tells the sign of axes.
+SIDE = (0.2672612419124244, 0.5345224838248488, 0.8017837257372732)
+
+
+def _towards(v, way=SIDE):
+    """v or -v, whichever points the way."""
+    turn = F.when(L.dot(v, tuple(F.lit(c) for c in way)) < 0, -1.0).otherwise(1.0)
+    return tuple(c * turn for c in v)
+
+
 def surfel_markers(surfels: DataFrame) -> DataFrame:
-    """Ellipse of each valid surfel, coloured by its normal."""
+    """Flat ellipse of each valid surfel: place, orientation, scale, coloured by its normal.
+
+    The orientation qw..qz turns x to the axis of the middle eigenvalue, y to that of the largest and
+    z to the normal; an axis points to SIDE, but y turns where the three would make a mirror image.
+    Scales are twice the standard deviations, of 1e-6 of variance at least.
+    """
+    rows = surfels.where("is_valid").withColumn("_w", F.when(F.col("sum_w") > 1, F.col("sum_w") - 1).otherwise(1.0))
+    cov = [F.col(f"s{q}") / F.col("_w") for q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    rows = rows.withColumns({f"_b{a}": c for a, c in zip("xyz", _towards(L.eigenvector3(*cov, F.col("e2"))), strict=True)})
+    rows = rows.withColumns({f"_a{a}": c for a, c in zip("xyz", _towards(L.unit(L.cross(L.vec("n"), L.vec("_b")))), strict=True)})
+    turn = F.when(L.determinant((L.vec("_a"), L.vec("_b"), L.vec("n"))) < 0, -1.0).otherwise(1.0)
+    columns = (L.vec("_a"), tuple(c * turn for c in L.vec("_b")), L.vec("n"))
+    q = L.quaternion_of_rotation(tuple(zip(*columns, strict=True)))
+    scale = [(2 * F.sqrt(F.greatest(F.col(e), F.lit(1e-6)))).alias(s) for e, s in (("e1", "scale_x"), ("e2", "scale_y"))]
     colour = [((F.col(f"n{a}") + 1) / 2).alias(c) for a, c in zip("xyz", "rgb", strict=True)]
-    return surfels.where("is_valid").select(*KEY, "mx", "my", "mz", *[F.sqrt(f"e{i}").alias(f"s{i}") for i in range(3)], *colour)
+    return rows.select(*KEY, "mx", "my", "mz", *[c.alias(n) for c, n in zip(q, ("qw", "qx", "qy", "qz"), strict=True)], *scale, F.lit(0.005).alias("scale_z"), *colour)
 
 
 def coverage_markers(surfels: DataFrame, observed: DataFrame, size: float) -> DataFrame:
