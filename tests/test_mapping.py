@@ -100,9 +100,37 @@ def test_empty_map_collides_and_blocks(spark):
     assert paths.first_invalid(path, none, 0.3).first().first_invalid == -1
 
 
-def test_leader_clusters_follow_their_seed():
-    pos = np.array([[0, 0, 0], [0.9, 0, 0], [1.8, 0, 0], [1.9, 0, 0], [5, 0, 0]], float)
-    assert frontier.leader_clusters(np.arange(5.0), pos, 1.0, 2).tolist() == [0, 0, 1, 1, -1]
+def plain_clusters(points, radius, least):
+    """One by one in order: each free point leads the free points within radius of it."""
+    free, out = sorted(points, key=lambda r: (round(r[0], 9), r[1])), []
+    while free:
+        at = free[0][2]
+        mine = [r for r in free if math.dist(r[2], at) <= radius]
+        free = [r for r in free if r not in mine]
+        if len(mine) >= least:
+            out.append({r[1] for r in mine})
+    return out
+
+
+def test_clusters_follow_their_leaders_in_order(spark):
+    """Two plans of random points, a chain where every second point leads, ties of distance, and none."""
+    rng = np.random.default_rng(4)
+    rows_ = []
+    for plan, n in ((0, 150), (1, 90)):
+        keys = {tuple(map(int, k)) for k in rng.integers(0, 12, (n, 3))}
+        rows_ += [(plan, *k, *[(c + 0.5) * 0.3 for c in k], float(rng.integers(0, 20)) / 10) for k in sorted(keys)]
+    rows_ += [(2, k, 0, 0, (k + 0.5) * 0.3, 0.15, 0.15, 0.1 * k) for k in range(20)]
+    names = "plan long, vx int, vy int, vz int, x double, y double, z double, dist double"
+    for p in (PlannerParams(wavefront=9.0, cluster_radius=0.5, min_cluster=2), PlannerParams(wavefront=0.9, min_cluster=3)):
+        got = {}
+        for r in frontier.cluster(spark.createDataFrame(rows_, names), p, "plan").collect():
+            got.setdefault((r.plan, r.cluster), set()).add((r.vx, r.vy, r.vz))
+        for plan in (0, 1, 2):
+            mine = [(r[7], r[1:4], r[4:7]) for r in rows_ if r[0] == plan]
+            near = min(r[0] for r in mine)
+            want = plain_clusters([r for r in mine if r[0] <= near + p.wavefront], p.cluster_radius, p.min_cluster)
+            assert [got.get((plan, k)) for k in range(len(want))] == want and (plan, len(want)) not in got
+    assert frontier.cluster(spark.createDataFrame([], names), PlannerParams(), "plan").count() == 0
 
 
 def test_tree_search_goes_round_a_wall():

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..functions.shared import checkpoint
 from ..params import PlannerParams
 from .voxel import KEY, center, neighbours
 
@@ -45,44 +44,60 @@ def frontiers(covered: DataFrame, surfels: DataFrame, size: float, around: tuple
     return out.join(counts, KEY, "left").withColumn("score", F.coalesce("open", F.lit(0)) + F.lit(1.0)).drop("open")
 
 
-def leader_clusters(dist: np.ndarray, pos: np.ndarray, radius: float, least: int) -> np.ndarray:
-    """Each unassigned point in order leads a cluster of the unassigned within radius of it.
+def _order(prefix: str = ""):
+    """The order in which points lead: by distance, equal to 1e-9, then by key."""
+    return F.struct(F.round(F.col(f"{prefix}dist"), 9).alias("dist"), *[F.col(f"{prefix}{k}").alias(k) for k in KEY])
 
-    Points come in order. Returns each point's cluster or -1; clusters under `least` keep their
-    members from others but are dropped.
+
+def leaders(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Of points(plan_id, vx, vy, vz, x, y, z, dist) those that lead, and all near pairs (plan_id, a, b), a before b.
+
+    Taken in order, a point leads unless an earlier leader is within radius of it. So a point leads
+    as soon as no earlier point in reach is undecided or leads, and what is in reach of a leader is
+    decided too: rounds of joins on the near pairs, each for all points of all plans at once, until
+    none is left. The first undecided point of every neighbourhood is decided in each round. Pairs
+    meet by cells as wide as the radius.
     """
-    out = np.full(len(dist), -1)
-    free = np.ones(len(dist), bool)
-    number = 0
-    for i in range(len(dist)):
-        if not free[i]:
-            continue
-        mine = free & (((pos - pos[i]) ** 2).sum(1) <= radius * radius)
-        mine[i] = True
-        free &= ~mine
-        if mine.sum() >= least:
-            out[mine] = number
-            number += 1
-    return out
+    cells = points.select("plan_id", _order().alias("at"), "x", "y", "z", *[F.floor(F.col(c) / F.lit(radius)).cast("int").alias(k) for c, k in zip("xyz", KEY, strict=True)])
+    other = cells.select("plan_id", F.col("at").alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[F.col(k).alias(q) for k, q in zip(KEY, Q, strict=True)])
+    d = L.sub(L.vec("b"), L.vec())
+    pairs = neighbours(cells, itself=True).join(other, ["plan_id", *Q]).where((F.col("at") < F.col("b")) & (L.dot(d, d) <= radius * radius))
+    pairs = checkpoint(pairs.select("plan_id", F.col("at").alias("a"), "b"))
+    free = cells.select("plan_id", "at")
+    found = None
+    left = pairs  # between undecided points
+    while True:
+        new = checkpoint(free.join(left.select("plan_id", F.col("b").alias("at")), ["plan_id", "at"], "left_anti"))
+        found = new if found is None else found.unionByName(new)
+        first = new.withColumnRenamed("at", "a")
+        taken = left.join(first, ["plan_id", "a"], "left_semi").select("plan_id", F.col("b").alias("at"))
+        free = checkpoint(free.join(new.unionByName(taken), ["plan_id", "at"], "left_anti"))
+        if free.isEmpty():
+            return found, pairs
+        open_ = free.select("plan_id", F.col("at").alias("a"))
+        left = checkpoint(left.join(open_, ["plan_id", "a"], "left_semi").join(open_.withColumnRenamed("a", "b"), ["plan_id", "b"], "left_semi").select("plan_id", "a", "b"))
 
 
 def cluster(frontier: DataFrame, p: PlannerParams = PlannerParams(), plan_col: str | None = None) -> DataFrame:
     """Frontiers of the nearest band with their cluster.
 
-    The greedy order needs one plan's band in one task; the band is at most `wavefront` metres of
-    surface, bounded by the map's resolution and not by the number of scans.
+    Points lead in the order of their distance, equal to 1e-9, then key (leaders); a point belongs to
+    the first leader within cluster_radius. Clusters under min_cluster keep their members from others
+    but are dropped. Clusters of a plan are numbered by their leaders' order: one row a cluster.
     """
     f = frontier if plan_col else frontier.withColumn("plan_id", F.lit(0).cast("long"))
-    plan = plan_col or "plan_id"
-    nearest = f.groupBy(plan).agg(F.min("dist").alias("near"))
-    band = f.join(nearest, plan).where(F.col("dist") <= F.col("near") + p.wavefront).drop("near")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dist", *KEY]).reset_index(drop=True)
-        pdf["cluster"] = leader_clusters(pdf["dist"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(), p.cluster_radius, p.min_cluster).astype("int64")
-        return pdf[pdf["cluster"] >= 0]
-
-    return band.groupBy(plan).applyInPandas(run, band.withColumn("cluster", F.lit(0).cast("long")).schema)
+    f = f.withColumnRenamed(plan_col, "plan_id") if plan_col else f
+    nearest = f.groupBy("plan_id").agg(F.min("dist").alias("near"))
+    band = checkpoint(f.join(nearest, "plan_id").where(F.col("dist") <= F.col("near") + p.wavefront).drop("near"))
+    lead, pairs = leaders(band, p.cluster_radius)
+    lead = lead.withColumnRenamed("at", "a")
+    member = pairs.join(lead, ["plan_id", "a"], "left_semi").groupBy("plan_id", F.col("b").alias("at")).agg(F.min("a").alias("a"))
+    member = checkpoint(member.unionByName(lead.select("plan_id", F.col("a").alias("at"), "a")))
+    large = member.groupBy("plan_id", "a").agg(F.count("*").alias("n")).where(F.col("n") >= p.min_cluster)
+    number = (F.row_number().over(Window.partitionBy("plan_id").orderBy("a")) - 1).cast("long")
+    named = member.join(large.withColumn("cluster", number), ["plan_id", "a"]).select("plan_id", "at", "cluster")
+    out = band.withColumn("at", _order()).join(named, ["plan_id", "at"]).drop("at")
+    return out.withColumnRenamed("plan_id", plan_col) if plan_col else out
 
 
 def summaries(clustered: DataFrame, p: PlannerParams = PlannerParams()) -> DataFrame:

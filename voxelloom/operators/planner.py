@@ -74,11 +74,11 @@ def best_per_cluster(poses: DataFrame, voxels: DataFrame, past: DataFrame, size:
 def selection_scores(viewpoints: DataFrame, at: tuple[float, float, float], chain: DataFrame, p: PlannerParams = PlannerParams()) -> DataFrame:
     """0.7 new ratio + 0.3 closeness, a fifth of it within a metre of the chain so far.
 
-    viewpoints(vp_id, x, y, z, coverage); chain(x, y, z) has at most max_viewpoints rows.
+    viewpoints(vp_id, x, y, z, coverage); chain(x, y, z) is a plan's chain, max_viewpoints rows in plan().
     """
     d = tuple(F.col(a) - F.lit(float(v)) for a, v in zip("xyz", at, strict=True))
     score = 0.7 * F.col("coverage") + 0.3 * (1 - F.least(L.norm(d) / 6.0, F.lit(1.0)))
-    near = chain.limit(p.max_viewpoints).select(*[F.col(a).alias(f"h{a}") for a in "xyz"])
+    near = chain.select(*[F.col(a).alias(f"h{a}") for a in "xyz"])
     away = L.sub(L.vec(), L.vec("h"))
     close = viewpoints.select("vp_id", "x", "y", "z").join(F.broadcast(near), L.dot(away, away) <= 1.0).select("vp_id").distinct().withColumn("close", F.lit(True))
     out = viewpoints.join(close, "vp_id", "left")

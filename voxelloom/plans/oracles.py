@@ -114,12 +114,25 @@ fr AS (SELECT o.vx, o.vy, o.vz, sqrt(((o.vx + 0.5)*0.3 - 2)*((o.vx + 0.5)*0.3 -
   FROM op o WHERE EXISTS (SELECT 1 FROM cv c WHERE abs(c.vx - o.vx) <= 1 AND abs(c.vy - o.vy) <= 1 AND abs(c.vz - o.vz) <= 1))"""
 
 
+SUMMARY = """sb AS (SELECT *, sx/sqrt(sx*sx + sy*sy + sz*sz) AS nx, sy/sqrt(sx*sx + sy*sy + sz*sz) AS ny, sz/sqrt(sx*sx + sy*sy + sz*sz) AS nz FROM sa),
+sc AS (SELECT *, nx/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wx, ny/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wy, 0.3*nz/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wz FROM sb),
+sg AS (SELECT *, cx + wx*1.5 AS vx, cy + wy*1.5 AS vy, cz + wz*1.5 AS vz FROM sc)"""
 SUGGEST = f"""{FRONT},
 sa AS (SELECT vz // 3 AS cluster, count(*) AS members, sum(score) AS priority, avg((vx + 0.5)*0.3) AS cx, avg((vy + 0.5)*0.3) AS cy, avg((vz + 0.5)*0.3) AS cz, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz
   FROM fr JOIN (SELECT vx, vy, vz, nx, ny, nz FROM su) USING (vx, vy, vz) WHERE dist <= 10 GROUP BY 1),
-sb AS (SELECT *, sx/sqrt(sx*sx + sy*sy + sz*sz) AS nx, sy/sqrt(sx*sx + sy*sy + sz*sz) AS ny, sz/sqrt(sx*sx + sy*sy + sz*sz) AS nz FROM sa),
-sc AS (SELECT *, nx/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wx, ny/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wy, 0.3*nz/sqrt(nx*nx + ny*ny + 0.09*nz*nz) AS wz FROM sb),
-sg AS (SELECT *, cx + wx*1.5 AS vx, cy + wy*1.5 AS vy, cz + wz*1.5 AS vz FROM sc)"""
+{SUMMARY}"""
+# Greedy leaders one by one: the points in order, each with the list of leaders before it.
+CLUSTERS = f"""{FRONT.replace("vy < 0", "vy % 4 = 0")},
+fo AS MATERIALIZED (SELECT *, (vx + 0.5)*0.3 AS x, (vy + 0.5)*0.3 AS y, (vz + 0.5)*0.3 AS z, row_number() OVER (ORDER BY round(dist, 9), vx, vy, vz) AS i FROM fr WHERE dist <= 10 AND dist <= (SELECT min(dist) FROM fr) + 2.0),
+go AS (SELECT 0::BIGINT AS i, []::STRUCT(i BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[] AS led
+  UNION ALL SELECT f.i, CASE WHEN len(list_filter(led, lambda l: (l.x-f.x)*(l.x-f.x) + (l.y-f.y)*(l.y-f.y) + (l.z-f.z)*(l.z-f.z) <= 1.0)) = 0 THEN list_append(led, {{'i': f.i, 'x': f.x, 'y': f.y, 'z': f.z}}) ELSE led END
+  FROM go JOIN fo f ON f.i = go.i + 1),
+le AS (SELECT unnest(led) AS l FROM go QUALIFY row_number() OVER (ORDER BY i DESC) = 1),
+mb AS (SELECT f.*, min(l.i) AS leader FROM fo f JOIN le ON (l.x-f.x)*(l.x-f.x) + (l.y-f.y)*(l.y-f.y) + (l.z-f.z)*(l.z-f.z) <= 1.0 GROUP BY ALL),
+sa AS (SELECT row_number() OVER (ORDER BY leader) - 1 AS cluster, count(*) AS members, sum(score) AS priority, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz
+  FROM mb JOIN (SELECT vx, vy, vz, nx, ny, nz FROM su) USING (vx, vy, vz) GROUP BY leader HAVING count(*) >= 5),
+{SUMMARY}"""
+
 
 
 def near(p: str, s: str, radius: float) -> str:
@@ -200,6 +213,7 @@ ORACLE_SQL = {
     "v9_collision": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT vp_id, x + 1.5 AS x, y, z FROM fx_viewpoints) SELECT vp_id, EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near('q', 's', 0.8)}) AS in_collision FROM q",
     "v10_distance": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT p.vp_id, (SELECT min({near('p', 's', 2).split(' <=')[0]}) FROM su s WHERE s.count > 0 AND {near('p', 's', 2)}) AS d FROM fx_viewpoints p) SELECT vp_id, {r('coalesce(least(2.0, greatest(0, sqrt(d) - 0.15)), 2.0)', 'distance')} FROM q",
     "v11_frontiers": f"WITH {FRONT} SELECT {K}, {rs('dist', 'score')} FROM fr WHERE dist <= 10",
+    "v13_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT cluster, members, {rs('priority', 'cx', 'cy', 'cz', 'vx', 'vy', 'vz')}, {r('atan2(cy - vy, cx - vx)', 'yaw')} FROM sg",
     "v14_v15_suggestions": f"WITH {SUGGEST} SELECT cluster, members, {rs('priority', 'cx', 'cy', 'cz', 'nx', 'vx', 'vy', 'vz')}, {r('atan2(cy - vy, cx - vx)', 'yaw')} FROM sg",
     "v18_candidates": f"""WITH {SUGGEST},
       ps AS (SELECT cluster, 0 AS tier, 0 AS "offset", vx AS x, vy AS y, vz AS z, cx, cy FROM sg UNION ALL
