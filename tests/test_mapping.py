@@ -81,6 +81,34 @@ def test_long_chain_prunes_every_other(spark):
     assert {r.vx for r in surfel.shadow_prune(df).collect()} == set(range(0, 80, 2))
 
 
+def plain_acting(edges):
+    """In ascending order of the source: a marked one does nothing."""
+    marked, out = set(), set()
+    for u, v in sorted(edges):
+        if u not in marked:
+            marked.add(v)
+            out.add((u, v))
+    return out
+
+
+def test_edges_act_in_order_in_few_rounds(spark, monkeypatch):
+    """A chain of 80 in eight rounds, and forests of branches and chains in any direction."""
+    rng = np.random.default_rng(6)
+    forest = {}
+    for k in range(3, 400):
+        forest[k] = int(rng.integers(max(0, k - 9), k + 10)) if rng.random() < 0.7 else k + 1
+    chain = {i: i + 1 for i in range(80)}
+    comb = {i: i + 1 for i in range(0, 60)} | {1000 + i: i for i in range(0, 60, 7)} | {-1 - i: i for i in range(0, 60, 5)}
+    rounds = []
+    whole = surfel.checkpoint
+    monkeypatch.setattr(surfel, "checkpoint", lambda df: (rounds.append(1), whole(df))[1])
+    for edges in (chain, comb, {u: v for u, v in forest.items() if u != v}, {}):
+        rounds.clear()
+        df = spark.createDataFrame([(u, 0, 0, v, 0, 0) for u, v in edges.items()], "vx int, vy int, vz int, qx int, qy int, qz int")
+        assert {(r.vx, r.qx) for r in surfel.acting(df).collect()} == plain_acting(edges.items())
+        assert len(rounds) - 1 <= (8 if edges is chain else 12)
+
+
 def test_full_voxel_merges_its_overflow(spark):
     """Six stay; one like them is taken in, one with another normal and one without an index are not; a lone surfel stays as it is."""
     like = [(i, 0.01 * i, 0.1, 0.1, 1.0, 0.0, 0.0, 0.01, 0.9 - 0.1 * i, 1.0 + i, 2, 1, 2.0, 0.0, 0.0) for i in range(7)]

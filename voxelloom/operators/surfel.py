@@ -124,24 +124,40 @@ def shadow_edges(valid: DataFrame, p: SurfelParams = SurfelParams()) -> DataFram
     return j.where(same & back).select(*KEY, "qx", "qy", "qz")
 
 
+def acting(edges: DataFrame) -> DataFrame:
+    """The edges(vx, vy, vz, qx, qy, qz), one a source at most, that act when sources do so in ascending order.
+
+    An edge acts unless its source is marked by an acting edge of a smaller source. Those edges make
+    trees towards greater keys, in which a node acts if none of its children does. A node with one
+    undecided child, while its others don't act, is the opposite of that child: it keeps a pointer
+    and a parity, and a pointer to a node that has one itself jumps on, so that the steps of a chain
+    double each round; leaves and branches are decided from below. Rounds grow with the logarithm of
+    the longest chain, whatever the branches.
+    """
+    key, to = F.struct(*KEY).alias("k"), F.struct(*[F.col(q).alias(k) for q, k in zip(("qx", "qy", "qz"), KEY, strict=True)]).alias("to")
+    rows = edges.select(key, to)
+    up = rows.where("k < to").join(rows.select(F.col("k").alias("to")), "to", "left_semi").select("k", F.col("to").alias("up"))
+    kind = rows.schema["k"].dataType
+    t = rows.join(up, "k", "left").select("k", "to", "up", F.lit(None).cast("boolean").alias("acts"), F.lit(None).cast(kind).alias("ptr"), F.lit(None).cast("boolean").alias("odd"))
+    t = checkpoint(t)
+    while True:
+        kids = t.where("up is not null").groupBy(F.col("up").alias("k")).agg(F.max(F.coalesce("acts", F.lit(False))).alias("any"), F.count_if(F.col("acts").isNull()).alias("open"), F.min(F.when(F.col("acts").isNull(), F.col("k"))).alias("only"))
+        s = t.join(kids, "k", "left").withColumn("acts", F.coalesce("acts", F.when(F.col("any"), False).when(F.coalesce("open", F.lit(0)) == 0, True)))
+        one = F.col("acts").isNull() & (F.col("open") == 1)
+        s = s.withColumns({"ptr": F.when(one, F.coalesce("ptr", "only")), "odd": F.when(one, F.coalesce("odd", F.lit(True)))}).select(t.columns)
+        ahead = s.select(F.col("k").alias("ptr"), F.col("acts").alias("_acts"), F.col("ptr").alias("_ptr"), F.col("odd").alias("_odd"))
+        j = s.join(ahead, "ptr", "left")
+        jump = F.col("_ptr").isNotNull()
+        told = F.coalesce("acts", F.col("_acts") != F.col("odd"))
+        t = checkpoint(j.select("k", "to", "up", told.alias("acts"), F.when(jump, F.col("_ptr")).otherwise(F.col("ptr")).alias("ptr"), F.when(jump, F.col("odd") != F.col("_odd")).otherwise(F.col("odd")).alias("odd")))
+        if t.where("acts is null").isEmpty():
+            return t.where("acts").select("k.*", *[F.col(f"to.{k}").alias(q) for q, k in zip(("qx", "qy", "qz"), KEY, strict=True)])
+
+
 def shadow_prune(surfels_: DataFrame, p: SurfelParams = SurfelParams()) -> DataFrame:
-    """The map without shadowed surfels.
+    """The map without shadowed surfels: those that an acting shadow edge points at.
 
-    Voxels act in ascending order of key, and one that is already marked does nothing. Each voxel
-    has at most one edge, so whether it acts depends only on smaller keys that point at it: a
-    fixpoint over the edges, which settles after as many rounds as the longest chain towards greater
-    keys. The loop ends only then.
+    Voxels act in ascending order of key, and one that is already marked does nothing.
     """
-    edges = checkpoint(shadow_edges(surfels_, p))
-    # An edge acts unless its source is marked by an acting edge of a smaller source.
-    lower = edges.where("vx < qx or (vx = qx and (vy < qy or (vy = qy and vz < qz)))")
-    acting = edges
-    while True:
-        marks = lower.join(acting.select(*KEY), KEY, "left_semi").select(F.col("qx").alias("vx"), F.col("qy").alias("vy"), F.col("qz").alias("vz")).distinct()
-        now = checkpoint(edges.join(marks, KEY, "left_anti"))
-        changed = now.exceptAll(acting).union(acting.exceptAll(now)).take(1)
-        acting = now
-        if not changed:
-            break
-    marked = acting.select(F.col("qx").alias("vx"), F.col("qy").alias("vy"), F.col("qz").alias("vz")).distinct()
+    marked = acting(shadow_edges(surfels_, p)).select(F.col("qx").alias("vx"), F.col("qy").alias("vy"), F.col("qz").alias("vz")).distinct()
     return surfels_.join(marked, KEY, "left_anti")
