@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, prepare, tidy
+from .common import clean_worker, materialise, prepare, tidy
 from .textkeys import _WORD, mix64, shingles, word_hashes
 from .token_output import span_hashes, text_slices
 
@@ -260,7 +260,12 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
     chosen = F.broadcast(materialise(parts[0].unionByName(parts[1]), "training-ids"))
     rows = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS).join(chosen, "doc_id")
     rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text")
-    return train(rows["text"].tolist(), rows["toxic"].tolist())
+    texts, toxic = rows["text"].tolist(), rows["toxic"].tolist()
+    del rows
+    model = train(texts, toxic)
+    del texts
+    clean_worker()  # the driver lives on too
+    return model
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
