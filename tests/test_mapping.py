@@ -120,6 +120,27 @@ def test_full_voxel_merges_its_overflow(spark):
     assert fusion2d.add_surfels(spark.createDataFrame([], names)).count() == 0
 
 
+@pytest.mark.parametrize("radius,size", [(2.5, 0.3), (0.2, 0.3), (0.9, 0.3), (1.0, 0.125)])
+def test_block_index_equals_all_pairs(spark, radius, size):
+    """Radius, nearest and their bounds against all pairs; a few rows a point, not one for each voxel of the ball."""
+    rng = np.random.default_rng(int(radius * 100))
+    keys = {tuple(map(int, k)) for k in rng.integers(-14, 15, (600, 3))}
+    at = np.vstack([rng.uniform(-4, 4, (60, 3)), (np.array(sorted(keys))[:5] + 0.5) * size, [[90.0, 0, 0]]])
+    voxels = spark.createDataFrame([(*k, 1) for k in sorted(keys)], "vx int, vy int, vz int, count long")
+    points = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(at)] + [(99, None, 0.0, 0.0)], "id long, x double, y double, z double")
+    got = {(r.id, r.vx, r.vy, r.vz): r.dist_sq for r in voxel.radius_join(points, voxels, radius, size).collect()}
+    want = {(i, *k): d for i, q in enumerate(at) for k in keys if (d := float(((np.array(k) + 0.5) * size - q) @ ((np.array(k) + 0.5) * size - q))) <= radius**2}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    least = {}
+    for k, d in want.items():
+        least[k[0]] = min(d, least.get(k[0], math.inf))
+    near = {r.id: r.dist_sq for r in voxel.nearest_voxel(points, voxels, radius, size, "id").collect()}
+    assert set(near) == set(least) and all(math.isclose(near[i], d, abs_tol=1e-12) for i, d in least.items())
+    assert voxel.near_blocks(points, radius, size).count() <= 27 * len(at)
+    none = voxels.limit(0)
+    assert voxel.radius_join(points, none, radius, size).count() == voxel.nearest_voxel(points, none, radius, size, "id").count() == 0
+
+
 def test_empty_map_collides_and_blocks(spark):
     none = spark.createDataFrame([], "vx int, vy int, vz int, count long")
     pts = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "vp_id long, x double, y double, z double")

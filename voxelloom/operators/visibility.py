@@ -117,7 +117,7 @@ def ray_cells(pairs: DataFrame, size: float) -> DataFrame:
 
 def occluded(pairs: DataFrame, surfels: DataFrame, size: float) -> DataFrame:
     """V6: (vp_id, key) whose ray meets another valid surfel's voxel."""
-    cells = ray_cells(pairs, size).where("not (qx = vx and qy = vy and qz = vz)").select("vp_id", *KEY, "qx", "qy", "qz").distinct()
+    cells = ray_cells(pairs, size).where("not (qx = vx and qy = vy and qz = vz)").select("vp_id", *KEY, "qx", "qy", "qz")
     solid = surfels.where("is_valid").select(F.col("vx").alias("qx"), F.col("vy").alias("qy"), F.col("vz").alias("qz"))
     return cells.join(solid, ["qx", "qy", "qz"], "left_semi").select("vp_id", *KEY).distinct()
 

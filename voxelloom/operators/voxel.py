@@ -1,14 +1,14 @@
 """Voxel keys, spatial queries and neighbour joins.
 
-All joins are equi-joins on integer keys: a neighbourhood or radius becomes an exploded set of keys
-(of bounded size) that meets the map on (vx, vy, vz), never a nested loop over pairs.
+All joins are equi-joins on integer keys: a neighbourhood becomes an exploded set of keys of bounded
+size, a radius one of blocks of voxels, that meets the map by key, never a nested loop over pairs.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
@@ -34,9 +34,8 @@ def corners(df: DataFrame, size: float) -> DataFrame:
     return df
 
 
-def neighbours(keys: DataFrame, reach: int = 1, faces: bool = False, itself: bool = False, within: float | None = None) -> DataFrame:
-    """All columns of keys with the neighbour's key in qx, qy, qz; within cuts the corners off:
-    no nearer corner of a kept cell is further away than so many cells."""
+def neighbours(keys: DataFrame, reach: int = 1, faces: bool = False, itself: bool = False) -> DataFrame:
+    """All columns of keys with the neighbour's key in qx, qy, qz."""
     out, q = keys, ("qx", "qy", "qz")
     for n, k in zip(q, KEY, strict=True):
         out = out.withColumn(n, F.explode(F.sequence(F.col(k) - reach, F.col(k) + reach)))
@@ -45,9 +44,6 @@ def neighbours(keys: DataFrame, reach: int = 1, faces: bool = False, itself: boo
         out = out.where(d[0] + d[1] + d[2] > 0)
     if faces:
         out = out.where(d[0] + d[1] + d[2] <= 1)
-    if within is not None:
-        gap = [F.greatest(F.lit(0), c - 1) for c in d]
-        out = out.where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= within * within)
     return out
 
 
@@ -58,16 +54,61 @@ def neighbour_join(left: DataFrame, right: DataFrame, how: str = "inner", **kw)
     return around.join(named, ["qx", "qy", "qz"], how)
 
 
+BLOCK = ["bx", "by", "bz"]
+
+
+def block_side(radius: float, size: float) -> int:
+    """Voxels a block's side: as long as the radius, so that a ball meets at most 27 blocks."""
+    return max(1, math.ceil(radius / size))
+
+
+def with_block(voxels: DataFrame, side: int) -> DataFrame:
+    """The upper level of the index: the block of each voxel."""
+    return voxels.withColumns({b: F.floor(F.col(k) / F.lit(side)).cast("int") for b, k in zip(BLOCK, KEY, strict=True)})
+
+
+def near_blocks(points: DataFrame, radius: float, size: float, names=("x", "y", "z")) -> DataFrame:
+    """points with every block (bx, by, bz) that comes within radius, some 20 a point whatever the voxels' size."""
+    width = block_side(radius, size) * size
+    out = points
+    for b, n in zip(BLOCK, names, strict=True):
+        out = out.withColumn(b, F.explode(F.sequence(F.floor((F.col(n) - radius) / F.lit(width)).cast("int"), F.floor((F.col(n) + radius) / F.lit(width)).cast("int"))))
+    gap = [F.greatest(F.lit(0.0), F.col(b) * F.lit(width) - F.col(n), F.col(n) - (F.col(b) + 1) * F.lit(width)) for b, n in zip(BLOCK, names, strict=True)]
+    return out.where(L.dot(gap, gap) <= radius * radius * (1 + 1e-9))
+
+
 def radius_join(points: DataFrame, voxels: DataFrame, radius: float, size: float, names=("x", "y", "z")) -> DataFrame:
-    """Points with every voxel whose centre is within radius; adds dist_sq. points' columns stay."""
-    reach = math.ceil(radius / size)
-    keyed = with_key(points, size, names)
-    near = neighbours(keyed, reach, itself=True, within=radius / size).drop(*KEY)
-    voxels = voxels.select(*KEY, *[c for c in voxels.columns if c not in KEY and c not in points.columns])
-    out = near.join(voxels.withColumnsRenamed(dict(zip(KEY, ("qx", "qy", "qz"), strict=True))), ["qx", "qy", "qz"])
-    d = L.sub(center(size, ("qx", "qy", "qz")), tuple(F.col(n) for n in names))
-    out = out.withColumn("dist_sq", L.dot(d, d)).where(F.col("dist_sq") <= radius * radius)
-    return out.withColumnsRenamed(dict(zip(("qx", "qy", "qz"), KEY, strict=True)))
+    """Points with every voxel whose centre is within radius; adds dist_sq. points' columns stay.
+
+    A two-level index: points meet blocks, then the voxels of these; the distance decides inside the
+    join, so only near pairs leave it. Points with null coordinates meet nothing.
+    """
+    near = near_blocks(points, radius, size, names)
+    voxels = with_block(voxels.select(*KEY, *[c for c in voxels.columns if c not in KEY and c not in points.columns]), block_side(radius, size))
+    d = L.sub(center(size), tuple(F.col(n) for n in names))
+    met = near.alias("p").join(voxels.alias("v"), [F.col(f"p.{b}") == F.col(f"v.{b}") for b in BLOCK] + [L.dot(d, d) <= radius * radius])
+    return met.drop(*BLOCK).withColumn("dist_sq", L.dot(d, d))
+
+
+def nearest_voxel(points: DataFrame, voxels: DataFrame, most: float, size: float, id_col: str) -> DataFrame:
+    """(id, dist_sq) of points(id, x, y, z) to the nearest voxel centre, where that is within `most`.
+
+    Blocks know the box of their voxels' centres. A point's distance to that box is a lower bound, to
+    its far corner an upper one; only blocks whose lower bound doesn't pass the point's least upper
+    bound are opened.
+    """
+    side = block_side(most, size)
+    inside = with_block(voxels.select(*KEY), side)
+    at = dict(zip("xyz", center(size), strict=True))
+    boxes = inside.groupBy(*BLOCK).agg(*[f(at[a]).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    j = near_blocks(points.select(id_col, "x", "y", "z"), most, size).join(boxes, BLOCK)
+    under = [F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}")) for a in "xyz"]
+    over = [F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}"))) for a in "xyz"]
+    j = j.select(id_col, "x", "y", "z", *BLOCK, L.dot(under, under).alias("low"), L.dot(over, over).alias("high"))
+    j = j.withColumn("bound", F.min("high").over(Window.partitionBy(id_col))).where((F.col("low") <= F.col("bound") * (1 + 1e-9)) & (F.col("low") <= most * most * (1 + 1e-9)))
+    d = L.sub(center(size), L.vec())
+    near = j.join(inside, BLOCK).groupBy(id_col).agg(F.min(L.dot(d, d)).alias("dist_sq"))
+    return near.where(F.col("dist_sq") <= most * most)
 
 
 def box_query(surfels: DataFrame, lo, hi, size: float) -> DataFrame:
@@ -126,8 +167,7 @@ def collisions(points: DataFrame, voxels: DataFrame, radius: float, size: float,
 
 def surface_distance(points: DataFrame, voxels: DataFrame, most: float, size: float, id_col: str) -> DataFrame:
     """Distance to the nearest occupied voxel less half a voxel, at least 0, at most `most`."""
-    near = radius_join(points.select(id_col, "x", "y", "z"), voxels.where("count > 0").select(*KEY), most, size)
-    least = near.groupBy(id_col).agg(F.min("dist_sq").alias("d2"))
+    least = nearest_voxel(points, voxels.where("count > 0"), most, size, id_col)
     out = points.select(id_col).join(least, id_col, "left")
-    dist = F.least(F.lit(most), F.greatest(F.lit(0.0), F.sqrt("d2") - size / 2))
+    dist = F.least(F.lit(most), F.greatest(F.lit(0.0), F.sqrt("dist_sq") - size / 2))
     return out.select(id_col, F.coalesce(dist, F.lit(most)).alias("distance"))

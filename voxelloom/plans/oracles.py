@@ -99,8 +99,13 @@ ORTHO = f"""kf - 0.1 + ext >= 0 AND 8 - kf + ext >= 0
   AND kf*{TH}::DOUBLE + kr + 0.15*(abs(cos(yaw)*{TH}::DOUBLE + sin(yaw)) + abs(sin(yaw)*{TH}::DOUBLE - cos(yaw))) >= 0
   AND kf*{TH}::DOUBLE - kr + 0.15*(abs(cos(yaw)*{TH}::DOUBLE - sin(yaw)) + abs(sin(yaw)*{TH}::DOUBLE + cos(yaw))) >= 0
   AND kf*{TV}::DOUBLE + ku + {TV}::DOUBLE*ext + 0.15 >= 0 AND kf*{TV}::DOUBLE - ku + {TV}::DOUBLE*ext + 0.15 >= 0"""
+def cell(x: str, y: str, z: str) -> str:
+    """One number for a voxel within a million voxels of the origin."""
+    return f"(({x})::BIGINT * 4398046511104 + ({y})::BIGINT * 2097152 + ({z})::BIGINT)"
+
+
 VIEW = f"""{MAP}, {cte("fx_viewpoints")},
-vs AS (SELECT p.vp_id, p.x AS ex, p.y AS ey, p.z AS ez, p.yaw, s.vx, s.vy, s.vz, s.mx, s.my, s.mz, {CAMERA}, {CELL} FROM fx_viewpoints p, su s WHERE s.is_valid),
+vs AS MATERIALIZED (SELECT p.vp_id, p.x AS ex, p.y AS ey, p.z AS ez, p.yaw, s.vx, s.vy, s.vz, s.mx, s.my, s.mz, {CAMERA}, {CELL} FROM fx_viewpoints p, su s WHERE s.is_valid),
 vv AS (SELECT * FROM vs WHERE {SEES}),
 dv AS (SELECT * FROM vv WHERE {ORTHO}),
 vis AS (SELECT vp_id, vx, vy, vz FROM dv UNION
@@ -202,12 +207,13 @@ ORACLE_SQL = {
     "v1_frustum_boxes": f"WITH {cte('fx_viewpoints')}, c AS (SELECT vp_id, x + f*cos(yaw) + s*f*{TH}::DOUBLE*sin(yaw) AS px, y + f*sin(yaw) - s*f*{TH}::DOUBLE*cos(yaw) AS py, z + t*f*{TV}::DOUBLE AS pz FROM fx_viewpoints, (VALUES (0.1::DOUBLE), (8.0)) n(f), (VALUES (-1), (1)) a(s), (VALUES (-1), (1)) b(t)) SELECT vp_id, {r('min(px)', 'lox')}, {r('max(px)', 'hix')}, {r('min(py)', 'loy')}, {r('max(py)', 'hiy')}, {r('min(pz)', 'loz')}, {r('max(pz)', 'hiz')} FROM c GROUP BY vp_id",
     "v3_v5_direct": f"WITH {VIEW} SELECT vp_id, {K} FROM dv",
     "v4_visibility": f"WITH {VIEW} SELECT vp_id, {K} FROM vis",
-    "v6_occlusion": f"""WITH {VIEW}, dd AS MATERIALIZED (SELECT vp_id, vx, vy, vz, ex, ey, ez, mx, my, mz, sqrt(d2) AS dist FROM dv),
-      va AS MATERIALIZED (SELECT vx AS hx, vy AS hy, vz AS hz FROM su WHERE is_valid),
-      st AS (SELECT *, unnest(range(1, greatest(2, ceil(dist/0.15::DOUBLE)::INT))) AS k FROM dd),
-      ce AS MATERIALIZED (SELECT vp_id, vx, vy, vz, floor((ex + (mx-ex)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)::INT AS hx, floor((ey + (my-ey)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)::INT AS hy, floor((ez + (mz-ez)/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)::INT AS hz FROM st WHERE k*0.15::DOUBLE < dist),
-      hi AS (SELECT DISTINCT vp_id, vx, vy, vz FROM ce JOIN va USING (hx, hy, hz) WHERE (hx, hy, hz) <> (vx, vy, vz))
-      SELECT vp_id, {K} FROM dd ANTI JOIN hi USING (vp_id, vx, vy, vz)""",
+    # Cells of rays and solid voxels meet by one number each, so that every join hashes.
+    "v6_occlusion": f"""WITH {VIEW}, dd AS MATERIALIZED (SELECT vp_id, vx, vy, vz, {cell("vx", "vy", "vz")} AS own, ex, ey, ez, mx, my, mz, sqrt(d2) AS dist FROM dv),
+      va AS MATERIALIZED (SELECT DISTINCT {cell("vx", "vy", "vz")} AS cell FROM su WHERE is_valid),
+      ks AS MATERIALIZED (SELECT vp_id, own, ex, ey, ez, mx, my, mz, dist, unnest(range(1, greatest(2, ceil(dist/0.15::DOUBLE)::INT))) AS k FROM dd),
+      ce AS MATERIALIZED (SELECT vp_id, own, {cell(*[f"floor((e{a} + (m{a}-e{a})/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)" for a in "xyz"])} AS cell FROM ks WHERE k*0.15::DOUBLE < dist),
+      hi AS MATERIALIZED (SELECT DISTINCT vp_id, own, true AS hidden FROM (SELECT vp_id, own, cell FROM ce WHERE cell <> own) JOIN va USING (cell))
+      SELECT vp_id, {K} FROM dd LEFT JOIN hi USING (vp_id, own) WHERE hidden IS NULL""",
     "v7_coverage": f"WITH {COVER}, j AS (SELECT v.vp_id, c.vx IS NULL AS new FROM vis v LEFT JOIN cv c USING ({K})) SELECT vp_id, count(*) AS n_visible, count(*) FILTER (WHERE new) AS n_new, {r('count(*) FILTER (WHERE new)::DOUBLE/count(*)', 'coverage')} FROM j GROUP BY vp_id",
     "v8_similar": f"WITH {cte('fx_viewpoints')} SELECT a.vp_id AS vp_a, b.vp_id AS vp_b FROM fx_viewpoints a JOIN fx_viewpoints b ON a.vp_id < b.vp_id WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.25 AND abs(a.yaw - b.yaw) <= 0.2618::DOUBLE",
     "v9_collision": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT vp_id, x + 1.5 AS x, y, z FROM fx_viewpoints) SELECT vp_id, EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near('q', 's', 0.8)}) AS in_collision FROM q",
