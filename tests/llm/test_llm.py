@@ -341,11 +341,63 @@ def test_copies_are_not_template(spark):
     rows = [(i, f"http://{h}.example/{i}", page.format(t)) for i, (h, t) in enumerate(zip(hosts, titles))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     wrappers = html_wrapper.induce(df)
-    assert {r.host for r in wrappers.collect()} == {"many.example"}
+    import json
+
+    texts = {r.host: json.loads(r.template)[1] for r in wrappers.collect()}
+    assert not texts["few.example"] and texts["many.example"]
     out = {r.page_id: r.main_text for r in html_wrapper.extract(df, wrappers).collect()}
     assert [out[i] for i in range(13)] == [f"{t}\n\ntext of {t}" for t in titles]
 
 
+def test_text_that_markup_hid():
+    """Self-closed svg, a quote inside an unquoted value, a teaser's article, a class that means something else."""
+    assert main_blocks('<p>One</p><svg width="1"/><p>Two</p><svg><g><text>no</text></g><path d="x"/></svg><p>Three') == ["One", "Two", "Three"]
+    assert main_blocks("<p data-x=it's>Hello</p><p title=\"a>b\">x</p><p 'y>z'</p>") == ["Hello", "x", "z'"]
+    long = "the text of the page itself " * 20
+    assert main_blocks(f"<body><h1>T</h1><p>{long}</p><article><p>Teaser</p></article></body>") == ["T", long.strip(), "Teaser"]
+    assert main_blocks(f'<article><p>{long}</p></article><div class="cookies recipe"><p>Bake.</p></div>') == [long.strip()]
+    assert main_blocks(f'<p>{long}</p><div class="cookies recipe"><p>Bake.</p></div>') == [long.strip(), "Bake."]
+    assert main_blocks(f'<p>{long}</p><div class="cookies css-1x2y3z"><p>Accept.</p></div>') == [long.strip()]
+
+
+def plain_divs(html):
+    """Pages that say nothing by tags and classes."""
+    html = re.sub(r"<(article|main|nav|footer|header|aside)\b", "<div", html)
+    return re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"</(article|main|nav|footer|header|aside)>", "</div>", html))
+
+
+def test_main_slot_stands_for_tags_and_classes(spark):
+    """Without a word from tags and classes the aligned pages of a host tell its article; a page alone can't."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: r.main_text for r in html_wrapper.extract(pages, html_wrapper.induce(pages)).collect()}
+    rows = [(r.page_id, r.url, plain_divs(r.html)) for r in pages.collect()]
+    plain = spark.createDataFrame(rows, pages.schema)
+    wrappers = html_wrapper.induce(plain)
+    host = {r.page_id: r.host for r in pages.select("page_id", html_wrapper.host_of().alias("host")).collect()}
+    many = {h for h in host.values() if list(host.values()).count(h) >= 5}
+    ids = [i for i in host if host[i] in many]
+    with_, without = ({r.page_id: r.main_text for r in html_wrapper.extract(plain, w).collect()} for w in (wrappers, wrappers.limit(0)))
+    assert len(ids) > 100 and sum(with_[i] == want[i] for i in ids) >= 0.95 * len(ids)
+    assert sum(without[i] == want[i] for i in ids) <= 0.1 * len(ids)
+
+
+def test_main_slot_moves_with_the_tree(spark):
+    """An advert before the article on some pages, one page's article shorter than its advert, copies, and a headline kept with its text."""
+    nav = "<div><ul>" + "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(5)) + "</ul></div>"
+    page = "<body>{nav}{ad}<div><h1>Title {i}</h1><div><p>{text}</p><p>more {i}</p></div></div><div><p>&copy; site {i}</p></div></body>"
+    rows = []
+    for i in range(12):
+        text = "Short." if i == 4 else f"words of page {i} " * 12
+        ad = f"<div><p>Buy {i} now, it is cheap and very good for you and all your friends.</p></div>" if i % 3 else ""
+        rows.append((i, f"https://s.example/{i}", page.format(nav=nav, ad=ad, i=i, text=text)))
+    df = spark.createDataFrame([*rows, *[(100 + k, "https://s.example/copy", rows[1][2]) for k in range(9)]], "page_id long, url string, html string")
+    out = {r.page_id: r.main_text for r in html_wrapper.extract(df, html_wrapper.induce(df)).collect()}
+    for i in range(12):
+        text = "Short." if i == 4 else (f"words of page {i} " * 12).strip()
+        assert out[i] == f"Title {i}\n\n{text}\n\nmore {i}"
+    assert {out[100 + k] for k in range(9)} == {out[1]}
+
+
 def test_html_of_test_pages(spark):
     import html
 

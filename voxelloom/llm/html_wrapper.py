@@ -3,13 +3,18 @@
 Each page becomes a tree of block elements; a run of like siblings (list items, paragraphs) is one
 iterator node. A host has up to REFERENCES reference pages, one of each of its commonest shapes, so
 that an error page or another layout doesn't stand for all. Every page is aligned by simple tree
-matching with the reference that it matches best, and the texts that stand at each reference node
-are counted over all different page trees of the host: copies of a page count once. A node that
-nearly always has the same text is template; every other node, matched or not, is a slot whose text
-is content. Tags that say what they are (menus, asides, ...) are never content. A class, id or role
-that names such a part is evidence: alone it drops an element unless that holds most of the page's
-text, beside other words only if the element is mostly links. Where a page marks its article,
-content lies inside it.
+matching with the reference that it matches best; what stands at each reference node is counted over
+all different page trees of the host: copies of a page count once.
+
+A node that nearly always has the same text is template. Of the varying slots the main one is found
+by the varying text without links that stands in it over all pages: from the root down, as long as one child
+holds most of it, no sibling holds a headline, and the child isn't plain text. A page's content is
+what its tree has at the main slot, found by aligning it anew; menus, adverts and footers stand
+beside that slot whatever their tags and words. Pages without it, and hosts of one page, rely on
+evidence: tags that say what they are (menus, asides, ...) are never content; a class, id or role
+that names such a part drops an element unless that holds most of the page's text, beside other words
+only if the element is mostly links. Where such a page marks its article, content lies inside it,
+unless that has little of the page's text.
 
 A host's counts are sums over trees, so a host that holds a third of all pages is spread over all
 tasks; a join with the hosts' wrappers is broadcast only if their written table is small.
@@ -34,16 +39,21 @@ from .common import materialise, prepare
 LEAST_PAGES = 5
 LEAST_SHARE = 0.8
 REFERENCES = 3
+#: A main slot is told from so many different page trees at least.
+SLOT_PAGES = 2
 #: Shares of a page's text from which an element is kept whatever its class says; and of links in an element that count as proof.
 MOST_TEXT = 0.5
 MOST_COMMENTS = 0.8
 LINKS = 0.5
+#: Share of the text that evidence leaves from which a page's marked article is taken for its content.
+LEAST_MARKED = 0.25
 #: Cells of an alignment table that stand in memory at once; larger ones are split.
 CELLS = 1 << 20
 
 # Fixed word lists of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("head script style noscript template iframe svg nav footer aside button select option textarea input title object embed canvas dialog menu".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
@@ -62,8 +72,9 @@ HEADERS = frozenset("banner header masthead".split())
 BESIDE = frozenset("a an and area article articles bar block blog body bottom box button buttons col column container content fixed floating global google group icon icons inline inner item items left link links list main message outer page pane panel post posts primary reader right row secondary section site slot sticky stories story text the top unit user wrap wrapper".split())
 # Words that say that a header is the article's own.
 OWN_HEADER = frozenset("article entry post story content".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?)*+)>", re.S)
+#: As HTML reads attributes: a quote inside an unquoted value is a character.
+ATTR = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: What a class says: nothing; a noise word beside others; noise; readers' comments; a header; the article's own header.
@@ -81,10 +92,14 @@ class Node:
 
 
 def evidence(value: str) -> int:
-    """What the words of a class, id or role say."""
+    """What the words of a class, id or role say; beside a token that means something else, noise is only weak.
+
+    Tokens with digits mean nothing (they are mostly made by tools).
+    """
     out = PLAIN
-    for token in value.split():
-        words = {w.lower() for w in WORDS.findall(token)}
+    tokens = [({w.lower() for w in WORDS.findall(t)}, t) for t in value.split() if not re.search(r"\d", t)]
+    other = any(words and not words <= BESIDE and not any(NOISE.fullmatch(w) for w in words) and not words & OWN_HEADER for words, _ in tokens)
+    for words, _ in tokens:
         noise = {w for w in words if NOISE.fullmatch(w)}
         if not noise:
             continue
@@ -96,6 +111,8 @@ def evidence(value: str) -> int:
             got = HEADLINE if words & OWN_HEADER else HEADER
         else:
             got = STRONG
+        if other and got == STRONG:
+            got = WEAK
         out = max(out, got, key=lambda e: (e in (STRONG, TALK), e))
     return out
 
@@ -109,7 +126,11 @@ def _attributes(text: str) -> tuple[str, int]:
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements; text stands in leaf nodes `#`. Unclosed and crossed tags are mended."""
+    """The tree of block elements; text stands in leaf nodes `#`. Unclosed and crossed tags are mended.
+
+    An element that closes itself (`/>`) is empty, in svg and math as elsewhere; what stands in svg is
+    dropped by its tag later. A quote that isn't closed ends with its tag.
+    """
     root = Node("#root", "#root", PLAIN)
     stack = [root]
     buffer: list[str] = []
@@ -233,9 +254,12 @@ def _group_hash(label: str, nodes: list[Node]) -> int | None:
     return _hash("".join(nodes[0].texts)) if nodes[0].texts else None
 
 
-def skeleton(root: Node) -> list[list]:
-    """[labels, parents, text hashes] of groups in document order; the first is the root."""
-    labels, parents, hashes = [], [], []
+def skeleton(root: Node, members: list | None = None) -> list[list]:
+    """[labels, parents, text hashes, characters outside links, evidence against it] of groups in document order.
+
+    The first is the root. members takes the nodes of each group.
+    """
+    labels, parents, hashes, texts, against = [], [], [], [], []
     todo = [(-1, root.label, [root])]
     while todo:
         parent, label, nodes = todo.pop()
@@ -243,9 +267,13 @@ def skeleton(root: Node) -> list[list]:
         labels.append(label)
         parents.append(parent)
         hashes.append(_group_hash(label, nodes))
+        texts.append(sum(k.chars - k.links for k in nodes))
+        against.append(int(nodes[0].tag in NEVER or nodes[0].tag == "form" or nodes[0].noise in (STRONG, TALK)))
+        if members is not None:
+            members.append(nodes)
         if hashes[-1] is None:
             todo += [(at, *g) for g in reversed(list(groups(nodes[0])))]
-    return [labels, parents, hashes]
+    return [labels, parents, hashes, texts, against]
 
 
 class Shapes:
@@ -265,7 +293,7 @@ class Shapes:
 
     def classes(self, tree: list) -> list[int]:
         """Class of each node of a skeleton."""
-        labels, parents, _ = tree
+        labels, parents = tree[:2]
         kids: list[list[int]] = [[] for _ in labels]
         out = [0] * len(labels)
         for i in range(len(labels) - 1, -1, -1):
@@ -383,11 +411,54 @@ def _kids(tree: list) -> list[list[int]]:
 
 
 class Template:
-    """Template texts of a host: places of label paths and (place, hash) pairs."""
+    """What is known of a host: template texts, as places of label paths and (place, hash) pairs, and references with their main slots."""
 
-    def __init__(self, paths=(), texts=()):
+    def __init__(self, paths=(), texts=(), refs=(), mains=()):
         self.paths = {(p, label): i for i, (p, label) in enumerate(paths)}
         self.texts = {tuple(t) for t in texts}
+        self.refs, self.mains = list(refs), list(mains)
+
+    def main(self, tree: list, shapes: Shapes) -> int:
+        """The node of a page's skeleton at the main slot of the reference that it matches best, or -1."""
+        if not any(m >= 0 for m in self.mains):
+            return -1
+        top = shapes.classes(tree)[0]
+        weights = [shapes.weigh(shapes.classes(r)[0], top) for r in self.refs]
+        best = weights.index(max(weights))
+        if self.mains[best] < 0 or not max(weights):
+            return -1
+        return next((j for i, j in shapes.align(self.refs[best], tree) if i == self.mains[best]), -1)
+
+    def place(self, tree: list, node: int) -> int:
+        """The place of the label path to a node's parent."""
+        chain, node = [], tree[1][node]
+        while node >= 0:
+            chain.append(tree[0][node])
+            node = tree[1][node]
+        out = -1
+        for label in reversed(chain):
+            out = self.paths.get((out, label), -2)
+        return out
+
+
+def main_slot(tree: list, texts: dict[int, int], pages: dict[int, int]) -> int:
+    """The main slot of a reference: texts has the varying text that stood at its nodes over all pages, pages their number; -1 where there is none."""
+    labels, parents, _, _, against = tree
+    kids = _kids(tree)
+    headed = [label.startswith("h1") for label in labels]
+    for i in range(len(labels) - 1, 0, -1):
+        headed[parents[i]] |= headed[i] and not against[i]
+    node = 0
+    while True:
+        inner = [k for k in kids[node] if not against[k]]
+        best = max(inner, key=lambda k: texts.get(k, 0), default=None)
+        if best is None or labels[best] == "#" or labels[best].endswith("*"):
+            break
+        if texts.get(best, 0) <= 0 or texts[best] < MOST_TEXT * texts.get(node, 0) or any(headed[k] for k in inner if k != best):
+            break
+        node = best
+    outer = labels[node].split(".")[0] in ("#root", "html", "body")
+    return -1 if outer or pages.get(node, 0) < SLOT_PAGES else node
 
 
 def template_of(refs: list, constants: list[tuple[int, int, int]]) -> list:
@@ -395,7 +466,7 @@ def template_of(refs: list, constants: list[tuple[int, int, int]]) -> list:
     paths: dict = {}
     texts = set()
     for ref, node, value in constants:
-        labels, parents, _ = refs[ref]
+        labels, parents = refs[ref][:2]
         chain = []
         while node >= 0:
             chain.append(labels[node])
@@ -419,12 +490,20 @@ def _dropped(node: Node, inside: bool, total: int) -> bool:
     return noise != WEAK or node.links >= LINKS * node.chars
 
 
-def blocks(root: Node, template: Template | None = None) -> list[str]:
+def blocks(root: Node, template: Template | None = None, shapes: Shapes | None = None) -> list[str]:
     """Texts of content blocks in page order."""
     template = template or Template()
     out: list[str] = []
     marked: list[str] = []
     todo = [(root.label, [root], -1, False)]
+    main = -1
+    if template.refs:
+        members: list = []
+        tree = skeleton(root, members)
+        main = template.main(tree, shapes or Shapes())
+        if main >= 0:
+            todo = [(tree[0][main], members[main], template.place(tree, main), True)]
+    start = todo[0][1][0]
     while todo:
         label, nodes, place, inside = todo.pop()
         place = template.paths.get((place, label), -2)
@@ -440,11 +519,12 @@ def blocks(root: Node, template: Template | None = None) -> list[str]:
                         marked.append(text)
             continue
         node = nodes[0]
-        if node is not root and _dropped(node, inside, root.chars):
+        if node is not start and _dropped(node, inside, root.chars):
             continue
         inside = inside or node.tag in MAIN
         todo += [(*g, place, inside) for g in reversed(list(groups(node)))]
-    return marked or out
+    own, all_ = sum(map(len, marked)), sum(map(len, out))
+    return marked if marked and (main >= 0 or own >= LEAST_MARKED * all_) else out
 
 
 # --- the operator ----------------------------------------------------------------------------
@@ -464,7 +544,7 @@ def _skeletons(batches):
 
 
 def _aligned(batches):
-    """(host, refs, tree) -> (host, ref, node, hash): the texts of a page at the nodes of the reference that it matches best."""
+    """(host, refs, tree) -> (host, ref, node, hash, text): what a page has at the nodes of the reference that it matches best."""
     refs: dict[str, list] = {}
     shapes = Shapes()
     for batch in batches:
@@ -478,23 +558,36 @@ def _aligned(batches):
             top = shapes.classes(own)[0]
             weights = [shapes.weigh(shapes.classes(r)[0], top) for r in refs[host]]
             best = weights.index(max(weights))
-            found += [(host, best, i, own[2][j]) for i, j in shapes.align(refs[host][best], own) if own[2][j] is not None]
-        columns = list(zip(*found, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["host", "ref", "node", "hash"])
+            found += [(host, best, i, own[2][j], own[3][j]) for i, j in shapes.align(refs[host][best], own)]
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "ref", "node", "hash", "text"])
 
 
 def _templates(batches):
     for batch in batches:
-        out = [json.dumps(template_of([json.loads(r) for r in refs], [(c["ref"], c["node"], c["hash"]) for c in constants]), separators=(",", ":")) for refs, constants in zip(batch.column("refs").to_pylist(), batch.column("constants").to_pylist(), strict=True)]
+        out = []
+        for refs, slots in zip(batch.column("refs").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+            trees = [json.loads(r) for r in refs]
+            texts: list[dict] = [{} for _ in trees]
+            pages: list[dict] = [{} for _ in trees]
+            for x in slots:
+                texts[x["ref"]][x["node"]], pages[x["ref"]][x["node"]] = x["text"], x["pages"]
+            for x in slots:
+                node = x["node"] if x["hash"] is not None else -1
+                while node >= 0:  # what is the same on all pages is no content
+                    texts[x["ref"]][node] -= x["text"]
+                    node = trees[x["ref"]][1][node]
+            mains = [main_slot(*t) for t in zip(trees, texts, pages, strict=True)]
+            known = template_of(trees, [(x["ref"], x["node"], x["hash"]) for x in slots if x["hash"] is not None])
+            out.append(json.dumps([*known, [t[:2] for t in trees], mains], separators=(",", ":")))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "template"])
 
 
 def induce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """pages(url, html) -> (host, template): label paths and text hashes of each host's template nodes.
+    """pages(url, html) -> (host, template): label paths and text hashes of each host's template nodes, references and main slots.
 
     Null html is an empty page, null urls form one host without name; repeated rows and copies count
-    once; hosts without template nodes give no row, so an empty table gives none; other columns
-    aren't read.
+    once; every host gives a row, so an empty table gives none; other columns aren't read.
     """
     prepare(pages.sparkSession)
     named = pages.select(host_of().alias("host"), F.xxhash64("url", "html").alias("pick"), "html")
@@ -508,19 +601,21 @@ def induce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     top = common.withColumn("rank", rank).where(F.col("rank") <= REFERENCES)
     refs = top.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "r.tree"))), lambda r: r["tree"]).alias("refs"))
     refs = materialise(refs, "host-references")
-    texts = trees.join(refs, "host").select("host", "refs", "tree").mapInArrow(_aligned, "host string, ref int, node int, hash long")
-    counts = texts.groupBy("host", "ref", "node", "hash").agg(F.count("*").alias("n"))
-    nodes = counts.groupBy("host", "ref", "node").agg(F.max(F.struct("n", "hash")).alias("top"), F.sum("n").alias("all"))
-    constant = nodes.where((F.col("top.n") >= least_pages) & (F.col("top.n") >= least_share * F.col("all")))
-    constants = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("ref", "node", "top.hash"))).alias("constants"))
-    return materialise(refs.join(constants, "host").mapInArrow(_templates, "host string, template string"), "wrappers")
+    aligned = trees.join(refs, "host").select("host", "refs", "tree").mapInArrow(_aligned, "host string, ref int, node int, hash long, text long")
+    counts = aligned.groupBy("host", "ref", "node", "hash").agg(F.count("*").alias("n"), F.sum("text").alias("text"))
+    top = F.max(F.when(F.col("hash").isNotNull(), F.struct("n", "hash"))).alias("top")
+    nodes = counts.groupBy("host", "ref", "node").agg(top, F.sum("n").alias("pages"), F.sum("text").alias("text"))
+    constant = (F.col("top.n") >= least_pages) & (F.col("top.n") >= least_share * F.col("pages"))
+    slot = F.struct("ref", "node", F.when(constant, F.col("top.hash")).alias("hash"), "pages", "text")
+    slots = nodes.groupBy("host").agg(F.sort_array(F.collect_list(slot)).alias("slots"))  # at most REFERENCES pages' nodes
+    return materialise(refs.join(slots, "host").mapInArrow(_templates, "host string, template string"), "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """All columns of pages(url, html, ...) with main_text and main_chars.
 
-    Null html gives an empty text, null urls form one host without name, hosts with few pages have
-    no template and rely on what tags and classes say; repeated rows give equal results; very long
+    Null html gives an empty text, null urls form one host without name, hosts of one page and pages
+    without their host's main slot rely on what tags and classes say; repeated rows give equal results; very long
     and deep pages are read whole; an empty table stays empty; columns named like the new ones, in
     any case, are replaced.
     """
@@ -533,14 +628,18 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     def run(batches):
         known: dict[str, Template] = {}
+        shapes = Shapes()
         for batch in batches:
             texts = []
             for html, host, template in zip(*(batch.column(c).to_pylist() for c in (page, "__host", "__template")), strict=True):
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
+                if len(shapes.labels) + len(shapes.weights) > 500_000:
+                    shapes = Shapes()
+                if host not in known:
                     known[host] = Template(*json.loads(template)) if template is not None else Template()
-                texts.append("\n\n".join(blocks(parse(html or ""), known[host])))
+                texts.append("\n\n".join(blocks(parse(html or ""), known[host], shapes)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "main_text", "main_chars"])
 
     return joined.mapInArrow(run, schema)
