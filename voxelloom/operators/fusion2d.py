@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..functions.shared import checkpoint
 from ..params import FusionParams
 from .voxel import KEY, neighbours, with_key
 
@@ -201,6 +202,47 @@ def merge_surfels(pairs: DataFrame, surfels: DataFrame, p: FusionParams = Fusion
     return with_key(j.select("a", "b", *C, "radius", "confidence", *SUMS, "sum_sq"), p.voxel, C)
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) -> (idx, root): the smallest index that pairs reach from each index in them.
+
+    Each round takes the least root of the neighbours and then that root's own root, so the reach
+    doubles; the rounds end when nothing changes. Null ends and pairs of a surfel with itself count
+    nothing; an empty table gives an empty result.
+    """
+    links = pairs.where("a is not null and b is not null and a <> b").select("a", "b")
+    links = checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = checkpoint(links.groupBy(F.col("a").alias("idx")).agg(F.min("b").alias("b")).select("idx", F.least("idx", "b").alias("root")))
+    while True:
+        near = links.join(roots.withColumnsRenamed({"idx": "b", "root": "near"}), "b").groupBy(F.col("a").alias("idx")).agg(F.min("near").alias("near"))
+        step = roots.join(near, "idx").select("idx", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        up = roots.select(F.col("idx").alias("root"), F.col("root").alias("far"))
+        now = checkpoint(step.join(up, "root").select("idx", F.least("root", "far").alias("root"), (F.least("root", "far") < F.col("old")).alias("moved")))
+        roots = now.select("idx", "root")
+        if now.where("moved").isEmpty():
+            return roots
+
+
+def merge_map(pairs: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
+    """B19-B22 on a map: surfels after all pairs(a, b) are merged, merges of merges too, each with the voxel it is in then.
+
+    The surfels that pairs connect become the one of the smallest index: weighted centre, sums of
+    weights, counts and distances, greatest confidence, a radius that reaches 0.6 of the way to the
+    farthest of those taken in (B21's rule for a pair). Those taken in are gone, all others stay as
+    they are. One aggregate, in which a component of any size is one row per task first.
+    """
+    whole = surfels.select("idx", *C, "l1", "confidence", *SUMS, "sum_sq").join(components(pairs), "idx", "left").withColumn("root", F.coalesce("root", "idx"))
+    w = F.col("total_weight")
+    sums = [*[F.sum(c).alias(c) for c in (*SUMS, "sum_sq")], F.max("confidence").alias("confidence"), F.max(F.sqrt("l1")).alias("radius"), F.count("*").alias("parts"), *[F.sum(F.col(c) * w).alias(f"m{c}") for c in C]]
+    merged = whole.groupBy("root").agg(*sums).withColumns({f"m{c}": F.col(f"m{c}") / w for c in C})
+    others = whole.where("root <> idx").join(merged.where("parts > 1").select("root", *[f"m{c}" for c in C]), "root")
+    far = others.groupBy("root").agg(F.max(L.norm(tuple(F.col(c) - F.col(f"m{c}") for c in C))).alias("far"))
+    own = whole.where("root = idx").select("root", *C)  # a surfel alone keeps its very centre
+    out = merged.join(far, "root", "left").join(own, "root")
+    out = out.withColumns({c: F.when(F.col("parts") > 1, F.col(f"m{c}")).otherwise(F.col(c)) for c in C})
+    out = out.withColumn("radius", F.greatest("radius", F.coalesce((F.col("radius") + F.col("far")) * 0.6, F.lit(0.0))))
+    return with_key(out.select(F.col("root").alias("idx"), *C, "radius", "confidence", *SUMS, "sum_sq", "parts"), p.voxel, C)
+
+
 def create_surfels(seeds: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     """B17, B14's second half, B27: seeds(seed_id, c*, n*) with the surfel that takes their points (idx), or started anew.
 

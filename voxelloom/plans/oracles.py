@@ -272,6 +272,15 @@ ORACLE_SQL = {
         ON abs(floor(qx/0.3::DOUBLE) - floor(cx/0.3::DOUBLE)) <= 1 AND abs(floor(qy/0.3::DOUBLE) - floor(cy/0.3::DOUBLE)) <= 1 AND abs(floor(qz/0.3::DOUBLE) - floor(cz/0.3::DOUBLE)) <= 1),
       b AS (SELECT seed_id, idx FROM c WHERE t >= 0.95 AND d <= 2*sqrt(l1) + 0.1 QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY t*confidence/(1 + d) DESC, idx) = 1)
       SELECT seed_id, coalesce(idx, -1) AS idx, idx IS NULL AS is_new, {r("qx", "cx")}, CASE WHEN idx IS NULL THEN round(0.0001::DOUBLE, 6) ELSE 0 END AS l1, CASE WHEN idx IS NULL THEN 1.0::DOUBLE ELSE 0 END AS total_weight, CASE WHEN idx IS NULL THEN round(ax, 6) ELSE 0 END AS sum_nx FROM q LEFT JOIN b USING (seed_id)""",
+    "b22_merge_map": f"""WITH RECURSIVE {WB}, pr AS (SELECT a.idx AS a, b.idx AS b FROM wb a JOIN wb b USING ({K}) WHERE a.idx <> b.idx AND abs(a.nx*b.nx + a.ny*b.ny) >= 0.95
+        AND sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz)) <= sqrt(a.l1) + sqrt(b.l1) + 0.1),
+      re AS (SELECT idx, idx AS far FROM wb UNION SELECT re.idx, pr.b FROM re JOIN pr ON re.far = pr.a),
+      ro AS (SELECT idx, min(far) AS root FROM re GROUP BY idx),
+      gr AS (SELECT root, sum(cx*w)/sum(w) AS ox, sum(cy*w)/sum(w) AS oy, sum(cz*w)/sum(w) AS oz, max(sqrt(l1)) AS wide, max(confidence) AS confidence, sum(w) AS total_weight, sum(point_count)::BIGINT AS point_count, sum(observations)::BIGINT AS observations,
+        sum(l0*point_count) AS sum_sq, count(*) AS parts FROM wb JOIN ro USING (idx) GROUP BY root),
+      fa AS (SELECT root, max(sqrt((cx-ox)*(cx-ox) + (cy-oy)*(cy-oy) + (cz-oz)*(cz-oz))) AS far FROM wb JOIN ro USING (idx) JOIN gr USING (root) WHERE idx <> root GROUP BY root),
+      al AS (SELECT g.*, CASE WHEN parts > 1 THEN ox ELSE s.cx END AS cx, CASE WHEN parts > 1 THEN oy ELSE s.cy END AS cy, CASE WHEN parts > 1 THEN oz ELSE s.cz END AS cz, greatest(wide, coalesce((wide + far)*0.6, 0)) AS radius FROM gr g LEFT JOIN fa USING (root) JOIN wb s ON s.idx = g.root)
+      SELECT root AS idx, {rs("cx", "cy", "cz", "radius", "confidence", "total_weight", "sum_sq")}, parts, point_count, observations, {BK} FROM al""",
     "b18_add_surfels": f"""WITH {WB}, t AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY confidence DESC, idx) <= 6 AS stays FROM wb),
       p AS (SELECT o.idx, s.idx AS target, sqrt((o.cx-s.cx)*(o.cx-s.cx) + (o.cy-s.cy)*(o.cy-s.cy) + (o.cz-s.cz)*(o.cz-s.cz)) AS d, abs(o.nx*s.nx + o.ny*s.ny) AS m, sqrt(o.l1) + sqrt(s.l1) AS reach
         FROM t o JOIN t s USING ({K}) WHERE NOT o.stays AND s.stays),

@@ -454,6 +454,12 @@ def b21_merge(spark, d):
     return _r(out, "cx", "cy", "cz", "radius", "confidence", "total_weight", "sum_sq", keep=("a", "b", "point_count", "observations"))
 
 
+def b22_merge_map(spark, d):
+    s = _weighted_b(spark, d)
+    out = fusion2d.merge_map(fusion2d.merge_pairs(_surfels_b(spark, d), mode="intended"), s)
+    return _r(out, "cx", "cy", "cz", "radius", "confidence", "total_weight", "sum_sq", keep=("idx", "parts", "point_count", "observations", *KEY))
+
+
 def b28_aspect(spark, d):
     return _r(fusion2d.aspect_ratio(_surfels_b(spark, d)), "aspect", keep=("idx",))
 
