@@ -43,13 +43,37 @@ def test_scan_filters_and_ties(spark):
     assert [r.point_idx for r in preprocess.grid_downsample(kept, ScanParams()).collect()] == [2]  # nearest, then first
 
 
-def test_smoothing_variants():
-    p = ScanParams(width=6, height=4)
-    flat = np.full((4, 6), 2.0)
-    for variant in ("forward_only", "symmetric", "identity"):
-        assert np.allclose(preprocess.smooth_image(flat, variant, p), flat)
-    step = np.where(np.arange(6) < 3, 2.0, 2.5)[None].repeat(4, 0)
-    assert np.allclose(preprocess.smooth_image(step, "symmetric", p), step)
+def plain_smooth(image, variant, p):
+    """Cell by cell, in place of windows: {(u, v): range}."""
+    r, out = p.smooth_radius, dict(image)
+    for _ in range(p.smooth_iters):
+        for axis in (0, 1):
+            new = {}
+            for at, g in out.items():
+                total = weight = 0.0
+                for d in range(0 if variant == "forward_only" else -r, r + 1):
+                    n = out.get((at[0] + d, at[1]) if axis == 0 else (at[0], at[1] + d))
+                    if n is not None and abs(n - g) <= p.max_jump:
+                        w = math.exp(-d * d / (2 * p.spatial_sigma**2)) * math.exp(-((n - g) ** 2) / (2 * p.depth_sigma**2))
+                        total, weight = total + w * n, weight + w
+                new[at] = g if variant == "forward_only" and at[axis] < r else total / weight
+            out = new
+    return out
+
+
+@pytest.mark.parametrize("variant", ["forward_only", "symmetric", "identity"])
+def test_smoothing_variants(spark, variant):
+    """A flat scan and a step stay as they are; a rough one with holes equals the plain loops; scans don't mix."""
+    rng = np.random.default_rng(2)
+    p = ScanParams(width=9, height=7)
+    scans = {0: {(u, v): 2.0 for u in range(6) for v in range(4)}, 1: {(u, v): 2.0 if u < 3 else 2.5 for u in range(6) for v in range(4)}}
+    scans[2] = {(u, v): 2 + 0.08 * float(rng.random()) + (0.3 if u > 5 else 0) for u in range(9) for v in range(7) if rng.random() < 0.8}
+    df = spark.createDataFrame([(s, u, v, g) for s, image in scans.items() for (u, v), g in image.items()], "scan_id int, u int, v int, range double")
+    got = {(r.scan_id, r.u, r.v): r.range_smooth for r in preprocess.smooth(df, p, variant).collect()}
+    want = {(s, *at): g for s, image in scans.items() for at, g in (image if variant == "identity" else plain_smooth(image, variant, p)).items()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    if variant == "symmetric":
+        assert all(math.isclose(got[s, *at], g) for s in (0, 1) for at, g in scans[s].items())
 
 
 def test_plane_normal_weight_gate_and_merge(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,51 +56,43 @@ def range_image(grid: DataFrame) -> DataFrame:
     return grid.withColumn("range", F.sqrt("r_sq"))
 
 
-def smooth_image(image: np.ndarray, variant: str, p: ScanParams) -> np.ndarray:
-    """P8-P10 on one dense range image (inf: invalid). forward_only looks only to later columns and
-    rows and leaves the first `radius` alone; symmetric clips its window at borders; identity returns
-    its input."""
-    if variant == "identity":
-        return image
-    r = p.smooth_radius
-    offsets = range(0, r + 1) if variant == "forward_only" else range(-r, r + 1)
-    out = image.astype(np.float64)
-    for _ in range(p.smooth_iters):
-        for axis in (1, 0):
-            src = out if axis == 1 else out.T
-            total, weight = np.zeros_like(src), np.zeros_like(src)
-            n = src.shape[1]
-            for d in offsets:
-                lo, hi = max(0, -d), min(n, n - d)
-                c, nb = src[:, lo:hi], src[:, lo + d : hi + d]
-                with np.errstate(invalid="ignore"):
-                    dr = nb - c
-                    ok = np.isfinite(c) & np.isfinite(nb) & (np.abs(dr) <= p.max_jump)
-                    w = np.where(ok, np.exp(-(d * d) / (2 * p.spatial_sigma**2)) * np.exp(-(dr * dr) / (2 * p.depth_sigma**2)), 0.0)
-                total[:, lo:hi] += np.where(ok, w * np.where(ok, nb, 0), 0)
-                weight[:, lo:hi] += w
-            new = np.where(weight > 1e-6, total / np.where(weight > 0, weight, 1), src)
-            if variant == "forward_only":
-                new[:, : min(r, n)] = src[:, : min(r, n)]
-            new = np.where(np.isfinite(src), new, src)
-            out = new if axis == 1 else new.T
-    return out
+def _weigh(axis: str, p: ScanParams):
+    """Adds a neighbour (i, at) to the sums of a cell."""
+
+    def add(acc, n):
+        step, gap = (n["i"] - F.col(axis)).cast("double"), n["at"] - F.col("range_smooth")
+        w = F.when(F.abs(gap) <= p.max_jump, F.exp(-(step * step) / (2 * p.spatial_sigma**2)) * F.exp(-(gap * gap) / (2 * p.depth_sigma**2))).otherwise(0.0)
+        return F.struct((acc["total"] + w * n["at"]).alias("total"), (acc["weight"] + w).alias("weight"))
+
+    return add
 
 
 def smooth(ranges: DataFrame, p: ScanParams = ScanParams(), variant: str = "forward_only") -> DataFrame:
-    """Adds range_smooth. A group is one scan, at most grid_w x grid_h rows."""
-    if variant == "identity":
-        return ranges.withColumn("range_smooth", F.col("range"))
-    schema = ranges.withColumn("range_smooth", F.col("range")).schema
-    w, h = p.grid_w, p.grid_h
+    """Adds range_smooth: bilateral means along rows, then columns, smooth_iters times.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.full((h, w), np.inf)
-        image[pdf["v"], pdf["u"]] = pdf["range"]
-        done = smooth_image(image, variant, p)
-        return pdf.assign(range_smooth=done[pdf["v"], pdf["u"]])
+    Each pass is a window over the cells of a line whose index lies within smooth_radius: a neighbour
+    weighs by its steps and by its range's difference, and not at all beyond max_jump. Cells that
+    don't exist weigh nothing. forward_only looks only to later columns and rows and leaves the first
+    smooth_radius alone; symmetric looks both ways; identity returns its input. All passes keep a scan
+    where it is, so there is one shuffle by scan at most.
+    """
+    out = ranges.withColumn("range_smooth", F.col("range").cast("double"))
+    if variant == "identity":
+        return out
+    r, back = p.smooth_radius, 0 if variant == "forward_only" else -p.smooth_radius
+    out = out.repartition("scan_id")
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
+    for _ in range(p.smooth_iters):
+        for axis, line in (("u", "v"), ("v", "u")):
+            frame = Window.partitionBy("scan_id", line).orderBy(axis).rangeBetween(back, r)
+            out = out.withColumn("_near", F.collect_list(F.struct(F.col(axis).alias("i"), F.col("range_smooth").alias("at"))).over(frame))
 
-    return ranges.groupBy("scan_id").applyInPandas(run, schema)
+            mean = F.aggregate("_near", zero, _weigh(axis, p), lambda acc: F.when(acc["weight"] > 1e-6, acc["total"] / acc["weight"]))
+            mean = F.coalesce(mean, F.col("range_smooth"))
+            if variant == "forward_only":
+                mean = F.when(F.col(axis) < r, F.col("range_smooth")).otherwise(mean)
+            out = out.withColumn("range_smooth", mean).drop("_near")
+    return out
 
 
 def normals(grid: DataFrame, p: ScanParams = ScanParams(), keep_all: bool = False) -> DataFrame:

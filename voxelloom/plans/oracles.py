@@ -36,6 +36,19 @@ def _near(alias: str) -> str:
     return f"{alias}.scan_id IS NOT NULL"
 
 
+def smoothed(back: int, first: int) -> str:
+    """Three bilateral passes along rows, then columns, by self-joins of neighbours at most 3 cells apart."""
+    out, at = f"{GRID},\ns0 AS MATERIALIZED (SELECT scan_id, u, v, range AS g FROM grid)", 0
+    for _ in range(3):
+        for i, j in (("u", "v"), ("v", "u")):
+            out += f""",
+s{at + 1} AS MATERIALIZED (SELECT c.scan_id, c.u, c.v, CASE WHEN c.{i} < {first} THEN any_value(c.g) ELSE sum(n.g * exp(-(n.{i}-c.{i})*(n.{i}-c.{i})/2.0::DOUBLE) * exp(-(n.g-c.g)*(n.g-c.g)/{2 * 0.05**2}::DOUBLE))
+    / sum(exp(-(n.{i}-c.{i})*(n.{i}-c.{i})/2.0::DOUBLE) * exp(-(n.g-c.g)*(n.g-c.g)/{2 * 0.05**2}::DOUBLE)) END AS g
+  FROM s{at} c JOIN s{at} n ON n.scan_id = c.scan_id AND n.{j} = c.{j} AND n.{i} BETWEEN c.{i} - {back} AND c.{i} + 3 AND abs(n.g - c.g) <= 0.1::DOUBLE GROUP BY c.scan_id, c.u, c.v)"""
+            at += 1
+    return out
+
+
 NORMALS = f"""{GRID},
 nb AS (SELECT c.*, {", ".join(f"{n}.{a} AS {n}{a}" for n in "lrtd" for a in "xyz")}, {", ".join(f"{n}.u IS NOT NULL AS ok{n}" for n in "lrtd")}
   FROM grid c
@@ -179,6 +192,8 @@ ORACLE_SQL = {
     "p5_grid_downsample": f"WITH {GRID} SELECT scan_id, u, v, point_idx, {rs('x', 'y', 'z', 'r_sq')} FROM grid",
     "p6_grid_blocks": f"WITH {GRID} SELECT scan_id, u // 3 AS u, v // 3 AS v, point_idx, {rs('r_sq')} FROM grid QUALIFY row_number() OVER (PARTITION BY scan_id, u // 3, v // 3 ORDER BY r_sq, v, u) = 1".replace("SELECT scan_id, u // 3 AS u, v // 3 AS v", "SELECT scan_id, (u // 3)::INT AS u, (v // 3)::INT AS v").replace("FROM grid QUALIFY row_number() OVER (PARTITION BY scan_id, u // 3, v // 3 ORDER BY r_sq, v, u)", "FROM grid g QUALIFY row_number() OVER (PARTITION BY scan_id, g.u // 3, g.v // 3 ORDER BY g.r_sq, g.v, g.u)"),
     "p7_range_image": f"WITH {GRID} SELECT scan_id, u, v, {rs('range')} FROM grid",
+    "p8_smooth_forward": f"WITH {smoothed(0, 3)} SELECT scan_id, u, v, {r('g', 'range_smooth')} FROM s6",
+    "p9_smooth_symmetric": f"WITH {smoothed(3, 0)} SELECT scan_id, u, v, {r('g', 'range_smooth')} FROM s6",
     "p10_smooth_identity": f"WITH {GRID} SELECT scan_id, u, v, {r('range', 'range_smooth')} FROM grid",
     "p11_p15_normals": f"WITH {NORMALS} SELECT scan_id, u, v, {rs('nx', 'ny', 'nz', 'w')} FROM nw",
     "p14_normals_kept": f"WITH {NORMALS} SELECT g.scan_id, count(*) AS cells, count(n.nx) AS with_normal FROM grid g LEFT JOIN nm n USING (scan_id, u, v) GROUP BY g.scan_id",
