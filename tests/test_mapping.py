@@ -43,6 +43,16 @@ def test_scan_filters_and_ties(spark):
     assert [r.point_idx for r in preprocess.grid_downsample(kept, ScanParams()).collect()] == [2]  # nearest, then first
 
 
+@pytest.mark.parametrize("name", ["p11_p15_normals", "p16_pipeline", "v4_visibility", "b3_association", "r5_first_invalid", "s9_surfel_markers", "m15_shadow_prune"])
+def test_plans_compile_whole(spark, name):
+    """No stage falls back to interpreted code: without the fallback a failure to compile is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def plain_smooth(image, variant, p):
     """Cell by cell, in place of windows: {(u, v): range}."""
     r, out = p.smooth_radius, dict(image)

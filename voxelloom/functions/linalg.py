@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -122,6 +122,16 @@ def eigenvalues2(a, b, d, floor: float = 1e-8):
     return F.greatest(F.lit(floor), half - root), F.greatest(F.lit(floor), half + root)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row, whatever their uses.
+
+    The optimizer writes the expression of a column into each of its uses, and long formulas outgrow
+    what can be compiled; it doesn't do so across an explode, here of one struct a row.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select(*[c for c in df.columns if c not in columns], one).select("*", "_once.*").drop("_once")
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(c, digits) + F.lit(0.0)

@@ -116,15 +116,15 @@ def normals(grid: DataFrame, p: ScanParams = ScanParams(), keep_all: bool = Fals
         lo, hi, mid = F.col(f"{back}.{c}"), F.col(f"{fore}.{c}"), F.col(c)
         return F.when(ok(back, axis, -1) & ok(fore, axis, 1), hi - lo).when(ok(fore, axis, 1), hi - mid).when(ok(back, axis, -1), mid - lo)
 
-    g = g.select(*grid.columns, *[tangent("l", "r", "u", c).alias(f"tu{c}") for c in "xyz"], *[tangent("t", "b", "v", c).alias(f"tv{c}") for c in "xyz"])
+    tangents = {f"tu{c}": tangent("l", "r", "u", c) for c in "xyz"} | {f"tv{c}": tangent("t", "b", "v", c) for c in "xyz"}
+    g = L.once(g, tangents).drop("l", "r", "t", "b")
     tu, tv, pos = L.vec("tu"), L.vec("tv"), L.vec()
-    n = L.cross(tu, tv)
-    g = g.withColumns({f"c{c}": v for c, v in zip("xyz", n, strict=True)}).withColumn("len", L.norm(L.vec("c")))
+    g = L.once(g, {f"c{c}": v for c, v in zip("xyz", L.cross(tu, tv), strict=True)})
+    g = L.once(g, {"len": L.norm(L.vec("c"))})
     good = F.coalesce(F.col("len") >= 1e-6, F.lit(False))
     flip = F.when(F.lit(p.orient) & (L.dot(L.vec("c"), pos) > 0), -1.0).otherwise(1.0)
-    g = g.withColumns({f"n{c}": F.when(good, flip * F.col(f"c{c}") / F.col("len")) for c in "xyz"})
-    sin = F.col("len") / (L.norm(tu) * L.norm(tv))
-    g = g.withColumn("sin_theta", F.when(good, sin))
+    sin = F.when(good, F.col("len") / (L.norm(tu) * L.norm(tv)))
+    g = L.once(g, {f"n{c}": F.when(good, flip * F.col(f"c{c}") / F.col("len")) for c in "xyz"} | {"sin_theta": sin})
     cos = F.abs(L.dot(L.vec("n"), L.unit(pos)))
     weight = 1 / (1 + p.range_alpha * L.dot(pos, pos)) * F.pow(cos, 1.5) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sin_theta")))
     g = g.withColumn("w", weight)

@@ -197,6 +197,10 @@ ORACLE_SQL = {
     "p10_smooth_identity": f"WITH {GRID} SELECT scan_id, u, v, {r('range', 'range_smooth')} FROM grid",
     "p11_p15_normals": f"WITH {NORMALS} SELECT scan_id, u, v, {rs('nx', 'ny', 'nz', 'w')} FROM nw",
     "p14_normals_kept": f"WITH {NORMALS} SELECT g.scan_id, count(*) AS cells, count(n.nx) AS with_normal FROM grid g LEFT JOIN nm n USING (scan_id, u, v) GROUP BY g.scan_id",
+    # Neighbours are gated by smoothed ranges, positions stay raw.
+    "p16_pipeline": "WITH "
+    + NORMALS.replace(GRID, smoothed(0, 3) + ",\ngs AS (SELECT grid.* REPLACE (g AS range) FROM grid JOIN s6 USING (scan_id, u, v))").replace("FROM grid c", "FROM gs c").replace("JOIN grid ", "JOIN gs ")
+    + f" SELECT scan_id, u, v, {rs('nx', 'ny', 'nz', 'w')} FROM nw",
     "p17_to_world": f"WITH {cte('fx_points')} SELECT scan_id, point_idx, {r('cos(scan_id*0.1::DOUBLE)*x - sin(scan_id*0.1::DOUBLE)*y', 'x')}, {r('sin(scan_id*0.1::DOUBLE)*x + cos(scan_id*0.1::DOUBLE)*y', 'y')}, {r('z + 1.5', 'z')} FROM fx_points",
     "m2_m3_voxel_counts": f"WITH {MAP} SELECT {K}, count(*) AS n FROM k GROUP BY {K}",
     "m1_in_range": f"WITH {cte('fx_points')} SELECT scan_id, count(*) AS n, {r('sum(x)', 'sx', 4)} FROM fx_points WHERE x*x + y*y + z*z BETWEEN 4.0 AND 6.25 GROUP BY scan_id",
