@@ -232,6 +232,37 @@ def test_embeddings_equal_brute_force(spark, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_places_of_many_items_stay_small():
+    """20,000 items of 60 words over 400,000 terms: tens of MB, and the same bound as by plain sets."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    terms = np.unique(rng.integers(0, 1 << 62, 400_000).astype(np.uint64))
+    items = [(i, terms[rng.integers(0, len(terms), 60)]) for i in range(20_000)]
+    items[7] = (7, np.repeat(items[7][1][:10], 2))  # terms at several places
+    items[8] = (8, terms[:70])
+    tracemalloc.start()
+    places = decontam.Places(items, terms)
+    n = 3000
+    term = rng.integers(-1, len(terms), n)
+    for q, at in ((3, 100), (7, 400), (9, 2950)):
+        own = decontam._place(items[q][1], terms)[:40]
+        term[at : at + len(own)] = own[: n - at]
+    start = rng.integers(0, n - 64, 400)
+    start[:4] = (90, 395, 2930, 80)
+    item = rng.integers(0, 30, 400)
+    item[:4] = (3, 7, 9, 8)
+    low, high = np.full(400, 50), np.full(400, n)
+    got = places.may_match(term, start, low, high, item, 64, 32)
+    assert tracemalloc.get_traced_memory()[1] < 120e6 and not places.row.any()
+    tracemalloc.stop()
+    for k in range(400):
+        words = items[item[k]][1]
+        near = set(term[max(50, start[k] - 32) : start[k] + 96].tolist()) - {-1}
+        met = sum(t in near for t in decontam._place(words, terms).tolist())
+        assert got[k] == (len(words) >= 64 or met >= int(np.ceil(decontam.PARAPHRASE * len(words) - 1e-9)))
+
+
 # --- pages
 
 
