@@ -263,6 +263,27 @@ def test_places_of_many_items_stay_small():
         assert got[k] == (len(words) >= 64 or met >= int(np.ceil(decontam.PARAPHRASE * len(words) - 1e-9)))
 
 
+def test_members_of_a_family_are_told_apart(spark):
+    """The usual notices of each version, wrapped as comments, and both BSD texts in their paragraphs."""
+    free = "This {what} is free software{a} you can redistribute it and/or modify\n * it under the terms of the GNU {kind}General Public License as published by\n * the Free Software Foundation{b} either version {v} of the License, or\n * (at your option) any later version."
+    wrap = lambda t: f"int main;\n/*\n * {t}\n */\nint other;"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n\n2. Redistributions in binary form must reproduce it.\n\n"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS.'
+    texts = {
+        "GPL-2.0": wrap(free.format(what="program", a=";", b=";", kind="", v="2")),
+        "GPL-3.0": wrap(free.format(what="program", a=":", b=",", kind="", v="3")),
+        "LGPL-2.1": wrap(free.format(what="library", a=";", b=";", kind="Lesser ", v="2.1")),
+        "LGPL-3.0": wrap(free.format(what="library", a=":", b=",", kind="Lesser ", v="3")),
+        "AGPL-3.0": wrap(free.format(what="program", a=":", b=",", kind="Affero ", v="3")),
+        "BSD-2-Clause": bsd + "THIS SOFTWARE IS PROVIDED AS IS.",
+        "BSD-3-Clause": bsd + "3. Neither the name of the holder nor the names of its\ncontributors may be used.",
+        "Apache-2.0": apache,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = sorted((r.doc_id, r.license) for r in license_scan.scan(docs).collect())
+    assert got == list(enumerate(texts))
+
+
 # --- pages
 
 

@@ -34,10 +34,20 @@ TEMPLATES = (
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
         "See the License for the specific language governing permissions and limitations under the License.",
     ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -53,6 +63,21 @@ TEMPLATES = (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -70,6 +95,18 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+# Words that tell the members of a family apart, which a bigram or two can't: those that a passage must hold, and those that it must not.
+TELLING = (
+    ("AGPL-3.0", ("affero", "3"), ("lesser",)),
+    ("GPL-2.0", ("2",), ("lesser", "library", "affero", "3")),
+    ("GPL-3.0", ("3",), ("lesser", "library", "affero", "2")),
+    ("LGPL-2.1", ("lesser", "2", "1"), ("affero", "3")),
+    ("LGPL-3.0", ("lesser", "3"), ("affero", "2")),
+)
+#: The third clause, anywhere in the text, tells these two apart where a passage reads the same in both.
+CLAUSE = r"neither\s+the\s+names?"
+WITHOUT_CLAUSE, WITH_CLAUSE = "BSD-2-Clause", "BSD-3-Clause"
+
 SENTENCE = r"([.!?]) "
 PARAGRAPH = r"\n[ \t]*(?:\n[ \t]*)+"
 # Comment marks at the beginning of a line.
@@ -175,16 +212,31 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     # below the projection and make it anew for each word.
     low = F.lower(F.coalesce("text", F.lit("")))
     docs = docs.where(F.exists(F.array(low), held)).select("doc_id", low.alias("low"))
-    passages = passages_of(docs, "low").select("doc_id", F.explode(F.filter("passages", held)).alias("low"))
+    docs = docs.withColumn("clause", F.col("low").rlike(CLAUSE))
+    passages = passages_of(docs, "low").select("doc_id", "clause", F.explode(F.filter("passages", held)).alias("low"))
     words = F.split(F.trim(F.regexp_replace("low", NOT_WORD, " ")), " ")
-    passages = passages.select("doc_id", words.alias("words")).where(F.size("words") > least)
+    passages = passages.select("doc_id", "clause", words.alias("words")).where(F.size("words") > least)
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    sized = passages.select("doc_id", F.array_distinct(pairs).alias("bigrams")).where(F.size("bigrams").between(least, most))
+    sized = passages.select("doc_id", "clause", "words", F.array_distinct(pairs).alias("bigrams")).where(F.size("bigrams").between(least, most))
     near = sized.where(F.arrays_overlap("bigrams", _texts(every)))
+    telling = {name: (must, never) for name, must, never in TELLING}
+
+    def told(name: str) -> Column:
+        must, never = telling.get(name, ((), ()))
+        out = F.col("clause") if name == WITH_CLAUSE else ~F.col("clause") if name == WITHOUT_CLAUSE else F.lit(True)
+        if name in (WITH_CLAUSE, WITHOUT_CLAUSE):  # a passage that says it by its number needs no clause
+            number = "3" if name == WITH_CLAUSE else "2"
+            out = out | F.array_contains("words", number) | ~F.array_contains("words", "redistribution")
+        for w in must:
+            out = out & F.array_contains("words", w)
+        for w in never:
+            out = out & ~F.array_contains("words", w)
+        return out
+
     scores = []
     for (name, bigrams), (lo, hi) in zip(sets, bounds, strict=True):
         shared = F.size(F.array_intersect("bigrams", _texts(bigrams)))
-        dice = F.when(F.size("bigrams").between(lo, hi), F.lit(2.0) * shared / (F.size("bigrams") + F.lit(len(bigrams))))
+        dice = F.when(F.size("bigrams").between(lo, hi) & told(name), F.lit(2.0) * shared / (F.size("bigrams") + F.lit(len(bigrams))))
         scores.append(F.struct(F.lit(name).alias("license"), dice.alias("dice")))
     # A passage belongs to the templates that it resembles most.
     near = near.select("doc_id", F.array_join("bigrams", "|").alias("passage"), F.array(*scores).alias("scores"))
@@ -196,18 +248,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     """Every passage against every template in DuckDB: no bounds, no anchors, and bigrams of its own."""
     rows = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, t in with_openings(templates))
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+    telling = ", ".join(f"('{name}', {listed(must)}, {listed(never)})" for name, must, never in TELLING)
     split = lambda c: f"string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
     pairs = "list_sort(list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])))"
     marks = r"\n[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)([ \t\n]|$)"
     return f"""
 WITH t AS (SELECT license, {pairs} AS tb FROM (SELECT license, {split("body")} AS words FROM (VALUES {rows}) v(license, body))),
-x AS (SELECT doc_id, coalesce(text, '') AS x FROM documents WHERE text ILIKE '%licen%' OR text ILIKE '%redistribut%' OR text ILIKE '%permission%' OR text ILIKE '%copyright%' OR text ILIKE '%BSD%' OR text ILIKE '%warrant%' OR text ILIKE '%waived%' OR text ILIKE '%creative%'),
-y AS (SELECT doc_id, x, regexp_replace(regexp_replace(regexp_replace(replace(x, chr(13), ''), '{marks}', chr(10) || '\\1', 'g'), '\\n[ \\t]*(\\n[ \\t]*)+', chr(1), 'g'), '[\\s\\x0b]+', ' ', 'g') AS flat FROM x),
-p AS (SELECT doc_id, unnest(list_distinct(flatten([string_split(x, chr(10)), string_split(flat, chr(1)), string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))]))) AS passage FROM y),
-w AS (SELECT doc_id, {split("passage")} AS words FROM p),
-b AS (SELECT doc_id, {pairs} AS bigrams FROM w WHERE len(words) BETWEEN 2 AND 2000),
+f AS (SELECT * FROM (VALUES {telling}) v(license, must, never)),
+x AS (SELECT doc_id, coalesce(text, '') AS x, regexp_matches(lower(coalesce(text, '')), 'neither[ \\t\\n\\x0b\\f\\r]+the[ \\t\\n\\x0b\\f\\r]+names?') AS clause FROM documents),
+y AS (SELECT doc_id, x, clause, regexp_replace(regexp_replace(regexp_replace(replace(x, chr(13), ''), '{marks}', chr(10) || '\\1', 'g'), '\\n[ \\t]*(\\n[ \\t]*)+', chr(1), 'g'), '[\\s\\x0b]+', ' ', 'g') AS flat FROM x),
+p AS (SELECT doc_id, clause, unnest(list_distinct(flatten([string_split(x, chr(10)), string_split(flat, chr(1)), string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))]))) AS passage FROM y),
+w AS (SELECT doc_id, clause, {split("passage")} AS words FROM p),
+b AS (SELECT doc_id, clause, words, {pairs} AS bigrams FROM w WHERE len(words) >= 2),
 s AS (SELECT doc_id, license, bigrams, 2.0::DOUBLE * len(list_intersect(bigrams, tb)) / (len(bigrams) + len(tb))::DOUBLE AS dice
-      FROM b, t WHERE list_has_any(bigrams, tb)
+      FROM b, t LEFT JOIN f USING (license) WHERE list_has_any(bigrams, tb)
+        AND (must IS NULL OR list_has_all(words, must) AND NOT list_has_any(words, never))
+        AND CASE license WHEN '{WITH_CLAUSE}' THEN clause OR list_contains(words, '3') OR NOT list_contains(words, 'redistribution')
+          WHEN '{WITHOUT_CLAUSE}' THEN NOT clause OR list_contains(words, '2') OR NOT list_contains(words, 'redistribution') ELSE true END
       QUALIFY dice = max(dice) OVER (PARTITION BY doc_id, bigrams))
 SELECT doc_id, license, max(dice) AS dice, count(DISTINCT bigrams)::BIGINT AS n_passages FROM s WHERE dice >= {threshold} GROUP BY doc_id, license
 """
