@@ -109,11 +109,6 @@ def clusters(points: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     return out.where((F.col("max_d2") <= edge * edge) & (F.col("spread") <= p.coherence))
 
 
-def newest(points: DataFrame, order: str, p: FusionParams = FusionParams()) -> DataFrame:
-    """The accumulator's newest points (a top-k)."""
-    return points.orderBy(F.col(order).desc()).limit(p.accumulator)
-
-
 def merge_targets(seeds: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     """For seeds(seed_id, cx.., nx..) the best surfel to merge with, or null.
 

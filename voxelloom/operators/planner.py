@@ -106,7 +106,18 @@ def travel_order(viewpoints: DataFrame, at: tuple[float, float, float], yaw: flo
     """I4: cost distance + turn, and the visiting order by it."""
     d = tuple(F.col(a) - F.lit(float(v)) for a, v in zip("xyz", at, strict=True))
     out = viewpoints.withColumn("path_cost", L.norm(d) + L.yaw_difference(F.col("yaw"), F.lit(float(yaw))))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy("path_cost", "vp_id")))
+    return ranked(out, ["path_cost", "vp_id"], "rank")
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in the order, from 1 on, without one task for all: ranges of the order are
+    numbered each by itself, and begin after the rows of the ranges before them."""
+    parts = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = parts.withColumn("_own", own).join(F.broadcast(sizes.withColumn("_before", before).drop("n")), "_part")
+    return out.withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
 
 
 def plan(voxels: DataFrame, covered: DataFrame, at: tuple[float, float, float], size: float, past: DataFrame, p: PlannerParams = PlannerParams(), c: CameraParams = CameraParams()) -> DataFrame:

@@ -103,6 +103,12 @@ def _finalise(pdf: pd.DataFrame, p: SurfelParams) -> pd.DataFrame:
     return pd.concat([head, out, flags], axis=1)
 
 
+def normalized_covariance(surfels_: DataFrame) -> DataFrame:
+    """Cxx .. czz: scatter / (sum_w - 1) where sum_w > 1, else the scatter."""
+    n = F.when(F.col("sum_w") > 1, F.col("sum_w") - 1).otherwise(1.0)
+    return surfels_.withColumns({f"c{q}": F.col(f"s{q}") / n for q in PAIRS})
+
+
 def surfels(pwn: DataFrame, p: SurfelParams = SurfelParams()) -> DataFrame:
     """M8: points with normals to the surfel map, before shadow pruning."""
     return finalise(raw_moments(pwn, p), p)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,20 @@ def with_key(df: DataFrame, size: float, names=("x", "y", "z"), keys=KEY) -> Dat
     return df.withColumns({k: F.floor(F.col(n) / F.lit(size)).cast("int") for k, n in zip(keys, names, strict=True)})
 
 
+def with_cell_key(df: DataFrame, size: float, names=("x", "y", "z"), keys=KEY) -> DataFrame:
+    """M4: floor(p * (1 / size)) in single precision: on a cell's border it may tell the neighbour of M3's key."""
+    inverse = F.lit(float(np.float32(1) / np.float32(size))).cast("float")
+    return df.withColumns({k: F.floor(F.col(n).cast("float") * inverse).cast("int") for k, n in zip(keys, names, strict=True)})
+
+
+def inside(size: float, names=("x", "y", "z"), keys=KEY):
+    """M5: whether a point lies in the box of a voxel, whose upper faces belong to the next."""
+    out = F.lit(True)
+    for n, k in zip(names, keys, strict=True):
+        out = out & (F.col(n) >= F.col(k) * F.lit(size)) & (F.col(n) < (F.col(k) + 1) * F.lit(size))
+    return out
+
+
 def center(size: float, keys=KEY):
     """M5: (key + 0.5) size."""
     return tuple((F.col(k) + 0.5) * size for k in keys)

@@ -213,6 +213,10 @@ ORACLE_SQL = {
     "valid_surfels": f"WITH {surfels(50)} SELECT {K}, count, {rs('mx', 'my', 'mz', 'e0', 'e1', 'e2')} FROM su WHERE is_valid",
     "m15_shadow_edges": f"WITH {MAP}, {EDGES} SELECT {K}, qx, qy, qz FROM ed",
     "m15_shadow_prune": f"WITH {MAP}, {EDGES} SELECT {K}, is_valid FROM su WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.qx = su.vx AND ed.qy = su.vy AND ed.qz = su.vz)",
+    "m10_stream_sums": f"WITH {MAP} SELECT {K}, count, n_points, {rs('sum_w', 'mx', 'my', 'mz', 'sxx', 'sxy', 'sxz', 'syy', 'syz', 'szz')} FROM su",
+    "m4_cell_keys": f"WITH {cte('fx_pwn')} SELECT {', '.join(f'floor({a}::FLOAT * (1.0::FLOAT / 0.3::FLOAT))::INT AS v{a}' for a in 'xyz')}, {', '.join(f'floor({a} / 0.3::DOUBLE)::INT AS w{a}' for a in 'xyz')}, count(*) AS n FROM fx_pwn GROUP BY ALL",
+    "m5_inside": f"WITH {cte('fx_pwn')}, c AS (SELECT x, y, z, {', '.join(f'floor({a}::FLOAT * (1.0::FLOAT / 0.3::FLOAT))::INT AS v{a}' for a in 'xyz')} FROM fx_pwn) SELECT {K}, count(*) AS n, count(*) FILTER (WHERE {' AND '.join(f'{a} >= v{a}*0.3::DOUBLE AND {a} < (v{a} + 1)*0.3::DOUBLE' for a in 'xyz')}) AS inside FROM c GROUP BY ALL",
+    "m14_covariance": f"WITH {MAP} SELECT {K}, {', '.join(r(f's{q} / CASE WHEN sum_w > 1 THEN sum_w - 1 ELSE 1 END', f'c{q}') for q in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM su",
     "m16_valid_keys": f"WITH {MAP} SELECT {K}, count FROM su WHERE is_valid",
     "m17_lookup": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT vp_id, floor(2.0/0.3::DOUBLE)::INT AS vx, floor(y/0.3::DOUBLE)::INT AS vy, floor(z/0.3::DOUBLE)::INT AS vz FROM fx_viewpoints) SELECT q.*, su.is_valid, su.count FROM q LEFT JOIN su USING ({K})",
     "m18_box": f"WITH {MAP} SELECT {K} FROM su WHERE is_valid AND vx BETWEEN floor(1.8/0.3::DOUBLE) AND floor(2.4/0.3::DOUBLE) AND vy BETWEEN floor(-1.0/0.3::DOUBLE) AND floor(1.0/0.3::DOUBLE) AND vz BETWEEN floor(0.5/0.3::DOUBLE) AND floor(1.5/0.3::DOUBLE)",
@@ -251,6 +255,11 @@ ORACLE_SQL = {
     + " FROM j",
     "v20_selection": f"""WITH {COVER}, j AS (SELECT v.vp_id, avg((c.vx IS NULL)::INT) AS cov FROM vis v LEFT JOIN cv c USING ({K}) GROUP BY v.vp_id)
       SELECT p.vp_id, {r("(0.7*cov + 0.3*(1 - least(sqrt(p.x*p.x + p.y*p.y + (p.z-1)*(p.z-1))/6, 1))) * CASE WHEN EXISTS (SELECT 1 FROM fx_viewpoints h WHERE h.vp_id IN (1, 2, 3) AND (h.x-p.x)*(h.x-p.x) + (h.y-p.y)*(h.y-p.y) + (h.z-p.z)*(h.z-p.z) <= 1) THEN 0.2 ELSE 1 END", "score")} FROM j JOIN fx_viewpoints p USING (vp_id)""",
+    "c1_stream_observations": f"WITH {VIEW} SELECT {K}, count(*) AS observations FROM vis GROUP BY {K}",
+    "v21_multi_score": f"""WITH {COVER}, j AS (SELECT v.vp_id, count(*) FILTER (WHERE c.vx IS NULL)::DOUBLE/count(*) AS c FROM vis v LEFT JOIN cv c USING ({K}) GROUP BY v.vp_id)
+      SELECT vp_id, {r("(0.5*c + 0.3*(vp_id % 7)*1.5/9 + 0.2*(1 - least((vp_id % 12)/10.0, 1))) * CASE WHEN vp_id % 10 > 8 THEN 0.5 WHEN vp_id % 10 > 5 THEN 0.7 ELSE 1 END", "score")} FROM j""",
+    "i7_yaw_steps": f"WITH {cte('fx_viewpoints')}, c AS (SELECT vp_id, yaw*6 AS a, yaw + 3 AS b, unnest([0.25, 0.5, 0.75])::DOUBLE AS t FROM fx_viewpoints), d AS (SELECT *, a + t*atan2(sin(b - a), cos(b - a)) AS h FROM c) SELECT vp_id, t, {r('atan2(sin(h), cos(h))', 'heading')} FROM d",
+    "t5_rotations": f"WITH {cte('fx_viewpoints')} SELECT vp_id, {r('cos(yaw) - 2*sin(yaw)', 'x')}, {r('sin(yaw) + 2*cos(yaw)', 'y')}, 3.0::DOUBLE AS z, {r('cos(yaw/2)', 'qw')}, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, {r('sin(yaw/2)', 'qz')}, 1.0::DOUBLE AS det, {rs('yaw')} FROM fx_viewpoints",
     "c1_observations": f"WITH {VIEW} SELECT {K}, count(*) AS observations FROM vis GROUP BY {K}",
     "c2_visited_log": f"WITH {cte('fx_viewpoints')} SELECT vp_id, 'visited' AS status, {rs('x', 'y', 'z', 'yaw')}, {r('vp_id*0.5::DOUBLE', 'visited_at')} FROM (SELECT * FROM fx_viewpoints UNION ALL SELECT * FROM fx_viewpoints WHERE vp_id % 10 = 0)",
     "c4_local_coverage": f"WITH {VIEW}, cv AS (SELECT vx, vy, vz FROM su WHERE is_valid AND vy < 0) SELECT v.vp_id AS region_id, count(*) AS total, {r('count(c.vx)::DOUBLE/count(*)', 'ratio')} FROM vis v LEFT JOIN cv c USING ({K}) GROUP BY v.vp_id",
@@ -320,6 +329,9 @@ ORACLE_SQL = {
       SELECT drone_id, scan_id, event_id, {rs("px")} FROM (SELECT s.drone_id, s.scan_id, p.event_id, p.px FROM fx_scan_events s JOIN fx_pose_events p ON p.drone_id = s.drone_id AND p.ts <= s.ts
         QUALIFY row_number() OVER (PARTITION BY s.drone_id, s.scan_id ORDER BY p.ts DESC, p.event_id DESC) = 1)""",
     "s7_pose_kept": f"WITH {cte('fx_scan_events')}, {cte('fx_pose_events')} SELECT count(*) AS scans, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM fx_pose_events p WHERE p.drone_id = s.drone_id AND p.ts <= s.ts)) AS with_pose FROM fx_scan_events s",
+    "s7_stream_kept_pose": f"""WITH {cte("fx_scan_events")}, {cte("fx_pose_events")}
+      SELECT drone_id, scan_id, coalesce(event_id, -1) AS event_id, {r("coalesce(px, -1.0)", "px")} FROM (SELECT s.drone_id, s.scan_id, p.event_id, p.px FROM fx_scan_events s LEFT JOIN fx_pose_events p ON p.drone_id = s.drone_id AND p.ts <= s.ts
+        QUALIFY row_number() OVER (PARTITION BY s.drone_id, s.scan_id ORDER BY p.ts DESC NULLS LAST, p.event_id DESC) = 1)""",
     "s8_latest_pose": f"WITH {cte('fx_pose_events')} SELECT drone_id, event_id, {rs('px', 'yaw')} FROM fx_pose_events QUALIFY row_number() OVER (PARTITION BY drone_id ORDER BY ts DESC, event_id DESC) = 1",
     # v v' of the largest eigenvalue is (A - e0)(A - e1) but for a factor, so its product with a side vector has that axis' way and sign.
     "s9_surfel_markers": f"""WITH {MAP}, {EDGES}, li AS (SELECT *, 0.2672612419124244 AS i, 0.5345224838248488 AS j, 0.8017837257372732 AS k FROM su
@@ -337,6 +349,10 @@ ORACLE_SQL = {
     "s10_coverage_markers": f"WITH {COVER} SELECT s.vx, s.vy, s.vz, {r('(s.vx + 0.5)*0.3', 'x')}, {r('(s.vy + 0.5)*0.3', 'y')}, {r('(s.vz + 0.5)*0.3', 'z')}, CASE WHEN c.vx IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS g, CASE WHEN c.vx IS NULL THEN 0.4 ELSE 0.8 END::DOUBLE AS alpha FROM su s LEFT JOIN cv c USING ({K}) WHERE s.is_valid",
     "s11_view_cloud": f"WITH {COVER} SELECT v.vp_id, CASE WHEN c.vx IS NULL THEN 0 ELSE 255 END::INT AS r, 255::INT AS g, {r('(v.vx + 0.5)*0.3', 'x')}, {r('(v.vy + 0.5)*0.3', 'y')}, {r('(v.vz + 0.5)*0.3', 'z')} FROM vis v LEFT JOIN cv c USING ({K})",
     "s12_fusion_markers": f"WITH {cte('fx_surfels_b')} SELECT idx, {r('cx + 0.1*nx', 'tx')}, {r('cy + 0.1*ny', 'ty')}, {r('cz + 0.1*nz', 'tz')}, {r('1 - least(1.0, confidence)', 'r')}, {r('least(1.0, confidence)', 'g')} FROM fx_surfels_b WHERE sqrt(l1) >= 0.05",
+    "s12_counted_markers": f"WITH {cte('fx_surfels_b')} SELECT idx, {r('cx + 0.1*nx', 'tx')}, {r('1 - least(1, (idx % 300)/200.0)', 'r')}, {r('least(1, (idx % 300)/200.0)', 'g')}, 0.0::DOUBLE AS b FROM fx_surfels_b WHERE sqrt(l1) >= 0.05",
+    "s12_normal_markers": f"WITH {cte('fx_surfels_b')} SELECT idx, {r('cx + 0.1*nx', 'tx')}, {r('abs(nx)', 'r')}, {r('abs(ny)', 'g')}, {r('abs(nz)', 'b')} FROM fx_surfels_b WHERE sqrt(l1) >= 0.05",
+    "s13_s14_clouds": f"WITH {FILTERED} SELECT scan_id, {rs('x', 'y', 'z')} FROM flt",
+    "s18_remaining_path": f"WITH {LEGS} SELECT plan_id, seq, {r('x - 1.2', 'x')}, {rs('y', 'z')} FROM lg WHERE seq >= plan_id % 5",
     "s17_active_goals": "SELECT drone_id, goal_id FROM (SELECT user_id AS drone_id, event_id AS goal_id, event_type FROM events WHERE event_type = 'click' OR event_id % 4 > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'click'",
     "s19_path_poses": f"WITH {cte('fx_viewpoints')} SELECT vp_id // 5 AS plan_id, (vp_id % 5)::INT AS seq, {r('cos(yaw/2)', 'qw')}, {r('sin(yaw/2)', 'qz')} FROM fx_viewpoints",
     "s20_scripted_flight": "SELECT 0::BIGINT AS plan_id, * FROM (VALUES " + ", ".join(f"({i}::INT, {', '.join(f'round({float(v)!r}::DOUBLE, 6)' for v in q)})" for i, q in enumerate(FLIGHT)) + ") t(seq, x, y, z, yaw)",

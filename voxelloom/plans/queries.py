@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg as L
 from ..functions.linalg import rounded as rnd
-from ..functions.shared import checkpoint
+from ..functions.shared import checkpoint, shared_path
 from ..operators import frontier, fusion2d, paths, planner, preprocess, surfel, visibility, voxel
 from ..params import ScanParams, SurfelParams
 from ..sources import poses, sinks
 from ..sources.fixtures import fixture
-from ..streaming import fusion
+from ..streaming import fusion, keyed, scans
 
 SIZE = 0.3
 SCAN = ScanParams(width=60, height=45)
@@ -127,6 +127,30 @@ def m10_moments(spark, d):
     return _r(_map(spark, d), "sum_w", "mx", "my", "mz", "sxx", "sxy", "sxz", "syy", "syz", "szz", keep=(*KEY, "count", "n_points"))
 
 
+def m10_stream_sums(spark, d):
+    """The same from a stream over the table's files, its sums kept in RocksDB and read from there."""
+    path = shared_path(spark, "voxel-sums")
+    keyed.stream_voxel_sums(fixture(spark, d, "fx_pwn", stream=True), path, MAP).awaitTermination()
+    out = surfel.finalise(keyed.voxel_sums(spark, path), MAP)
+    return _r(out, "sum_w", "mx", "my", "mz", "sxx", "sxy", "sxz", "syy", "syz", "szz", keep=(*KEY, "count", "n_points"))
+
+
+def m4_cell_keys(spark, d):
+    """Points by the keys of both formulas, M4's and M3's."""
+    pts = voxel.with_key(voxel.with_cell_key(fixture(spark, d, "fx_pwn"), SIZE), SIZE, keys=("wx", "wy", "wz"))
+    return pts.groupBy(*KEY, "wx", "wy", "wz").agg(F.count("*").alias("n"))
+
+
+def m5_inside(spark, d):
+    """How many points lie in the box of the cell that M4 tells, upper faces left out."""
+    pts = voxel.with_cell_key(fixture(spark, d, "fx_pwn"), SIZE)
+    return pts.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(voxel.inside(SIZE)).alias("inside"))
+
+
+def m14_covariance(spark, d):
+    return _r(surfel.normalized_covariance(_map(spark, d)), "cxx", "cxy", "cxz", "cyy", "cyz", "czz", keep=KEY)
+
+
 def m12_m14_surfels(spark, d):
     return _r(_map(spark, d, SurfelParams()), "e0", "e1", "e2", keep=(*KEY, "count", "is_valid", "is_planar", "is_degenerate"))
 
@@ -280,6 +304,16 @@ def c1_observations(spark, d):
     return visibility.observe(_visible(spark, d))
 
 
+def c1_stream_observations(spark, d):
+    """The same from a stream of what viewpoints see, told twice, its sets kept in RocksDB and read from there."""
+    seen, path = shared_path(spark, "seen"), shared_path(spark, "coverage")
+    told = _visible(spark, d).withColumn("ts", F.timestamp_seconds(F.col("vp_id")))
+    for _ in range(2):
+        told.write.mode("append").parquet(seen)
+    keyed.stream_coverage(spark.readStream.schema(told.schema).parquet(seen), path).awaitTermination()
+    return visibility.observe(keyed.coverage(spark, path))
+
+
 def c2_visited_log(spark, d):
     vps = _vps(spark, d).withColumn("at", F.col("vp_id") * 0.5)
     log = planner.record_visited(vps.select("vp_id", "x", "y", "z", "yaw", F.lit("visited").alias("status"), F.col("at").alias("visited_at")).where("vp_id % 10 = 0"), vps, "at")
@@ -300,6 +334,28 @@ def c5_coverage_ratio(spark, d):
     return _r(visibility.coverage_ratio(_covered(spark, d), _map(spark, d)), "coverage", "coverage_live", keep=("observed", "total"))
 
 
+def i7_yaw_steps(spark, d):
+    """Headings a quarter, half and three quarters of the way from each viewpoint's to its opposite's neighbour."""
+    steps = F.explode(F.array(*[F.lit(t) for t in (0.25, 0.5, 0.75)])).alias("t")
+    out = _vps(spark, d).select("vp_id", (F.col("yaw") * 6).alias("a"), (F.col("yaw") + 3.0).alias("b"), steps)
+    return _r(out.withColumn("heading", planner.interpolate_yaw(F.col("a"), F.col("b"), F.col("t"))), "t", "heading", keep=("vp_id",))
+
+
+def v21_multi_score(spark, d):
+    seen = visibility.coverage_score(_visible(spark, d), _covered(spark, d))
+    vps = seen.withColumns({"priority": F.col("vp_id") % 7 * 1.5, "max_priority": F.lit(9.0), "dist": F.col("vp_id") % 12 * 1.0, "overlap": F.col("vp_id") % 10 / 10})
+    return _r(planner.multi_score(vps), "score", keep=("vp_id",))
+
+
+def t5_rotations(spark, d):
+    """Yaw to quaternion, to rotation, to quaternion and back to yaw."""
+    q = L.quaternion_of_yaw(F.col("yaw"))
+    rows = L.rotation_of_quaternion(*q)
+    again = L.quaternion_of_rotation(rows)
+    out = _vps(spark, d).select("vp_id", *[c.alias(n) for c, n in zip(L.rotate(rows, (F.lit(1.0), F.lit(2.0), F.lit(3.0))), "xyz", strict=True)], *[c.alias(n) for c, n in zip(again, ("qw", "qx", "qy", "qz"), strict=True)], L.determinant(rows).alias("det"), L.yaw_of_quaternion(*again).alias("yaw"))
+    return _r(out, "x", "y", "z", "qw", "qx", "qy", "qz", "det", "yaw", keep=("vp_id",))
+
+
 def i4_travel_order(spark, d):
     return _r(planner.travel_order(_vps(spark, d), (0.0, 0.0, 1.0), 0.0), "path_cost", keep=("vp_id", "rank"))
 
@@ -486,6 +542,21 @@ def s7_pose_kept(spark, d):
     return out.agg(F.count("*").alias("scans"), F.count("pose_ts").alias("with_pose"))
 
 
+def s7_stream_kept_pose(spark, d):
+    """S7 from two streams of files in the order of time; a last row lets the watermark pass all others."""
+    path, streams = shared_path(spark, "pose-streams"), []
+    for name in ("fx_scan_events", "fx_pose_events"):
+        rows = fixture(spark, d, name).withColumn("ts", F.col("ts").cast("timestamp"))
+        end = rows.agg(F.max("ts").alias("last")).select(*[(F.col("last") + F.expr("interval 100 days")).alias("ts") if c == "ts" else F.lit(-1 if c in ("drone_id", "scan_id", "event_id") else 0).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+        rows.repartitionByRange(4, "ts").write.parquet(f"{path}/{name}")
+        for k in (0, 1):  # the watermark moves on after a batch
+            end.withColumn("ts", F.col("ts") + F.expr(f"interval {k} days")).write.mode("append").parquet(f"{path}/{name}")
+        streams.append(scans.read_files(spark, f"{path}/{name}", rows.schema, 4))
+    scans.start_kept_poses(*streams, f"{path}/out", f"{path}/checkpoint", late="40 days").awaitTermination()
+    out = spark.read.parquet(f"{path}/out").where("drone_id >= 0").fillna({"event_id": -1, "px": -1.0})
+    return _r(out, "px", keep=("drone_id", "scan_id", "event_id"))
+
+
 def s8_latest_pose(spark, d):
     out = poses.latest_pose(fixture(spark, d, "fx_pose_events"))
     return out.select("drone_id", "event_id", rnd(F.col("px")).alias("px"), rnd(F.col("yaw")).alias("yaw"))
@@ -508,6 +579,24 @@ def s12_fusion_markers(spark, d):
     return _r(sinks.fusion_markers(_surfels_b(spark, d)), "tx", "ty", "tz", "r", "g", keep=("idx",))
 
 
+def s12_counted_markers(spark, d):
+    out = sinks.fusion_markers(_surfels_b(spark, d).withColumn("point_count", F.col("idx") % 300), "point_count")
+    return _r(out, "tx", "r", "g", "b", keep=("idx",))
+
+
+def s12_normal_markers(spark, d):
+    return _r(sinks.fusion_markers(_surfels_b(spark, d), "normal"), "tx", "r", "g", "b", keep=("idx",))
+
+
+def s13_s14_clouds(spark, d):
+    return sinks.cloud(_filtered(spark, d))
+
+
+def s18_remaining_path(spark, d):
+    active = _legs(spark, d).select("plan_id", (F.col("plan_id") % 5).cast("int").alias("active_index")).distinct()
+    return _r(sinks.remaining_path(_legs(spark, d), active), "x", "y", "z", keep=("plan_id", "seq"))
+
+
 def s17_active_goals(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     events = e.select(F.col("user_id").alias("drone_id"), "ts", F.col("event_id").alias("goal_id"), F.when(F.col("event_type") == "click", "cancel").otherwise("goal").alias("kind"), (F.col("event_id") % 4).alias("n_points"))
@@ -531,5 +620,5 @@ def valid_surfels(spark, d):
 QUERIES = {
     name: f
     for name, f in list(globals().items())
-    if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_") and name not in ("rnd", "fixture", "checkpoint")
+    if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_") and name not in ("rnd", "fixture", "checkpoint", "shared_path")
 } | {"p8_smooth_forward": _smooth("forward_only"), "p9_smooth_symmetric": _smooth("symmetric"), "p10_smooth_identity": _smooth("identity")}

@@ -48,9 +48,13 @@ SELECT user_id AS drone_id, event_id, ts, value*0.01 AS px, CAST(event_id % 17 A
 }
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """stream: the table's files as a stream (fixtures without windows)."""
     table, sql = FIXTURES[name]
-    return spark.sql(sql, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    path = f"{sf_dir}/{table}.parquet"
+    rows = spark.read.parquet(path)
+    # A stream's path is a folder or a pattern, and a table may be one file.
+    return spark.sql(sql, **{table: spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/{table}.parque[t]") if stream else rows})
 
 
 def cte(name: str) -> str:

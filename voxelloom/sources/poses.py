@@ -21,12 +21,6 @@ GOALS = _schema("plan_id:LongType seq:IntegerType x:FloatType y:FloatType z:Floa
 FEEDBACK = _schema("plan_id:LongType active_index:IntegerType remaining:FloatType progress:FloatType state:StringType")
 
 
-def read_points(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Scan points with an explicit schema, as a batch or as a file stream."""
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(POINTS).parquet(path)
-
-
 def pose_as_of(scans: DataFrame, poses: DataFrame, how: str = "skip", by: str = "drone_id") -> DataFrame:
     """Each scan with the latest pose of its drone at or before its time.
 

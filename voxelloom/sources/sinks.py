@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..operators.surfel import PAIRS, normalized_covariance
 from ..operators.voxel import KEY, center
 from ..params import FusionParams
 
@@ -27,8 +28,8 @@ def surfel_markers(surfels: DataFrame) -> DataFrame:
     z to the normal; an axis points to SIDE, but y turns where the three would make a mirror image.
     Scales are twice the standard deviations, of 1e-6 of variance at least.
     """
-    rows = surfels.where("is_valid").withColumn("_w", F.when(F.col("sum_w") > 1, F.col("sum_w") - 1).otherwise(1.0))
-    cov = [F.col(f"s{q}") / F.col("_w") for q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    rows = normalized_covariance(surfels.where("is_valid"))
+    cov = [F.col(f"c{q}") for q in PAIRS]
     rows = rows.withColumns({f"_b{a}": c for a, c in zip("xyz", _towards(L.eigenvector3(*cov, F.col("e2"))), strict=True)})
     rows = rows.withColumns({f"_a{a}": c for a, c in zip("xyz", _towards(L.unit(L.cross(L.vec("n"), L.vec("_b")))), strict=True)})
     turn = F.when(L.determinant((L.vec("_a"), L.vec("_b"), L.vec("n"))) < 0, -1.0).otherwise(1.0)

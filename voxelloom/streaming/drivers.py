@@ -1,10 +1,10 @@
-"""Structured Streaming: incremental surfel maps, accumulators and trajectories."""
+"""Structured Streaming: an incremental surfel map as a versioned table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions.shared import checkpoint
 from ..operators import surfel as SU
 from ..params import SurfelParams
 
@@ -43,6 +43,7 @@ class SurfelMapStream:
         before = [v for v in self.versions() if v < batch_id]
         merged = SU.merge(self.spark.read.parquet(self._table(before[-1])), new) if before else new
         if self.prune == "batch":
+            merged = checkpoint(merged)  # three uses
             keep = SU.shadow_prune(SU.finalise(merged, self.p), self.p).select("vx", "vy", "vz")
             merged = merged.join(keep, ["vx", "vy", "vz"], "left_semi")
         merged.write.mode("overwrite").parquet(self._table(batch_id))
@@ -56,20 +57,3 @@ class SurfelMapStream:
     def surfels(self) -> DataFrame:
         """The latest map with normals and flags."""
         return SU.finalise(self.spark.read.parquet(self._table(self.versions()[-1])), self.p)
-
-
-def pose_join(scans: DataFrame, poses: DataFrame, late: str = "10 seconds", reach: str = "1 second") -> DataFrame:
-    """S5, S6 on streams: scans with the poses of the `reach` before them; watermarks bound the state.
-
-    The newest pose of each scan is left to the consumer's batch (max_by), as an aggregate after an
-    inner stream-stream join in append mode.
-    """
-    a = scans.withWatermark("ts", late).alias("s")
-    b = poses.withWatermark("pose_ts", late).alias("p")
-    near = F.expr(f"s.drone_id = p.drone_id and p.pose_ts <= s.ts and p.pose_ts >= s.ts - interval {reach}")
-    return a.join(b, near).select("s.*", *[F.col(f"p.{c}") for c in poses.columns if c != "drone_id"])
-
-
-def observed_counts(visible: DataFrame):
-    """C1 on a stream of (vp_id, vx, vy, vz): running observation counts by voxel (update mode)."""
-    return visible.groupBy("vx", "vy", "vz").agg(F.count("*").alias("observations"))
