@@ -221,7 +221,7 @@ def test_embeddings_equal_brute_force(spark, tile):
     base = rng.standard_normal((60, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[:20] + 0.1 * rng.standard_normal((20, 16)), np.repeat(base[:1], 30, 0) + 0.05 * rng.standard_normal((30, 16)), base[5:7]]))]
     bad = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None]), (904, []), (None, base[9].tolist())]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(*r, "x", 1, 2, "t") for r in rows + bad], "vec_id long, embedding array<double>, packed string, addr long, links long, tile string")
     out = embed_dedup.near_duplicates(df, tile=tile).toPandas()
     x = np.array([v for _, v in rows] + [bad[-1][1]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -229,6 +229,16 @@ def test_embeddings_equal_brute_force(spark, tile):
     got = out.set_index("vec_id")["n_links"]
     assert [got[i] for i, _ in rows] == want[:-1].tolist()
     assert all(got[i] == 0 for i in range(900, 905)) and len(out) == len(rows) + 6
+    near, root = (x @ x.T) >= 0.9, np.arange(len(x))  # the vector without an id is the last: never the smallest
+    while True:
+        now = np.where(near, root[None, :], len(x)).min(1)
+        if (now == root).all():
+            break
+        root = now
+    known = out[out.vec_id.notna()].set_index("vec_id")
+    assert [known.component_id[i] for i, _ in rows] == root[:-1].tolist()
+    assert [known.kept[i] for i, _ in rows] == [root[i] == i for i, _ in rows] and all(known.kept[i] and known.component_id[i] == i for i in range(900, 905))
+    assert out[out.vec_id.isna()].component_id.tolist() == [root[-1]] and not out[out.vec_id.isna()].kept.any()
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
