@@ -161,6 +161,27 @@ def progress_events(feedback: DataFrame, viewpoint_index: DataFrame) -> DataFram
     return j.groupBy("plan_id", "vp_id").agg(F.min("ts").alias("reached_at"))
 
 
+def observed_at(reached: DataFrame, viewpoints: DataFrame, voxels: DataFrame, size: float, c: CameraParams = CameraParams()) -> DataFrame:
+    """(plan_id, vx, vy, vz, observations, since) of reached(plan_id, vp_id, reached_at).
+
+    What a reached viewpoint sees is told anew on the map as it is, not taken from when it was
+    planned; each different viewpoint is seen through once, whatever the number of plans.
+    """
+    used = viewpoints.join(reached.select("vp_id").distinct(), "vp_id", "left_semi")
+    seen = VI.visibility(used, voxels, size, c)
+    return reached.join(seen, "vp_id").groupBy("plan_id", *KEY).agg(F.count("*").alias("observations"), F.min("reached_at").alias("since"))
+
+
+def mission_states(reached: DataFrame, observed: DataFrame, voxels: DataFrame, p: PlannerParams = PlannerParams()) -> DataFrame:
+    """I8: per plan the viewpoints visited, voxels observed, their share of the valid surfels, and whether that completes it."""
+    visited_ = reached.groupBy("plan_id").agg(F.count("*").alias("visited"))
+    covered = observed.groupBy("plan_id").agg(F.count("*").alias("covered"))
+    total = voxels.agg(F.count_if("is_valid").alias("total"))  # one row
+    out = visited_.join(covered, "plan_id", "left").crossJoin(F.broadcast(total)).withColumn("covered", F.coalesce("covered", F.lit(0)))
+    ratio = F.when(F.col("total") > 0, F.col("covered") / F.col("total")).otherwise(0.0)
+    return out.withColumn("coverage", ratio).withColumn("complete", F.col("coverage") >= p.target_coverage)
+
+
 def interpolate_yaw(a, b, t):
     """I7."""
     return L.wrap(a + L.wrap(b - a) * t)

@@ -269,6 +269,12 @@ ORACLE_SQL = {
     "i1_back_off": f"""WITH {MAP}, {cte("fx_viewpoints")}, t AS (SELECT vp_id, step::INT AS step, x + 1.6 - cos(yaw)*(step*0.3::DOUBLE) AS x, y - sin(yaw)*(step*0.3::DOUBLE) AS y, z FROM fx_viewpoints, range(0, 3) g(step)),
       f AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near("t", "s", 0.8)}) QUALIFY row_number() OVER (PARTITION BY vp_id ORDER BY step) = 1)
       SELECT v.vp_id, f.step, {r("f.x", "x")}, {r("f.y", "y")}, {r("f.z", "z")} FROM fx_viewpoints v LEFT JOIN f USING (vp_id)""",
+    "i8_mission_states": f"""WITH {VIEW}, {cte("fx_scan_events")}, e AS (SELECT drone_id AS plan_id, ts, (scan_id % 9)::INT AS a FROM fx_scan_events),
+      m AS (SELECT *, coalesce(lag(a) OVER (PARTITION BY plan_id ORDER BY ts), 0) AS b FROM e),
+      re AS (SELECT DISTINCT plan_id, s + 1 AS vp_id FROM m, range(0, 9) g(s) WHERE a > b AND s >= b AND s < a),
+      ob AS (SELECT plan_id, count(DISTINCT (vx, vy, vz)) AS covered FROM re JOIN vis USING (vp_id) GROUP BY plan_id),
+      tt AS (SELECT count(*) AS total FROM su WHERE is_valid)
+      SELECT plan_id, count(*) AS visited, coalesce(covered, 0) AS covered, total, {r("coalesce(covered, 0)/total", "coverage")}, coalesce(covered, 0)/total >= 0.99::DOUBLE AS complete FROM re LEFT JOIN ob USING (plan_id), tt GROUP BY ALL""",
     "i10_progress": f"""WITH {cte("fx_scan_events")}, e AS (SELECT drone_id AS plan_id, ts, (scan_id % 12)::INT AS a FROM fx_scan_events),
       m AS (SELECT *, coalesce(lag(a) OVER (PARTITION BY plan_id ORDER BY ts), 0) AS b FROM e)
       SELECT plan_id, s + 100 AS vp_id, min(ts) AS reached_at FROM m, range(0, 12) g(s) WHERE a > b AND s >= b AND s < a GROUP BY ALL""",

@@ -372,6 +372,16 @@ def i10_progress(spark, d):
     return planner.progress_events(feedback, plans.crossJoin(F.broadcast(index)))
 
 
+def i8_mission_states(spark, d):
+    """Each drone's reports as those of a plan through the first viewpoints."""
+    feedback = fixture(spark, d, "fx_scan_events").select(F.col("drone_id").alias("plan_id"), "ts", (F.col("scan_id") % 9).cast("int").alias("active_index"))
+    index = spark.range(9).select(F.col("id").cast("int").alias("seq"), (F.col("id") + 1).alias("vp_id"))
+    reached = checkpoint(planner.progress_events(feedback, feedback.select("plan_id").distinct().crossJoin(F.broadcast(index))))
+    voxels = _map(spark, d)
+    observed = planner.observed_at(reached, _vps(spark, d), voxels, SIZE)
+    return _r(planner.mission_states(reached, observed, voxels), "coverage", keep=("plan_id", "visited", "covered", "total", "complete"))
+
+
 # --- paths
 
 
