@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from voxelloom.functions import linalg as L
 from voxelloom.operators import frontier, fusion2d, paths, planner, preprocess, surfel, voxel
 from voxelloom.params import PlannerParams, ScanParams, SurfelParams
 from voxelloom.plans.oracles import ORACLE_SQL
@@ -240,6 +243,50 @@ def test_streamed_map_equals_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_quaternions_of_rotations_round_trip(spark):
+    """Random rotations, half turns about each axis and the identity, through both formulas; mirror images have determinant -1."""
+    rng = np.random.default_rng(7)
+    quats = [q / np.linalg.norm(q) for q in rng.normal(0, 1, (200, 4))] + [np.eye(4)[k] for k in range(4)] + [np.array([1e-9, 0.6, 0.8, 0])]
+    df = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(quats)], "id long, qw double, qx double, qy double, qz double")
+    rows_ = L.rotation_of_quaternion(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    mirror = (rows_[0], rows_[1], tuple(-c for c in rows_[2]))
+    out = df.select("id", *[c.alias(f"q{i}") for i, c in enumerate(L.quaternion_of_rotation(rows_))], L.determinant(rows_).alias("det"), L.determinant(mirror).alias("mirror")).collect()
+    for r in out:
+        got, want = np.array([r.q0, r.q1, r.q2, r.q3]), quats[r.id]
+        assert r.q0 >= 0 and min(np.abs(got - want).max(), np.abs(got + want).max()) < 1e-9
+        assert math.isclose(r.det, 1, abs_tol=1e-9) and math.isclose(r.mirror, -1, abs_tol=1e-9)
+
+
+def test_ranks_by_ranges_equal_one_sort(spark):
+    rng = np.random.default_rng(1)
+    rows_ = [(int(i), float(rng.integers(0, 40))) for i in rng.permutation(500)] + [(1000, None)]
+    df = spark.createDataFrame(rows_, "id long, cost double")
+    got = {r.id: r.rank for r in planner.ranked(df, ["cost", "id"], "rank").collect()}
+    order = sorted(rows_, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))  # nulls first, as Spark sorts
+    assert got == {r[0]: k + 1 for k, r in enumerate(order)}
+    assert planner.ranked(df.limit(0), ["cost", "id"], "rank").count() == 0
+
+
+def test_merged_maps_follow_chains_of_pairs(spark):
+    """Chains, a ring, a star, repeated and null pairs; surfels alone stay as they are."""
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 52), (52, 50)] + [(60, k) for k in range(61, 70)] + [(60, 61), (70, 70), (None, 3), (3, None)]
+    parent = {}
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            group = {a, b} | {x for g in (parent.get(a, {a}), parent.get(b, {b})) for x in g}
+            for x in group:
+                parent[x] = group
+    got = {r.idx: r.root for r in fusion2d.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: min(g) for x, g in parent.items()}
+    surfels = spark.createDataFrame([(i, 0.1 * i, 0.0, 0.05, 1e-4, 0.01 * i, float(i), i, 1, 0.5) for i in (1, 2, 3, 9)], "idx long, cx double, cy double, cz double, l1 double, confidence double, total_weight double, point_count long, observations long, sum_sq double")
+    out = {r.idx: r for r in fusion2d.merge_map(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), surfels).collect()}
+    assert set(out) == {1, 9} and out[1].parts == 3 and out[1].point_count == 6 and math.isclose(out[1].cx, (0.1 + 0.4 + 0.9) / 6)
+    assert math.isclose(out[1].radius, max(0.01, (0.01 + max(abs(x - out[1].cx) for x in (0.2, 0.3))) * 0.6)) and out[9].cx == 0.1 * 9 and out[9].parts == 1
+    pair = {r.a: r for r in fusion2d.merge_surfels(spark.createDataFrame([(1, 2)], "a long, b long"), surfels).collect()}[1]
+    both = {r.idx: r for r in fusion2d.merge_map(spark.createDataFrame([(1, 2)], "a long, b long"), surfels).collect()}[1]
+    assert all(math.isclose(pair[c], both[c]) for c in ("cx", "radius", "confidence", "total_weight"))
+
+
 def test_entry_imports_without_optional_parts():
     assert os.path.exists(SF)
     import __spark_entry__ as e
