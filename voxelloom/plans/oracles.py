@@ -187,6 +187,25 @@ BK = "floor(cx/0.3::DOUBLE)::INT AS vx, floor(cy/0.3::DOUBLE)::INT AS vy, floor(
 
 WB = f"{cte('fx_surfels_b')}, wb AS (SELECT *, {BK}, idx % 90 + 3 AS point_count, idx % 9 + 1 AS observations, (idx % 90 + 3)*0.5::DOUBLE + 0.0137 AS w FROM fx_surfels_b)"
 
+# Cells of rays and solid voxels meet by one number each, so that every join hashes; seen6 has what isn't hidden.
+HIDDEN = f"""dd AS MATERIALIZED (SELECT vp_id, vx, vy, vz, {cell("vx", "vy", "vz")} AS own, ex, ey, ez, mx, my, mz, sqrt(d2) AS dist FROM dv),
+      va AS MATERIALIZED (SELECT DISTINCT {cell("vx", "vy", "vz")} AS cell FROM su WHERE is_valid),
+      ks AS MATERIALIZED (SELECT vp_id, own, ex, ey, ez, mx, my, mz, dist, unnest(range(1, greatest(2, ceil(dist/0.15::DOUBLE)::INT))) AS k FROM dd),
+      ce AS MATERIALIZED (SELECT vp_id, own, {cell(*[f"floor((e{a} + (m{a}-e{a})/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)" for a in "xyz"])} AS cell FROM ks WHERE k*0.15::DOUBLE < dist),
+      hi AS MATERIALIZED (SELECT DISTINCT vp_id, own, true AS hidden FROM (SELECT vp_id, own, cell FROM ce WHERE cell <> own) JOIN va USING (cell)),
+      seen6 AS (SELECT vp_id, vx, vy, vz FROM dd LEFT JOIN hi USING (vp_id, own) WHERE hidden IS NULL)"""
+POSES = f"""ps AS (SELECT cluster, 0 AS tier, 0 AS "offset", vx AS x, vy AS y, vz AS z, cx, cy FROM sg UNION ALL
+        SELECT cluster, tier, o, cx + wx*far + ox, cy + wy*far + oy, cz + wz*far + oz, cx, cy FROM sg, (VALUES (1, 1.5::DOUBLE), (2, 1.0)) t(tier, far),
+          (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.5, 0, 0), (2, -0.5, 0, 0), (3, 0, 0.5, 0), (4, 0, -0.5, 0), (5, 0, 0, 0.3), (6, 0, 0, -0.3)) q(o, ox, oy, oz))"""
+# The poses that V19 leaves, seen through like viewpoints.
+CHOICE = f"""{SUGGEST}, {POSES}, {cte("fx_viewpoints")},
+      pq AS (SELECT *, cluster*100 + tier*10 + "offset" AS vp_id, atan2(cy - y, cx - x) AS yaw FROM ps),
+      okp AS MATERIALIZED (SELECT * FROM pq q WHERE z >= 0.5 AND NOT EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near("q", "s", 0.8)})
+        AND NOT EXISTS (SELECT 1 FROM fx_viewpoints b WHERE b.vp_id % 10 = 0 AND (q.x-b.x)*(q.x-b.x) + (q.y-b.y)*(q.y-b.y) + (q.z-b.z)*(q.z-b.z) <= 0.25 AND abs(atan2(sin(q.yaw - b.yaw), cos(q.yaw - b.yaw))) <= radians(15))),
+      {VIEW.split(cte("fx_viewpoints") + ",")[1].replace("fx_viewpoints", "okp").rsplit("vis AS (", 1)[0]}{HIDDEN},
+      vis AS (SELECT * FROM seen6 UNION SELECT n.vp_id, n.vx, n.vy, n.vz FROM vv n JOIN seen6 d ON d.vp_id = n.vp_id AND abs(d.vx - n.vx) <= 1 AND abs(d.vy - n.vy) <= 1 AND abs(d.vz - n.vz) <= 1),
+      nv AS (SELECT vp_id, count(*) AS n_visible FROM vis GROUP BY vp_id)"""
+
 ORACLE_SQL = {
     "p1_p4_filter_project": f"WITH {FILTERED} SELECT scan_id, point_idx, {rs('r_sq', 'yaw', 'pitch')} FROM flt",
     "p5_grid_downsample": f"WITH {GRID} SELECT scan_id, u, v, point_idx, {rs('x', 'y', 'z', 'r_sq')} FROM grid",
@@ -230,13 +249,7 @@ ORACLE_SQL = {
     "v1_frustum_boxes": f"WITH {cte('fx_viewpoints')}, c AS (SELECT vp_id, x + f*cos(yaw) + s*f*{TH}::DOUBLE*sin(yaw) AS px, y + f*sin(yaw) - s*f*{TH}::DOUBLE*cos(yaw) AS py, z + t*f*{TV}::DOUBLE AS pz FROM fx_viewpoints, (VALUES (0.1::DOUBLE), (8.0)) n(f), (VALUES (-1), (1)) a(s), (VALUES (-1), (1)) b(t)) SELECT vp_id, {r('min(px)', 'lox')}, {r('max(px)', 'hix')}, {r('min(py)', 'loy')}, {r('max(py)', 'hiy')}, {r('min(pz)', 'loz')}, {r('max(pz)', 'hiz')} FROM c GROUP BY vp_id",
     "v3_v5_direct": f"WITH {VIEW} SELECT vp_id, {K} FROM dv",
     "v4_visibility": f"WITH {VIEW} SELECT vp_id, {K} FROM vis",
-    # Cells of rays and solid voxels meet by one number each, so that every join hashes.
-    "v6_occlusion": f"""WITH {VIEW}, dd AS MATERIALIZED (SELECT vp_id, vx, vy, vz, {cell("vx", "vy", "vz")} AS own, ex, ey, ez, mx, my, mz, sqrt(d2) AS dist FROM dv),
-      va AS MATERIALIZED (SELECT DISTINCT {cell("vx", "vy", "vz")} AS cell FROM su WHERE is_valid),
-      ks AS MATERIALIZED (SELECT vp_id, own, ex, ey, ez, mx, my, mz, dist, unnest(range(1, greatest(2, ceil(dist/0.15::DOUBLE)::INT))) AS k FROM dd),
-      ce AS MATERIALIZED (SELECT vp_id, own, {cell(*[f"floor((e{a} + (m{a}-e{a})/dist*(k*0.15::DOUBLE))/0.3::DOUBLE)" for a in "xyz"])} AS cell FROM ks WHERE k*0.15::DOUBLE < dist),
-      hi AS MATERIALIZED (SELECT DISTINCT vp_id, own, true AS hidden FROM (SELECT vp_id, own, cell FROM ce WHERE cell <> own) JOIN va USING (cell))
-      SELECT vp_id, {K} FROM dd LEFT JOIN hi USING (vp_id, own) WHERE hidden IS NULL""",
+    "v6_occlusion": f"WITH {VIEW}, {HIDDEN} SELECT vp_id, {K} FROM seen6",
     "v7_coverage": f"WITH {COVER}, j AS (SELECT v.vp_id, c.vx IS NULL AS new FROM vis v LEFT JOIN cv c USING ({K})) SELECT vp_id, count(*) AS n_visible, count(*) FILTER (WHERE new) AS n_new, {r('count(*) FILTER (WHERE new)::DOUBLE/count(*)', 'coverage')} FROM j GROUP BY vp_id",
     "v8_similar": f"WITH {cte('fx_viewpoints')} SELECT a.vp_id AS vp_a, b.vp_id AS vp_b FROM fx_viewpoints a JOIN fx_viewpoints b ON a.vp_id < b.vp_id WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.25 AND abs(a.yaw - b.yaw) <= 0.2618::DOUBLE",
     "v9_collision": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT vp_id, x + 1.5 AS x, y, z FROM fx_viewpoints) SELECT vp_id, EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near('q', 's', 0.8)}) AS in_collision FROM q",
@@ -245,10 +258,10 @@ ORACLE_SQL = {
     "v13_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT cluster, members, {rs('priority', 'cx', 'cy', 'cz', 'vx', 'vy', 'vz')}, {r('atan2(cy - vy, cx - vx)', 'yaw')} FROM sg",
     "v14_v15_suggestions": f"WITH {SUGGEST} SELECT cluster, members, {rs('priority', 'cx', 'cy', 'cz', 'nx', 'vx', 'vy', 'vz')}, {r('atan2(cy - vy, cx - vx)', 'yaw')} FROM sg",
     "v18_candidates": f"""WITH {SUGGEST},
-      ps AS (SELECT cluster, 0 AS tier, 0 AS "offset", vx AS x, vy AS y, vz AS z, cx, cy FROM sg UNION ALL
-        SELECT cluster, tier, o, cx + wx*far + ox, cy + wy*far + oy, cz + wz*far + oz, cx, cy FROM sg, (VALUES (1, 1.5::DOUBLE), (2, 1.0)) t(tier, far),
-          (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.5, 0, 0), (2, -0.5, 0, 0), (3, 0, 0.5, 0), (4, 0, -0.5, 0), (5, 0, 0, 0.3), (6, 0, 0, -0.3)) q(o, ox, oy, oz))
+      {POSES}
       SELECT cluster, tier::INT AS tier, "offset"::INT AS "offset", {rs("x", "y", "z")}, {r("atan2(cy - y, cx - x)", "yaw")} FROM ps""",
+    "v18_choice": f"""WITH {CHOICE} SELECT cluster, tier::INT AS tier, "offset"::INT AS "offset", n_visible, {rs("x", "y", "z", "yaw")} FROM okp JOIN nv USING (vp_id)
+      QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY tier, n_visible DESC, "offset") = 1""",
     "v19_valid_viewpoints": f"WITH {MAP}, {cte('fx_viewpoints')}, q AS (SELECT vp_id, x, y, z - 0.15::DOUBLE AS z, yaw FROM fx_viewpoints) SELECT vp_id FROM q WHERE z >= 0.5 AND NOT EXISTS (SELECT 1 FROM su s WHERE s.count > 0 AND {near('q', 's', 0.8)}) AND NOT EXISTS (SELECT 1 FROM fx_viewpoints b WHERE b.vp_id % 10 = 0 AND (q.x-b.x)*(q.x-b.x) + (q.y-b.y)*(q.y-b.y) + (q.z-b.z)*(q.z-b.z) <= 0.25 AND abs(q.yaw - b.yaw) <= radians(15))",
     "v17_expansion_center": f"WITH {COVER}, j AS (SELECT DISTINCT v.vx, v.vy, v.vz, c.vx IS NULL AS new FROM vis v LEFT JOIN cv c USING ({K})) SELECT "
     + ", ".join(r(f"coalesce(avg((v{a} + 0.5)*0.3) FILTER (WHERE new), avg((v{a} + 0.5)*0.3), 0)", f"c{a}") for a in "xyz")

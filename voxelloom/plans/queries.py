@@ -279,6 +279,12 @@ def v18_candidates(spark, d):
     return _r(planner.candidate_poses(_suggestions(spark, d)), "x", "y", "z", "yaw", keep=("cluster", "tier", "offset"))
 
 
+def v18_choice(spark, d):
+    """Of each suggestion's poses the one to go to."""
+    best, _ = planner.best_per_cluster(planner.candidate_poses(_suggestions(spark, d)), _map(spark, d), _vps(spark, d).where("vp_id % 10 = 0"), SIZE)
+    return _r(best, "x", "y", "z", "yaw", keep=("cluster", "tier", "offset", "n_visible"))
+
+
 def v19_valid_viewpoints(spark, d):
     vps = _vps(spark, d).withColumn("z", F.col("z") - 0.15)
     return planner.valid_viewpoints(vps, _map(spark, d), _vps(spark, d).where("vp_id % 10 = 0"), SIZE).select("vp_id")
