@@ -279,3 +279,25 @@ def test_ten_frames_equal_a_plain_fusion(spark, tmp_path):
     flushed = fusion.flush()
     assert flushed.count() >= len(surfels) and {r.idx for r in flushed.collect()} >= set(surfels)
     assert {r.idx for r in fusion.surfels().collect()} == set(surfels)
+
+
+def test_streamed_map_prunes_with_each_batch(spark, tmp_path):
+    """M15 on a stream: a shadowed voxel's sums go with the batch that shadows it, and may come back later."""
+    from voxelloom.streaming import scans as S
+    from voxelloom.streaming.drivers import SurfelMapStream
+
+    pwn = fixture(spark, SF, "fx_pwn")
+    path = str(tmp_path / "points")
+    parts = ["scan_id <= 3", "scan_id in (4, 5)", "scan_id > 5"]
+    write_parts(pwn, path, parts)
+    stream = SurfelMapStream(spark, str(tmp_path / "map"), MAP)
+    S.start(S.read_files(spark, path, pwn.schema), stream.process, str(tmp_path / "cp")).awaitTermination()
+    state = None
+    for part in parts:
+        new = surfel.raw_moments(pwn.where(part), MAP)
+        state = surfel.merge(state, new) if state is not None else new
+        keep = surfel.shadow_prune(surfel.finalise(state, MAP), MAP).select("vx", "vy", "vz")
+        state = spark.createDataFrame(state.join(keep, ["vx", "vy", "vz"], "left_semi").collect(), state.schema)
+    show = ["vx", "vy", "vz", "count", "round(mx, 9) mx", "is_valid"]
+    assert stream.versions()[-1] == 2 and equal(stream.surfels().selectExpr(*show), surfel.finalise(state, MAP).selectExpr(*show))
+    assert stream.surfels().count() < surfel.raw_moments(pwn, MAP).count()
