@@ -40,3 +40,12 @@ def test_hidden_neighbour_of_a_seen_voxel_is_seen(spark):
     seen = lambda **kw: sorted(r.vx for r in visibility.visibility(vp, rows, 0.3, **kw).collect())
     assert seen() == [6, 7, 9]
     assert seen(occlusion=True) == [6, 7]
+
+
+def test_similar_viewpoints_of_one_pose(spark):
+    """V8: copies of a pose are dealt by id; all their pairs come out, once each."""
+    vps = spark.range(40).select(F.col("id").alias("vp_id"), F.lit(0.1).alias("x"), (F.col("id") % 2 * 0.45).alias("y"), F.lit(0.0).alias("z"), F.lit(0.2).alias("yaw"))
+    pairs = visibility.similar(vps, 0.5, 0.2618)
+    assert "SortMergeJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert visibility.similar(vps.limit(0), 0.5, 0.2618).isEmpty()
