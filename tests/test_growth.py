@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators import surfel, visibility
 from voxelloom.plans.queries import MAP, SIZE
+from voxelloom.sources import fixtures
 from voxelloom.sources.fixtures import fixture
 
 SF = "/root/testdata/sf0.01"
@@ -49,3 +50,15 @@ def test_similar_viewpoints_of_one_pose(spark):
     assert "SortMergeJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
     assert visibility.similar(vps.limit(0), 0.5, 0.2618).isEmpty()
+
+
+def test_points_of_a_scan_are_numbered_in_parts(spark):
+    """point_idx as row_number tells it, ties and nulls too, without one task for a scan."""
+    rows = spark.range(5000).select((F.col("id") % 3).alias("scan"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 9000).alias("a"), (F.col("id") * 31 % 17).alias("b"), "id")
+    from pyspark.sql import Window
+
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("scan").orderBy("a", "b", "id")))
+    got = fixtures.numbered(rows, "scan", ["a", "b", "id"], "n")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = fixture(spark, SF, "fx_points")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(l_linenumber#\d+, \d+\)", plan.split("== Initial Plan ==")[-1])

@@ -16,12 +16,14 @@ def filter_points(points: DataFrame, p: ScanParams = ScanParams(), height: tuple
     row, as numbers or column names; without it there is no ground filter. Empty scans give no rows.
     """
     x, y, z = L.vec()
-    out = points.where(L.finite(x, y, z)).withColumn("r_sq", L.dot((x, y, z), (x, y, z)))
+    # Coordinates and angles are used many times over; written out into each use they cost more than all else.
+    out = L.once(points, dict(zip("xyz", (x, y, z), strict=True)))
+    out = out.where(L.finite(x, y, z)).withColumn("r_sq", L.dot((x, y, z), (x, y, z)))
     out = out.where(F.col("r_sq").between(p.min_range**2, p.max_range**2))
     if p.ground_filter and height is not None:
         h = [F.col(v) if isinstance(v, str) else F.lit(float(v)) for v in height]
         out = out.where(h[0] * x + h[1] * y + h[2] * z + h[3] >= p.ground_z_min)
-    out = out.withColumn("yaw", F.atan2(y, x)).withColumn("pitch", F.atan2(z, F.sqrt(x * x + y * y)))
+    out = L.once(out, {"yaw": F.atan2(y, x), "pitch": F.atan2(z, F.sqrt(x * x + y * y))})
     return out.where(F.col("yaw").between(-p.hfov / 2, p.hfov / 2) & F.col("pitch").between(-p.vfov / 2, p.vfov / 2))
 
 
