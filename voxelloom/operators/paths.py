@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
-from ..functions.shared import checkpoint
+from ..functions.shared import checkpoint, meet, spread
 from ..params import PlannerParams
 from .voxel import KEY, collisions, radius_join
 
@@ -75,18 +75,33 @@ def back_off(viewpoints: DataFrame, voxels: DataFrame, size: float, p: PlannerPa
 # --- tree search -----------------------------------------------------------------------------
 
 
-def _free(points: np.ndarray, cells: set, size: float, radius: float) -> bool:
-    """No occupied voxel centre within radius of any point; an empty map is never free."""
-    if not cells:
-        return False
-    reach = math.ceil(radius / size)
-    grid = np.stack(np.meshgrid(*[np.arange(-reach, reach + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
-    for q in points:
-        keys = np.floor(q / size).astype(int) + grid
-        near = keys[(((keys + 0.5) * size - q) ** 2).sum(1) <= radius * radius]
-        if any(tuple(k) in cells for k in near.tolist()):
+class Solid:
+    """Centres of occupied voxels, ordered along x, with their bounding box."""
+
+    def __init__(self, cells: np.ndarray, size: float):
+        cells = np.unique(np.asarray(cells, int).reshape(-1, 3), axis=0)
+        self.at = (cells + 0.5) * size
+        self.x = self.at[:, 0]
+        self.lo, self.hi = (self.at.min(0).tolist(), self.at.max(0).tolist()) if len(cells) else (None, None)
+
+    def free(self, points: np.ndarray, radius: float) -> bool:
+        """No occupied voxel centre within radius of any point; an empty map is never free."""
+        if self.lo is None:
             return False
-    return True
+        (lx, ly, lz), (hx, hy, hz) = self.lo, self.hi
+        reach = radius * (1 + 1e-9)
+        for q in points:
+            x, y, z = q.tolist()
+            if x < lx - reach or x > hx + reach or y < ly - reach or y > hy + reach or z < lz - reach or z > hz + reach:
+                continue
+            a, b = self.x.searchsorted(x - reach), self.x.searchsorted(x + reach, "right")
+            if ((((self.at[a:b] - q) ** 2).sum(1)) <= radius * radius).any():
+                return False
+        return True
+
+
+def _free(points: np.ndarray, cells: set, size: float, radius: float) -> bool:
+    return Solid(list(cells), size).free(points, radius)
 
 
 def _edge(a, b, step):
@@ -94,28 +109,30 @@ def _edge(a, b, step):
     return a + (b - a) * (np.arange(n + 1) / n)[:, None] if n else a[None]
 
 
-def search(start: np.ndarray, goal: np.ndarray, cells: set, size: float, p: PlannerParams, seed: int) -> np.ndarray | None:
+def search(start: np.ndarray, goal: np.ndarray, cells: np.ndarray | set | Solid, size: float, p: PlannerParams, seed: int) -> np.ndarray | None:
     """Straight line if free, else a tree grown by seeded samples; the path is then shortened."""
-    free = lambda a, b: _free(_edge(a, b, p.rrt_step), cells, size, p.inflation)
+    solid = cells if isinstance(cells, Solid) else Solid(list(cells), size)
+    free = lambda a, b: solid.free(_edge(a, b, p.rrt_step), p.inflation)
     if free(start, goal):
         return np.stack([start, goal])
     rng = np.random.default_rng(seed)
     lo, hi = np.minimum(start, goal) - p.rrt_margin, np.maximum(start, goal) + p.rrt_margin
     lo[2] = max(lo[2], p.min_z)
-    nodes, parent = [start], [-1]
+    nodes, parent = np.empty((p.rrt_iterations + 1, 3)), [-1]
+    nodes[0] = start
     for _ in range(p.rrt_iterations):
         target = goal if rng.random() < p.rrt_goal_bias else lo + (hi - lo) * rng.random(3)
-        tree = np.array(nodes)
+        tree = nodes[: len(parent)]
         near = int(((tree - target) ** 2).sum(1).argmin())
         step = target - tree[near]
         length = np.linalg.norm(step)
         new = target if length <= p.rrt_step else tree[near] + step * (p.rrt_step / length)
         if not free(tree[near], new):
             continue
-        nodes.append(new)
+        nodes[len(parent)] = new
         parent.append(near)
         if np.linalg.norm(goal - new) <= 2 * p.rrt_step and free(new, goal):
-            path, i = [goal], len(nodes) - 1
+            path, i = [goal], len(parent) - 1
             while i >= 0:
                 path.append(nodes[i])
                 i = parent[i]
@@ -141,17 +158,19 @@ def plan_legs(legs: DataFrame, voxels: DataFrame, size: float, p: PlannerParams
     """
     block = 16
     edge = block * size
-    boxes = legs
+    reach = p.rrt_margin + p.inflation
+    occupied = voxels.where("count > 0").select(*KEY).withColumns({f"b{a}": F.floor(F.col(k) / block).cast("int") for a, k in zip("xyz", KEY, strict=True)})
+    cells = occupied.groupBy("bx", "by", "bz").agg(F.collect_list(F.struct(*KEY)).alias("cells"))  # a block holds block ** 3 at most
+    boxes = spread(legs, "leg_id")
     for a in "xyz":
-        lo = F.floor((F.least(f"s{a}", f"g{a}") - p.rrt_margin - p.inflation) / edge).cast("int")
-        hi = F.floor((F.greatest(f"s{a}", f"g{a}") + p.rrt_margin + p.inflation) / edge).cast("int")
+        lo = F.floor((F.least(f"s{a}", f"g{a}") - reach) / edge).cast("int")
+        hi = F.floor((F.greatest(f"s{a}", f"g{a}") + reach) / edge).cast("int")
         boxes = boxes.withColumn(f"b{a}", F.explode(F.sequence(lo, hi)))
-    occupied = voxels.where("count > 0").select(*KEY).withColumns({f"b{a}": F.floor(F.col(k) / block).cast("int") for a, k in zip("xyz", KEY, strict=True)})
-    near = boxes.join(occupied, ["bx", "by", "bz"]).select(F.col("leg_id").alias("near_leg"), *KEY)
+    near = meet(boxes, checkpoint(cells), ["bx", "by", "bz"], most=2_000).select(F.col("leg_id").alias("near_leg"), "cells")
 
-    def run(ends: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    def run(ends: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        solid = set(map(tuple, cells[KEY].to_numpy().tolist()))
+        solid = Solid([tuple(c[k] for k in KEY) for cells in blocks["cells"] for c in cells], size)
         for r in ends.itertuples():
             path = search(np.array([r.sx, r.sy, r.sz]), np.array([r.gx, r.gy, r.gz]), solid, size, p, seed + int(r.leg_id))
             if path is not None:
