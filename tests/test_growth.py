@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from voxelloom.operators import surfel, visibility
+from voxelloom.operators import fusion2d, paths, surfel, visibility
 from voxelloom.plans.queries import MAP, SIZE
 from voxelloom.sources import fixtures
 from voxelloom.sources.fixtures import fixture
@@ -62,3 +62,12 @@ def test_points_of_a_scan_are_numbered_in_parts(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = fixture(spark, SF, "fx_points")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(l_linenumber#\d+, \d+\)", plan.split("== Initial Plan ==")[-1])
+
+
+def test_merge_seeds_and_legs_stay_off_the_driver(spark):
+    s = fixture(spark, SF, "fx_surfels_b")
+    seeds = s.select(F.col("idx").alias("seed_id"), "cx", "cy", "cz", "nx", "ny", "nz")
+    assert not broadcasts_exploded(fusion2d.merge_targets(seeds, s))
+    voxels = surfel.surfels(fixture(spark, SF, "fx_pwn"), MAP).localCheckpoint()
+    legs = fixture(spark, SF, "fx_viewpoints").select(F.col("vp_id").alias("leg_id"), *[F.col(a).alias(f"s{a}") for a in "xyz"], F.lit(3.6).alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
+    assert not broadcasts_exploded(paths.plan_legs(legs, voxels, SIZE))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
-from ..functions.shared import checkpoint
+from ..functions.shared import checkpoint, meet, spread
 from ..params import FusionParams
 from .voxel import KEY, neighbours, with_key
 
@@ -52,16 +52,19 @@ def eigenframe(surfels: DataFrame) -> DataFrame:
 def candidates(points: DataFrame, surfels: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     """Pairs of points(point_id, x.., pnx..) and surfels(idx, cx.., nx.., l0, l1, ...) that may associate.
 
-    Surfels are spread to the 27 voxels around their own and meet points by key; then the normals'
+    Surfels near a voxel that has points are spread to the 27 voxels around their own and meet points by key; then the normals'
     angle, the distance along the normal and the squared Mahalanobis distance decide: in the frame of
     the covariance's eigenvectors, about the mean of the tangent coordinates (eigenframe); an axis of
     1e-8 or less counts nothing.
     """
-    s = eigenframe(tangents(with_key(surfels, p.voxel, C))).withColumnsRenamed(dict(zip(KEY, ("sx_", "sy_", "sz_"), strict=True)))
+    places = with_key(points, p.voxel).select(*KEY).distinct()
+    live = neighbours(places, itself=True).select(F.col("qx").alias("vx"), F.col("qy").alias("vy"), F.col("qz").alias("vz")).distinct()
+    s = with_key(surfels, p.voxel, C).join(live, KEY, "left_semi")
+    s = eigenframe(tangents(s)).withColumnsRenamed(dict(zip(KEY, ("sx_", "sy_", "sz_"), strict=True)))
     own = ["idx", *C, "nx", "ny", "nz", *[f"{k}{a}" for k in "ut" for a in "xyz"], "l0", "l1", "ax", "ay", "mu", "mv"]
     s = neighbours(s.withColumnsRenamed(dict(zip(("sx_", "sy_", "sz_"), KEY, strict=True))).select(*KEY, *own), itself=True).drop(*KEY)
     q = with_key(points, p.voxel).select("point_id", "x", "y", "z", "pnx", "pny", "pnz", *KEY).withColumnsRenamed(dict(zip(KEY, ("qx", "qy", "qz"), strict=True)))
-    j = q.join(s, ["qx", "qy", "qz"])
+    j = meet(q, checkpoint(s), ["qx", "qy", "qz"])
     d = L.sub(L.vec(), tuple(F.col(c) for c in C))
     j = j.withColumn("normal_dist", L.dot(d, L.vec("n"))).withColumn("tu", L.dot(d, L.vec("u"))).withColumn("tv", L.dot(d, L.vec("t")))
     near = (F.abs(L.dot(L.vec("pn"), L.vec("n"))) >= math.cos(math.radians(p.normal_deg))) & (F.abs("normal_dist") <= p.normal_dist)
@@ -117,13 +120,15 @@ def merge_targets(seeds: DataFrame, surfels: DataFrame, p: FusionParams = Fusion
     """
     s = with_key(surfels.withColumn("radius", F.sqrt("l1")), p.voxel, C).select(*KEY, "idx", "radius", "confidence", *[F.col(f"c{a}").alias(f"o{a}") for a in "xyz"], *[F.col(f"n{a}").alias(f"m{a}") for a in "xyz"])
     q = with_key(seeds, p.voxel, C)
-    j = neighbours(q, itself=True).drop(*KEY).join(s.withColumnsRenamed(dict(zip(KEY, ("qx", "qy", "qz"), strict=True))), ["qx", "qy", "qz"])
+    # Both grow: the hint keeps Spark from sending the exploded seeds, which it takes for few, through the driver.
+    named = s.withColumnsRenamed(dict(zip(KEY, ("qx", "qy", "qz"), strict=True))).hint("merge")
+    j = neighbours(spread(q, "seed_id"), itself=True).drop(*KEY).join(named, ["qx", "qy", "qz"])
     d = L.norm(L.sub(L.vec("o"), tuple(F.col(c) for c in C)))
     dot = F.abs(L.dot(L.vec("n"), L.vec("m")))
     j = j.withColumn("dist", d).withColumn("dot", dot).where((F.col("dot") >= p.merge_dot) & (F.col("dist") <= 2 * F.col("radius") + p.merge_dist))
     score = F.col("dot") * F.col("confidence") / (1 + F.col("dist"))
     best = j.groupBy("seed_id").agg(F.max(F.struct(score.alias("score"), (-F.col("idx")).alias("neg"))).alias("b"))
-    return seeds.select("seed_id").join(best, "seed_id", "left").select("seed_id", (-F.col("b.neg")).alias("idx"), F.col("b.score").alias("score"))
+    return seeds.select("seed_id").join(best.hint("merge"), "seed_id", "left").select("seed_id", (-F.col("b.neg")).alias("idx"), F.col("b.score").alias("score"))
 
 
 def merge_pairs(surfels: DataFrame, p: FusionParams = FusionParams(), mode: str = "as_reference") -> DataFrame:
