@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from voxelloom.operators import fusion2d, paths, surfel, visibility
+from voxelloom.operators import fusion2d, paths, planner, surfel, visibility
 from voxelloom.plans.queries import MAP, SIZE
 from voxelloom.sources import fixtures
 from voxelloom.sources.fixtures import fixture
@@ -71,3 +71,11 @@ def test_merge_seeds_and_legs_stay_off_the_driver(spark):
     voxels = surfel.surfels(fixture(spark, SF, "fx_pwn"), MAP).localCheckpoint()
     legs = fixture(spark, SF, "fx_viewpoints").select(F.col("vp_id").alias("leg_id"), *[F.col(a).alias(f"s{a}") for a in "xyz"], F.lit(3.6).alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
     assert not broadcasts_exploded(paths.plan_legs(legs, voxels, SIZE))
+
+
+def test_plans_see_by_plan_not_by_viewpoint(spark):
+    """I8: what plans see is dealt by plan, and summed up there without a shuffle of all that is seen."""
+    voxels = surfel.surfels(fixture(spark, SF, "fx_pwn"), MAP).localCheckpoint()
+    reached = spark.range(400).select((F.col("id") % 50).alias("plan_id"), (F.col("id") % 8 + 1).alias("vp_id"), F.lit(1).alias("reached_at"))
+    plan = planner.observed_at(reached, fixture(spark, SF, "fx_viewpoints"), voxels, SIZE)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(plan_id#\d+L?, \d+\)", plan) and not re.search(r"hashpartitioning\((vp_id|plan_id#\d+L?, vx)", plan)
