@@ -658,3 +658,38 @@ def test_pipeline_stages_on_odd_documents(spark):
             assert name == "token output" or out.columns == docs.columns
 
 
+
+
+def test_axes_come_from_all_passages(spark):
+    """The axes are those of an exact SVD of all passages; with fewer axes than terms they hold nearly as much as the best ones."""
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"t{t}" for t in rng.integers(0, 60, 12)) for _ in range(6)]
+    texts = [" ".join(f"t{t}" for t in rng.zipf(1.4, 150).clip(0, 90)) for _ in range(300)] + ["", None, "other words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = decontam._words(items)
+    model = decontam.fit(docs, words, rank=100)
+    at, idf = {t: i for i, t in enumerate(model["terms"].tolist())}, model["idf"]
+    rows = []
+    for w in decontam._words([t or "" for t in texts]):
+        for i in range(0, len(w), decontam.WINDOW):
+            row = np.zeros(len(idf))
+            for t in w[i : i + decontam.WINDOW].tolist():
+                if t in at:
+                    row[at[t]] += idf[at[t]]
+            if row.any():
+                rows.append(row / np.linalg.norm(row))
+    assert len(rows) > 3 * decontam.LEAST_WEIGHT
+    gram = np.array(rows).T @ np.array(rows) * decontam.LEAST_WEIGHT / len(rows)
+    for w in words:
+        row = np.zeros(len(idf))
+        for t in w.tolist():
+            row[at[t]] += idf[at[t]]
+        gram += np.outer(row, row) / (row @ row)
+    axes = model["vectors"] / idf[:, None]
+    assert np.allclose(axes.T @ axes, np.eye(axes.shape[1]), atol=1e-4)
+    best, vectors = np.linalg.eigh(gram)
+    assert abs(vectors[:, -1] @ axes[:, 0]) > 1 - 1e-6
+    held = lambda a: np.trace(a.T @ gram @ a)
+    assert held(axes[:, :12]) > 0.9999 * best[-12:].sum()
+    few = decontam.fit(docs, words, rank=12)["vectors"] / idf[:, None]
+    assert few.shape[1] == 12 and held(few) > 0.95 * best[-12:].sum()

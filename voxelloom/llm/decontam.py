@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the words of the benchmark; their inverse document frequencies are counted over all
-documents. A distributed randomised SVD of TF-IDF passages (all benchmark passages and a bounded
-sample of corpus passages) gives the latent axes. Every window of every document is projected and
+documents. A distributed randomised SVD of the TF-IDF passages of all documents and the benchmark
+gives the latent axes. Every window of every document is projected and
 compared with the benchmark items by cosine; candidates are decided by the longest common
 subsequence of words in a tight stretch of the document, and, where that alone is not enough (a
 paraphrase), by whether the item's answer, its closing words, is there too.
@@ -26,9 +26,11 @@ STRIDE = 32
 RANK = 96
 OVERSAMPLE = 16
 POWER = 1
-#: Corpus passages beside the benchmark's: as many as there are items, within these bounds. More
-#: would turn the axes to the corpus' common words and away from what tells items apart.
-SAMPLE_PASSAGES = (256, 20_000)
+#: All passages of the corpus weigh together as many as there are items, at least this. More would
+#: turn the axes to the corpus' common words and away from what tells items apart.
+LEAST_WEIGHT = 256
+#: Values of a matrix of passages that are multiplied at once.
+VALUES = 8_192
 ITEMS_PER_BLOCK = 5_000
 #: A candidate's cosine in the latent space.
 COSINE = 0.4
@@ -60,63 +62,90 @@ def _place(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
 # --- fitting ---------------------------------------------------------------------------------
 
 
-def _frequencies(terms):
+def _passages(terms, window: int):
+    """Each text's terms, packed, in passages that don't overlap, and the passages' numbers of terms."""
+
     def run(batches):
-        df, n = np.zeros(len(terms.value), np.int64), 0
         for batch in batches:
             for _, hashes, at in word_hashes(batch.column("text")):
-                term = _place(hashes, terms.value)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                term = _place(hashes, terms.value).astype(np.int32)
+                lens = np.diff(at)
+                many = -(-lens // window)
+                first = np.concatenate([[0], np.cumsum(many)])
+                within = np.arange(len(term)) - np.repeat(at[:-1] - at[0], lens)
                 on = term >= 0
-                seen = np.unique(doc[on] * len(df) + term[on]) % len(df) if len(df) else np.zeros(0, int)
-                df += np.bincount(seen, minlength=len(df))
-                n += len(at) - 1
-        used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([n, *df[used].tolist()], pa.int64())], names=["term", "n"])
+                size = np.bincount((np.repeat(first[:-1], lens) + within // window)[on], minlength=first[-1]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(on)])[at - at[0]]
+                used = term[on]
+                rows = [used[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                sizes = [size[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["terms", "sizes"])
 
     return tidy(run)
 
 
-def _passages(terms, sampled: bool, window: int):
-    """Non-overlapping passages as packed term ids."""
+def _unpack(column) -> list[np.ndarray]:
+    return [np.frombuffer(v, np.int32) for v in column.to_pylist()]
+
+
+def _frequencies(many: int):
+    """In how many texts each term is, and as term -1 the number of texts and as -2 that of passages with a term."""
 
     def run(batches):
+        df, n, passages = np.zeros(many, np.int64), 0, 0
         for batch in batches:
-            for _, hashes, at in word_hashes(batch.column("text")):
-                rows = []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    term = _place(hashes[a:b], terms.value)
-                    for i in range(0, len(term), window):
-                        part = term[i : i + window]
-                        part = part[part >= 0]
-                        if len(part):
-                            rows.append(np.sort(part).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["terms"])
+            rows = _unpack(batch.column("terms"))
+            doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            seen = np.unique(doc * many + np.concatenate(rows)) % many if many and len(doc) else np.zeros(0, np.int64)
+            df += np.bincount(seen, minlength=many)
+            n += len(rows)
+            passages += sum(np.count_nonzero(z) for z in _unpack(batch.column("sizes")))
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *used.tolist()], pa.int64()), pa.array([n, passages, *df[used].tolist()], pa.int64())], names=["term", "n"])
 
     return tidy(run)
 
 
-def _sparse(packed, idf):
-    """Unit TF-IDF rows as (row, term, value) triples."""
-    parts = [np.frombuffer(p, np.int32) for p in packed]
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    key, tf = np.unique(row.astype(np.int64) * len(idf) + (np.concatenate(parts) if parts else np.zeros(0, np.int32)), return_counts=True)
+def _sparse(terms: np.ndarray, sizes: np.ndarray, idf):
+    """Unit TF-IDF rows of passages as (row, term, value) triples in the order of row and term."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    key, tf = np.unique(row * len(idf) + terms, return_counts=True)
     row, term = key // len(idf), key % len(idf)
     value = tf * idf[term]
-    norm = np.sqrt(np.bincount(row, value * value, len(parts)))
-    return row, term, value / np.maximum(norm[row], 1e-12), len(parts)
+    norm = np.sqrt(np.bincount(row, value * value, len(sizes)))
+    return row, term, (value / np.maximum(norm[row], 1e-12)).astype(np.float32)
+
+
+def _sums(values: np.ndarray, of: np.ndarray):
+    """The different entries of sorted `of` and the sums of their rows."""
+    start = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[start], np.add.reduceat(values, start)
 
 
 def _gram(idf, basis):
     """Sum over passages of a (a . basis): the columns A'A basis, as one row per term."""
 
     def run(batches):
+        q = basis.value.astype(np.float32)
         z = np.zeros(basis.value.shape)
         for batch in batches:
-            row, term, value, n = _sparse(batch.column("terms").to_pylist(), idf.value)
-            y = np.zeros((n, z.shape[1]))
-            np.add.at(y, row, value[:, None] * basis.value[term])
-            np.add.at(z, term, value[:, None] * y[row])
+            terms, sizes = (np.concatenate([*_unpack(batch.column(c)), np.zeros(0, np.int32)]) for c in ("terms", "sizes"))
+            if not len(terms):
+                continue
+            row, term, value = _sparse(terms, sizes[sizes > 0], idf.value)
+            cuts = np.concatenate([np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]])
+            a = 0
+            while a < len(row):  # whole passages, VALUES of them or one
+                b = int(cuts[max(np.searchsorted(cuts, a + VALUES, "right") - 1, np.searchsorted(cuts, a, "right"))])
+                part = q[term[a:b]]
+                part *= value[a:b, None]
+                _, y = _sums(part, row[a:b])
+                order = np.argsort(term[a:b], kind="stable")
+                part = y[row[a:b][order] - row[a]]  # no passage is without a term
+                part *= value[a:b][order, None]
+                at, sums = _sums(part, term[a:b][order])
+                z[at] += sums
+                a = b
         used = np.flatnonzero(np.abs(z).sum(1))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(z[used]), pa.list_(pa.float64()))], names=["term", "z"])
@@ -135,42 +164,37 @@ def _times_gram(passages: DataFrame, idf, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, power: int = POWER, seed: int = 7) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the TF-IDF matrix of passages.
+def randomised_svd(corpus: DataFrame, weight: float, own: DataFrame, idf: np.ndarray, rank: int, power: int = POWER, seed: int = 7) -> np.ndarray:
+    """The leading right singular vectors (terms x rank) of the TF-IDF matrix of weighted passages.
 
-    A random basis is multiplied by A'A (one distributed pass each time) and made orthonormal; the
-    small matrix Q'A'AQ then turns it to the singular directions.
+    The rows of A are the benchmark's own passages and, each times the root of weight, all of the
+    corpus. A random basis is multiplied by the benchmark's part of A'A and made orthonormal; then
+    one pass over all passages gives Z = A'A Q, and Z (Q'Z)^-1 Z' stands for A'A (Nystroem).
     """
     k = min(len(idf), rank + OVERSAMPLE)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), k)))[0]
     for _ in range(1 + power):
-        z = _times_gram(passages, idf, q)
-        if not np.abs(z).any():
-            return q[:, :rank]
-        q = np.linalg.qr(z)[0]
-    small = q.T @ _times_gram(passages, idf, q)
-    _, u = np.linalg.eigh((small + small.T) / 2)
-    return np.ascontiguousarray((q @ u[:, ::-1])[:, :rank])
+        q = np.linalg.qr(_times_gram(own, idf, q) + 1e-9 * q)[0]
+    z = _times_gram(own, idf, q) + weight * _times_gram(corpus, idf, q)
+    value, u = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+    on = value > 1e-6 * max(float(value.max()), 1e-12)
+    return np.ascontiguousarray(np.linalg.svd(z @ u[:, on] / np.sqrt(value[on]), full_matrices=False)[0][:, :rank])
 
 
 def fit(docs: DataFrame, items: list[np.ndarray], rank: int = RANK, window: int = WINDOW) -> dict:
-    """Terms, idf over all documents, and latent term vectors for the words of items."""
+    """Terms, idf and latent term vectors for the words of items, from all passages of all documents."""
     spark = docs.sparkSession
     terms = np.unique(np.concatenate([*items, np.zeros(0, np.uint64)]))
-    shared = spark.sparkContext.broadcast(terms)
-    text = docs.select("text")
-    counts = dict(tuple(r) for r in text.mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    n = counts.pop(-1, 0) or 0
+    if not len(terms):
+        return {"terms": terms, "idf": np.zeros(0), "vectors": np.zeros((0, 1), np.float32)}
+    corpus = materialise(docs.select("text").mapInArrow(_passages(spark.sparkContext.broadcast(terms), window), "terms binary, sizes binary"), "passages")
+    counts = dict(tuple(r) for r in corpus.mapInArrow(_frequencies(len(terms)), "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    n, many = counts.pop(-1, 0) or 0, counts.pop(-2, 0) or 0
     idf = np.log((1 + n) / (1 + np.array([counts.get(i, 0) for i in range(len(terms))], float))) + 0.05
-    # A sample of whole rows in hash order, then of their passages.
-    many = min(max(SAMPLE_PASSAGES[0], len(items)), SAMPLE_PASSAGES[1])
-    share = min(1.0, 4 * many / max(1, n))
-    sampled = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * share))
-    corpus = sampled.select("text").mapInArrow(_passages(shared, True, window), "terms binary").orderBy(F.xxhash64("terms")).limit(many)
-    own = [np.sort(_place(w, terms)).astype(np.int32).tobytes() for w in items if len(w)]
-    known = spark.createDataFrame([(bytearray(p),) for p in own], "terms binary") if own else None
-    passages = materialise(corpus.unionByName(known) if known is not None else corpus, "passages")
-    axes = randomised_svd(passages, idf, min(rank, max(1, len(terms)))) if len(terms) else np.zeros((0, 1))
+    packed = [(bytearray(_place(w, terms).astype(np.int32).tobytes()), bytearray(np.array([len(w)], np.int32).tobytes())) for w in items if len(w)]
+    own = spark.createDataFrame(packed, "terms binary, sizes binary")
+    weight = min(1.0, max(LEAST_WEIGHT, len(items)) / max(1, many))
+    axes = randomised_svd(corpus, weight, own, idf, min(rank, len(terms)))
     return {"terms": terms, "idf": idf, "vectors": (idf[:, None] * axes).astype(np.float32)}
 
 
