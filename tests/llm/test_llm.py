@@ -693,3 +693,19 @@ def test_axes_come_from_all_passages(spark):
     assert held(axes[:, :12]) > 0.9999 * best[-12:].sum()
     few = decontam.fit(docs, words, rank=12)["vectors"] / idf[:, None]
     assert few.shape[1] == 12 and held(few) > 0.95 * best[-12:].sum()
+
+
+def test_mix_carries_rows_without_a_shuffle(spark):
+    """Whole rows aren't dealt by key: the place of each source's last row tells the part of all others; ties too."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 7)), "en", f"s{i % 3}", 9) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    same = spark.createDataFrame([(None, "p q r s t", "en", "s1", 9)] * 50, docs.schema)
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+    for d in (docs, docs.unionByName(same), same):
+        taken = mixing.mix(d, carry=True)
+        got = sorted(map(str, taken.drop("row").collect()))
+        assert got == sorted(map(str, mixing.mix(d).collect()))
+        total = {r[0]: r[1] for r in taken.groupBy("source").agg(F.sum("taken")).collect()}
+        assert total == {r[0]: int(r[1]) for r in taken.select("source", "target").distinct().collect()}

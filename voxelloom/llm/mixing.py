@@ -83,22 +83,48 @@ def mix(
         offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o.bucket", "o.offset", "t.source_size", "t.target"),
         "mix-offsets",
     )
-    if carry:
-        left = docs.select("doc_id", "source", size.alias("size"), _key("doc_id", seed).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    else:
-        left = small
-    left = left.withColumn("bucket", bucket)
-    joined = left.alias("d").join(offsets.alias("o"), (F.col("d.bucket") == F.col("o.bucket")) & F.col("d.source").eqNullSafe(F.col("o.source"))).select("d.*", "o.offset", "o.source_size", "o.target")
+    joined = small.withColumn("bucket", bucket).alias("d").join(offsets.alias("o"), (F.col("d.bucket") == F.col("o.bucket")) & F.col("d.source").eqNullSafe(F.col("o.source"))).select("d.*", "o.offset", "o.source_size", "o.target")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    out = joined.withColumn("taken", (epochs * F.col("size") + part).cast("long"))
+    out = joined.withColumn("epochs", epochs).withColumn("part", part.cast("long"))
+    if carry:
+        rows = docs.select("doc_id", "source", size.alias("size"), _key("doc_id", seed).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        out = _cut(rows, out)
+    out = out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", *(["row"] if carry else []))
 
 
+def _cut(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows(source, key, doc_id, size, row) with what parts, of the same rows without `row`, tells of each; whole rows aren't shuffled.
+
+    In key order a source's rows are taken once more up to its last row with a part, which is cut.
+    So that row's place tells the part of every other row; only rows that share it are numbered.
+    """
+    place = F.struct("key", "doc_id", "size")
+    parts = materialise(parts.select("source", "source_size", "target", "epochs", "part", place.alias("at")), "mix-parts")
+    known = ["source_size", "target", "epochs"]
+    last = F.max(F.when(F.col("part") > 0, F.col("at"))).alias("edge")
+    edges = materialise(parts.groupBy("source", *known).agg(last), "mix-edges")
+    same = parts.alias("p").join(edges.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")) & (F.col("p.at") == F.col("e.edge")))
+    whole = F.col("p.part") == F.col("p.at.size")
+    same = same.groupBy("p.source").agg(F.count("*").alias("tied"), F.count_if(whole).alias("whole"), F.coalesce(F.max(F.when(~whole, F.col("p.part"))), F.lit(0)).alias("cut"))
+    named = edges.alias("e").join(same.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")), "left")
+    named = materialise(named.select(F.col("e.source").alias("_source"), *known, "edge", "tied", "whole", "cut"), "mix-cuts")
+    out = rows.join(named, F.col("source").eqNullSafe(F.col("_source")))
+    on = F.coalesce(place == F.col("edge"), F.lit(False))
+    nth = lambda n: F.when(n <= F.col("whole"), F.col("size")).when(n == F.col("whole") + 1, F.col("cut")).otherwise(F.lit(0))
+    alone = out.withColumn("part", F.when(place < F.col("edge"), F.col("size")).when(on, nth(F.lit(1))).otherwise(F.lit(0)))
+    if not named.where("tied > 1").take(1):
+        return alone
+    tied = on & (F.col("tied") > 1)
+    number = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("row")))
+    return alone.where(~tied).unionByName(out.where(tied).withColumn("_n", number).withColumn("part", nth(F.col("_n"))).drop("_n"))
+
+
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """docs as the mix takes them: one row for each epoch, the last one cut to the words taken.
 
