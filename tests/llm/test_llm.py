@@ -212,6 +212,21 @@ def test_jaccard_odd(spark):
     assert jaccard_join.join(empty_documents(spark)).count() == 0
 
 
+def test_rows_that_stay_are_not_shuffled(spark, monkeypatch):
+    """Of each class one row stays, of equal rows too, whatever the filter says; only rows in doubt are shuffled."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, text(i)) for i in range(40)] + [(100 + i, text(i)) for i in range(8)] + [(9, text(9))] * 2 + [(50, None), (50, ""), (51, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(i, text(i)) for i in range(40)] + [(51, " ")])
+    for bits in (jaccard_join.BLOOM_MOST_BITS, 32):  # a filter of 32 bits takes nearly all rows for doubtful
+        monkeypatch.setattr(jaccard_join, "BLOOM_MOST_BITS", bits)
+        kept = jaccard_join.keep_one(docs)
+        got = [tuple(r) for r in kept.collect()]
+        assert sorted(r for r in got if r[0] != 50) == want and [r[0] for r in got].count(50) == 1
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Join" not in plan.split("\n:- ")[1].split("\n+- ")[0]
+
+
 # --- embeddings
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +118,18 @@ def bloom_filter(wanted: DataFrame):
     return bits, out
 
 
+def _in_filter(bloom):
+    """A function of a column of addresses: whether the filter has them."""
+
+    @F.pandas_udf("boolean")
+    def run(addr: pd.Series) -> pd.Series:
+        bits, filled = bloom.value
+        at = _bits(addr.to_numpy(np.int64), bits)
+        return pd.Series(((filled[at >> 5] >> (at & 31)) & 1).all(0).astype(bool))
+
+    return run
+
+
 def _sets(words: int, bloom):
     """(addr, text) -> (addr, set) where the filter has addr: the sorted distinct shingle hashes as bytes."""
 
@@ -416,14 +429,21 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
 
     Null and empty texts have no class and stay, once for each id; a null id stands for a class only
     where no other does; an empty table stays empty; very long texts are compared whole.
+
+    Rows that surely stay never meet a shuffle: a Bloom filter of the addresses in doubt (dropped, or
+    of several equal rows) tells most rows apart where they are read, and a join decides on the rest.
     """
-    decided = join(docs, **kw).where("kept").groupBy("addr").agg(F.count("*").alias("copies"))
-    decided = materialise(decided, "kept")
-    addr = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    spark = prepare(docs.sparkSession)
+    decided = join(docs, **kw).groupBy("addr").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+    decided = materialise(decided.where("not kept or copies > 1"), "in-doubt")
+    bloom = spark.sparkContext.broadcast(bloom_filter(decided.select("addr")))
+    # Clashing column names can't happen: what is added has made-up names.
+    rows = docs.withColumn("__addr", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("__doubt", _in_filter(bloom)("__addr"))
     names = [f"`{c}`" for c in docs.columns]
-    # Clashing column names can't happen: the join side has one column of a made-up name.
-    kept = docs.join(decided.select(F.col("addr").alias("__kept"), F.col("copies").alias("__copies")), addr == F.col("__kept"))
-    once = kept.where("__copies = 1").select(*names)
-    if not decided.where("copies > 1").take(1):
-        return once
-    return once.unionByName(kept.where("__copies > 1").dropDuplicates(["__kept"]).select(*names))
+    sure = rows.where("not __doubt").select(*names)
+    doubt = rows.where("__doubt").join(decided.select(F.col("addr").alias("__addr"), F.col("kept").alias("__kept"), F.col("copies").alias("__copies")), "__addr", "left")
+    out = sure.unionByName(doubt.where("__kept is null").select(*names))
+    if not decided.where("kept").take(1):
+        return out
+    return out.unionByName(doubt.where("__kept").dropDuplicates(["__addr"]).select(*names))
