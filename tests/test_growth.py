@@ -79,3 +79,16 @@ def test_plans_see_by_plan_not_by_viewpoint(spark):
     reached = spark.range(400).select((F.col("id") % 50).alias("plan_id"), (F.col("id") % 8 + 1).alias("vp_id"), F.lit(1).alias("reached_at"))
     plan = planner.observed_at(reached, fixture(spark, SF, "fx_viewpoints"), voxels, SIZE)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(plan_id#\d+L?, \d+\)", plan) and not re.search(r"hashpartitioning\((vp_id|plan_id#\d+L?, vx)", plan)
+
+
+def test_scores_read_viewpoints_once(spark):
+    """Closeness to a chain comes without a second look at the viewpoints, an empty or unknown chain too."""
+    vps = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.5), (2, 5.0, 0.0, 1.0, 1.0), (3, 0.9, 0.0, 1.0, 0.0), (4, None, 0.0, 1.0, 1.0)], "vp_id long, x double, y double, z double, coverage double")
+    chain = spark.createDataFrame([(0.0, 0.0, 1.0), (0.1, 0.0, 1.0), (None, 0.0, 0.0)], "x double, y double, z double")
+    at = (0.0, 0.0, 1.0)
+    got = {r.vp_id: r.score for r in planner.selection_scores(vps, at, chain).collect()}
+    far = {r.vp_id: r.score for r in planner.selection_scores(vps, at, chain.limit(0)).collect()}
+    assert [round(got[i], 9) for i in (1, 2, 3)] == [0.13, 0.75, 0.051] and [round(far[i], 9) for i in (1, 2, 3)] == [0.65, 0.75, 0.255]
+    assert got[4] == far[4] == 0.7  # least() passes over an unknown distance
+    plan = planner.selection_scores(vps, at, chain)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coverage#") and len(re.findall(r"LogicalRDD|LocalRelation|Scan", plan)) == 2
