@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from voxelloom.operators import fusion2d, paths, planner, surfel, visibility
-from voxelloom.plans.queries import MAP, SIZE
+from voxelloom.plans.queries import MAP, QUERIES, SIZE
 from voxelloom.sources import fixtures
 from voxelloom.sources.fixtures import fixture
 
@@ -92,3 +92,9 @@ def test_scores_read_viewpoints_once(spark):
     assert got[4] == far[4] == 0.7  # least() passes over an unknown distance
     plan = planner.selection_scores(vps, at, chain)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("coverage#") and len(re.findall(r"LogicalRDD|LocalRelation|Scan", plan)) == 2
+
+
+def test_clusters_associate_once(spark):
+    """The waiting points are told once, not again for each use of their cells."""
+    plan = QUERIES["b14_clusters"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "parquet" not in plan
