@@ -228,6 +228,82 @@ def test_tree_search_goes_round_a_wall():
     assert all(paths._free(paths._edge(a, b, 0.3), wall, 0.3, p.inflation) for a, b in zip(path, path[1:]))
 
 
+def plain_search(start, goal, wall, size, p, seed):
+    """R1-R3, R7 of one leg, a node at a time."""
+    free = lambda a, b: paths._free(paths._edge(a, b, p.rrt_step), wall, size, p.inflation)
+    if free(start, goal):
+        return np.stack([start, goal])
+    rng, nodes, parent = np.random.default_rng(seed), [start], [-1]
+    lo, hi = np.minimum(start, goal) - p.rrt_margin, np.maximum(start, goal) + p.rrt_margin
+    lo[2] = max(lo[2], p.min_z)
+    for _ in range(p.rrt_iterations):
+        target = goal if rng.random() < p.rrt_goal_bias else lo + (hi - lo) * rng.random(3)
+        near = min(range(len(nodes)), key=lambda i: ((nodes[i] - target) ** 2).sum())
+        step = target - nodes[near]
+        length = np.sqrt((step**2).sum())
+        new = target if length <= p.rrt_step else nodes[near] + step * (p.rrt_step / length)
+        if free(nodes[near], new):
+            nodes.append(new)
+            parent.append(near)
+            if np.sqrt(((goal - new) ** 2).sum()) <= 2 * p.rrt_step and free(new, goal):
+                path, i = [goal], len(nodes) - 1
+                while i >= 0:
+                    path.append(nodes[i])
+                    i = parent[i]
+                return paths.simplify(np.array(path[::-1]), free)
+    return None
+
+
+def test_legs_searched_together_equal_plain_trees():
+    """Found, unreachable, straight and unknown legs, and ends in collision, each as by itself; trees of many legs grow by one turn."""
+    wall = {(4, y, z) for y in range(-4, 5) for z in range(0, 8)}
+    for p in (PlannerParams(rrt_margin=4.0, rrt_iterations=300), PlannerParams(rrt_margin=9.0, rrt_iterations=120, rrt_goal_bias=0.6)):
+        y = np.linspace(-1.5, 1.5, 9)
+        starts, goals = np.array([[-0.5, v, 1.0] for v in y]), np.array([[3.2, -v, 1.2] for v in y])
+        starts[6], goals[7], goals[8] = (1.3, 0.0, 1.0), (1.4, 0.3, 1.0), (-3.0, 0.0, 1.0)
+        got = paths.search_all(starts, goals, paths.Solid(list(wall), 0.3), p, list(range(9)))
+        want = [plain_search(a, b, wall, 0.3, p, i) for i, (a, b) in enumerate(zip(starts, goals))]
+        assert [g is None for g in got] == [w is None for w in want] and all(np.allclose(g, w, atol=1e-9) for g, w in zip(got, want) if w is not None)
+        assert got[6] is got[7] is None and len(got[8]) == 2
+        assert p.rrt_margin == 9.0 or sum(g is not None and len(g) > 2 for g in got) > 2
+    starts[0, 0] = np.nan
+    assert paths.search_all(starts, goals, paths.Solid(list(wall), 0.3), p, list(range(9)))[0] is None
+    assert paths.search_all(starts, goals, paths.Solid([], 0.3), p, list(range(9))) == [None] * 9
+
+
+def test_nearest_nodes_are_exact():
+    """R2: the first of nodes that are equally near, and nodes nearer to each other than single precision tells."""
+    rng = np.random.default_rng(2)
+    for nodes in (rng.integers(0, 4, (3, 200)).astype(float), 1e5 + rng.random((3, 200)) * 1e-3, np.repeat(rng.normal(0, 9, (3, 40)), 5, 1) + rng.normal(0, 1e-9, (3, 200))):
+        targets = nodes[:, rng.integers(0, 200, 30)] + rng.integers(-1, 2, (3, 30)) * 20
+        tree = paths._Nearest(nodes[:, :1].T, 200, 30)
+        for n in (1, 60, 200):
+            near, d2 = tree.find(0, nodes[:, :n], targets)
+            want = ((targets[:, :, None] - nodes[:, None, :n]) ** 2).sum(0)
+            assert near.tolist() == want.argmin(1).tolist() and np.allclose(d2, want.min(1), rtol=1e-12)
+
+
+def test_groups_of_legs_equal_single_legs(spark):
+    """Legs that share voxels are dealt into groups; a leg that is far from all voxels goes straight, on an empty map none does."""
+    size, p = 0.3, PlannerParams(rrt_margin=4.0, rrt_iterations=150)
+    wall = [(4, y, z, 9) for y in range(-4, 5) for z in range(0, 8)]
+    voxels = spark.createDataFrame(wall, "vx int, vy int, vz int, count long")
+    ends = [(i, -0.5, 0.01 * (i % 150) - 0.7, 1.0, 3.2, 0.1, 1.1) for i in range(300)] + [(600 + i, 90.0 * i, 50.0, 1.0, 90.0 * i + 2, 50.0, 1.0) for i in range(1, 4)]
+    legs = spark.createDataFrame(ends, "leg_id long, sx double, sy double, sz double, gx double, gy double, gz double")
+    out = paths.plan_legs(legs, voxels, size, p)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.leg_id, r.seq)):
+        got.setdefault(r.leg_id, []).append((r.x, r.y, r.z))
+    solid = paths.Solid([k[:3] for k in wall], size)
+    want = {e[0]: paths.search(np.array(e[1:4]), np.array(e[4:]), solid, size, p, 7 + e[0]) for e in ends}
+    want = {k: v for k, v in want.items() if v is not None}
+    assert set(got) == set(want) and all(np.allclose(got[k], v) for k, v in want.items()) and len(want) > 5
+    assert {601, 602, 603} <= set(got) and all(len(got[k]) == 2 for k in (601, 602, 603))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(legs#" in plan and "hashpartitioning(leg_id#" not in plan
+    assert paths.plan_legs(legs, voxels.limit(0), size, p).count() == 0
+
+
 def test_streamed_map_equals_batch(spark, tmp_path):
     from voxelloom.sources.fixtures import fixture
     from voxelloom.streaming.drivers import SurfelMapStream
