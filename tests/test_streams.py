@@ -67,6 +67,21 @@ def test_coverage_state_equals_batch_after_a_restart(spark, tmp_path):
     assert equal(visibility.observe(got), visibility.observe(seen))
 
 
+def test_coverage_tells_new_viewpoints_without_python_rows(spark, tmp_path):
+    """Per batch and voxel part the viewpoints new to it, zero for what is told again; the set is kept by the JVM alone."""
+    rows_ = lambda *told: spark.createDataFrame([(vp, x, 0, 0, 1_700_000_000 + s) for vp, x, s in told], "vp_id long, vx int, vy int, vz int, s long").selectExpr("vp_id", "vx", "vy", "vz", "timestamp_seconds(s) ts")
+    path, cp, got, plans = str(tmp_path / "seen"), str(tmp_path / "cp"), [], []
+    for told in (rows_((1, 0, 5), (2, 0, 5), (1, 0, 3), (1, 7, 5)), rows_((1, 0, 9), (3, 0, 9), (2, 0, 1)), rows_((1, 7, 5))):
+        told.coalesce(1).write.mode("append").parquet(path)
+        q = keyed.stream_coverage(files(spark, path, told.schema), cp, salts=1, sink=lambda df, i: got.append((i, sorted((r.vx, r.salt, r.n_new) for r in df.collect()))))
+        q.awaitTermination()
+        plans.append(q._jsq.lastProgress().stateOperators()[0].operatorName())
+    assert got == [(0, [(0, 0, 2), (7, 0, 1)]), (1, [(0, 0, 1)]), (2, [(7, 0, 0)])]
+    assert set(plans) == {"stateStoreSave"}
+    since = {(r.vx, r.vp_id): r.s - 1_700_000_000 for r in keyed.coverage(spark, cp).selectExpr("*", "unix_seconds(since) s").collect()}
+    assert since == {(0, 1): 3, (0, 2): 1, (0, 3): 9, (7, 1): 5}
+
+
 # --- poses and scans
 
 
