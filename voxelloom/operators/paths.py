@@ -345,7 +345,7 @@ def plan_legs(legs: DataFrame, voxels: DataFrame, size: float, p: PlannerParams
     n = F.count("*")
     sizes = checkpoint(ends.groupBy(*span).agg(F.greatest(F.ceil(n / LEGS), F.least(F.ceil(n * 4 / LEGS), F.lit(parts))).alias("groups")))
     ends = meet(ends, sizes, span).withColumn("legs", F.xxhash64(*span, F.pmod(F.xxhash64("leg_id"), F.col("groups"))))
-    boxes = spread(ends.groupBy("legs").agg(*[F.first(c).alias(c) for c in span]), "legs")
+    boxes = spread(ends.select("legs", *span).distinct(), "legs")
     for a in "xyz":
         boxes = boxes.withColumn(f"b{a}", F.explode(F.sequence(f"lo{a}", f"hi{a}")))
     near = meet(boxes, cells, ["bx", "by", "bz"], most=2_000).select(F.col("legs").alias("near_legs"), "cells")
