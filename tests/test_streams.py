@@ -135,6 +135,100 @@ def test_streamed_last_pose_equals_as_of(spark, tmp_path, how):
     assert want.count() > 100 and equal(got, want)
 
 
+@pytest.mark.parametrize("how", ["skip", "keep"])
+def test_last_pose_of_odd_rows_equals_as_of(spark, tmp_path, how):
+    """Null keys, times and ids, rows that come twice, poses of one time, null and NaN values, in several batches."""
+    from voxelloom.sources.poses import pose_as_of
+    from voxelloom.streaming import scans as S
+
+    big = 2**40 + 1
+    pose_rows = [("a", 1, 10, 0.5, big, "x"), ("a", 2, 10, None, None, None), ("a", 3, 20, 1.5, 7, "y"), ("a", 3, 20, 1.5, 7, "y"), (None, 4, 5, 2.5, 1, "z"), ("b", 5, None, 2.5, 1, "z"), ("c", 6, 30, -0.0, 2, ""), ("c", None, 31, 9.5, 2, "w"), ("d", 7, 90, 3.5, None, None)]
+    scan_rows = [("a", 1, 5), ("a", 2, 10), ("a", 3, 15), ("a", 3, 15), ("a", 4, 20), ("a", 5, 95), ("b", 6, 40), ("c", 7, 30), (None, 8, 50), ("c", None, 50), ("d", 9, None), ("d", 10, 89), ("d", 11, 90)]
+    at = "timestamp_micros(1700000000123456 + s * 1000000) ts"
+    poses = spark.createDataFrame(pose_rows, "drone_id string, event_id int, s long, px double, lap long, note string").selectExpr("drone_id", "event_id", at, "px", "lap", "note")
+    scans = spark.createDataFrame(scan_rows, "drone_id string, scan_id long, s long").selectExpr("drone_id", "scan_id", at)
+    for name, df in (("poses", poses), ("scans", scans)):
+        write_parts(df, str(tmp_path / name), ["ts is null or ts < timestamp_seconds(1700000026)", "ts >= timestamp_seconds(1700000026)"])
+        for k in range(2):
+            ids = {c: F.lit(-1).cast(df.schema[c].dataType) for c in ("event_id", "scan_id") if c in df.columns}
+            df.limit(1).withColumns({"drone_id": F.lit("end"), "ts": F.timestamp_seconds(F.lit(1700001000 + k)), **ids}).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, df: files(spark, str(tmp_path / name), df.schema)
+    S.start_kept_poses(read("scans", scans), read("poses", poses), str(tmp_path / "out"), str(tmp_path / "cp"), late="1 hour", how=how).awaitTermination()
+    # A last stream passes all times: the watermark is an hour late.
+    for name, df in (("poses", poses), ("scans", scans)):
+        ids = {c: F.lit(-2).cast(df.schema[c].dataType) for c in ("event_id", "scan_id") if c in df.columns}
+        df.limit(1).withColumns({"drone_id": F.lit("end"), "ts": F.timestamp_seconds(F.lit(1700010000)), **ids}).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    S.start_kept_poses(read("scans", scans), read("poses", poses), str(tmp_path / "out"), str(tmp_path / "cp"), late="1 hour", how=how).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).where("drone_id <> 'end'")
+    known = lambda df, c: df.where(f"drone_id is not null and ts is not null and {c} is not null")
+    want = pose_as_of(known(scans, "scan_id"), known(poses, "event_id"), how)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert want.count() == (7 if how == "skip" else 10) and equal(got, want)
+
+
+def test_last_pose_asks_its_state_by_batch(spark):
+    """The rows that a call is given go into the state as one entry; a drone's frame holds no timestamps."""
+    from voxelloom.streaming.scans import LastPose
+
+    class State:
+        def __init__(self):
+            self.values, self.calls = [], 0
+
+        def appendValue(self, value):
+            self.calls += 1
+            self.values.append(value)
+
+        def put(self, values):
+            self.calls += 1
+            self.values = values
+
+        def update(self, value):
+            self.put([value])
+
+        def get(self):
+            return iter(self.values) if self.listed else self.values[0] if self.values else None
+
+        def exists(self):
+            return bool(self.values)
+
+        def clear(self):
+            self.calls, self.values = self.calls + 1, []
+
+    class Handle:
+        timers: list[int] = []
+
+        def getListState(self, name, schema):
+            self.waiting = State()
+            self.waiting.listed = True
+            return self.waiting
+
+        def getValueState(self, name, schema):
+            self.last = State()
+            self.last.listed = False
+            return self.last
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return handle.timers[0]
+
+    handle, op = Handle(), LastPose(["px", "lap"], ["double", "long"], {"lap"}, True)
+    op.init(handle)
+    n = 1000
+    rows = pd.DataFrame({"ts_us": [1_000_000 + 1000 * i for i in range(n)], "kind": [i % 2 for i in range(n)], "tie": range(n), "px": [0.5 * i if i % 2 == 0 else None for i in range(n)], "lap": [float(i) if i % 4 == 0 else None for i in range(n)]})
+    assert not list(op.handleInputRows((1,), iter([rows[n // 2 :], rows[: n // 2]]), None))
+    assert handle.waiting.calls == 2 and handle.timers == [1_000 + n]
+    late = rows[:3].assign(ts_us=lambda d: d["ts_us"] + 10_000_000)
+    list(op.handleInputRows((1,), iter([late]), None))
+    (out,) = op.handleExpiredTimer((1,), None, Expired())
+    assert out["scan_id"].tolist() == list(range(1, n, 2)) and out["event_id"].tolist() == list(range(0, n, 2))
+    assert out["px"].tolist() == [0.5 * i for i in range(0, n, 2)] and out["lap"].dropna().tolist() == list(range(0, n, 4)) and str(out["lap"].dtype) == "Int64"
+    assert not any(str(t).startswith("datetime") for t in out.dtypes)
+    assert handle.waiting.calls == 4 and [len(c) for c in handle.waiting.values[0]] == [3] * 5 and handle.last.calls == 1
+
+
 def test_scan_stream_equals_batch(spark, tmp_path):
     """Raw scans in files, poses in a table; the map and the cleaned points equal those of all scans at once."""
     from voxelloom.operators import preprocess

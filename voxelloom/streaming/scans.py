s7_stream_kept_pose: a drone's waiting rows are one state entry per call

Symptom: the kept-pose stream spent most of its CPU in Python workers, for some 27 rows a drone.
Evidence: a profile of the workers showed one state call and one pickled schema for each row, a null test by pandas for each value, and timestamp conversion and astype in each drone's frame.
Fix: the rows of a call go into the state as one entry of column lists, times pass Python as microseconds, event_id travels once, and an untouched last pose is read in one call. A stream's state from before can't be continued.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 3850 -> 816 s, shuffle 0.13 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.59 -> 0.59 GB, longest task 23 -> 7 s, most memory of a task 34 -> 34 MB; at 6 GB of input CPU 14113 -> 3003 s, shuffle 0.77 -> 0.85 GB, spill 0.00 -> 0.00 GB, read 3.72 -> 3.72 GB, longest task 49 -> 12 s, most memory of a task 38 -> 38 MB.

@@ -56,47 +56,58 @@ def join_poses(scans: DataFrame, poses: DataFrame, late: str = "10 seconds", rea
 
 
 class LastPose(StatefulProcessor):
-    """One drone's rows until the watermark passes them, and its last pose from then on, whatever its age."""
+    """One drone's rows until the watermark passes them, and its last pose from then on, whatever its age.
 
-    def __init__(self, fields: list[str], types: str, whole: set[str], skip: bool):
-        self.fields, self.types, self.whole, self.skip = fields, types, whole, skip
+    Spark pickles each state entry with its schema, which costs far more than a row: the rows that a
+    call is given wait as one entry, a list for each column. Times are microseconds here, and pandas
+    frames, one a drone, hold no timestamps, which cost most there.
+    """
+
+    def __init__(self, fields: list[str], types: list[str], whole: set[str], skip: bool):
+        self.fields, self.types, self.whole, self.skip = fields, types, whole | {"pose_us", "event_id"}, skip
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"ts timestamp, kind int, tie long, {self.types}")
-        self.last = handle.getValueState("last", f"ts timestamp, {self.types}")
+        own = [*zip(self.fields, self.types, strict=True)]
+        self.waiting = handle.getListState("waiting", ", ".join(["ts_us array<long>", "kind array<int>", "tie array<long>", *(f"`{c}` array<{t}>" for c, t in own)]))
+        self.last = handle.getValueState("last", ", ".join(["ts_us long", "event_id long", *(f"`{c}` {t}" for c, t in own)]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = None
         for pdf in rows:
             # Scans have nulls here, and pandas holds whole numbers beside nulls as floats.
-            values = [[None if pd.isna(v) else int(v) if c in self.whole else v for v in pdf[c].tolist()] for c in self.fields]
-            for at, kind, tie, *own in zip([t.to_pydatetime() for t in pdf["ts"]], pdf["kind"].tolist(), pdf["tie"].tolist(), *values):
-                self.waiting.appendValue((at, int(kind), int(tie), *own))
-            top = pdf["ts"].max()
+            own = [[None if v is None or v != v else int(v) if c in self.whole else v for v in pdf[c].tolist()] for c in self.fields]
+            self.waiting.appendValue((pdf["ts_us"].tolist(), pdf["kind"].tolist(), pdf["tie"].tolist(), *own))
+            top = int(pdf["ts_us"].max())
             latest = top if latest is None else max(latest, top)
         if latest is not None:
-            self.handle.registerTimer(int(latest.timestamp() * 1000) + 1)
+            self.handle.registerTimer(latest // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], r[2]))
-        ready = [r for r in rows if pd.Timestamp(r[0]).timestamp() * 1000 <= until]
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        rows = sorted((r for entry in self.waiting.get() for r in zip(*entry, strict=True)), key=lambda r: r[:3])
+        ready = [r for r in rows if r[0] <= until]
+        if not ready:
+            return
+        last, out = self.last.get(), []
         for at, kind, tie, *own in ready:
             if kind == 0:
-                last = (at, *own)
+                last = (at, tie, *own)
             elif last is not None or not self.skip:
-                out.append([key[0], tie, at, *(last or [None] * (1 + len(self.fields)))])
-        if ready:
-            if last is not None:
-                self.last.update(last)
-            rest = rows[len(ready) :]
-            self.waiting.put([tuple(r) for r in rest]) if rest else self.waiting.clear()
+                out.append((tie, at, *(last or [None] * (2 + len(self.fields)))))
+        if last is not None:
+            self.last.update(last)
+        rest = rows[len(ready) :]
+        if rest:
+            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
+        else:
+            self.waiting.clear()
         if out:
-            yield pd.DataFrame(out, columns=["by", "scan_id", "ts", "pose_ts", *self.fields]).astype({"ts": "datetime64[ns]", "pose_ts": "datetime64[ns]", **{c: "Int64" for c in self.whole}})
+            columns = dict(zip(("scan_id", "ts_us", "pose_us", "event_id", *self.fields), map(list, zip(*out, strict=True)), strict=True))
+            # Beside None, pandas would make floats of whole numbers.
+            columns |= {c: pd.array(columns[c], "Int64") for c in self.whole if None in columns[c]}
+            yield pd.DataFrame({"by": [key[0]] * len(out)} | columns)
 
     def close(self) -> None:
         pass
@@ -109,17 +120,19 @@ def keep_poses(scans: DataFrame, poses: DataFrame, late: str = "10 seconds", how
     and keeps one pose from then on. how: keep leaves scans before the first pose with nulls, skip
     drops them. Start the result inside keyed.rocksdb. A drone is one key, as in pose_as_of.
     """
-    rest = [f for f in poses.schema if f.name not in (by, "ts")]
-    fields, types = [f.name for f in rest], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest)
-    stamp = F.col("ts").cast("timestamp").alias("ts")
-    a = poses.select(by, stamp, F.lit(0).alias("kind"), F.col("event_id").alias("tie"), *fields)
-    b = scans.select(by, stamp, F.lit(1).alias("kind"), F.col("scan_id").alias("tie"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
+    rest = [f for f in poses.schema if f.name not in (by, "ts", "event_id")]
+    fields, types = [f.name for f in rest], [f.dataType.simpleString() for f in rest]
+    stamp = F.col("ts").cast("timestamp")
+    time = [stamp.alias("ts"), F.unix_micros(stamp).alias("ts_us")]
+    a = poses.select(by, *time, F.lit(0).alias("kind"), F.col("event_id").alias("tie"), *fields)
+    b = scans.select(by, *time, F.lit(1).alias("kind"), F.col("scan_id").alias("tie"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
     whole = {f.name for f in rest if isinstance(f.dataType, T.IntegralType)}
     kind = poses.schema[by].dataType.simpleString()
-    schema = f"`by` {kind}, scan_id long, ts timestamp, pose_ts timestamp, {types}"
+    schema = ", ".join([f"`by` {kind}", "scan_id long", "ts_us long", "pose_us long", "event_id long", *(f"`{c}` {t}" for c, t in zip(fields, types, strict=True))])
     both = a.unionByName(b).dropna(subset=[by, "ts", "tie"]).withWatermark("ts", late)
     out = both.groupBy(by).transformWithStateInPandas(LastPose(fields, types, whole, how == "skip"), schema, "Append", "EventTime")
-    return out.withColumnRenamed("by", by)
+    own = [F.col(f.name).cast(f.dataType).alias(f.name) for f in poses.schema if f.name not in (by, "ts")]
+    return out.select(F.col("by").alias(by), "scan_id", F.timestamp_micros("ts_us").alias("ts"), F.timestamp_micros("pose_us").alias("pose_ts"), *own)
 
 
 # --- scans -----------------------------------------------------------------------------------
