@@ -52,6 +52,28 @@ def test_voxel_state_equals_batch_after_a_restart(spark, tmp_path):
     assert spark.conf.get(keyed.STORE, "") != keyed.ROCKSDB
 
 
+def test_voxel_sums_leave_a_task_added_up(spark, tmp_path):
+    """A task sends a row for each voxel it has points of, not one a point; odd points count as before, in several batches."""
+    nan, inside = float("nan"), (0.1, 0.1, 0.1, -1.0, 0.0, 0.0)
+    odd = [(*inside, nan), (*inside, None), (*inside, 0.05), (0.1, nan, 0.1, -1.0, 0.0, 0.0, 0.5), (0.1, 0.2, 0.1, None, nan, 0.0, 0.5), (None, 0.1, 0.1, -1.0, 0.0, 0.0, 1.0), (0.4, -0.1, 0.1, None, None, None, None)]
+    twice = [(*inside, 0.75)] * 2
+    path, cp, told, plans = str(tmp_path / "points"), str(tmp_path / "cp"), [], []
+    schema = "x double, y double, z double, nx double, ny double, nz double, w double"
+    for rows_ in (odd + twice * 500, twice):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(path)
+        q = keyed.stream_voxel_sums(files(spark, path, spark.createDataFrame(odd, schema).schema), cp, MAP, salts=3, sink=lambda df, i: told.append((df.columns, df.collect())))
+        q.awaitTermination()
+        plans.append(q._jsq.lastProgress().stateOperators()[0])
+    assert [p.operatorName() for p in plans] == ["stateStoreSave"] * 2 and [p.numRowsUpdated() for p in plans] == [2, 1]
+    assert [c for c, _ in told] == [["vx", "vy", "vz", "salt", *surfel.SUMS]] * 2 and [len(r) for _, r in told] == [2, 1]
+    got = {(r.vx, r.vy, r.vz): r for r in keyed.voxel_sums(spark, cp).collect()}
+    assert set(got) == {(0, 0, 0), (1, -1, 0)}
+    near = got[0, 0, 0]
+    assert (near["count"], near.n_points) == (1005, 1007) and abs(near.sum_w - (1002 * 0.75 + 1.0)) < 1e-9
+    assert abs(near.wy - (1002 * 0.75 * -0.05 + 0.5 * 0.05)) < 1e-9 and abs(near.wnx + 1002 * 0.75 + 0.5) < 1e-9 and near.wny == 0
+    assert [got[1, -1, 0][c] for c in surfel.SUMS] == [0, 1, *[0.0] * 13]
+
+
 def test_coverage_state_equals_batch_after_a_restart(spark, tmp_path):
     seen = visibility.visibility(fixture(spark, SF, "fx_viewpoints"), surfel.surfels(fixture(spark, SF, "fx_pwn"), MAP), 0.3)
     told = seen.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vp_id")))
