@@ -98,3 +98,72 @@ def test_clusters_associate_once(spark):
     """The waiting points are told once, not again for each use of their cells."""
     plan = QUERIES["b14_clusters"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and "parquet" not in plan
+
+
+def test_merge_pairs_shuffle_surfels_once(spark):
+    """Both sides of the join by voxel are one shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = fusion2d.merge_pairs(fixture(spark, SF, "fx_surfels_b"), mode="intended")
+        assert not pairs.isEmpty()
+        plan = pairs._jdf.queryExecution()
+        pairs.collect()
+        plan = plan.executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("ReusedExchange") == 1 and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_components_keep_only_links_between_trees(spark, monkeypatch):
+    """Links go on once, and only those whose ends aren't together yet; all kinds of graphs come out as by plain union."""
+    import random
+
+    kept, real = [], fusion2d.checkpoint
+
+    def noted(df):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(fusion2d, "checkpoint", noted)
+    rng = random.Random(4)
+    label = rng.sample(range(1000), 1000)
+    cliques = [(10 * g + i, 10 * g + j) for g in range(30) for i in range(10) for j in range(i)]
+    chain = [(label[i], label[i + 1]) for i in range(199)]
+    hub = [(999, k) for k in range(0, 300, 3)] + [(998, k) for k in range(1, 300, 3)] + [(998, 997), (997, 999)]
+    tree = [(label[k], label[(k - 1) // 2]) for k in range(1, 500)]
+    odd = [(5, 5), (None, 1), (7, None), (8, 9), (8, 9), (9, 8), (-3, 8)]
+    for pairs in (cliques, chain, hub, tree, odd, []):
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            if a is not None and b is not None and a != b:
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+        kept.clear()
+        got = fusion2d.components(spark.createDataFrame(pairs, "a long, b long").repartition(3))
+        assert {(r.idx, r.root) for r in got.collect()} == {(x, root(x)) for x in parent} and got.count() == len(parent)
+        links = sum(a is not None and b is not None and a != b for a, b in pairs)
+        assert kept[0] == links and kept[-1] == 0 and all(y <= x / 2 for x, y in zip(kept[1:], kept[2:], strict=False))
+        if pairs is cliques:
+            assert kept == [links, 0]
+
+
+def test_merged_maps_read_surfels_once(spark):
+    """Sums, centres and distances come from surfels that met their roots once; repeated, null and missing indices as before."""
+    plan = QUERIES["b22_merge_map"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "parquet" not in plan
+    rows = [(i, 0.1 * k, 0.0, 0.05, 1e-4, 0.01 * k, float(k), k, 1, 0.5) for k, i in enumerate((1, 1, 2, 4, 6, 6, None, 9), 1)]
+    surfels = spark.createDataFrame(rows, "idx long, cx double, cy double, cz double, l1 double, confidence double, total_weight double, point_count long, observations long, sum_sq double")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (None, 9)], "a long, b long")
+    out = sorted((r.idx, r.parts, r.point_count, round(r.cx, 6)) for r in fusion2d.merge_map(pairs, surfels).collect())
+    # 4 goes with the missing 3; the repeated 1 and 6 come out twice.
+    mean = lambda *ks: round(sum(0.1 * k * k for k in ks) / sum(ks), 6)
+    assert out == [(1, 3, 6, mean(1, 2, 3))] * 2 + [(6, 2, 11, mean(5, 6))] * 2 + [(9, 1, 8, 0.8)]
