@@ -249,6 +249,34 @@ def test_last_pose_asks_its_state_by_batch(spark):
     assert out["px"].tolist() == [0.5 * i for i in range(0, n, 2)] and out["lap"].dropna().tolist() == list(range(0, n, 4)) and str(out["lap"].dtype) == "Int64"
     assert not any(str(t).startswith("datetime") for t in out.dtypes)
     assert handle.waiting.calls == 4 and [len(c) for c in handle.waiting.values[0]] == [3] * 5 and handle.last.calls == 1
+    # What still waits of a drone with many rows stays in entries of bounded size.
+    many = pd.DataFrame({"ts_us": [0, *range(2_000_001, 2_025_001)], "kind": 1, "tie": range(25_001), "px": None, "lap": None})
+    list(op.handleInputRows((1,), iter([many]), None))
+    assert len(next(op.handleExpiredTimer((1,), None, Expired()))) == 1
+    assert [len(e[0]) for e in handle.waiting.values] == [10_000, 10_000, 5_003]
+
+
+def test_a_drone_with_most_rows_keeps_its_poses(spark, tmp_path):
+    """One drone has nearly all rows, more than an entry of its state holds, in several entries a batch."""
+    from voxelloom.sources.poses import pose_as_of
+    from voxelloom.streaming import scans as S
+
+    rows = spark.range(90_000).select(F.when(F.col("id") % 9 > 0, 1).otherwise(F.col("id") % 50).cast("long").alias("drone_id"), "id", F.timestamp_micros(1_700_000_000_000_000 + F.pmod(F.col("id") * 7919, F.lit(90_000)) * 1000).alias("ts"))
+    end = spark.range(2).select(F.lit(-1).cast("long").alias("drone_id"), "id", F.timestamp_seconds(1_800_000_000 + F.col("id")).alias("ts"))
+    name = {"poses": "event_id", "scans": "scan_id"}
+    known = {k: rows.where(F.col("id") % 3 == 0 if k == "poses" else F.col("id") % 3 > 0).withColumnRenamed("id", v) for k, v in name.items()}
+    known["poses"] = known["poses"].withColumn("px", F.col("event_id") * 0.5)
+    for k, df in known.items():
+        last = end.withColumnRenamed("id", name[k]).withColumns({"px": F.lit(0.0)} if k == "poses" else {}).select(df.columns)
+        write_parts(df.withColumn("part", F.col(name[k]) % 2), str(tmp_path / k), ["part = 0", "part = 1"])
+        for i in range(2):
+            last.where(F.col(name[k]) == i).withColumn("part", F.lit(2).cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / k))
+    read = lambda k: files(spark, str(tmp_path / k), known[k].schema, 2)
+    S.start_kept_poses(read("scans"), read("poses"), str(tmp_path / "out"), str(tmp_path / "cp"), late="1 day", how="keep").awaitTermination()
+    assert spark.conf.get(keyed.ENTRIES) != "10"
+    got = spark.read.parquet(str(tmp_path / "out")).where("drone_id >= 0")
+    want = pose_as_of(known["scans"], known["poses"], "keep")
+    assert want.count() == 60_000 and equal(got, want)
 
 
 def test_scan_stream_equals_batch(spark, tmp_path):

s7_stream_kept_pose: state entries and what Python is handed of them stay bounded

Symptom: with a call's rows in one state entry, a drone with very many waiting rows would get them back in one message, as Spark hands over up to 10,000 entries at once.
Evidence: the state server counts entries, not rows; an entry has up to 10,000 rows since waiting rows go in by call.
Fix: a stream's state lists go to Python ten entries at a time, and what still waits is put back in entries of 10,000 rows at most.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 3850 -> 816 s, shuffle 0.13 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.59 -> 0.59 GB, longest task 23 -> 7 s, most memory of a task 34 -> 34 MB; at 6 GB of input CPU 14113 -> 3003 s, shuffle 0.77 -> 0.85 GB, spill 0.00 -> 0.00 GB, read 3.72 -> 3.72 GB, longest task 49 -> 12 s, most memory of a task 38 -> 38 MB.

@@ -20,21 +20,26 @@ from ..params import SurfelParams
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Entries of a state list that Python is handed at once: LastPose's hold thousands of rows.
+ENTRIES = "spark.sql.execution.arrow.transformWithStateInPySpark.maxStateRecordsPerBatch"
 COUNTS = ("count", "n_points")
 
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """Streams that start inside keep their state in RocksDB; the session's own setting comes back after."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+    """Streams that start inside keep their state in RocksDB; the session's own settings come back after."""
+    own = {STORE: ROCKSDB, ENTRIES: "10"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _start(kept: DataFrame, checkpoint: str, every: str | None, sink) -> StreamingQuery:

@@ -55,6 +55,10 @@ def join_poses(scans: DataFrame, poses: DataFrame, late: str = "10 seconds", rea
     return newest.select(by, "scan_id", "ts", "pose.pose_ts", *[F.col(f"pose.{c}").alias(c) for c in rest])
 
 
+#: Rows of a state entry, as many as Spark puts into a frame.
+MOST = 10_000
+
+
 class LastPose(StatefulProcessor):
     """One drone's rows until the watermark passes them, and its last pose from then on, whatever its age.
 
@@ -98,9 +102,9 @@ class LastPose(StatefulProcessor):
                 out.append((tie, at, *(last or [None] * (2 + len(self.fields)))))
         if last is not None:
             self.last.update(last)
-        rest = rows[len(ready) :]
+        rest = [rows[i : i + MOST] for i in range(len(ready), len(rows), MOST)]
         if rest:
-            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
+            self.waiting.put([tuple(map(list, zip(*part, strict=True))) for part in rest])
         else:
             self.waiting.clear()
         if out:
